@@ -1,8 +1,9 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
-from . import substring_dedup
+from . import simhash_dedup, substring_dedup
 
 QUERIES = {
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
 }
 
