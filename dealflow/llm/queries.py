@@ -1,10 +1,11 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
-from . import quality_rules, simhash_dedup, substring_dedup
+from . import bpe, quality_rules, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op7_bpe": bpe.op7_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
