@@ -1,10 +1,11 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
-from . import bpe, quality_rules, simhash_dedup, substring_dedup, token_files
+from . import bpe, quality_rules, sharding, simhash_dedup, substring_dedup, token_files
 
 QUERIES = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_sharding": sharding.op5_sharding,
     "op6_token_files": token_files.op6_token_files,
     "op7_bpe": bpe.op7_bpe,
     "op9_quality_rules": quality_rules.op9_quality_rules,
