@@ -1,8 +1,9 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
-from . import bpe, quality_rules, sharding, simhash_dedup, substring_dedup, token_files
+from . import bpe, decontamination, quality_rules, sharding, simhash_dedup, substring_dedup, token_files
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_sharding": sharding.op5_sharding,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontamination.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
 }
