@@ -1,10 +1,11 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
-from . import bpe, decontamination, quality_rules, sharding, simhash_dedup, substring_dedup, token_files
+from . import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op3_ppm": ppm.op3_ppm,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_token_files": token_files.op6_token_files,
