@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
-from . import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, token_files
+from . import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_token_files": token_files.op6_token_files,
     "op7_bpe": bpe.op7_bpe,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
