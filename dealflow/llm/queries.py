@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
-from . import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_files
+from . import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,9 +12,11 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
+    "op10_token_counts": token_counts.SQL,
 }
