@@ -113,31 +113,54 @@ def fit(patterns: dict[tuple, int], iterations: int = ITERATIONS) -> dict[tuple,
     return post
 
 
-def weak_supervision(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT, with_text: bool = True) -> DataFrame:
-    """docs with features(), base_failed, quality (the posterior) and kept.
-
-    base_failed: fewer than 50 words, or more than half of the words in repeated windows; it settles kept. The
-    model is fitted on the other documents. A null text has no words and fails. An empty table gives an empty
-    result. Input columns named like an added one are replaced. Features are written to the shared folder once,
-    so that the fit and the verdicts read each text a single time; with_text=False leaves the text out of it.
-    """
-    spark = docs.sparkSession
-    votes = rules()
+def voted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with features(), base_failed, and the pattern of votes as one number in __code."""
     f = features(docs, text_col)
-    f = f if with_text else f.drop(text_col)
     f = f.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    code = sum(((v + 1) * 3**i for i, v in enumerate(votes.values())), F.lit(0)).cast("int")
-    f = C.saved(f.withColumn("__code", code))
-    counted = f.where("NOT base_failed").groupBy("__code").count().collect()  # at most 3 ** rules rows
-    pattern = lambda c: tuple(c // 3**i % 3 - 1 for i in range(len(votes)))
+    return f.withColumn("__code", sum(((v + 1) * 3**i for i, v in enumerate(rules().values())), F.lit(0)).cast("int"))
+
+
+def posteriors(f: DataFrame) -> DataFrame:
+    """(__code, quality) fitted on the documents of voted() that pass the base; at most 3 ** rules rows and as many failed."""
+    counted = f.groupBy("base_failed", "__code").count().collect()
+    counted = [r for r in counted if not r["base_failed"]]
+    pattern = lambda c: tuple(c // 3**i % 3 - 1 for i in range(len(rules())))
     post = fit({pattern(r["__code"]): r["count"] for r in counted})
-    table = spark.createDataFrame([(r["__code"], post[pattern(r["__code"])]) for r in counted], "__code int, quality double")
+    return f.sparkSession.createDataFrame([(r["__code"], post[pattern(r["__code"])]) for r in counted], "__code int, quality double")
+
+
+def _judged(f: DataFrame, table: DataFrame, keep_at: float) -> DataFrame:
     out = f.join(F.broadcast(table), "__code", "left").drop("__code")
     out = out.withColumn("quality", F.when(F.col("base_failed"), 0.0).otherwise(F.col("quality")))
     return out.withColumn("kept", F.col("quality") >= keep_at)
 
 
+def weak_supervision(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """docs without their text, with features(), base_failed, quality (the posterior) and kept.
+
+    base_failed: fewer than 50 words, or more than half of the words in repeated windows; it settles kept. The
+    model is fitted on the other documents. A null text has no words and fails. An empty table gives an empty
+    result. Input columns named like an added one are replaced. Features are written to the shared folder once,
+    so that the fit and the verdicts read each text a single time.
+    """
+    f = C.saved(voted(docs, text_col).drop(text_col))
+    return _judged(f, posteriors(f), keep_at)
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that weak_supervision() keeps, with their columns as they are.
+
+    Counts are computed twice, for the fit and for the verdicts, so that texts are neither shuffled nor stored.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
+    f = voted(packed, "__text")
+    # A filter would be pushed below the counts and repeat their expressions; a join on a code that fails does not.
+    f = f.select("__row", "base_failed", F.when(F.col("base_failed"), -1).otherwise(F.col("__code")).alias("__code"))
+    good = posteriors(f).where(F.col("quality") >= keep_at).select("__code")
+    return f.join(F.broadcast(good), "__code").select("__row.*")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = weak_supervision(docs, with_text=False)
+    out = weak_supervision(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 9).alias("quality"))

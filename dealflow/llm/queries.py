@@ -1,5 +1,7 @@
 """The registered queries of the subpackage, and their SQL twins."""
 
+import corpus_pipeline
+
 from . import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_token_counts": token_counts.op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

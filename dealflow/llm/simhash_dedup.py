@@ -196,13 +196,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fp.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """docs without near copies: of each component the row with the least doc_id stays (one of repeated rows)."""
-    keys = simhash_components(docs, id_col, text_col, shingle, radius).where(f"`{id_col}` <=> component_id").select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keys, docs[id_col].eqNullSafe(keys["__keep"]), "left_semi")
-    return kept.dropDuplicates([id_col])
-
-
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
