@@ -1,4 +1,9 @@
 """All queries outside the llm subpackage, and their SQL twins."""
 
+from . import report_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (report_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
