@@ -87,7 +87,8 @@ def operating(deals: DataFrame) -> DataFrame:
 
 
 def _product(w, x):
-    return (w.cast("double") * x).cast("decimal(30,7)")
+    """Null beyond 23 digits, as growth over a hold of days can be."""
+    return (w.cast("double") * x).try_cast("decimal(30,7)")
 
 
 def weighted(deals: DataFrame) -> DataFrame:

@@ -50,20 +50,20 @@ deals AS (SELECT *, {bucket_sql('hold_period', 'hold')} AS hold_bucket, {bucket_
 
 _P = "DECIMAL(30,7)"
 WEIGHTED = f"""
-weighted AS (SELECT *, CASE WHEN rev_cagr IS NOT NULL THEN ic_weight END AS rev_cagr_w, (ic_weight::DOUBLE * rev_cagr)::{_P} AS rev_cagr_p,
-  CASE WHEN ebitda_cagr IS NOT NULL THEN ic_weight END AS ebitda_cagr_w, (ic_weight::DOUBLE * ebitda_cagr)::{_P} AS ebitda_cagr_p,
-  CASE WHEN entry_margin IS NOT NULL THEN ic_weight END AS entry_margin_w, (ic_weight::DOUBLE * entry_margin)::{_P} AS entry_margin_p,
-  CASE WHEN exit_margin IS NOT NULL THEN ic_weight END AS exit_margin_w, (ic_weight::DOUBLE * exit_margin)::{_P} AS exit_margin_p,
+weighted AS (SELECT *, CASE WHEN rev_cagr IS NOT NULL THEN ic_weight END AS rev_cagr_w, TRY_CAST(ic_weight::DOUBLE * rev_cagr AS {_P}) AS rev_cagr_p,
+  CASE WHEN ebitda_cagr IS NOT NULL THEN ic_weight END AS ebitda_cagr_w, TRY_CAST(ic_weight::DOUBLE * ebitda_cagr AS {_P}) AS ebitda_cagr_p,
+  CASE WHEN entry_margin IS NOT NULL THEN ic_weight END AS entry_margin_w, TRY_CAST(ic_weight::DOUBLE * entry_margin AS {_P}) AS entry_margin_p,
+  CASE WHEN exit_margin IS NOT NULL THEN ic_weight END AS exit_margin_w, TRY_CAST(ic_weight::DOUBLE * exit_margin AS {_P}) AS exit_margin_p,
   CASE WHEN entry_multiple = 0 OR exit_multiple = 0 THEN 0 ELSE ic_weight END AS multiple_w,
-  (CASE WHEN entry_multiple = 0 OR exit_multiple = 0 THEN 0 ELSE ic_weight END::DOUBLE * entry_multiple)::{_P} AS entry_multiple_p,
-  (CASE WHEN entry_multiple = 0 OR exit_multiple = 0 THEN 0 ELSE ic_weight END::DOUBLE * exit_multiple)::{_P} AS exit_multiple_p,
+  TRY_CAST((CASE WHEN entry_multiple = 0 OR exit_multiple = 0 THEN 0 ELSE ic_weight END)::DOUBLE * entry_multiple AS {_P}) AS entry_multiple_p,
+  TRY_CAST((CASE WHEN entry_multiple = 0 OR exit_multiple = 0 THEN 0 ELSE ic_weight END)::DOUBLE * exit_multiple AS {_P}) AS exit_multiple_p,
   CASE WHEN entry_leverage IS NOT NULL AND exit_leverage IS NOT NULL THEN ic_weight ELSE 0 END AS leverage_w,
-  (CASE WHEN entry_leverage IS NOT NULL AND exit_leverage IS NOT NULL THEN ic_weight ELSE 0 END::DOUBLE * entry_leverage)::{_P} AS entry_leverage_p,
-  (CASE WHEN entry_leverage IS NOT NULL AND exit_leverage IS NOT NULL THEN ic_weight ELSE 0 END::DOUBLE * exit_leverage)::{_P} AS exit_leverage_p,
+  TRY_CAST((CASE WHEN entry_leverage IS NOT NULL AND exit_leverage IS NOT NULL THEN ic_weight ELSE 0 END)::DOUBLE * entry_leverage AS {_P}) AS entry_leverage_p,
+  TRY_CAST((CASE WHEN entry_leverage IS NOT NULL AND exit_leverage IS NOT NULL THEN ic_weight ELSE 0 END)::DOUBLE * exit_leverage AS {_P}) AS exit_leverage_p,
   CASE WHEN entry_ev_sales IS NOT NULL AND exit_ev_sales IS NOT NULL THEN ic_weight END AS ev_sales_w,
-  CASE WHEN entry_ev_sales IS NOT NULL AND exit_ev_sales IS NOT NULL THEN ic_weight::DOUBLE * entry_ev_sales END::{_P} AS entry_ev_sales_p,
-  CASE WHEN entry_ev_sales IS NOT NULL AND exit_ev_sales IS NOT NULL THEN ic_weight::DOUBLE * exit_ev_sales END::{_P} AS exit_ev_sales_p,
-  (ic_weight::DOUBLE * hold_period)::{_P} AS hold_p FROM deals)
+  CASE WHEN entry_ev_sales IS NOT NULL AND exit_ev_sales IS NOT NULL THEN TRY_CAST(ic_weight::DOUBLE * entry_ev_sales AS {_P}) END AS entry_ev_sales_p,
+  CASE WHEN entry_ev_sales IS NOT NULL AND exit_ev_sales IS NOT NULL THEN TRY_CAST(ic_weight::DOUBLE * exit_ev_sales AS {_P}) END AS exit_ev_sales_p,
+  TRY_CAST(ic_weight::DOUBLE * hold_period AS {_P}) AS hold_p FROM deals)
 """
 
 POOLED = f"""count(*) AS deals, sum(ic_weight)::{_M} AS ic, round({_div('sum(coalesce(total_value, 0))', 'sum(ic_weight)')}, 6) AS moic,

@@ -70,3 +70,33 @@ def deals_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deals_sql() -> str:
     return DEALS_SQL.format(**{t: t for t in TABLES})
+
+
+#: F-B and F-H: the same deals as text with mixed formats, with row numbers in files by manager and fund.
+TEXT_SQL = """
+SELECT deal_id, gp_name AS file, CAST(row_number() OVER (PARTITION BY gp_name ORDER BY deal_id) AS INT) AS row_no,
+  CASE WHEN deal_id % 211 = 0 THEN ' ' ELSE company END AS company, fund, fund_currency, gp_name, sector,
+  CASE deal_id % 6 WHEN 0 THEN e WHEN 1 THEN substr(e, 9, 2) || '/' || substr(e, 6, 2) || '/' || substr(e, 1, 4) WHEN 2 THEN substr(e, 9, 2) || '-' || substr(e, 6, 2) || '-' || substr(e, 1, 4)
+    WHEN 3 THEN replace(e, '-', '/') WHEN 4 THEN e || ' 00:00:00' ELSE '-' END AS entry_date,
+  CASE WHEN deal_id % 307 = 0 THEN 'soon' ELSE x END AS exit_date,
+  CASE deal_id % 5 WHEN 1 THEN CASE WHEN total_ic >= 1000 THEN CAST(CAST(floor(total_ic / 1000) AS BIGINT) AS VARCHAR(20)) || ',' || lpad(CAST(CAST(floor(total_ic) AS BIGINT) % 1000 AS VARCHAR(20)), 3, '0') ELSE ic END WHEN 2 THEN 'n/a' WHEN 3 THEN '#DIV/0!' ELSE ic END AS total_ic,
+  CAST(realized AS VARCHAR(40)) AS realized, CAST(current_value AS VARCHAR(40)) AS current_value,
+  CASE WHEN gross_tvpi IS NULL THEN NULL WHEN deal_id % 2 = 0 THEN CAST(gross_tvpi AS VARCHAR(40)) || 'x' ELSE CAST(gross_tvpi AS VARCHAR(40)) END AS gross_tvpi,
+  CASE WHEN deal_id % 3 = 0 THEN CAST(gross_irr * 100 AS VARCHAR(40)) || '%' ELSE CAST(gross_irr AS VARCHAR(40)) END AS gross_irr,
+  CASE deal_id % 9 WHEN 0 THEN 'Unrealised' WHEN 1 THEN 'written off' WHEN 2 THEN 'sold' WHEN 3 THEN 'current' WHEN 4 THEN '' WHEN 5 THEN 'Realized' WHEN 6 THEN 'unrealized' ELSE status END AS status,
+  coi, valuation_method
+FROM (SELECT *, CAST(entry_date AS VARCHAR(20)) AS e, CAST(exit_date AS VARCHAR(20)) AS x, CAST(total_ic AS VARCHAR(40)) AS ic FROM {deals}) d
+"""
+
+
+def deals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-B."""
+    return spark.sql(TEXT_SQL, deals=deals_raw(spark, sf_dir))
+
+
+def text_sql() -> str:
+    return TEXT_SQL.format(deals=f"({deals_sql()}) z")
+
+
+#: F-G: three publications of the deals known at a date; the last one of one manager is missing, one came twice.
+SNAPSHOT_DATES = ("1997-12-31", "1999-12-31", "2001-12-31")
