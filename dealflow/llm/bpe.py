@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: White space of Unicode, which parts words; str.split() would also part at U+001C to U+001F.
 _WORD = regex.compile("[^\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A symbol that ends a word is its byte's character moved up by this.
 _END = 0x1000
 #: Entries of each store of encoded words and pieces; a full store becomes the older one, which is looked up second.
-STORE = 200_000
+STORE = 100_000
 
 
 def split_words(text: str) -> list[str]:
@@ -105,7 +107,7 @@ class PrefixBPE:
                 pair = last[start] << 32 | token
                 ok = known.get(pair)
                 if ok is None:
-                    if len(known) > 4 * STORE:
+                    if len(known) > 2 * STORE:
                         known.clear()
                     ok = known[pair] = self._apart(last[start], token)
                 if not ok:
@@ -208,7 +210,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(C.lean_batches(run), schema)
 
 
 def default_tokenizer() -> str:

@@ -78,7 +78,7 @@ def deal(df: DataFrame, n: int, key: str) -> DataFrame:
 # ---------------------------------------------------------------- texts as flat arrays
 
 
-def pieces(texts: pa.Array, most: int = 4 << 20):
+def pieces(texts: pa.Array, most: int = 1 << 20):
     """(first, last + 1, bytes, offsets) of runs of rows that hold about ``most`` bytes; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -213,6 +213,11 @@ def unpacked(table: pa.Table, col: str, kind) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(blobs)), [len(b) // size for b in blobs])
 
 
+def flat(table: pa.Table, col: str, kind) -> np.ndarray:
+    """All values of a packed column."""
+    return np.frombuffer(b"".join(table[col].to_pylist()), kind)
+
+
 def found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each key stands among sorted distinct ones, and whether it does."""
     if not len(among):
@@ -242,7 +247,7 @@ def shared_keys(request: DataFrame, n_buckets: int) -> DataFrame:
         out = [(c, keys[a:b][hit[a:b]].tobytes()) for c, a, b in zip(chunks, cut, cut[1:]) if hit[a:b].any()]
         return pa.table({CHUNK: pa.array([c for c, _ in out], pa.int32()), "keys": pa.array([k for _, k in out], pa.binary())})
 
-    return deal(request, n_buckets, BUCKET).groupBy(BUCKET).applyInArrow(answer, f"{CHUNK} int, keys binary")
+    return deal(request, n_buckets, BUCKET).groupBy(BUCKET).applyInArrow(lean(answer), f"{CHUNK} int, keys binary")
 
 
 def least_docs(request: DataFrame, n_buckets: int) -> DataFrame:
@@ -262,9 +267,43 @@ def least_docs(request: DataFrame, n_buckets: int) -> DataFrame:
         out = [(c, keys[a:b][hit[a:b]].tobytes(), best[a:b][hit[a:b]].tobytes()) for c, a, b in zip(chunks, cut, cut[1:]) if hit[a:b].any()]
         return pa.table({CHUNK: pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "docs": pa.array([x[2] for x in out], pa.binary())})
 
-    return deal(request, n_buckets, BUCKET).groupBy(BUCKET).applyInArrow(answer, f"{CHUNK} int, keys binary, docs binary")
+    return deal(request, n_buckets, BUCKET).groupBy(BUCKET).applyInArrow(lean(answer), f"{CHUNK} int, keys binary, docs binary")
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z; other letters stay."""
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
+
+
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def _released(result):
+    """Hands freed memory back to the system, so that idle workers stay small beside the executor's heap."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    return result
+
+
+def lean(group):
+    """A function of one group that leaves no freed memory behind."""
+    return lambda rows: _released(group(rows))
+
+
+def lean_pair(group):
+    """The same for cogroups."""
+    return lambda rows, other: _released(group(rows, other))
+
+
+def lean_batches(run):
+    """The same for functions over all batches of a task."""
+
+    def all_batches(batches):
+        yield from run(batches)
+        _released(None)
+
+    return all_batches

@@ -113,7 +113,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, t
         rows = mine.collect()  # bounded by block_bytes
         ids = [r["item"] for r in rows]
         held = spark.sparkContext.broadcast([r["text"] for r in rows])
-        found = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_searcher(held, ids, shingle, threshold), "doc_id long, item_id long, n_shared long, n_item long")
+        found = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(C.lean_batches(_searcher(held, ids, shingle, threshold)), "doc_id long, item_id long, n_shared long, n_item long")
         out = found if out is None else out.union(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 

@@ -65,7 +65,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int)
             fp = fingerprints(batch.column(text_col), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(fp)], names=["id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, fp long")
+    return docs.select(id_col, text_col).mapInArrow(C.lean_batches(run), "id long, fp long")
 
 
 def counts(fp: np.ndarray) -> np.ndarray:
@@ -174,7 +174,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], names=["a", "b"])
 
     dealt = spread.repartition("g").sortWithinPartitions("cell", "i", "j")
-    return dealt.select("cell", "i", "j", "fp", "guest", "block").mapInArrow(solve, "a long, b long").distinct()
+    return dealt.select("cell", "i", "j", "fp", "guest", "block").mapInArrow(C.lean_batches(solve), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:

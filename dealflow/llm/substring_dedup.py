@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 WINDOW = 50
+#: Word and window hashes take several times the bytes of a chunk.
+CHUNK_BYTES = 8 << 20
 #: A perfect difference set modulo 31: each residue but 0 is one difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
@@ -58,7 +60,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "removed_spans")]
-    n = C.chunk_count(C.text_bytes(docs, text_col), spark)
+    n = C.chunk_count(C.text_bytes(docs, text_col), spark, CHUNK_BYTES)
     x = C.chunked(docs.select(*names), n, id_col, text_col)
     cover = np.array(sorted(cover))
 
@@ -144,11 +146,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     blob = f"{C.BUCKET} int, {C.CHUNK} int, keys binary, c0 binary"
-    shared = C.shared_keys(x.groupBy(C.CHUNK).applyInArrow(anchors, blob), n)
+    shared = C.shared_keys(x.groupBy(C.CHUNK).applyInArrow(C.lean(anchors), blob), n)
     groups = x.groupBy(C.CHUNK)
-    asked = groups.cogroup(C.deal(shared, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(windows, blob)
+    asked = groups.cogroup(C.deal(shared, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(C.lean_pair(windows), blob)
     least = C.deal(C.least_docs(asked, n), n, C.CHUNK)
-    return groups.cogroup(least.groupBy(C.CHUNK)).applyInArrow(cut, f"{schema}, n_words long, n_removed long, kept_sha256 string, removed_spans array<struct<first: long, end: long>>")
+    return groups.cogroup(least.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(cut), f"{schema}, n_words long, n_removed long, kept_sha256 string, removed_spans array<struct<first: long, end: long>>")
 
 
 def _near(pos: np.ndarray, bounds: np.ndarray, window: int, period: int) -> np.ndarray:

@@ -33,6 +33,8 @@ from . import common as C
 
 LENGTH, TRIGGER = 50, 16
 PIECE = 256 << 10
+#: Phrases and suffix arrays take many times the bytes of a chunk.
+CHUNK_BYTES = 8 << 20
 
 
 def triggers(data: np.ndarray, off: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
@@ -58,7 +60,8 @@ def triggers(data: np.ndarray, off: np.ndarray, length: int, width: int) -> tupl
     v, d = low[start], doc[start]
     first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (d[1:] != d[:-1])])
     place = (v[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return place, h[place], d[first], start[first], start[np.r_[first[1:], len(start)] - 1]
+    # Least hashes crowd at the low end; another mix spreads them over the buckets.
+    return place, C.mix(h[place] * C._ODD), d[first], start[first], start[np.r_[first[1:], len(start)] - 1]
 
 
 def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +138,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
         raise ValueError("length - width has to lie between 1 and 63")
     spark, before = docs.sparkSession, length - width
     docs = docs.select(F.col(id_col), F.col(text_col))
-    n = C.chunk_count(C.text_bytes(docs, text_col), spark)
+    n = C.chunk_count(C.text_bytes(docs, text_col), spark, CHUNK_BYTES)
     x = C.chunked(docs, n, id_col, text_col)
 
     def whole(rows: pa.Table) -> pa.Table:
@@ -214,8 +217,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
         return pa.table({C.BUCKET: pa.array(full, pa.int32()), C.CHUNK: pa.array(np.full(len(full), rows[C.CHUNK][0].as_py()), pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in out.items()})
 
     def compare(rows: pa.Table) -> pa.Table:
-        body = C.unpacked(rows, "rows", np.uint8)[0].reshape(-1, before + length)
-        reach = C.unpacked(rows, "range", np.uint8)[0].reshape(-1, 2)
+        body = C.flat(rows, "rows", np.uint8).reshape(-1, before + length)
+        reach = C.flat(rows, "range", np.uint8).reshape(-1, 2)
         doc, row = C.unpacked(rows, "docs", np.int64)
         bits = repeated(body, reach[:, 0], reach[:, 1], doc, length, width)
         cut = np.r_[0, np.cumsum(np.bincount(row, minlength=rows.num_rows))]
@@ -272,15 +275,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
 
     blob = f"{C.BUCKET} int, {C.CHUNK} int, keys binary, c0 binary"
     groups = x.groupBy(C.CHUNK)
-    same = C.least_docs(groups.applyInArrow(whole, blob), n)
+    same = C.least_docs(groups.applyInArrow(C.lean(whole), blob), n)
     same_ = C.deal(same, n, C.CHUNK)
-    shared = C.shared_keys(groups.cogroup(same_.groupBy(C.CHUNK)).applyInArrow(ask, blob), n)
+    shared = C.shared_keys(groups.cogroup(same_.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(ask), blob), n)
     both = same.select(C.CHUNK, "keys", "docs").union(shared.select(C.CHUNK, "keys", F.lit(None).cast("binary").alias("docs")))
-    asked = groups.cogroup(C.deal(both, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(phrases, f"{C.BUCKET} int, {C.CHUNK} int, rows binary, range binary, docs binary, local binary")
-    told = C.deal(asked, n, C.BUCKET).groupBy(C.BUCKET).applyInArrow(compare, f"{C.CHUNK} int, keys binary, docs binary, kind int")
+    asked = groups.cogroup(C.deal(both, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(C.lean_pair(phrases), f"{C.BUCKET} int, {C.CHUNK} int, rows binary, range binary, docs binary, local binary")
+    told = C.deal(asked, n, C.BUCKET).groupBy(C.BUCKET).applyInArrow(C.lean(compare), f"{C.CHUNK} int, keys binary, docs binary, kind int")
     last = same.select(C.CHUNK, "keys", "docs", F.lit(0).alias("kind")).union(told)
     kind = docs.schema[id_col].dataType.simpleString()
-    return groups.cogroup(C.deal(last, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<first: long, end: long>>, kept binary")
+    return groups.cogroup(C.deal(last, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(C.lean_pair(cut), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<first: long, end: long>>, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
