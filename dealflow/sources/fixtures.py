@@ -100,3 +100,55 @@ def text_sql() -> str:
 
 #: F-G: three publications of the deals known at a date; the last one of one manager is missing, one came twice.
 SNAPSHOT_DATES = ("1997-12-31", "1999-12-31", "2001-12-31")
+
+
+#: F-C: the deals as rows of text, with banners (in one file, which has no fund column), totals, notes, prose and blanks.
+RAW_SQL = """
+WITH d AS (SELECT file, 'Deals' AS tab, CAST(10 * row_number() OVER (PARTITION BY file ORDER BY coalesce(fund, ''), deal_id) AS INT) AS row_no, company, fund, entry_date, total_ic, realized FROM {text} t)
+SELECT file, tab, row_no, company, CASE WHEN file = 'GP_ASIA' THEN NULL ELSE fund END AS fund, entry_date, total_ic, realized FROM d
+UNION ALL SELECT file, tab, min(row_no) - 5, fund || ' (vintage 2005)', NULL, NULL, NULL, NULL FROM d WHERE file = 'GP_ASIA' AND fund IS NOT NULL GROUP BY file, tab, fund
+UNION ALL SELECT file, tab, min(row_no) - 4, fund, fund, NULL, '-', NULL FROM d WHERE file <> 'GP_ASIA' AND fund IS NOT NULL GROUP BY file, tab, fund
+UNION ALL SELECT file, tab, max(row_no) + 1, 'Grand total', NULL, NULL, '12', NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, tab, max(row_no) + 2, '* Please refer to the notes', NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, tab, max(row_no) + 3, 'Values are shown before fees and before any carry that is due', NULL, '-', 'n/a', NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, tab, max(row_no) + 4, NULL, NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, 'Copy', row_no, company, CASE WHEN file = 'GP_ASIA' THEN NULL ELSE fund END, entry_date, total_ic, realized FROM d WHERE row_no % 100 = 0
+"""
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-C."""
+    return spark.sql(RAW_SQL, text=deals_text(spark, sf_dir))
+
+
+def raw_sql() -> str:
+    return RAW_SQL.format(text=f"({text_sql()})")
+
+
+#: F-D, F-E: headers of the landed sheets over the columns of the text deals, by manager.
+SHEET_HEADERS = (("company", "Portfolio Company (a)"), ("entry_date", "Investment Date"), ("exit_date", "Exit Date"), ("total_ic", "Invested Capital ($m)"), ("realized", "Realised Value"), ("gross_tvpi", "Gross MOIC"), ("sector", "Industry"), ("status", "Status"), ("geography", "Company Website"))
+
+
+def landed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-E: a sheet for each fund of each manager, with banner, header in row 4 and deals below; names carry dates."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    d = deals_raw(spark, sf_dir).where("fund IS NOT NULL")
+    d = d.withColumn("geography", F.concat(F.lit("www."), F.lower("geography"), F.lit(".com")))
+    d = d.withColumns({"file_id": F.col("gp_name"), "sheet": F.concat("fund", F.lit(" - Deal Data")), "row_no": (F.row_number().over(Window.partitionBy("gp_name", "fund").orderBy("deal_id")) + 4).cast("int")})
+    kinds = {"entry_date": "d", "exit_date": "d", "total_ic": "n", "realized": "n", "gross_tvpi": "n"}
+    cell = lambda i, x: F.struct(F.lit(i + 2).alias("col_no"), F.col(x).cast("string").alias("value"), F.lit(kinds.get(x, "s")).alias("vtype"))
+    body = d.select("file_id", "sheet", "row_no", F.inline(F.array(*(cell(i, x) for i, (x, _) in enumerate(SHEET_HEADERS)))))
+    top = [(1, 2, "Alpha Capital Track Record"), (2, 2, "As of 30/09/2025"), (2, 3, "USD in millions"), *((4, i + 2, h) for i, (_, h) in enumerate(SHEET_HEADERS))]
+    head = F.array(*(F.struct(F.lit(r).alias("row_no"), F.lit(k).alias("col_no"), F.lit(v).alias("value"), F.lit("s").alias("vtype")) for r, k, v in top))
+    sheets = d.select("file_id", "sheet").distinct()
+    cells = body.unionByName(sheets.select("file_id", "sheet", F.inline(head)))
+    order = sheets.withColumn("sheet_idx", (F.row_number().over(Window.partitionBy("file_id").orderBy("sheet")) - 1).cast("int"))
+    name = F.concat("file_id", F.lit(" Data Sheet 2025.09.30.xlsx"))
+    return cells.where("value IS NOT NULL").join(order, ["file_id", "sheet"]).withColumns({"file_name": name, "sheet_state": F.lit("visible")})
+
+
+def landed_merges(spark: SparkSession) -> DataFrame:
+    """No merged cells."""
+    return spark.sql("SELECT '' AS file_id, '' AS sheet, 0 AS min_row, 0 AS max_row, 0 AS min_col, 0 AS max_col WHERE false")
