@@ -12,9 +12,22 @@ from ..operators import matching as M
 from ..operators import profile as P
 from ..sources import fixtures as X
 from . import sql as Q
+from .quality_queries import folder
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
+_LANDED: dict = {}
+
+
+def _cells(spark, sf):
+    """The landed grid as a table, written once a session and input: the operators read it several times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LANDED:
+        _LANDED[key] = folder(spark, "cells")
+        X.landed_cells(spark, sf).write.parquet(_LANDED[key])
+    return spark.read.parquet(_LANDED[key])
+
+
 FIN = ["total_ic", "realized"]
 
 # ---- cleaning
@@ -83,19 +96,19 @@ ORACLE_SQL["C1_stacked_tabs"] = Q.over_deals("SELECT deal_id, exit_date, CASE WH
 
 
 def _sheets(spark, sf):
-    return X.landed_cells(spark, sf).select("file_id", "sheet").distinct()
+    return _cells(spark, sf).select("file_id", "sheet").distinct()
 
 
 _SHEETS = Q.over_deals("").rstrip() + ", sheets AS (SELECT DISTINCT gp_name AS file_id, fund || ' - Deal Data' AS sheet, fund FROM raw WHERE fund IS NOT NULL)"
 QUERIES["C2_fund_labels"] = lambda spark, sf: P.fund_labels(_sheets(spark, sf).withColumnRenamed("file_id", "file"))
 ORACLE_SQL["C2_fund_labels"] = f"{_SHEETS} SELECT file_id AS file, sheet, fund AS fund_label FROM sheets"
-QUERIES["C3_units"] = lambda spark, sf: X.landed_cells(spark, sf).where("row_no = 4").groupBy("value").agg(F.first(P.unit(c("value"))).alias("unit"))
+QUERIES["C3_units"] = lambda spark, sf: _cells(spark, sf).where("row_no = 4").groupBy("value").agg(F.first(P.unit(c("value"))).alias("unit"))
 ORACLE_SQL["C3_units"] = "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {repr('USD m') if '$m' in h else 'NULL'})" for _, h in X.SHEET_HEADERS) + ") t(value, unit)"
 
 
 # ---- matching, over the headers and values of the landed sheets
 def _columns(spark, sf):
-    cells = X.landed_cells(spark, sf)
+    cells = _cells(spark, sf)
     names = cells.where("row_no = 4").select("file_id", "sheet", "col_no", c("value").alias("col_name"))
     v = cells.where("row_no > 4").join(names, ["file_id", "sheet", "col_no"])
     return v.select(c("file_id").alias("file"), (c("col_no") - 2).alias("col_index"), "col_name", F.xxhash64("sheet", "row_no").alias("row_no"), "value")
@@ -130,12 +143,12 @@ QUERIES["A9_input_table"] = lambda spark, sf: D_.returns(X.deals_raw(spark, sf))
 ORACLE_SQL["A9_input_table"] = Q.over_deals("SELECT deal_id, company, fund, coalesce(fund_currency, 'USD') AS fund_currency, realized, total_ic FROM deals")
 
 # ---- discovery
-_cells, _merges = X.landed_cells, X.landed_merges
+_merges = X.landed_merges
 _found = lambda spark, sf: B.candidates(_cells(spark, sf), _merges(spark))
 QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_cells(spark, sf)).select("file_id", "sheet", "min_row", "max_row", "min_col", "max_col")
 ORACLE_SQL["B1_B2_sheet_profiles"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 1 AS min_row, least(count(*) + 4, 2000)::INTEGER AS max_row, 2 AS min_col, {len(X.SHEET_HEADERS) + 1} AS max_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 QUERIES["B3_B5_blocks"] = lambda spark, sf: B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf))).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
-ORACLE_SQL["B3_B5_blocks"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 2 AS first_row, least(count(*) + 4, 2000)::INTEGER AS last_row, 2 AS first_col, {len(X.SHEET_HEADERS) + 1} AS last_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
+ORACLE_SQL["B3_B5_blocks"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 4 AS first_row, least(count(*) + 4, 2000)::INTEGER AS last_row, 2 AS first_col, {len(X.SHEET_HEADERS) + 1} AS last_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 QUERIES["B6_B12_primary"] = lambda spark, sf: B.primary_tables(_found(spark, sf), _cells(spark, sf)).select("file_id", "sheet", "rows", "cols", "orientation", "likely", F.round("score", 4).alias("score"))
 QUERIES["B7_B8_headers"] = lambda spark, sf: B.headers(_cells(spark, sf), _merges(spark), B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf)))).select("file_id", "sheet", "col_no", "header")
 QUERIES["B13_layouts"] = lambda spark, sf: B.layouts(_found(spark, sf), _cells(spark, sf)).select("file_id", "layout", F.array_join("sheets", ";").alias("sheets"))
@@ -156,4 +169,4 @@ _INPUT = lambda spark, sf: B.input_grid(_cells(spark, sf).where("row_no >= 4").w
 QUERIES["A2_input_grid"] = lambda spark, sf: _INPUT(spark, sf).groupBy("file_id").agg(F.count_distinct("row_no").alias("rows"))
 ORACLE_SQL["A2_input_grid"] = f"{_SHEETS} SELECT gp_name || '/' || fund || ' - Deal Data' AS file_id, count(*) AS rows FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 QUERIES["A3_header_differences"] = lambda spark, sf: B.header_differences(_INPUT(spark, sf), ["Company", "Fund", "Status"]).select("file_id", F.array_join("missing", ",").alias("missing"), F.size("unknown").alias("n_unknown"))
-ORACLE_SQL["A3_header_differences"] = f"{_SHEETS} SELECT gp_name || '/' || fund || ' - Deal Data' AS file_id, 'fund' AS missing, (7 - (count(exit_date) = 0)::INTEGER - (count(sector) = 0)::INTEGER - (count(gross_tvpi) = 0)::INTEGER)::INTEGER AS n_unknown FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
+ORACLE_SQL["A3_header_differences"] = f"{_SHEETS} SELECT gp_name || '/' || fund || ' - Deal Data' AS file_id, 'fund' AS missing, (11 - (count(exit_date) = 0)::INTEGER - (count(sector) = 0)::INTEGER - (count(gross_tvpi) = 0)::INTEGER)::INTEGER AS n_unknown FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"

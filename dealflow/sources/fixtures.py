@@ -126,7 +126,7 @@ def raw_sql() -> str:
 
 
 #: F-D, F-E: headers of the landed sheets over the columns of the text deals, by manager.
-SHEET_HEADERS = (("company", "Portfolio Company (a)"), ("entry_date", "Investment Date"), ("exit_date", "Exit Date"), ("total_ic", "Invested Capital ($m)"), ("realized", "Realised Value"), ("gross_tvpi", "Gross MOIC"), ("sector", "Industry"), ("status", "Status"), ("geography", "Company Website"))
+SHEET_HEADERS = (("company", "Portfolio Company (a)"), ("entry_date", "Investment Date"), ("exit_date", "Exit Date"), ("total_ic", "Invested Capital ($m)"), ("realized", "Realised Value"), ("gross_tvpi", "Gross MOIC"), ("sector", "Industry"), ("status", "Status"), ("geography", "Company Website"), ("current_value", "Unrealised Value"), ("entry_rev", "Revenue | Acquisition"), ("entry_ebitda", "EBITDA | Acquisition"), ("entry_ev", "Enterprise Value | Acquisition"))
 
 
 def landed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def landed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = deals_raw(spark, sf_dir).where("fund IS NOT NULL")
     d = d.withColumn("geography", F.concat(F.lit("www."), F.lower("geography"), F.lit(".com")))
     d = d.withColumns({"file_id": F.col("gp_name"), "sheet": F.concat("fund", F.lit(" - Deal Data")), "row_no": (F.row_number().over(Window.partitionBy("gp_name", "fund").orderBy("deal_id")) + 4).cast("int")})
-    kinds = {"entry_date": "d", "exit_date": "d", "total_ic": "n", "realized": "n", "gross_tvpi": "n"}
+    kinds = {"entry_date": "d", "exit_date": "d", "total_ic": "n", "realized": "n", "gross_tvpi": "n", "current_value": "n", "entry_rev": "n", "entry_ebitda": "n", "entry_ev": "n"}
     cell = lambda i, x: F.struct(F.lit(i + 2).alias("col_no"), F.col(x).cast("string").alias("value"), F.lit(kinds.get(x, "s")).alias("vtype"))
     body = d.select("file_id", "sheet", "row_no", F.inline(F.array(*(cell(i, x) for i, (x, _) in enumerate(SHEET_HEADERS)))))
     top = [(1, 2, "Alpha Capital Track Record"), (2, 2, "As of 30/09/2025"), (2, 3, "USD in millions"), *((4, i + 2, h) for i, (_, h) in enumerate(SHEET_HEADERS))]
