@@ -375,3 +375,26 @@ def test_similar_dense_cells(spark):
         assert all((fps[a] ^ fps[b]).bit_count() <= 3 * 77 for a, b in got)
         parts.append(components(got, range(len(fps))))
     assert parts[0] == parts[1] and len(set(parts[0].values())) == 3
+
+
+def jaccard(t, u):
+    a, b = ({tuple(w[k : k + n]) for w in [lower((x or "").encode()).split()] for n in [min(5, len(w))] for k in range(len(w) - n + 1)} for x in (t, u))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_texts_brute_force(spark):
+    """Links are the pairs at 0.8 or more by exact Jaccard, close to the limit too, in groups of one block and of many."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(60):  # one run of n new words at an end takes n of the shingles
+        n = r.choice([9, 30, 104, 204])
+        w = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        m = r.randrange(0, round(0.3 * n) + 1) if n > 9 else r.randrange(3)
+        texts += [" ".join(w), " ".join(w[m:]), " ".join([*(f"x{r.randrange(10**9)}" for _ in range(m // 2)), *w[m // 2 :]])]
+    want = components([(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8], range(len(texts)))
+    near = [jaccard(texts[i], texts[i - 1]) for i in range(1, len(texts), 3)]
+    assert sum(0.7 < x < 0.8 for x in near) > 5 and sum(0.8 <= x < 0.88 for x in near) > 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block_bytes in (4 << 20, 700):
+        got = {x.doc_id for x in simhash_similarity.near_dedup(df, block_bytes=block_bytes).collect()}
+        assert got == set(want.values())
