@@ -250,13 +250,13 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
             n = batch.num_rows
             fp, bands, node = np.zeros((n, 8 * WORDS), np.uint8), np.zeros((n, BANDS), np.uint64), np.zeros(n, np.uint64)
             for i, h in shingle_hashes(batch.column(1), shingle):
-                fp[i], h = wide_fingerprint(h), np.unique(h)
-                bands[i], node[i] = minhash_bands(h), C.mix(C.mix(h).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))[0]
+                h = np.unique(h)
+                fp[i], bands[i], node[i] = wide_fingerprint(h), minhash_bands(h), C.mix(C.mix(h).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))[0]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(node.view(np.int64)), _binary(fp), lists], names=["id", "size", "node", "fp", "bands"])
 
     marked = docs.select(id_col, text_col).mapInArrow(C.lean_batches(run), "id long, size long, node long, fp binary, bands array<long>")
-    distinct = C.saved(marked.groupBy("node", "bands").agg(F.min("fp").alias("fp"), F.min("id").alias("least"), F.max("size").alias("size")))
+    distinct = C.saved(marked.groupBy("node", "fp", "bands").agg(F.min("id").alias("least"), F.max("size").alias("size")))
     comp = components(candidate_links(distinct.select("node", "fp", "bands")))
     members = C.saved(distinct.select("node", "least", "size").join(comp, "node").withColumnRenamed("component", "cell"))
     cuts = members.groupBy("cell").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("cut"))

@@ -398,3 +398,16 @@ def test_similar_texts_brute_force(spark):
     for block_bytes in (4 << 20, 700):
         got = {x.doc_id for x in simhash_similarity.near_dedup(df, block_bytes=block_bytes).collect()}
         assert got == set(want.values())
+
+
+def test_similar_sets_not_repeats(spark):
+    """Repeats of a shingle count once: a shared line makes no copies, a repeated one hides none."""
+    r = random.Random(12)
+    text = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, one = text(10), text(300)
+    mixed = [" ".join(" ".join([*text(8), *line]) for _ in range(120)) for _ in range(2)]
+    mixed = [f"{' '.join(line * 250)} {' '.join(text(1500))}" for _ in range(2)] + mixed
+    copies = [" ".join(one), " ".join([*(one[:12] * 200), *one])]
+    assert jaccard(*mixed[:2]) < 0.1 and jaccard(*copies) >= 0.8
+    df = spark.createDataFrame(list(enumerate([*mixed, *copies])), "doc_id long, text string")
+    assert {x.doc_id for x in simhash_similarity.near_dedup(df).collect()} == {0, 1, 2, 3, 4}
