@@ -130,10 +130,11 @@ def _searcher(held, ids, shingle, threshold):
     return run
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows whose doc_id contains an item; rows of a null doc_id go together, too."""
-    bad = contained_items(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without the rows whose text contains an item; other texts of the same or of a null doc_id stay."""
+    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
+    bad = contained_items(keyed, items, id_col="__key", text_col=text_col, **how).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

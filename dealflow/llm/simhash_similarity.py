@@ -242,7 +242,8 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
 
     Groups are connected components of pairs whose sets of shingles have that Jaccard similarity; which pairs are
     compared, see above. Texts without words (null or blank) are copies of each other. Rows without doc_id stay only
-    where their group has no other; of rows that repeat a doc_id one stays. Columns of docs are kept as they are.
+    where their group has no other. Rows are told apart by doc_id and text, so null and repeated doc_ids keep their
+    other texts; of rows that repeat both one stays. Columns of docs are kept as they are.
     """
 
     def run(batches):
@@ -253,16 +254,21 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
                 h = np.unique(h)
                 fp[i], bands[i], node[i] = wide_fingerprint(h), minhash_bands(h), C.mix(C.mix(h).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))[0]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(node.view(np.int64)), _binary(fp), lists], names=["id", "size", "node", "fp", "bands"])
-
-    marked = docs.select(id_col, text_col).mapInArrow(C.lean_batches(run), "id long, size long, node long, fp binary, bands array<long>")
-    distinct = C.saved(marked.groupBy("node", "fp", "bands").agg(F.min("id").alias("least"), F.max("size").alias("size")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(node.view(np.int64)), _binary(fp), lists], names=["id", "k1", "k2", "size", "node", "fp", "bands"])
+
+    # One row of each doc_id and text, in one shuffle by their key, which the joins below share.
+    key = {"__k1": F.xxhash64(id_col, text_col), "__k2": F.xxhash64(F.lit(1), text_col, F.lit(2), id_col)}
+    once = docs.withColumns(key).dropDuplicates(["__k1", "__k2"])
+    marked = docs.select(id_col, text_col, F.col(id_col).cast("long").alias("id"), *(v.alias(k) for k, v in key.items())).mapInArrow(C.lean_batches(run), "id long, k1 long, k2 long, size long, node long, fp binary, bands array<long>")
+    # A null doc_id comes last; equal ones are settled by the key.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("least")
+    distinct = C.saved(marked.groupBy("node", "fp", "bands").agg(first, F.max("size").alias("size")))
     comp = components(candidate_links(distinct.select("node", "fp", "bands")))
     members = C.saved(distinct.select("node", "least", "size").join(comp, "node").withColumnRenamed("component", "cell"))
     cuts = members.groupBy("cell").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("cut"))
-    members = members.join(cuts, "cell")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members, F.col("id").eqNullSafe(F.col("least"))).select("cell", "cut", "node", "text")
+    members = members.join(cuts, "cell").select("cell", "cut", "node", F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
+    texts = once.join(members, ["__k1", "__k2"]).select("cell", "cut", "node", F.col(text_col).alias("text"))
     linked = components(verified_links(texts, similarity, shingle))
     rooted = distinct.select("node", "least").join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
-    keep = rooted.agg(F.min("least").alias("__keep")).select("__keep").distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates([id_col])
+    keep = rooted.agg(F.min("least").alias("least")).select(F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
+    return once.join(keep, ["__k1", "__k2"], "left_semi").select(*docs.columns)
