@@ -25,9 +25,11 @@ CURRENCY = r"(?i)\b(" + "|".join(CURRENCIES) + r")\b"
 TEXT_DATES = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyy/M/d")
 
 
-def filled_cells(cells: DataFrame, max_rows: int = MAX_ROWS, max_cols: int = MAX_COLS) -> DataFrame:
-    """B1: cells that hold something, of the scanned part of a sheet."""
-    return cells.where(c("value").isNotNull() & ~F.trim("value").isin(*CELL_BLANKS) & (c("row_no") <= max_rows) & (c("col_no") <= max_cols))
+def filled_cells(cells: DataFrame, max_rows: int | None = MAX_ROWS, max_cols: int | None = MAX_COLS) -> DataFrame:
+    """B1: cells that hold something, of the scanned part of a sheet; None scans all."""
+    d = cells.where(c("value").isNotNull() & ~F.trim("value").isin(*CELL_BLANKS))
+    d = d if max_rows is None else d.where(c("row_no") <= max_rows)
+    return d if max_cols is None else d.where(c("col_no") <= max_cols)
 
 
 def visible(cells: DataFrame) -> DataFrame:
@@ -137,9 +139,15 @@ def layouts(found: DataFrame, sheets: DataFrame, ratio: float = 0.75, overlap: f
 
 
 def table_rows(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
-    """A1: rows of tables with known headers as maps from header to value; blank rows do not arise."""
+    """A1: rows of tables with known headers as maps from header to value; blank rows do not arise.
+
+    Discovery scans a part of a sheet; rows are read from data_row on to the end of the sheet, or to the row before
+    the next table that h has on it.
+    """
     names = headers(cells, merges, h)
-    d = in_blocks(cells, h).where("row_no >= data_row").join(names, [*BLOCK, "col_no"])
+    end = F.lead("first_row").over(Window.partitionBy(*SHEET).orderBy("first_row"))
+    b = h.select(*BLOCK, "first_row", "data_row").withColumn("end", end)
+    d = filled_cells(cells, None, None).join(b, SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)").join(names, [*BLOCK, "col_no"])
     return d.groupBy(*BLOCK, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("vals"))
 
 

@@ -101,3 +101,14 @@ def test_blocks_and_merged_headers(spark):
 def test_fund_labels(spark):
     tabs = spark.createDataFrame([("f", "Fund XI - Deal Data"), ("f", "Fund XII - Deal Data"), ("g", "Fund A"), ("g", "Fund B")], "file string, sheet string")
     assert sorted(r.fund_label for r in profile.fund_labels(tabs).collect()) == ["Fund A", "Fund B", "Fund XI", "Fund XII"]
+
+
+def test_table_rows_below_the_scan(spark):
+    """A1 reads on below the rows that discovery scans, past sparse and blank rows."""
+    schema = "file_id string, sheet string, row_no int, col_no int, value string, vtype string"
+    rows = [("f", "s", 1, k, v, "s") for k, v in ((1, "Company"), (2, "Fund"), (3, "Cost"))]
+    rows += [("f", "s", i, k, v, t) for i in range(2, 2501) if i != 2100 for k, v, t in ((1, f"c{i}", "s"), (2, "7", "n"), (3, str(i), "n"))]
+    cells = spark.createDataFrame(rows, schema)
+    merges = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
+    got = {r.row_no: r.vals for r in discover.table_rows(cells, merges, discover.header_rows(cells, discover.blocks(cells))).collect()}
+    assert set(got) == set(range(2, 2501)) - {2100} and got[2500] == {"Company": "c2500", "Fund": "7", "Cost": "2500"}
