@@ -48,6 +48,8 @@ QUERIES["E4_fund_sections"] = lambda spark, sf: E.inherit_sections(X.raw_rows(sp
 ORACLE_SQL["E4_fund_sections"] = f"""WITH r AS ({X.raw_sql()}), b AS (SELECT *, coalesce(company LIKE '%(vintage 2005)', false) AS banner FROM r WHERE file = 'GP_ASIA'),
   s AS (SELECT *, last_value(CASE WHEN banner THEN replace(company, ' (vintage 2005)', '') END IGNORE NULLS) OVER (PARTITION BY file, tab ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section FROM b)
   SELECT file, tab, row_no, company, coalesce(section, tab) AS fund FROM s WHERE NOT banner"""
+QUERIES["E4_fund_sections_all"] = lambda spark, sf: E.inherit_sections(X.raw_rows(spark, sf), ["fund", "entry_date", "total_ic", "realized"]).select("file", "tab", "row_no", "company", "fund")
+ORACLE_SQL["E4_fund_sections_all"] = f"{ORACLE_SQL['E4_fund_sections']} UNION ALL SELECT file, tab, row_no, company, fund FROM r WHERE file IS DISTINCT FROM 'GP_ASIA'"
 QUERIES["E5_fund_from_tab"] = lambda spark, sf: E.fund_from_tab(X.raw_rows(spark, sf)).groupBy("file", "fund").agg(F.count("*").alias("rows"))
 ORACLE_SQL["E5_fund_from_tab"] = f"WITH r AS ({X.raw_sql()}), m AS (SELECT *, avg((fund IS NULL)::INTEGER) OVER (PARTITION BY file) AS missing FROM r) SELECT file, CASE WHEN missing > 0.5 THEN tab ELSE fund END AS fund, count(*) AS rows FROM m GROUP BY 1, 2"
 ORACLE_SQL["E6_keep_first"] = f"WITH r AS ({X.raw_sql()}), k AS (SELECT DISTINCT file, company, fund, entry_date FROM r) SELECT file, count(*) AS rows, count(DISTINCT company) AS companies FROM k GROUP BY 1"

@@ -139,10 +139,10 @@ _snap("X6_browser", lambda s: s.where("gp_name = 'GP_ASIA' AND status = 'Realize
 _snap("X7_deployment", A.deployment, "SELECT gp_name, vintage, sum(ic_weight)::DECIMAL(24,7) AS ic, count(*) AS deals FROM newest GROUP BY 1, 2")
 
 
-def _stream(spark, sf):
-    """Two arrivals of files, the second one with a correction; a second run finds nothing new."""
+def _stream(spark, sf, others="gp_name = 'GP_EUROPE'"):
+    """Two arrivals of files, of GP_ASIA and others, the second one with a correction; a second run finds nothing new."""
     incoming, target, state = (folder(spark, x) for x in ("incoming", "snapshots", "state"))
-    rows = [A.long_table(deals_raw(spark, sf).where(f"gp_name = '{g}'").select("deal_id", "gp_name", "fund_currency", "total_ic"), SNAPSHOT_DATES[0], "team", f"2002-0{m}-01 00:00:00", "orders", "USD") for g, m in (("GP_ASIA", 1), ("GP_EUROPE", 1), ("GP_ASIA", 3))]
+    rows = [A.long_table(deals_raw(spark, sf).where(which).select("deal_id", "gp_name", "fund_currency", "total_ic"), SNAPSHOT_DATES[0], "team", f"2002-0{m}-01 00:00:00", "orders", "USD") for which, m in (("gp_name = 'GP_ASIA'", 1), (others, 1), ("gp_name = 'GP_ASIA'", 3))]
     for part in rows[:2], rows[2:]:
         for r in part:
             r.write.mode("append").parquet(incoming)
@@ -152,3 +152,5 @@ def _stream(spark, sf):
 
 QUERIES["S1_incremental_ingest"] = _stream
 ORACLE_SQL["S1_incremental_ingest"] = Q.over_deals("SELECT deal_id, gp_name, DATE '1997-12-31' AS track_record_date, CASE WHEN gp_name = 'GP_ASIA' THEN TIMESTAMP '2002-03-01 00:00:00' ELSE TIMESTAMP '2002-01-01 00:00:00' END AS published_at FROM raw WHERE gp_name IN ('GP_ASIA', 'GP_EUROPE')")
+QUERIES["S1_incremental_ingest_all"] = lambda spark, sf: _stream(spark, sf, "NOT gp_name <=> 'GP_ASIA'")
+ORACLE_SQL["S1_incremental_ingest_all"] = Q.over_deals("SELECT deal_id, gp_name, DATE '1997-12-31' AS track_record_date, CASE WHEN gp_name = 'GP_ASIA' THEN TIMESTAMP '2002-03-01 00:00:00' ELSE TIMESTAMP '2002-01-01 00:00:00' END AS published_at FROM raw")
