@@ -28,13 +28,15 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; an own one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; an own one where it is unset and Spark runs locally."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
         return folder
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return spark.sparkContext.getCheckpointDir()
 
@@ -65,8 +67,12 @@ def chunk_count(total_bytes: int, spark: SparkSession, chunk_bytes: int = CHUNK_
 
 
 def chunked(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a chunk number, one chunk a partition: the only shuffle of texts."""
-    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
+    """docs with a chunk number, one chunk a partition: the only shuffle of texts.
+
+    The number of the input's partition takes part, so that rows that repeat id and text spread, too; it is the
+    same for a row however often a lost task runs again.
+    """
+    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(n)).cast("int")
     return docs.withColumn(CHUNK, key).repartitionById(n, F.col(CHUNK))
 
 
@@ -193,10 +199,22 @@ def group_min(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
 
 
-def packed(chunk: int, n_buckets: int, keys: np.ndarray, *cols: np.ndarray) -> pa.Table:
+def edges(n_buckets: int, bits: int = 64) -> np.ndarray:
+    """The least 64-bit key of each bucket but the first; keys that agree in their first bits share a bucket.
+
+    Buckets are ranges of even width; with fewer than 64 bits there are at most 2 ** bits of them.
+    """
+    n_buckets = min(n_buckets, 1 << min(bits, 32))
+    if n_buckets < 2:
+        return np.zeros(0, np.uint64)
+    step, rest = divmod(1 << bits, n_buckets)
+    b = np.arange(1, n_buckets, dtype=np.uint64)
+    return (b * np.uint64(step) + (b * np.uint64(rest) + np.uint64(n_buckets - 1)) // np.uint64(n_buckets)) << np.uint64(64 - bits)
+
+
+def packed(chunk: int, n_buckets: int, keys: np.ndarray, *cols: np.ndarray, bits: int = 64) -> pa.Table:
     """Rows (bucket, chunk, keys, *cols) of sorted keys; a bucket is a range of the 64-bit key space."""
-    edge = np.array([-(-(b << 64) // n_buckets) for b in range(1, n_buckets)], np.uint64)
-    cut = np.r_[0, np.searchsorted(keys, edge), len(keys)]
+    cut = np.r_[0, np.searchsorted(keys, edges(n_buckets, bits)), len(keys)]
     full = np.flatnonzero(np.diff(cut))
     names = ["keys", *(f"c{i}" for i in range(len(cols)))]
     return pa.table(

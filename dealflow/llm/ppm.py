@@ -10,13 +10,16 @@ come first, then every document gets the length of its code.
 With fixed counts a context's symbols contain those of each longer one, so what is excluded at order k depends
 on the context of order k + 1 alone, and each 6-byte string (context and symbol) has one code length. Hence:
 
-* chunks of documents send their distinct 6-byte strings with training counts to buckets by the last two bytes
-  of the context, so that a bucket holds all counts of its orders 2 to 5; orders 0 and 1 are a table of 256 x 256;
-* buckets sum the counts, compute the code length of each string, and answer each chunk in the order it asked;
-* chunks look up every position of every text and sum.
-
-The same exchange carries the distinct words of each chunk and their training counts for the base score. What
-is gathered grows with the input, and no task holds more than a bucket or a chunk.
+* chunks of documents send their distinct 6-byte strings with training counts to buckets by a spread of the whole
+  string, so that a frequent context does not meet in one bucket; a bucket sums each string's counts;
+* buckets send their sums on by the last two bytes of the context, each string once for the whole corpus. So
+  all counts of orders 2 to 5 of a context are in one place; orders 0 and 1 are a table of 256 x 256. There
+  the code length of each string is computed;
+* buckets answer each chunk in the order it asked, and chunks look up every position of every text and sum.
+
+The first exchange carries the distinct words of each chunk and their training counts for the base score, too. What
+is gathered grows with the input. A task holds a chunk, a bucket, or the distinct strings of a few contexts of
+two bytes, whose number the language bounds and not the size of the corpus.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ END = 0x0A
 #: Bytes that can occur: all but white space, and the space and the end symbol.
 ALPHABET = 256 - 4
 PIECE = 2 << 20
+#: An odd factor and its inverse modulo 2^64.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+UNSPREAD = np.uint64(pow(int(SPREAD), -1, 1 << 64))
+PAIR_BITS = 16
 
 
 def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +56,7 @@ def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _keys(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each symbol its context of order 5 and itself, and in front a spread of the last two context bytes."""
+    """For each symbol its context of order 5 and itself, spread over the 64-bit key space; _string() undoes it."""
     x = flat.astype(np.uint64)
     n = len(x) - ORDER
     key = x[:n].copy()
@@ -57,10 +64,15 @@ def _keys(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         key <<= np.uint64(8)
         key |= x[i : n + i]
     at = np.repeat(first - ORDER - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    return _spread(key[at])
+    return key[at] * SPREAD
+
+
+def _string(key: np.ndarray) -> np.ndarray:
+    return key * UNSPREAD
 
 
-def _spread(key: np.ndarray) -> np.ndarray:
+def _by_pair(key: np.ndarray) -> np.ndarray:
+    """A 6-byte string with a spread of its last two context bytes in front."""
     return ((((key >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3B)) & np.uint64(0xFFFF)) << np.uint64(48) | key
 
 
@@ -179,20 +191,21 @@ def _training(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray,
     return pairs.reshape(256, 256), rest[-1], rest[-2]
 
 
-def ppm_scores(docs: DataFrame, held: "F.Column | None" = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ppm_scores(docs: DataFrame, held: "F.Column | None" = None, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     held: documents that the model does not learn from; by default those whose crc32 of the doc_id as text is 2
     modulo 7 (a null doc_id has an empty text). Tokens are words and one end a document. base_score sums
     log10((c + 1) / (N + V + 1)) over tokens; score is the model's log10 probability of the text. A null or blank
     text is an end alone. Without training documents every symbol is alike. Repeated rows count as often as they
-    stand; other columns play no part.
+    stand; other columns play no part. A very long text is read in one piece by one task, whole. An empty table gives
+    an empty result. chunks: the number of chunks, by default from the size of the input; it changes no result.
     """
     spark = docs.sparkSession
     if held is None:
         held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.select(F.col(id_col), F.col(text_col), held.alias("__held"))
-    n = C.chunk_count(C.text_bytes(docs, text_col), spark)
+    n = chunks or C.chunk_count(C.text_bytes(docs, text_col), spark)
     pairs, n_train, n_words = _training(docs, id_col, text_col)
     table = spark.sparkContext.broadcast(pairs)
     x = C.chunked(docs, n, id_col, text_col)
@@ -219,17 +232,43 @@ def ppm_scores(docs: DataFrame, held: "F.Column | None" = None, id_col: str = "d
     def ask(rows: pa.Table) -> pa.Table:
         (gk, gc), (wk, wc) = distinct(rows)
         chunk = rows[C.CHUNK][0].as_py()
-        g = C.packed(chunk, n, gk, gc.astype(np.uint32))
-        w = C.packed(chunk, n, wk, wc.astype(np.uint32))
+        g = C.packed(chunk, n, gk, gc.astype(np.int64))
+        w = C.packed(chunk, n, wk, wc.astype(np.int64))
         w = w.set_column(0, C.BUCKET, pa.array(np.asarray(w[C.BUCKET]) + n, pa.int32()))
         return pa.concat_tables([g, w])
 
-    def answer(rows: pa.Table) -> pa.Table:
+    def sums_of(rows: pa.Table):
+        """Keys as they came, their rows, and the distinct ones in order with their sums over all chunks."""
+        keys, row = C.unpacked(rows, "keys", np.uint64)
+        return keys, row, *_merge([(keys, C.unpacked(rows, "c0", np.int64)[0])])
+
+    def in_pairs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Strings of a bucket by pair of context bytes, and their order."""
+        by = _by_pair(_string(own))
+        order = np.argsort(by)
+        return by[order], order
+
+    def contexts(rows: pa.Table) -> pa.Table:
         bucket = rows[C.BUCKET][0].as_py()
+        if bucket >= n:
+            return C.packed(bucket, n, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        _, _, own, sums = sums_of(rows)
+        by, order = in_pairs(own)
+        return C.packed(bucket, n, by, sums[order], bits=PAIR_BITS)
+
+    def lengths(rows: pa.Table) -> pa.Table:
         keys, row = C.unpacked(rows, "keys", np.uint64)
-        counts, _ = C.unpacked(rows, "c0", np.uint32)
-        own, sums = _merge([(keys, counts.astype(np.int64))])
-        value = code_lengths(own, sums, table.value).astype(np.float32) if bucket < n else np.minimum(sums, 2**32 - 1).astype(np.uint32)
+        value = code_lengths(keys, C.unpacked(rows, "c0", np.int64)[0], table.value).astype(np.float32)
+        cut = np.r_[0, np.cumsum(np.bincount(row, minlength=rows.num_rows))]
+        return pa.table({C.BUCKET: rows[C.CHUNK], "pair": rows[C.BUCKET], "value": pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+
+    def answer(rows: pa.Table, told: pa.Table) -> pa.Table:
+        bucket = rows[C.BUCKET][0].as_py()
+        keys, row, own, sums = sums_of(rows)
+        value = sums
+        if bucket < n:
+            value = np.zeros(len(own), np.float32)
+            value[in_pairs(own)[1]] = C.flat(told.sort_by("pair"), "value", np.float32)
         value = value[C.found(keys, own)[0]]
         cut = np.r_[0, np.cumsum(np.bincount(row, minlength=rows.num_rows))]
         new = np.zeros(rows.num_rows, np.int64)
@@ -242,7 +281,7 @@ def ppm_scores(docs: DataFrame, held: "F.Column | None" = None, id_col: str = "d
         blobs, buckets = answers["answer"].to_pylist(), np.asarray(answers[C.BUCKET])
         cut = int(np.searchsorted(buckets, n))
         code = np.frombuffer(b"".join(blobs[:cut]), np.float32).astype(np.float64)
-        count = np.frombuffer(b"".join(blobs[cut:]), np.uint32)
+        count = np.frombuffer(b"".join(blobs[cut:]), np.int64)
         grams, words = Places(gk), Places(wk)
         log = np.log10(count.astype(np.float64) + 1)
         n_tokens, n_known, base, total = [], [], [], []
@@ -260,7 +299,11 @@ def ppm_scores(docs: DataFrame, held: "F.Column | None" = None, id_col: str = "d
         return pa.table({id_col: rows[id_col], "held_out": rows["__held"], "n_tokens": pa.array(np.concatenate(n_tokens)), "n_known": pa.array(np.concatenate(n_known)), "base": pa.array(np.concatenate(base)), "score": pa.array(np.concatenate(total))})
 
     asked = x.groupBy(C.CHUNK).applyInArrow(ask, f"{C.BUCKET} int, {C.CHUNK} int, keys binary, c0 binary")
-    answers = C.deal(asked, 2 * n, C.BUCKET).groupBy(C.BUCKET).applyInArrow(answer, f"{C.CHUNK} int, {C.BUCKET} int, answer binary, known long")
+    asked = C.deal(asked, 2 * n, C.BUCKET).groupBy(C.BUCKET)
+    by_pair = asked.applyInArrow(C.lean(contexts), f"{C.BUCKET} int, {C.CHUNK} int, keys binary, c0 binary")
+    told = C.deal(by_pair, n, C.BUCKET).groupBy(C.BUCKET).applyInArrow(C.lean(lengths), f"{C.BUCKET} int, pair int, value binary")
+    told = C.deal(told, 2 * n, C.BUCKET).groupBy(C.BUCKET)
+    answers = asked.cogroup(told).applyInArrow(C.lean_pair(answer), f"{C.CHUNK} int, {C.BUCKET} int, answer binary, known long")
     answers = C.deal(answers, n, C.CHUNK)
 
     def count_known(batches):
@@ -276,4 +319,5 @@ def ppm_scores(docs: DataFrame, held: "F.Column | None" = None, id_col: str = "d
 
 
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ppm_scores() of all documents; see there for nulls, blanks, repeats and empty tables."""
     return ppm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
