@@ -97,6 +97,7 @@ def bounded_ring(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, sl
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bounded_ring() of all documents under the law rows; see there for nulls, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = bounded_ring(docs)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

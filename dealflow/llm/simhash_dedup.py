@@ -182,7 +182,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the least doc_id reachable over fingerprints within radius bits, the own included. Documents
     without words (null or blank) have fingerprint zero and link like any other. A null doc_id gets a row and is
-    no least id unless its component has no other. Repeated rows give repeated results. blocks=2 halves the keys
+    no least id unless its component has no other. Repeated rows give repeated results, a very long text is read whole,
+    an empty table gives an empty result, other columns play no part. blocks=2 halves the keys
     for much larger inputs only where radius is 1; with radius 3, four blocks are needed.
     """
     if blocks <= radius or 64 % blocks:
@@ -197,5 +198,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_components() of all documents; see there for nulls, blanks, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -243,7 +243,8 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     Groups are connected components of pairs whose sets of shingles have that Jaccard similarity; which pairs are
     compared, see above. Texts without words (null or blank) are copies of each other. Rows without doc_id stay only
     where their group has no other. Rows are told apart by doc_id and text, so null and repeated doc_ids keep their
-    other texts; of rows that repeat both one stays. Columns of docs are kept as they are.
+    other texts; of rows that repeat both one stays. Columns of docs are kept as they are. A very long text is read
+    whole by one task. An empty table gives an empty result.
     """
 
     def run(batches):

@@ -49,18 +49,20 @@ def _anchors(data, off, window: int, period: int, cover) -> tuple:
     return h, bounds, pos, a[pos]
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover=COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover=COVER, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """docs with the repeated words of every text cut out.
 
     Returns all columns of docs; text_col holds the kept words joined by one space where words were cut, and
     the unchanged text elsewhere. Added (an input column of that name is replaced): n_words, n_removed (long),
     kept_sha256 (of the kept words joined by one space), removed_spans (array of first word, end word).
     A null text has no words and stays null. A null doc_id counts as larger than every other, so such a row
-    never makes another lose words, and equal ids never do it to each other. Empty tables give empty results.
+    never makes another lose words, and equal ids never do it to each other. Repeated rows stay, each with the same
+    result. A very long text is one row of one task. Empty tables give empty results. chunks: the number of chunks,
+    by default from the size of the input; it changes no result.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "removed_spans")]
-    n = C.chunk_count(C.text_bytes(docs, text_col), spark, CHUNK_BYTES)
+    n = chunks or C.chunk_count(C.text_bytes(docs, text_col), spark, CHUNK_BYTES)
     x = C.chunked(docs.select(*names), n, id_col, text_col)
     cover = np.array(sorted(cover))
 
@@ -167,6 +169,7 @@ def _near(pos: np.ndarray, bounds: np.ndarray, window: int, period: int) -> np.n
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """substring_dedup() of all documents; see there for nulls, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 

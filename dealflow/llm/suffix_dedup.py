@@ -125,20 +125,22 @@ def _stand_in(doc_ids: np.ndarray, hashes: np.ndarray, answer: pa.Table) -> np.n
     return least[C.found(hashes, own)[0]] if len(own) else doc_ids
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed_spans, kept): a row for each row of docs.
 
     kept holds the remaining bytes concatenated (binary: a cut may part a character), removed_spans the maximal
     removed runs. A null text counts as empty. A null doc_id is larger than every other, so such a row never
     makes another lose bytes; rows of equal doc_id do not, either. Other columns play no part. length - width
     must stay below 64. Hashes of texts and triggers have 64 bits and only select; strings are compared whole,
-    but for texts that repeat as a whole, which are told by their hash.
+    but for texts that repeat as a whole, which are told by their hash. A very long text is one row of one task. An
+    empty table gives an empty result. chunks: the number of chunks, by default from the size of the input; it changes
+    no result.
     """
     if not 0 < length - width < 64:
         raise ValueError("length - width has to lie between 1 and 63")
     spark, before = docs.sparkSession, length - width
     docs = docs.select(F.col(id_col), F.col(text_col))
-    n = C.chunk_count(C.text_bytes(docs, text_col), spark, CHUNK_BYTES)
+    n = chunks or C.chunk_count(C.text_bytes(docs, text_col), spark, CHUNK_BYTES)
     x = C.chunked(docs, n, id_col, text_col)
 
     def whole(rows: pa.Table) -> pa.Table:
@@ -201,8 +203,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
         new = np.r_[True, (h[1:] != h[:-1]) | (cols[1:] != cols[:-1]).any(axis=1)] if len(h) else np.zeros(0, bool)
         one = np.flatnonzero(new)
         kind = np.cumsum(new) - 1
-        edge = np.array([-(-(b << 64) // n) for b in range(1, n)], np.uint64)
-        cut = np.r_[0, np.searchsorted(h[one], edge), len(one)]
+        cut = np.r_[0, np.searchsorted(h[one], C.edges(n)), len(one)]
         ends = np.r_[one, len(h)]
         # For each occurrence: its phrase, the document's number and place, and whether a smaller one is here.
         second = owner > owner[one][kind] if len(h) else new
@@ -287,4 +288,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suffix_dedup() of all documents; see there for nulls, repeats and empty tables."""
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
