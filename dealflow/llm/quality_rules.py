@@ -27,9 +27,10 @@ def _without(text: Column, drop: str) -> Column:
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with counts of each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_bangs, n_odd.
 
-    n_repeat_words: windows of three words are hashed and packed with their place into one long, sorted, and
-    compared with their neighbours; places of repeated windows then cover up to three words each.
-    A null text counts as empty.
+    n_repeat_words: windows of three words are hashed and packed with their place into one long and sorted, and those
+    that agree with a neighbour are candidates: the place takes bits of the hash, fewer are left in long texts. The
+    candidates are sorted again by their full hash, and only those whose three words equal a neighbour's count;
+    they cover up to three words each. A null text counts as empty; a very long text is one row, counted whole.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -55,11 +56,17 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     key = lambda x: _shift("shiftright", x, F.col("__bits"))
     twin = lambda x, i: F.coalesce(key(F.get(s, i - 1)) == key(x), F.lit(False)) | F.coalesce(key(F.get(s, i + 1)) == key(x), F.lit(False))
     place = lambda x: x.bitwiseAND(_shift("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1)
-    out = out.withColumn("__at", F.sort_array(F.transform(F.filter(s, twin), place)))
+    full = lambda p: F.struct(F.xxhash64(w[p.cast("int")], w[(p + 1).cast("int")], w[(p + 2).cast("int")]).alias("h"), p.alias("p"))
+    out = out.withColumn("__same", F.sort_array(F.transform(F.filter(s, twin), lambda x: full(place(x)))))
+    same = F.col("__same")
+    word = lambda x, k: w[(x["p"] + k).cast("int")]
+    equal = lambda x, y: F.coalesce((x["h"] == y["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)), F.lit(False))
+    sure = F.filter(same, lambda x, i: equal(x, F.get(same, i - 1)) | equal(x, F.get(same, i + 1)))
+    out = out.withColumn("__at", F.sort_array(F.transform(sure, lambda x: x["p"])))
     at = F.col("__at")
     cover = F.transform(at, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long"))))
     out = out.withColumn("n_repeat_words", F.aggregate(cover, F.lit(0).cast("long"), lambda a, x: a + x))
-    return out.drop("__w", "__lines", "__bits", "__sorted", "__at")
+    return out.drop("__w", "__lines", "__bits", "__sorted", "__same", "__at")
 
 
 def _shift(name: str, value: Column, bits: Column) -> Column:
@@ -140,7 +147,7 @@ def weak_supervision(docs: DataFrame, text_col: str = "text", keep_at: float = K
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows; it settles kept. The
     model is fitted on the other documents. A null text has no words and fails. An empty table gives an empty
-    result. Input columns named like an added one are replaced. Features are written to the shared folder once,
+    result, repeated rows equal ones. Input columns named like an added one are replaced. Features are written to the shared folder once,
     so that the fit and the verdicts read each text a single time.
     """
     f = C.saved(voted(docs, text_col).drop(text_col))
@@ -148,7 +155,7 @@ def weak_supervision(docs: DataFrame, text_col: str = "text", keep_at: float = K
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of docs that weak_supervision() keeps, with their columns as they are.
+    """The rows of docs that weak_supervision() keeps, with their columns as they are; null and blank texts go.
 
     Counts are computed twice, for the fit and for the verdicts, so that texts are neither shuffled nor stored.
     """
@@ -161,6 +168,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", keep_at: float = KEE
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weak_supervision() of all documents; see there for nulls, blanks, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = weak_supervision(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 9).alias("quality"))
