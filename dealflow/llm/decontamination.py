@@ -7,14 +7,17 @@ number of shingles into classes [2^c, 2^(c+1)). Within a class, an item keeps it
 (bottom-k MinHash), k the number of shingles of the class's largest item that a contained one may miss, plus one: a
 document that misses all k misses too many, so one hit at least is certain, and the search loses nothing. Only
 hashes up to the class's largest kept one can hit. Candidates are verified by the share of the item's whole
-shingle set found in the document.
+shingle set found in the document, word by word.
 
-Items are a query set: they go to the executors in blocks of at most ``BLOCK_BYTES``, one pass over the
-documents for each block, so memory is bounded however many items there are. No text is shuffled.
+Items are a query set: they go to the executors in blocks of at most ``BLOCK_BYTES``, filled in turn as the driver
+reads the items, one pass over the documents for each block. A block is written out and released before the next
+one is read, so memory is bounded however many items there are and however often one repeats. No text is shuffled.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,23 +38,33 @@ def _shingles(data, off, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[ok], doc[ok], np.diff(bounds)
 
 
+def _words(raw: bytes) -> list[bytes]:
+    return raw.split()
+
+
 class Items:
     """The shingle sets of a block of items, and their size-partitioned sketches."""
 
     def __init__(self, texts: list[str | None], shingle: int, threshold: float):
-        self.sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
-        self.need = np.zeros(len(texts), np.int64)
-        words = [len((t or "").encode().split()) for t in texts]
-        self.sizes = sorted({min(n, shingle) for n in words if n})
-        self.n = np.array([min(n, shingle) for n in words])
+        self.words = [_words(C.lower_ascii(np.frombuffer((t or "").encode(), np.uint8)).tobytes()) for t in texts]
+        self.n = np.array([min(len(w), shingle) for w in self.words], np.int64)
+        self.sizes = sorted({n for n in self.n.tolist() if n})
+        #: Of each item the first places of its distinct shingles, and their hashes.
+        self.places: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        self.hashes: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
         for n in self.sizes:
             at = np.flatnonzero(self.n == n)
-            arr = pa.array([texts[i] for i in at], pa.string())
-            for a, b, data, off in C.pieces(arr):
+            for a, b, data, off in C.pieces(pa.array([texts[i] for i in at], pa.string())):
                 h, doc, _ = _shingles(data, off, n)
+                edge = np.searchsorted(doc, np.arange(b - a + 1))
                 for i in range(b - a):
-                    self.sets[at[a + i]] = np.unique(h[doc == i])
-        size = np.array([len(s) for s in self.sets], np.int64)
+                    w = self.words[at[a + i]]
+                    first: dict[tuple, int] = {}
+                    for k in range(len(w) - n + 1):
+                        first.setdefault(tuple(w[k : k + n]), k)
+                    self.places[at[a + i]] = np.fromiter(first.values(), np.int64, len(first))
+                    self.hashes[at[a + i]] = h[edge[i] : edge[i + 1]][self.places[at[a + i]]]
+        size = np.array([len(s) for s in self.places], np.int64)
         self.need = np.array([-(-round(threshold * m * 1_000_000) // 1_000_000) for m in size.tolist()], np.int64)
         self.sketch: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in self.sizes:
@@ -62,7 +75,7 @@ class Items:
                 of = mine[classes == c]
                 k = int((size[of] - self.need[of]).max()) + 1
                 for i in of.tolist():
-                    keys.append(self.sets[i][:k])  # sets are in order of their hashes
+                    keys.append(np.sort(self.hashes[i])[:k])
                     items.append(np.full(len(keys[-1]), i))
             if keys:
                 k, i = np.concatenate(keys), np.concatenate(items)
@@ -71,6 +84,14 @@ class Items:
                 first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                 self.sketch[n] = k[first], np.r_[first, len(k)], i
 
+    def _shared(self, i: int, words: list[bytes], h: np.ndarray, order: np.ndarray) -> int:
+        """Distinct shingles of item i that stand among a document's words; h, order: its shingle hashes, and their order."""
+        n, own, in_order = int(self.n[i]), self.words[i], h[order]
+        lo, hi = np.searchsorted(in_order, self.hashes[i]), np.searchsorted(in_order, self.hashes[i], "right")
+        if (hi > lo).sum() < self.need[i]:
+            return 0
+        return sum(any(words[p : p + n] == own[k : k + n] for p in order[a:b]) for k, a, b in zip(self.places[i].tolist(), lo.tolist(), hi.tolist()))
+
     def search(self, texts: pa.Array):
         """(text, item, shared, of) for every item contained in a text."""
         for a, _, data, off in C.pieces(texts):
@@ -83,17 +104,33 @@ class Items:
                     continue
                 pair = np.unique(of * len(keys) + at)
                 bounds = np.searchsorted(doc, np.arange(len(off)))
-                seen, last, own = set(), -1, None
+                last = -1
                 for p in pair.tolist():
                     d, k = divmod(p, len(keys))
                     if d != last:
-                        last, own, seen = d, np.unique(h[bounds[d] : bounds[d + 1]]), set()
+                        last, own, seen = d, h[bounds[d] : bounds[d + 1]], set()
+                        order = np.argsort(own, kind="stable")
+                        words = _words(C.lower_ascii(data[off[d] : off[d + 1]]).tobytes())
                     for i in items[cut[k] : cut[k + 1]].tolist():
                         if i not in seen:
                             seen.add(i)
-                            shared = int(C.found(self.sets[i], own)[1].sum())
+                            shared = self._shared(i, words, own, order)
                             if shared >= self.need[i]:
-                                yield a + d, i, shared, len(self.sets[i])
+                                yield a + d, i, shared, len(self.places[i])
+
+
+def _blocks(items: DataFrame, block_bytes: int):
+    """Lists of (item, text) of at most block_bytes of text, or of one longer item."""
+    n = 1 + C.text_bytes(items) // block_bytes
+    held, size = [], 0
+    for r in items.repartition(n).toLocalIterator():  # a partition of about one block at a time
+        more = len((r["text"] or "").encode())
+        if held and size + more > block_bytes:
+            yield held
+            held, size = [], 0
+        held.append((r["item"], r["text"]))
+        size += more
+    yield held
 
 
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -101,26 +138,34 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, t
 
     Words are lower-cased in A-Z. An item of fewer than five words is one shingle of all its words; one without
     words, or null, is in no document. A null text contains nothing. Repeated rows of either side give repeated
-    pairs. Other columns of either side play no part. Empty tables on either side give an empty result.
+    pairs, null ids are ids like any other, and a very long text is searched whole by one task. Other columns of either
+    side play no part. Empty tables on either side give an empty result. More than one block of items: each block's
+    pairs are written to the shared folder.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
-    total = C.text_bytes(items)
-    blocks = max(1, -(-total // block_bytes))
-    out = None
-    for block in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = mine.collect()  # bounded by block_bytes
-        ids = [r["item"] for r in rows]
-        held = spark.sparkContext.broadcast([r["text"] for r in rows])
-        found = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(C.lean_batches(_searcher(held, ids, shingle, threshold)), "doc_id long, item_id long, n_shared long, n_item long")
-        out = found if out is None else out.union(found)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
-
-
-def _searcher(held, ids, shingle, threshold):
+    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    path, written, blocks = C.shared_path(spark, "contained"), False, _blocks(items, block_bytes)
+    block = next(blocks)
+    for following in chain(blocks, [None]):
+        held = spark.sparkContext.broadcast(block)
+        found = texts.mapInArrow(C.lean_batches(_searcher(held, shingle, threshold)), PAIRS)
+        if written or following is not None:
+            found.write.mode("append").parquet(path)
+            held.destroy()
+            written = True
+        block = following
+    found = spark.read.schema(PAIRS).parquet(path) if written else found
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+PAIRS = "doc_id long, item_id long, n_shared long, n_item long"
+
+
+def _searcher(held, shingle, threshold):
     def run(batches):
-        block = Items(held.value, shingle, threshold)
+        ids = [i for i, _ in held.value]
+        block = Items([t for _, t in held.value], shingle, threshold)
         for batch in batches:
             got = list(block.search(batch.column(1)))
             docs = batch.column(0).take(pa.array([d for d, *_ in got], pa.int64()))
@@ -131,13 +176,17 @@ def _searcher(held, ids, shingle, threshold):
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose text contains an item; other texts of the same or of a null doc_id stay."""
+    """docs without the rows whose text contains an item; other texts of the same or of a null doc_id stay.
+
+    Null and blank texts contain nothing and stay, as do repeated rows of clean texts; empty tables give docs as it is.
+    """
     keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
     bad = contained_items(keyed, items, id_col="__key", text_col=text_col, **how).select(F.col("doc_id").alias("__key")).distinct()
     return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contained_items() of all documents and benchmark items; see there for nulls, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
