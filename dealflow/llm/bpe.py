@@ -17,6 +17,7 @@ import hashlib
 import json
 import unicodedata
 from array import array
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,9 @@ _WORD = regex.compile("[^\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A symbol that ends a word is its byte's character moved up by this.
 _END = 0x1000
-#: Entries of each store of encoded words and pieces; a full store becomes the older one, which is looked up second.
-STORE = 100_000
+#: Entries of a store of encoded words; there are two.
+STORE = 200_000
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def split_words(text: str) -> list[str]:
@@ -47,19 +49,58 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(own) else chr(0x100 + rest.index(b)) for b in range(256)]
 
 
+class WordPieces:
+    """How a tokenizer file with NFC, lower case, a pattern and byte level cuts words before its model sees them."""
+
+    def __init__(self, spec: dict):
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.inner = dict(enumerate(byte_characters()))
+
+    def __call__(self, word: str) -> list[str]:
+        """The pieces of a word, in characters that stand for bytes."""
+        if word.isascii():
+            text = word.lower()
+            if text.isalpha():
+                return [text]
+        else:
+            text = unicodedata.normalize("NFC", word)
+            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        pieces = self.pattern.findall(text)
+        if text.isascii() and text.isprintable():
+            return pieces
+        return [p.encode().decode("latin-1").translate(self.inner) for p in pieces]
+
+
+class Store(dict):
+    """Values of keys, made on demand; a full store becomes the older one, which is looked up second."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class PrefixBPE:
     """A tokenizer file of the library's format with BPE, byte level and a word-end suffix."""
 
     def __init__(self, file: bytes):
         spec = json.loads(file)
-        model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
+        model = spec["model"]
         suffix = model["end_of_word_suffix"]
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut_word = WordPieces(spec)
+        self.special = self.cut_word.special
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.name = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        chars = byte_characters()
-        self.inner = dict(enumerate(chars))
         inside = lambda t: t[: -len(suffix) - 1] + chr(ord(t[-len(suffix) - 1]) + _END) if t.endswith(suffix) and len(t) > len(suffix) else t
         vocab = {inside(t): i for t, i in model["vocab"].items()}
         self.length = {i: len(t) for t, i in vocab.items()}
@@ -70,8 +111,7 @@ class PrefixBPE:
             self.merge[vocab[a] << 32 | vocab[b]] = rank
             self.parts[whole], self.rank[whole] = (vocab[a], vocab[b]), rank
         self.known: dict[int, bool] = {}
-        self.words, self.older_words = {}, {}
-        self.pieces, self.older_pieces = {}, {}
+        self.words = Store(self._word, STORE)
         whole_ones = set()
         self.matcher = ahocorasick.Automaton()
         for t, i in sorted(vocab.items(), key=lambda x: self.rank.get(x[1], -1)):
@@ -107,7 +147,7 @@ class PrefixBPE:
                 pair = last[start] << 32 | token
                 ok = known.get(pair)
                 if ok is None:
-                    if len(known) > 2 * STORE:
+                    if len(known) > STORE:
                         known.clear()
                     ok = known[pair] = self._apart(last[start], token)
                 if not ok:
@@ -120,51 +160,28 @@ class PrefixBPE:
         return out[::-1]
 
     def encode_word(self, word: str) -> list[int]:
-        if word.isascii():
-            text = word.lower()
-        else:
-            text = unicodedata.normalize("NFC", word)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         out = []
-        for piece in self.pattern.findall(text):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = self.older_pieces.get(piece)
-                if got is None:
-                    s = piece.encode().decode("latin-1").translate(self.inner)
-                    got = self.encode_piece(s[:-1] + chr(ord(s[-1]) + _END))
-                if len(self.pieces) >= STORE:
-                    self.pieces, self.older_pieces = {}, self.pieces
-                self.pieces[piece] = got
-            out += got
+        for piece in self.cut_word(word):
+            out += self.encode_piece(piece[:-1] + chr(ord(piece[-1]) + _END))
         return out
 
-    def word(self, word: str) -> tuple[bytes, str, int]:
-        """Ids as 32-bit numbers, their decoded text and their number."""
-        got = self.words.get(word)
-        if got is None:
-            got = self.older_words.get(word)
-            if got is None:
-                ids = self.encode_word(word)
-                got = array("I", ids).tobytes(), self.decode(ids), len(ids)
-            if len(self.words) >= STORE:
-                self.words, self.older_words = {}, self.words
-            self.words[word] = got
-        return got
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """Ids as 32-bit numbers, and their decoded text."""
+        ids = self.encode_word(word)
+        return array("I", ids).tobytes(), self.decode(ids)
 
     def encode(self, text: str) -> tuple[bytes, str, int]:
         """Of a whole text: ids as bytes, decoded text, number of ids."""
         if self.cut and self.cut.search(text):
             parts, at = [], 0
             for m in self.cut.finditer(text):
-                i = self.special[m[0]]
-                parts += [*map(self.word, split_words(text[at : m.start()])), (array("I", [i]).tobytes(), m[0], 1)]
+                parts += [*map(self.words.__getitem__, split_words(text[at : m.start()])), (array("I", [self.special[m[0]]]).tobytes(), m[0])]
                 at = m.end()
-            parts += map(self.word, split_words(text[at:]))
+            parts += map(self.words.__getitem__, split_words(text[at:]))
         else:
-            parts = [self.words.get(w) or self.word(w) for w in split_words(text)]
-        parts = [p for p in parts if p[2]]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+            parts = list(map(self.words.__getitem__, split_words(text)))
+        ids = b"".join(map(_FIRST, parts))
+        return ids, " ".join(filter(None, map(_SECOND, parts))), len(ids) // 4
 
     def decode(self, ids) -> str:
         """The file names no decoder, so tokens are joined by a space, special ones included."""
@@ -186,8 +203,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with token_ids (array<int>) and decoded if with_ids.
 
     tokenizer: a file of the tokenizers library, read on the driver (its size is fixed, a few MB) and sent to
-    the executors once. A null text counts as empty, and an empty one has no ids. Each row is encoded alone, so
-    repeated rows, ties and extra columns do not matter.
+    the executors once. A null text counts as empty, and an empty one has no ids. Each row is encoded alone and whole,
+    a very long text too, so repeated rows, ties, null doc_ids and extra columns do not matter. An empty table gives an
+    empty result.
     """
     with open(tokenizer, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -220,5 +238,6 @@ def default_tokenizer() -> str:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_documents() of all documents; see there for nulls, blanks, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode_documents(docs, default_tokenizer(), with_ids=False)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .bpe import default_tokenizer, split_words
+from .bpe import Store, WordPieces, default_tokenizer, split_words
 
-END_ID, STORE = 2, 200_000
+END_ID, STORE = 2, 400_000
 NULL_ID = np.iinfo(np.int64).min
 
 
 class WordEncoder:
     """The tokenizers library's ids of texts; words repeat, so a bounded store holds those of words seen before.
 
-    The tokenizer has to part texts at white space and to encode words independently, as one with a \\s+
-    normaliser and a pattern without white space does; the tests compare with whole texts.
+    Words are cut into pieces as the tokenizer file says (see WordPieces) and the library's model encodes the pieces,
+    which saves its bookkeeping of places in the text. Texts with special tokens, and all texts where the file
+    has other steps, go through the library whole. The tests compare with whole texts.
     """
 
     def __init__(self, file: str, dtype: str):
@@ -44,28 +46,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype, self.new, self.old = dtype, {}, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [split_words(t) for t in texts]
-        fresh, new, old = set(), self.new, self.old
-        for words in split:
-            for w in words:
-                if w not in new:
-                    got = old.get(w)
-                    if got is None:
-                        fresh.add(w)
-                    else:
-                        new[w] = got
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                new[w] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join([new[w] for w in words]) for words in split]
-        if len(new) > STORE:
-            self.new, self.old = {}, new
-        return out
+        self.model, self.code = self.tokenizer.model, "H" if dtype == "<u2" else "I"
+        spec = json.loads(file)
+        self.cut_word = WordPieces(spec) if _steps(spec) == KNOWN_STEPS else None
+        self.words = Store(self._word, STORE)
+
+    def _word(self, word: str) -> bytes:
+        return array(self.code, [t.id for piece in self.cut_word(word) for t in self.model.tokenize(piece)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if self.cut_word is None or any(s in text for s in self.cut_word.special):
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, split_words(text)))
+
+
+#: The steps of a tokenizer file that WordPieces takes.
+KNOWN_STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel", "BPE"]
+
+
+def _steps(spec: dict) -> list[str]:
+    steps = [*((spec.get("normalizer") or {}).get("normalizers") or []), *((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [])]
+    return [x["type"] for x in steps] + [spec["model"]["type"]]
 
 
 _LOADED: dict = {}
@@ -84,11 +85,13 @@ def _open(folder: str):
     return fs, path.rstrip("/")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> dict:
     """Encodes every text, appends end_id, and writes the folder (a URI that driver and executors share); returns the index.
 
     A null text counts as empty and holds the end id alone. A null doc_id comes first; rows of equal doc_id are
-    ordered by their text. An empty table writes an index without documents. Other columns are not written.
+    ordered by their text, and their ranges are parted by it, too. A very long text is one row of one task. An empty
+    table writes an index without documents. Other columns are not written. parts: the number of files, by default
+    from the size of the input; it changes no id and no place.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
@@ -114,7 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             for batch in batches:
                 for i in range(0, batch.num_rows, 512):
                     rows = batch.slice(i, 512)
-                    got = encoder.encode([t or "" for t in rows.column(1).to_pylist()])
+                    got = [encoder.encode(t or "") for t in rows.column(1).to_pylist()]
                     out.write(end.join([*got, b""]))
                     sizes.append(np.array([len(x) // width + 1 for x in got], np.int64))
                     doc_ids.append(np.asarray(rows.column(0).fill_null(NULL_ID)))
@@ -126,12 +129,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             fs.move(f"{path}/.{name}-{part:06d}-{attempt}", f"{path}/{name}-{part:06d}.bin")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(offsets) - 1], pa.int64()), "tokens": pa.array([int(offsets[-1])], pa.int64())})
 
-    n = max(C.chunk_count(C.text_bytes(docs, text_col), spark), 1)
+    n = parts or max(C.chunk_count(C.text_bytes(docs, text_col), spark), 1)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id")).sortWithinPartitions("id", "text")
-    parts = sorted(rows.mapInArrow(run, "part int, docs long, tokens long").collect())  # one row a partition
+    rows = rows.repartitionByRange(n, F.col("id"), F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
+    written = sorted(rows.mapInArrow(run, "part int, docs long, tokens long").collect())  # one row a partition
     index, doc_base, base = [], 0, 0
-    for r in parts:
+    for r in written:
         index.append({"part": r["part"], "docs": r["docs"], "tokens": r["tokens"], "doc_base": doc_base, "base": base})
         doc_base, base = doc_base + r["docs"], base + r["tokens"]
     index = {"dtype": dtype, "docs": doc_base, "tokens": base, "parts": index}
@@ -183,6 +186,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written and read back; see write_tokens() for nulls, blanks, repeats and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = C.shared_path(spark, "tokens")
     write_tokens(docs, folder, default_tokenizer())

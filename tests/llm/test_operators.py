@@ -53,7 +53,12 @@ def lower(b):
     return bytes(x | 32 if 65 <= x <= 90 else x for x in b)
 
 
-def test_substrings(docs, empty):
+#: Chunks that documents are dealt to; the size of the test tables alone would give one.
+CHUNKS = pytest.mark.parametrize("chunks", [1, 3, 59])
+
+
+@CHUNKS
+def test_substrings(docs, empty, chunks):
     first, n = {}, 50
     for i, t, *_ in rows():
         w = words(t)
@@ -69,7 +74,7 @@ def test_substrings(docs, empty):
                 gone[k : k + n] = [True] * n
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
         want[i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()] += 1
-    out = substring_dedup.substring_dedup(docs)
+    out = substring_dedup.substring_dedup(docs, chunks=chunks)
     got = out.collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert sum(r.n_removed for r in got) > 500 and "chunk" in out.columns
@@ -77,7 +82,8 @@ def test_substrings(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_bytes(docs, empty):
+@CHUNKS
+def test_bytes(docs, empty, chunks):
     first, n = {}, 50
     for i, t, *_ in rows():
         b = (t or "").encode()
@@ -92,7 +98,7 @@ def test_bytes(docs, empty):
                 gone[k : k + n] = b"\1" * n
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[i, len(b), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest()] += 1
-    got = suffix_dedup.suffix_dedup(docs).collect()
+    got = suffix_dedup.suffix_dedup(docs, chunks=chunks).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
@@ -165,7 +171,7 @@ def test_decontamination(spark, docs, empty):
             both = len(s & sets(t, n)) if n else 0
             if s and 10 * both >= 8 * len(s):
                 want[i, j, both, len(s)] += 1
-    for block_bytes in (1 << 20, 100):
+    for block_bytes in (1 << 20, 100, 1):
         got = decontamination.contained_items(docs, table, block_bytes=block_bytes).collect()
         assert collections.Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got) == want
     assert len(want) > 5
@@ -175,7 +181,8 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contained_items(docs, table.limit(0)).count() == 0
 
 
-def test_ppm(docs, empty):
+@pytest.fixture(scope="module")
+def ppm_brute_force():
     data = []
     for i, t, *_ in rows():
         w = lower((t or "").encode()).split()
@@ -203,7 +210,13 @@ def test_ppm(docs, empty):
         return out - math.log10(252 - len(gone))
 
     want = sorted((i if i is not None else -1, held, len(w) + 1, sum(count[t] > 0 for t in [*w, None]), sum(math.log10((count[t] + 1) / (total + len(count) + 1)) for t in [*w, None]), sum(code(b"\n" * 5 + s, p) for p in range(5, len(s) + 5))) for i, held, w, s in data)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in ppm.ppm_scores(docs).collect())
+    return want
+
+
+@pytest.mark.parametrize("chunks", [1, 3, 59, 399])
+def test_ppm(docs, empty, ppm_brute_force, chunks):
+    want = ppm_brute_force
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in ppm.ppm_scores(docs, chunks=chunks).collect())
     assert [x[:4] for x in got] == [x[:4] for x in want]
     assert np.allclose([x[4:] for x in got], [x[4:] for x in want], rtol=1e-5)
     assert ppm.ppm_scores(empty).count() == 0
@@ -245,11 +258,13 @@ def test_tokens(spark, docs, empty):
     path = bpe.default_tokenizer()
     lib = Tokenizer.from_file(path)
     own = bpe.PrefixBPE(open(path, "rb").read())
+    words_ = token_files.WordEncoder(open(path, encoding="utf-8").read(), "<u2")
     r = random.Random(5)
     pool = [chr(x) for x in [*range(1, 0x180), *range(0x300, 0x320), *range(0x390, 0x3D0), 0x2003, 0x3000, 0x4E2D, 0x1F600]] + ["'s", "'ll", "the", "ing"]
     for t in TEXTS + ["".join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(2000)]:
         want = lib.encode(t, add_special_tokens=False).ids
         ids, decoded, n = own.encode(t)
+        assert np.frombuffer(words_.encode(t), "<u2").tolist() == want, t
         assert (np.frombuffer(ids, "<u4").tolist(), n, decoded) == (want, len(want), lib.decode(want, skip_special_tokens=False)), t
     df = docs.select("doc_id", "text", "chunk")
     got = {r.doc_id: r for r in bpe.encode_documents(df, path).collect()}
@@ -260,13 +275,14 @@ def test_tokens(spark, docs, empty):
     assert bpe.encode_documents(empty, path).count() == 0
 
 
-def test_token_files(spark, docs, empty, tmp_path):
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_token_files(spark, docs, empty, tmp_path, parts):
     from tokenizers import Tokenizer
 
     path = bpe.default_tokenizer()
     lib = Tokenizer.from_file(path)
     extra = spark.createDataFrame([(5000 + i, t, None, None) for i, t in enumerate(TEXTS)], SCHEMA)
-    index = token_files.write_tokens(docs.union(extra), f"file://{tmp_path}/a", path)
+    index = token_files.write_tokens(docs.union(extra), f"file://{tmp_path}/a", path, parts=parts)
     got = sorted(token_files.read_tokens(spark, f"file://{tmp_path}/a").collect(), key=lambda r: r.start)
     data = sorted([(i if i is not None else -1, t or "") for i, t, *_ in rows()] + [(5000 + i, t) for i, t in enumerate(TEXTS)])
     at = 0
@@ -304,6 +320,17 @@ def test_quality(docs, empty):
     assert quality_rules.weak_supervision(empty).count() == 0
 
 
+def test_quality_of_long_texts(spark):
+    """Millions of words leave few bits of a window's hash beside its place; no window may count as another's copy."""
+    from pyspark.sql import functions as F
+
+    n = 4_000_000
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.hex(i)), " ")
+    df = spark.range(1).select(text.alias("text")).union(spark.range(1).select(F.concat(text, F.lit(" 1 2 3 4"))))
+    got = quality_rules.weak_supervision(df).select("n_words", "n_repeat_words", "base_failed").collect()
+    assert sorted(map(tuple, got)) == [(n, 0, False), (n + 4, 8, False)]
+
+
 def test_quality_fit_finds_accuracies():
     r, patterns = random.Random(1), collections.Counter()
     truth = collections.defaultdict(list)
@@ -340,6 +367,57 @@ def test_rollup(spark, tmp_path):
     assert roll.committed() == ["1", "2", "3"]
 
 
+def test_rollup_of_two_committers(spark, tmp_path):
+    """Runs of one batch that both found nothing committed: one is counted, also after a run that ended halfway."""
+    s = "op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long, times long"
+    roll = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    other = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    rows = [spark.createDataFrame([("insert", "a", "en", "v", None, 10, n)], s) for n in (1, 2)]
+    found, first = roll._folders, []
+
+    def late():  # the other run commits after this one has looked
+        seen = found()
+        if not first:
+            first.append(other.apply("1", rows[1]))
+        return seen
+
+    roll._folders = late
+    assert not roll.apply("1", rows[0]) and first == [True]
+    roll._folders = found
+    assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v", 2, 20)] and roll.committed() == ["1"]
+    roll._fs.create(roll._path(f"{roll.folder}/batch=2"), False).close()
+    assert roll.committed() == ["1"] and roll.apply("2", rows[0]) and not roll.apply("2", rows[0])
+    assert [tuple(r)[3:] for r in roll.totals().collect()] == [(3, 30)]
+
+
+def test_rollup_of_hot_copies(spark, tmp_path):
+    """Copies with nulls and repeated rows against the same steps in Python."""
+    r = random.Random(2)
+    texts = ["a b", "x\nx\ny", "q, r!", None, ""]
+    table = [(r.choice([None, 1, 2, i]), r.choice(texts), r.choice(["s", "t", None]), r.choice(["en", None]), "clash") for i in range(90)]
+    spark.createDataFrame(table, "doc_id long, text string, source string, lang string, times string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda x: (x is not None, x)
+    stay = {}
+    for i, t, src, lang, _ in table:
+        k = (i is None, i or 0, key(src), key(lang))
+        stay[t or ""] = min(stay.get(t or "", (k, src, lang)), (k, src, lang), key=lambda v: v[0])
+    want = collections.Counter()
+    for t, (_, src, lang) in stay.items():
+        once = "\n".join(dict.fromkeys(t.split("\n")))
+        for name, p in token_counts.VERSIONS.items():
+            n = len(re.findall(p, once))
+            for level, cell in ((0, (None, None)), (1, (src, None)), (2, (src, lang))):
+                want[level, *cell, name, "docs"] += 1
+                want[level, *cell, name, "tokens"] += n
+    got = collections.Counter()
+    for x in token_counts.op10_token_counts(spark, str(tmp_path)).collect():
+        got[x.level, x.source, x.lang, x.tokenizer, "docs"] += x.docs
+        got[x.level, x.source, x.lang, x.tokenizer, "tokens"] += x.tokens
+    assert +got == +want
+    spark.createDataFrame([], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert token_counts.op10_token_counts(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_rollup_stream(spark, tmp_path):
     s = "op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long"
     spark.createDataFrame([("insert", "a", "en", "v", None, 3)], s).write.parquet(f"{tmp_path}/in")
