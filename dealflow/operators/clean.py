@@ -66,8 +66,8 @@ def fund_from_tab(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame) -> DataFrame:
-    """Of rows of one file that agree in company, fund and entry date, the first."""
-    w = Window.partitionBy("file", "company", "fund", "entry_date").orderBy("row_no")
+    """Of rows of one file that agree in company, fund and entry date, the first; of one row number, the last tab's."""
+    w = Window.partitionBy("file", "company", "fund", "entry_date").orderBy("row_no", F.desc("tab"))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

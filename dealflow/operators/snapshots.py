@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -31,22 +33,32 @@ def with_keys(rows: DataFrame) -> DataFrame:
 
 
 def publish(rows: DataFrame, folder: str) -> DataFrame:
-    """Overwrites the snapshots of the rows' keys and no others; returns gp_key, as_of and whether each was there."""
+    """Overwrites the snapshots of the rows' keys and no others; returns gp_key, as_of and whether each was there.
+
+    Rows are computed once: their keys are observed while they are written, and what was there is known by the names
+    of the partition folders. Rows of a key go to few files, a large key to several.
+    """
     spark = rows.sparkSession
-    rows = with_keys(rows)
-    keys = rows.select("gp_key", "as_of").distinct()
-    had = snapshots_exist(spark, folder)
-    old = spark.read.parquet(folder).select("gp_key", F.col("as_of").cast("string").alias("as_of")).distinct() if had else keys.limit(0)
-    out = keys.join(old.withColumn("replaced", F.lit(True)), ["gp_key", "as_of"], "left").select("gp_key", "as_of", F.coalesce("replaced", F.lit(False)).alias("replaced"))
-    out = spark.createDataFrame(out.collect(), "gp_key string, as_of string, replaced boolean")  # a row a snapshot, before it is overwritten
+    had = set(published_keys(spark, folder))
+    seen = Observation()
+    rows = with_keys(rows).hint("rebalance", "gp_key", "as_of").observe(seen, F.collect_set(F.struct("gp_key", "as_of")).alias("keys"))  # a key a snapshot
     rows.write.partitionBy("gp_key", "as_of").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
-    return out
+    keys = [tuple(k) for k in seen.get["keys"] or []]
+    return spark.createDataFrame([(*k, k in had) for k in keys], "gp_key string, as_of string, replaced boolean")
+
+
+def published_keys(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(gp_key, as_of) of the snapshots in folder, by the names of its partitions."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = fs.globStatus(jvm.Path(f"{folder.rstrip('/')}/gp_key=*/as_of=*")) or []
+    names = [(f.getPath().getParent().getName(), f.getPath().getName()) for f in found]
+    return [(plain(g[len("gp_key=") :]), plain(d[len("as_of=") :])) for g, d in names]
 
 
 def snapshots_exist(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(path) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(path))
+    return bool(published_keys(spark, folder))
 
 
 def inventory(snapshots: DataFrame) -> DataFrame:
@@ -60,16 +72,21 @@ def read_snapshots(spark: SparkSession, folder: str, schema: str | None = None,
     return reader.csv(folder, header=True) if fmt == "csv" else reader.parquet(folder)
 
 
-def newest(rows: DataFrame) -> DataFrame:
-    """Of each key the rows of its latest publication."""
-    w = Window.partitionBy("gp_name", "track_record_date")
-    return rows.withColumn("__last", F.max("published_at").over(w)).where("published_at = __last").drop("__last")
+def _agree(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Whether both sides have the same keys, nulls included."""
+    return reduce(lambda x, y: x & y, (left[k].eqNullSafe(right[k]) for k in keys))
+
+
+def newest(rows: DataFrame, keys: tuple[str, ...] = ("gp_name", "track_record_date")) -> DataFrame:
+    """Of each key the rows of its latest publication; a publication without a time is older than every other."""
+    last = rows.groupBy(*keys).agg(F.max("published_at").alias("published_at"))  # a row a snapshot
+    return rows.join(last, _agree(rows, last, [*keys, "published_at"]), "left_semi")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
-    """The rows of each manager's latest as-of date."""
-    last = snapshots.groupBy("gp_name").agg(F.max("track_record_date").alias("track_record_date"))
-    return snapshots.join(last, ["gp_name", "track_record_date"], "left_semi")
+    """The rows of each manager's latest as-of date; undated ones where a manager has no other."""
+    last = snapshots.groupBy("gp_name").agg(F.max("track_record_date").alias("track_record_date"))  # a row a manager
+    return snapshots.join(last, _agree(snapshots, last, ["gp_name", "track_record_date"]), "left_semi")
 
 
 def over_time(snapshots: DataFrame) -> DataFrame:

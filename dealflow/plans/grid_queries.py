@@ -12,20 +12,15 @@ from ..operators import matching as M
 from ..operators import profile as P
 from ..sources import fixtures as X
 from . import sql as Q
-from .quality_queries import folder
+from .quality_queries import built
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
-_LANDED: dict = {}
 
 
 def _cells(spark, sf):
     """The landed grid as a table, written once a session and input: the operators read it several times."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LANDED:
-        _LANDED[key] = folder(spark, "cells")
-        X.landed_cells(spark, sf).write.parquet(_LANDED[key])
-    return spark.read.parquet(_LANDED[key])
+    return spark.read.parquet(built(spark, sf, "cells", X.landed_cells(spark, sf).write.parquet))
 
 
 FIN = ["total_ic", "realized"]
@@ -34,8 +29,9 @@ FIN = ["total_ic", "realized"]
 _BL = ", ".join(repr(b) for b in ROW_BLANKS)
 _blank = lambda x: f"({x} IS NULL OR trim({x}) IN ({_BL}))"
 _num = lambda x: f"coalesce(trim({x}) NOT IN ('', '-', 'n/a', 'N/A', '#N/A') AND try_cast(regexp_replace(trim({x}), '[,%x€$]', '', 'g') AS DOUBLE) IS NOT NULL, false)"
-_ANN = r"""regexp_matches(trim(coalesce({x}, '')), '(?i)^\s*[-–—•·▪◦*†‡]\s+\S|\b(footnote|refer\s+to|data\s*room|please\s+(refer|see|note)|disclaimer|source\s*:)\b|^\s*(grand\s+total|sub\s*total|total|portfolio\s+total|aggregate|sum)\s*$')"""
-_ann = lambda x: _ANN.replace("{x}", x)
+_match = lambda x, *patterns: "(" + " OR ".join(f"regexp_matches(trim(coalesce({x}, '')), '{p}')" for p in patterns) + ")"
+_ann = lambda x: f"(trim(coalesce({x}, '')) <> '' AND {_match(x, E.ANNOTATION, E.TOTAL)})"
+_note = lambda x: f"({_match(x, E.NOTE, E.AGGREGATE)} OR trim(coalesce({x}, '')) LIKE '(%' OR length(trim({x})) > 80 OR len(regexp_split_to_array(trim({x}), '\\s+')) > 10)"
 _TAGGED = f"""r AS ({X.raw_sql()}), funds AS (SELECT DISTINCT file AS ff, trim(fund) AS fn FROM r WHERE trim(fund) <> ''),
 tagged AS (SELECT r.*, CASE WHEN {_ann('fund')} OR {_ann('company')} THEN 'annotation' WHEN fn IS NOT NULL AND {_blank('entry_date')} THEN 'fund_name'
   WHEN trim(coalesce(company, '')) <> '' AND (length(trim(company)) > 60 OR trim(company) LIKE '%:' OR len(regexp_split_to_array(trim(company), '\\s+')) >= 10) AND {_blank('entry_date')} AND NOT ({_num('total_ic')} OR {_num('realized')}) THEN 'sentence'
@@ -44,16 +40,15 @@ QUERIES["E7_E11_drop_report"] = lambda spark, sf: E.drop_report(X.raw_rows(spark
 ORACLE_SQL["E7_E11_drop_report"] = f"WITH {_TAGGED} SELECT file, rule, count(*) AS dropped FROM tagged WHERE rule IS NOT NULL GROUP BY 1, 2"
 QUERIES["E1_E10_deal_rows"] = lambda spark, sf: E.deal_rows(X.raw_rows(spark, sf), FIN)
 ORACLE_SQL["E1_E10_deal_rows"] = f"WITH {_TAGGED} SELECT * EXCLUDE (rule) FROM tagged WHERE rule IS NULL"
-QUERIES["E4_fund_sections"] = lambda spark, sf: E.inherit_sections(X.raw_rows(spark, sf), ["fund", "entry_date", "total_ic", "realized"]).where("file = 'GP_ASIA'").select("file", "tab", "row_no", "company", "fund")
-ORACLE_SQL["E4_fund_sections"] = f"""WITH r AS ({X.raw_sql()}), b AS (SELECT *, coalesce(company LIKE '%(vintage 2005)', false) AS banner FROM r WHERE file = 'GP_ASIA'),
-  s AS (SELECT *, last_value(CASE WHEN banner THEN replace(company, ' (vintage 2005)', '') END IGNORE NULLS) OVER (PARTITION BY file, tab ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section FROM b)
-  SELECT file, tab, row_no, company, coalesce(section, tab) AS fund FROM s WHERE NOT banner"""
-QUERIES["E4_fund_sections_all"] = lambda spark, sf: E.inherit_sections(X.raw_rows(spark, sf), ["fund", "entry_date", "total_ic", "realized"]).select("file", "tab", "row_no", "company", "fund")
-ORACLE_SQL["E4_fund_sections_all"] = f"{ORACLE_SQL['E4_fund_sections']} UNION ALL SELECT file, tab, row_no, company, fund FROM r WHERE file IS DISTINCT FROM 'GP_ASIA'"
+QUERIES["E4_fund_sections"] = lambda spark, sf: E.inherit_sections(X.raw_rows(spark, sf), X.RAW_VALUES)
+ORACLE_SQL["E4_fund_sections"] = f"""WITH r AS ({X.raw_sql()}), b AS (SELECT *, NOT {_blank('company')} AND {' AND '.join(map(_blank, X.RAW_VALUES))} AND NOT {_ann('company')} AND NOT {_note('company')} AS banner, avg((NOT {_blank('fund')})::INTEGER) OVER (PARTITION BY file) AS filled FROM r),
+  s AS (SELECT *, last_value(CASE WHEN banner THEN regexp_replace(trim(company), '{E.VINTAGE_TAIL}', '') END IGNORE NULLS) OVER (PARTITION BY file, tab ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS section FROM b),
+  u AS (SELECT *, filled <= 0.5 AND max((section IS NOT NULL AND NOT banner)::INTEGER) OVER (PARTITION BY file) = 1 AS inherits FROM s)
+  SELECT * EXCLUDE (banner, filled, section, inherits) REPLACE (CASE WHEN inherits THEN coalesce(section, tab) ELSE fund END AS fund) FROM u WHERE NOT (inherits AND banner)"""
 QUERIES["E5_fund_from_tab"] = lambda spark, sf: E.fund_from_tab(X.raw_rows(spark, sf)).groupBy("file", "fund").agg(F.count("*").alias("rows"))
 ORACLE_SQL["E5_fund_from_tab"] = f"WITH r AS ({X.raw_sql()}), m AS (SELECT *, avg((fund IS NULL)::INTEGER) OVER (PARTITION BY file) AS missing FROM r) SELECT file, CASE WHEN missing > 0.5 THEN tab ELSE fund END AS fund, count(*) AS rows FROM m GROUP BY 1, 2"
-ORACLE_SQL["E6_keep_first"] = f"WITH r AS ({X.raw_sql()}), k AS (SELECT DISTINCT file, company, fund, entry_date FROM r) SELECT file, count(*) AS rows, count(DISTINCT company) AS companies FROM k GROUP BY 1"
-QUERIES["E6_keep_first"] = lambda spark, sf: E.keep_first(X.raw_rows(spark, sf)).groupBy("file").agg(F.count("*").alias("rows"), F.count_distinct("company").alias("companies"))
+QUERIES["E6_keep_first"] = lambda spark, sf: E.keep_first(X.raw_rows(spark, sf))
+ORACLE_SQL["E6_keep_first"] = f"WITH r AS ({X.raw_sql()}) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY file, company, fund, entry_date ORDER BY row_no, tab DESC) = 1"
 QUERIES["E12_excluded"] = lambda spark, sf: E.excluded(X.deals_raw(spark, sf), c("total_ic") < 0).groupBy("excluded").agg(F.count("*").alias("deals"))
 ORACLE_SQL["E12_excluded"] = Q.over_deals("SELECT coalesce(total_ic < 0, false) AS excluded, count(*) AS deals FROM raw GROUP BY 1")
 

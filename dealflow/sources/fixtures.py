@@ -19,47 +19,46 @@ SELECT o.o_orderkey AS deal_id,
   CASE WHEN o.o_orderkey % 10 = 3 THEN NULL ELSE p.p_type END AS sector,
   n.n_name AS geography,
   CAST(o.o_orderdate AS DATE) - CAST((o.o_orderkey % 4) * 730 AS INT) AS entry_date,
-  CASE WHEN o.o_orderstatus = 'F' THEN CAST(li.last_ship AS DATE) END AS exit_date,
+  CASE WHEN o.o_orderstatus = 'F' THEN CAST(o.last_ship AS DATE) END AS exit_date,
   CASE o.o_orderstatus WHEN 'F' THEN 'Fully Realised' WHEN 'P' THEN 'Partially realized' ELSE 'Active' END AS status,
   o.o_orderpriority AS transaction_type,
-  CASE WHEN li.role <> 'N' THEN li.role END AS gp_role,
+  CASE WHEN o.role <> 'N' THEN o.role END AS gp_role,
   p.p_brand AS process_type,
-  'Supplier ' || CAST(li.supp AS VARCHAR(20)) AS sourcing_partner,
-  CASE WHEN o.o_orderstatus = 'F' AND li.last_ship IS NOT NULL THEN c.c_mktsegment END AS exit_type,
+  'Supplier ' || CAST(o.supp AS VARCHAR(20)) AS sourcing_partner,
+  CASE WHEN o.o_orderstatus = 'F' AND o.last_ship IS NOT NULL THEN c.c_mktsegment END AS exit_type,
   CASE o.o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'N' END AS coi,
-  CAST(0.8 * abs(t.ic) AS DECIMAL(24,7)) AS ic_initial,
-  t.ic AS total_ic,
-  CAST(0.004 * li.done AS DECIMAL(24,7)) AS realized,
-  CAST(0.004 * li.open AS DECIMAL(24,7)) AS current_value,
+  CAST(0.8 * abs(o.ic) AS DECIMAL(24,7)) AS ic_initial,
+  o.ic AS total_ic,
+  CAST(0.004 * o.done AS DECIMAL(24,7)) AS realized,
+  CAST(0.004 * o.open AS DECIMAL(24,7)) AS current_value,
   CAST(CASE WHEN o.o_orderkey % 101 = 0 THEN 150 WHEN o.o_orderkey % 5 = 0 THEN (o.o_orderkey % 40) * 0.1 END AS DECIMAL(24,7)) AS gross_tvpi,
   CAST(CASE WHEN o.o_orderkey % 97 = 0 THEN 25 WHEN o.o_orderkey % 11 <> 0 THEN (o.o_orderkey % 61 - 20) * 0.01 END AS DECIMAL(24,7)) AS gross_irr,
-  CAST(li.quantity * 12 AS DECIMAL(24,7)) AS entry_rev,
-  t.ebitda AS entry_ebitda,
-  CAST(li.quantity * 30 AS DECIMAL(24,7)) AS entry_net_debt,
-  CAST(t.ebitda * (p.p_size % 25) AS DECIMAL(24,7)) AS entry_ev,
-  CAST(li.quantity * 12 * (1 + (o.o_orderkey % 7 - 2) * 0.1) AS DECIMAL(24,7)) AS exit_rev,
-  t.exit_ebitda AS exit_ebitda,
-  CAST(li.quantity * 20 AS DECIMAL(24,7)) AS exit_net_debt,
-  CAST(t.exit_ebitda * (p.p_size % 20) AS DECIMAL(24,7)) AS exit_ev,
+  CAST(o.quantity * 12 AS DECIMAL(24,7)) AS entry_rev,
+  o.ebitda AS entry_ebitda,
+  CAST(o.quantity * 30 AS DECIMAL(24,7)) AS entry_net_debt,
+  CAST(o.ebitda * (p.p_size % 25) AS DECIMAL(24,7)) AS entry_ev,
+  CAST(o.quantity * 12 * (1 + (o.o_orderkey % 7 - 2) * 0.1) AS DECIMAL(24,7)) AS exit_rev,
+  o.exit_ebitda AS exit_ebitda,
+  CAST(o.quantity * 20 AS DECIMAL(24,7)) AS exit_net_debt,
+  CAST(o.exit_ebitda * (p.p_size % 20) AS DECIMAL(24,7)) AS exit_ev,
   CASE o.o_orderkey % 3 WHEN 0 THEN '-' WHEN 1 THEN 'None' ELSE 'Multiples' END AS valuation_method,
   CAST(o.o_orderkey % 111 AS INT) AS fund_ownership,
   CAST(o.o_orderkey % 45 AS INT) AS holding_period,
   CAST(o.o_orderkey % 6 AS INT) AS no_of_seats
-FROM {orders} o
+FROM (SELECT d.*,
+    CAST(CASE WHEN o_orderkey % 29 = 0 THEN NULL WHEN o_orderkey % 83 = 0 THEN 0.6 WHEN o_orderkey % 53 = 0 THEN -0.004 * CAST(o_totalprice AS DECIMAL(18,4)) ELSE 0.004 * CAST(o_totalprice AS DECIMAL(18,4)) END AS DECIMAL(24,7)) AS ic,
+    CAST((CASE WHEN o_orderkey % 23 = 0 THEN -1 ELSE 1 END) * CAST(quantity AS DECIMAL(12,4)) * 12 * (0.10 + 2 * CAST(tax AS DECIMAL(8,4))) AS DECIMAL(24,7)) AS ebitda,
+    CAST((CASE WHEN o_orderkey % 23 = 0 THEN -1 ELSE 1 END) * CAST(quantity AS DECIMAL(12,4)) * 12 * (0.10 + 2 * CAST(tax AS DECIMAL(8,4))) * (1 + (o_orderkey % 5 - 1) * 0.1) AS DECIMAL(24,7)) AS exit_ebitda
+  FROM (SELECT o1.*, li.* FROM {orders} o1
+    LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship, min(l_returnflag) AS role, min(l_suppkey) AS supp, min(l_partkey) AS part,
+      CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS quantity, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS tax,
+      CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(1 - l_discount AS DECIMAL(6,4)) ELSE 0 END) AS DECIMAL(20,4)) AS done,
+      CAST(sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(1 - l_discount AS DECIMAL(6,4)) ELSE 0 END) AS DECIMAL(20,4)) AS open
+    FROM {lineitem} GROUP BY l_orderkey) li ON o1.o_orderkey = li.l_orderkey) d) o
 JOIN {customer} c ON o.o_custkey = c.c_custkey
 JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 JOIN {region} r ON n.n_regionkey = r.r_regionkey
-LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship, min(l_returnflag) AS role, min(l_suppkey) AS supp, min(l_partkey) AS part,
-    CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS quantity, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS tax,
-    CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(1 - l_discount AS DECIMAL(6,4)) ELSE 0 END) AS DECIMAL(20,4)) AS done,
-    CAST(sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(1 - l_discount AS DECIMAL(6,4)) ELSE 0 END) AS DECIMAL(20,4)) AS open
-  FROM {lineitem} GROUP BY l_orderkey) li ON o.o_orderkey = li.l_orderkey
-LEFT JOIN {part} p ON li.part = p.p_partkey
-LEFT JOIN (SELECT o2.o_orderkey AS k,
-    CAST(CASE WHEN o2.o_orderkey % 29 = 0 THEN NULL WHEN o2.o_orderkey % 83 = 0 THEN 0.6 WHEN o2.o_orderkey % 53 = 0 THEN -0.004 * CAST(o2.o_totalprice AS DECIMAL(18,4)) ELSE 0.004 * CAST(o2.o_totalprice AS DECIMAL(18,4)) END AS DECIMAL(24,7)) AS ic,
-    CAST((CASE WHEN o2.o_orderkey % 23 = 0 THEN -1 ELSE 1 END) * l2.quantity * 12 * (0.10 + 2 * l2.tax) AS DECIMAL(24,7)) AS ebitda,
-    CAST((CASE WHEN o2.o_orderkey % 23 = 0 THEN -1 ELSE 1 END) * l2.quantity * 12 * (0.10 + 2 * l2.tax) * (1 + (o2.o_orderkey % 5 - 1) * 0.1) AS DECIMAL(24,7)) AS exit_ebitda
-  FROM {orders} o2 LEFT JOIN (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DECIMAL(12,4)) AS quantity, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DECIMAL(8,4)) AS tax FROM {lineitem} GROUP BY l_orderkey) l2 ON o2.o_orderkey = l2.l_orderkey) t ON o.o_orderkey = t.k
+LEFT JOIN {part} p ON o.part = p.p_partkey
 """
 
 
@@ -104,16 +103,18 @@ SNAPSHOT_DATES = ("1997-12-31", "1999-12-31", "2001-12-31")
 
 #: F-C: the deals as rows of text, with banners (in one file, which has no fund column), totals, notes, prose and blanks.
 RAW_SQL = """
-WITH d AS (SELECT file, 'Deals' AS tab, CAST(10 * row_number() OVER (PARTITION BY file ORDER BY coalesce(fund, ''), deal_id) AS INT) AS row_no, company, fund, entry_date, total_ic, realized FROM {text} t)
-SELECT file, tab, row_no, company, CASE WHEN file = 'GP_ASIA' THEN NULL ELSE fund END AS fund, entry_date, total_ic, realized FROM d
-UNION ALL SELECT file, tab, min(row_no) - 5, fund || ' (vintage 2005)', NULL, NULL, NULL, NULL FROM d WHERE file = 'GP_ASIA' AND fund IS NOT NULL GROUP BY file, tab, fund
-UNION ALL SELECT file, tab, min(row_no) - 4, fund, fund, NULL, '-', NULL FROM d WHERE file <> 'GP_ASIA' AND fund IS NOT NULL GROUP BY file, tab, fund
-UNION ALL SELECT file, tab, max(row_no) + 1, 'Grand total', NULL, NULL, '12', NULL FROM d GROUP BY file, tab
-UNION ALL SELECT file, tab, max(row_no) + 2, '* Please refer to the notes', NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
-UNION ALL SELECT file, tab, max(row_no) + 3, 'Values are shown before fees and before any carry that is due', NULL, '-', 'n/a', NULL FROM d GROUP BY file, tab
-UNION ALL SELECT file, tab, max(row_no) + 4, NULL, NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
-UNION ALL SELECT file, 'Copy', row_no, company, CASE WHEN file = 'GP_ASIA' THEN NULL ELSE fund END, entry_date, total_ic, realized FROM d WHERE row_no % 100 = 0
+WITH d AS (SELECT file, 'Deals' AS tab, CAST(10 * row_number() OVER (PARTITION BY file ORDER BY coalesce(fund, ''), deal_id) AS INT) AS row_no, company, fund, entry_date, exit_date, sector, status, total_ic, realized, current_value, gross_tvpi, gross_irr FROM {text} t)
+SELECT file, tab, row_no, company, CASE WHEN file = 'GP_ASIA' THEN NULL ELSE fund END AS fund, entry_date, exit_date, sector, status, total_ic, realized, current_value, gross_tvpi, gross_irr FROM d
+UNION ALL SELECT file, tab, min(row_no) - 5, fund || ' (vintage 2005)', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM d WHERE file = 'GP_ASIA' AND fund IS NOT NULL GROUP BY file, tab, fund
+UNION ALL SELECT file, tab, min(row_no) - 4, fund, fund, NULL, NULL, NULL, NULL, '-', NULL, NULL, NULL, NULL FROM d WHERE file <> 'GP_ASIA' AND fund IS NOT NULL GROUP BY file, tab, fund
+UNION ALL SELECT file, tab, max(row_no) + 1, 'Grand total', NULL, NULL, NULL, NULL, NULL, '12', NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, tab, max(row_no) + 2, '* Please refer to the notes', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, tab, max(row_no) + 3, 'Values are shown before fees and before any carry that is due', NULL, '-', NULL, NULL, NULL, 'n/a', NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, tab, max(row_no) + 4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM d GROUP BY file, tab
+UNION ALL SELECT file, 'Copy', row_no, company, CASE WHEN file = 'GP_ASIA' THEN NULL ELSE fund END, entry_date, exit_date, sector, status, total_ic, realized, current_value, gross_tvpi, gross_irr FROM d WHERE row_no % 100 = 0
 """
+#: All columns of F-C besides the company: a banner has none of them.
+RAW_VALUES = tuple("fund, entry_date, exit_date, sector, status, total_ic, realized, current_value, gross_tvpi, gross_irr".split(", "))
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

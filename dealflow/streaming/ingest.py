@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import snapshots as A
@@ -12,20 +13,24 @@ def ingest(spark: SparkSession, incoming: str, folder: str, checkpoint: str, sch
     """Picks up new snapshot files from incoming and keeps the newest publication of each key in folder.
 
     Idempotent by key: a replayed micro-batch overwrites the same partitions with the same rows, and an older
-    publication never replaces a newer one. Ends when all files are read.
+    publication never replaces a newer one. Replays are told by their publication: where a key's newest one in the
+    batch is at least as new as that in folder, the batch's rows stand for it, so equal deals of one snapshot all stay.
+    Ends when all files are read.
     """
+    keys = ["gp_key", "as_of"]
+    at = F.coalesce(F.max("published_at"), F.lit("0001-01-01").cast("timestamp"))
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = A.with_keys(batch)
+        rows = A.newest(A.with_keys(batch), keys)
         spark_ = batch.sparkSession
         if A.snapshots_exist(spark_, folder):
             old = spark_.read.schema(rows.schema).parquet(folder)
-            keys = rows.select("gp_key", "as_of").distinct()
-            rows = rows.unionByName(old.join(keys, ["gp_key", "as_of"], "left_semi").select(*rows.columns))
-        rows = A.newest(rows).dropDuplicates()
+            come, had = rows.groupBy(*keys).agg(at.alias("come")), old.groupBy(*keys).agg(at.alias("had"))  # a row a snapshot
+            stay = come.join(had, keys).where("had > come").select(*keys)
+            rows = rows.join(stay, keys, "left_anti").select(*rows.columns)
         staged = f"{checkpoint.rstrip('/')}-staged/{epoch}"
         rows.write.mode("overwrite").parquet(staged)  # read from before it is overwritten
-        spark_.read.schema(rows.schema).parquet(staged).write.partitionBy("gp_key", "as_of").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+        spark_.read.schema(rows.schema).parquet(staged).hint("rebalance", *keys).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(incoming)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
