@@ -127,3 +127,19 @@ def first_seen(deals: DataFrame, col: str, order: str) -> DataFrame:
     """Distinct values in the order in which they are first seen, numbered from 1."""
     seen = deals.where(c(col).isNotNull()).groupBy(col).agg(F.min(order).alias("first_seen"))
     return seen.withColumn("place", F.row_number().over(Window.orderBy("first_seen")))
+
+
+# Headers of the deal-input table in order, and the columns they show.
+INPUT_COLUMNS = (
+    ("Company", "company"), ("Fund", "fund"), ("Status", "status"), ("Fund Currency", "fund_currency"), ("Inv. Date", "entry_date"), ("Exit Date", "exit_date"), ("Sector", "sector"), ("Geography", "geography"),
+    ("Total Invested Capital (mlns)", "total_ic"), ("Realized Value", "realized"), ("Current Value", "current_value"), ("Transaction Type", "transaction_type"), ("GP Role", "gp_role"), ("Process Type", "process_type"),
+    ("Sourcing Partner", "sourcing_partner"), ("Exit Type", "exit_type"), ("COI Deal (Yes/No)", "coi"), ("Gross TVPI", "gross_tvpi"), ("Gross IRR", "gross_irr"), ("Valuation Method", "valuation_method"),
+    ("Entry LTM Revenue", "entry_rev"), ("Entry LTM EBITDA", "entry_ebitda"), ("Entry Net Debt", "entry_net_debt"), ("Entry Enterprise Value", "entry_ev"),
+    ("Exit LTM Revenue", "exit_rev"), ("Exit LTM EBITDA", "exit_ebitda"), ("Exit Net Debt", "exit_net_debt"), ("Exit Enterprise Value", "exit_ev"),
+)
+
+
+def input_table(deals: DataFrame, currency: str | None = None) -> DataFrame:
+    """The 28 columns of the deal-input table; missing currencies are the file's, missing realized values 0."""
+    show = {"fund_currency": F.coalesce("fund_currency", F.lit(currency)), "realized": F.coalesce("realized", F.lit(0)).cast("decimal(24,7)")}
+    return deals.select(*(show.get(x, c(x)).alias(h) for h, x in INPUT_COLUMNS))

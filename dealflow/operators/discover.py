@@ -37,9 +37,21 @@ def visible(cells: DataFrame) -> DataFrame:
     return cells.where("sheet_state = 'visible'")
 
 
+def row_summaries(cells: DataFrame) -> DataFrame:
+    """One row for each row of a sheet that holds something: number, kinds and range of its filled cells.
+
+    Discovery reads cells once for these; all that follows up to the headers works on rows.
+    """
+    year = r"\b(19|20)\d{2}\b"
+    return filled_cells(cells).groupBy(*SHEET, "row_no").agg(
+        F.count("*").alias("n"), F.min("col_no").alias("lo"), F.max("col_no").alias("hi"), F.count_if(c("vtype") == "s").alias("texts"), F.count_if(c("vtype") == "n").alias("nums"),
+        F.max((c("vtype") == "d") | ((c("vtype") == "s") & c("value").rlike(year))).alias("dated"), F.min_by("vtype", "col_no").alias("kind"),
+    )
+
+
 def sheet_profiles(cells: DataFrame) -> DataFrame:
     """B2: used range and share of empty cells."""
-    g = filled_cells(cells).groupBy(*SHEET).agg(F.min("row_no").alias("min_row"), F.max("row_no").alias("max_row"), F.min("col_no").alias("min_col"), F.max("col_no").alias("max_col"), F.count("*").alias("filled"))
+    g = row_summaries(cells).groupBy(*SHEET).agg(F.min("row_no").alias("min_row"), F.max("row_no").alias("max_row"), F.min("lo").alias("min_col"), F.max("hi").alias("max_col"), F.sum("n").alias("filled"))
     return g.withColumn("empty", 1 - c("filled") / ((c("max_row") - c("min_row") + 1) * (c("max_col") - c("min_col") + 1)))
 
 
@@ -47,8 +59,7 @@ def dense_rows(cells: DataFrame) -> DataFrame:
     """Rows filled enough for the width of their sheet."""
     width = c("max_col") - c("min_col") + 1
     least = F.greatest(F.lit(0.12), F.least(F.lit(0.20), 12 / F.greatest(width, F.lit(60))))
-    rows = filled_cells(cells).groupBy(*SHEET, "row_no").agg(F.count("*").alias("n"))
-    return rows.join(sheet_profiles(cells), SHEET).withColumn("density", c("n") / width).where(c("density") >= least).select(*SHEET, "row_no", "density")
+    return row_summaries(cells).join(sheet_profiles(cells), SHEET).withColumn("density", c("n") / width).where(c("density") >= least).select(*SHEET, "row_no", "density")
 
 
 def blocks(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2) -> DataFrame:
@@ -57,19 +68,20 @@ def blocks(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: in
     new = F.coalesce(c("row_no") - F.lag("row_no").over(w) > gap + 1, F.lit(True)).cast("int")
     d = dense_rows(cells).withColumn("new", new).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     b = d.groupBy(*BLOCK).agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")).where(c("last_row") - c("first_row") + 1 >= min_rows)
-    x = in_blocks(cells, b).groupBy(*BLOCK, "first_row", "last_row").agg(F.min("col_no").alias("first_col"), F.max("col_no").alias("last_col"))
+    x = in_blocks(cells, b).groupBy(*BLOCK, "first_row", "last_row").agg(F.min("lo").alias("first_col"), F.max("hi").alias("last_col"))
     return x.where(c("last_col") - c("first_col") + 1 >= min_cols)
 
 
 def in_blocks(cells: DataFrame, b: DataFrame) -> DataFrame:
-    return filled_cells(cells).join(b, SHEET).where(c("row_no").between(c("first_row"), c("last_row")))
+    """The row summaries inside blocks of their sheet."""
+    return row_summaries(cells).join(b, SHEET).where(c("row_no").between(c("first_row"), c("last_row")))
 
 
 def header_rows(cells: DataFrame, b: DataFrame) -> DataFrame:
     """The header rows of each block: dense rows of text at its top, up to the first dense row of another kind."""
     width = c("last_col") - c("first_col") + 1
     r = in_blocks(cells, b).where((c("row_no") < c("first_row") + MAX_HEADERS) & (c("row_no") < c("last_row")))
-    r = r.groupBy(*BLOCK, "first_row", "row_no").agg((F.count("*") / F.first(width)).alias("full"), F.avg((c("vtype") == "s").cast("double")).alias("text"), F.avg((c("vtype") == "n").cast("double")).alias("num"))
+    r = r.select(*BLOCK, "row_no", (c("n") / width).alias("full"), (c("texts") / c("n")).alias("text"), (c("nums") / c("n")).alias("num"))
     good = (c("full") >= 0.20) & (c("text") >= 0.45) & (c("num") < 0.40)
     w = Window.partitionBy(*BLOCK).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.max(((c("full") >= 0.20) & ~good).cast("int")).over(w)
@@ -79,7 +91,8 @@ def header_rows(cells: DataFrame, b: DataFrame) -> DataFrame:
 
 def headers(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     """(file, sheet, block, col_no, header): labels of all header rows joined, merged ones spread, made unique."""
-    top = in_blocks(cells, h).where(F.array_contains("header_rows", c("row_no"))).select(*BLOCK, "row_no", "col_no", F.trim("value").alias("v"))
+    at = h.select(*BLOCK, F.explode("header_rows").alias("row_no"))
+    top = filled_cells(cells).join(at, [*SHEET, "row_no"]).select(*BLOCK, "row_no", "col_no", F.trim("value").alias("v"))
     m = merges.join(filled_cells(cells).select(*SHEET, c("row_no").alias("min_row"), c("col_no").alias("min_col"), F.trim("value").alias("v")), [*SHEET, "min_row", "min_col"])
     m = m.join(h.select(*BLOCK, "header_rows", "first_col", "last_col"), SHEET)
     spread = m.withColumn("row_no", F.explode(F.sequence("min_row", "max_row"))).withColumn("col_no", F.explode(F.sequence("min_col", "max_col"))).where(F.array_contains("header_rows", c("row_no")) & c("col_no").between(c("first_col"), c("last_col")))
@@ -102,11 +115,11 @@ def candidates(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Blocks with orientation, density, what they hold, a score of 0 to 100, and whether deals are likely."""
     h = header_rows(cells, blocks(cells)).where("data_row <= last_row")
     data = in_blocks(cells, h).where("row_no >= data_row")
-    year = r"\b(19|20)\d{2}\b"
+    leads = c("lo") == c("first_col")  # the row has a cell in the block's first column
     g = data.groupBy(*BLOCK).agg(
-        F.count("*").alias("n"), F.max(((c("vtype") == "d") | ((c("vtype") == "s") & c("value").rlike(year))).cast("int")).alias("has_date"), F.max((c("vtype") == "n").cast("int")).alias("has_number"),
-        F.avg(F.when(c("col_no") == c("first_col"), (c("vtype") == "s").cast("double"))).alias("first_text"),
-        F.avg(F.when((c("row_no") == c("data_row")) & (c("col_no") > c("first_col")), (c("vtype") == "n").cast("double"))).alias("row_num"),
+        F.sum("n").alias("n"), F.max(c("dated").cast("int")).alias("has_date"), F.max((c("nums") > 0).cast("int")).alias("has_number"),
+        F.avg(F.when(leads, (c("kind") == "s").cast("double"))).alias("first_text"),
+        F.max(F.when(c("row_no") == c("data_row"), F.try_divide(c("nums") - (leads & (c("kind") == "n")).cast("int"), c("n") - leads.cast("int")))).alias("row_num"),
     )
     labels = headers(cells, merges, h).where(~c("header").rlike(r"^_col\d+$")).groupBy(*BLOCK).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "header"))), lambda x: x["header"]).alias("sample_headers"))
     d = h.join(g, BLOCK).join(labels, BLOCK, "left").withColumn("sample_headers", F.coalesce("sample_headers", F.array().cast("array<string>")))
@@ -126,16 +139,19 @@ def primary_tables(found: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def layouts(found: DataFrame, sheets: DataFrame, ratio: float = 0.75, overlap: float = 0.5) -> DataFrame:
     """per_fund where other sheets hold a likely table of the primary one's width and header words, else consolidated."""
-    toks = lambda x: F.array_distinct(F.filter(F.split(F.lower(F.array_join(x, " ")), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
-    d = found.join(sheets.select(*SHEET, "sheet_idx").distinct(), SHEET).withColumn("toks", toks("sample_headers"))
-    one = d.where("likely").withColumn("k", F.row_number().over(Window.partitionBy(*SHEET).orderBy(F.desc("score"), "block"))).where("k = 1")
-    p = primary_tables(found, sheets).select("file_id", c("sheet").alias("p_sheet"), c("sheet_idx").alias("p_idx"), c("cols").alias("p_cols"), toks("sample_headers").alias("p_toks"))
-    s = one.join(p, "file_id").where("sheet <> p_sheet")  # sheets of one file against its primary table
-    same = (F.least("cols", "p_cols") / F.greatest("cols", "p_cols") >= ratio) & (F.size("toks") > 0) & (F.size(F.array_intersect("toks", "p_toks")) / F.size(F.array_union("toks", "p_toks")) >= overlap)
-    g = s.where(same).groupBy("file_id").agg(F.collect_list(F.struct("sheet_idx", "sheet")).alias("siblings"))
-    d = p.join(g, "file_id", "left")
-    every = F.array_sort(F.concat(F.array(F.struct(c("p_idx").alias("sheet_idx"), c("p_sheet").alias("sheet"))), F.coalesce("siblings", F.array().cast("array<struct<sheet_idx:int,sheet:string>>"))))
-    return d.select("file_id", F.when(c("siblings").isNull(), "consolidated").otherwise("per_fund").alias("layout"), F.transform(every, lambda x: x["sheet"]).alias("sheets"))
+    toks = F.array_distinct(F.filter(F.split(F.lower(F.array_join("sample_headers", " ")), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
+    d = found.join(sheets.select(*SHEET, "sheet_idx").distinct(), SHEET)
+    # The tables of one file, best first as in primary_tables().
+    table = F.struct((~c("likely")).alias("not_likely"), (-c("score")).alias("rank"), "sheet_idx", "block", "sheet", "cols", toks.alias("toks"))
+    d = d.groupBy("file_id").agg(F.array_sort(F.collect_list(table)).alias("tables")).withColumns({"p": F.get("tables", F.lit(0)), "good": F.filter("tables", lambda t: ~t["not_likely"])})
+    names = F.transform("good", lambda t: t["sheet"])
+    best = F.filter("good", lambda t, i: F.array_position(names, t["sheet"]) == i + 1)  # of each sheet
+    p = c("p")
+    share = lambda t: F.size(F.array_intersect(t["toks"], p["toks"])) / F.size(F.array_union(t["toks"], p["toks"]))
+    same = lambda t: (t["sheet"] != p["sheet"]) & (F.least(t["cols"], p["cols"]) / F.greatest(t["cols"], p["cols"]) >= ratio) & (F.size(t["toks"]) > 0) & (share(t) >= overlap)
+    d = d.withColumn("siblings", F.filter(best, same))
+    every = F.array_sort(F.transform(F.concat(F.array("p"), "siblings"), lambda t: F.struct(t["sheet_idx"].alias("sheet_idx"), t["sheet"].alias("sheet"))))
+    return d.select("file_id", F.when(F.size("siblings") == 0, "consolidated").otherwise("per_fund").alias("layout"), F.transform(every, lambda x: x["sheet"]).alias("sheets"))
 
 
 def table_rows(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:

@@ -184,6 +184,21 @@ def overridden(mapped: DataFrame, manual: DataFrame) -> DataFrame:
     return mapped.join(manual, ["file", "field_id"], "left").withColumn("col_name", F.coalesce("column", "col_name")).drop("column")
 
 
+def save_mapping(mapped: DataFrame, gp_name: Column, folder: str) -> None:
+    """Stores the mapped columns of each manager (field_id, col_name) under a key of its name; replaces what it had."""
+    rows = mapped.where("col_name IS NOT NULL").select(slug(gp_name).alias("slug"), "file", "field_id", "col_name")
+    rows.write.partitionBy("slug").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+
+
+def load_mapping(spark: SparkSession, folder: str, *gp_names: str) -> DataFrame:
+    """(slug, file, field_id, column) as stored for the named managers, of all without names; none where nothing is stored."""
+    rows = spark.read.schema("file string, field_id string, col_name string, slug string").option("basePath", folder).parquet(folder).withColumnRenamed("col_name", "column")
+    if gp_names:
+        keys = spark.createDataFrame([(n,) for n in gp_names], "name string").select(slug(c("name")).alias("slug")).distinct()
+        rows = rows.join(keys, "slug", "left_semi")
+    return rows.select("slug", "file", "field_id", "column")
+
+
 def slug(name: Column) -> Column:
     """A key for a manager's stored choices."""
     s = F.regexp_replace(F.lower(F.regexp_replace(F.translate(name, _ACCENTED, _PLAIN), r"[^\x00-\x7f]", "")), "[^a-z0-9]+", "_")

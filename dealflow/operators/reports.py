@@ -147,3 +147,46 @@ def chart_series(report: DataFrame, bar: str, line: str, hide_missing: bool = Fa
     d = report.where("is_total = 0")
     d = d.where("item <> 'n/a'") if hide_missing else d
     return d.select(F.concat_ws("\n", "item", c("deals").cast("string")).alias("label"), c(bar).alias("bar"), c(line).alias("line"))
+
+
+#: Axes whose items stand in the order of their buckets, and axes of numbers.
+BUCKETED = {
+    "hold_bucket": "hold", "ic_bucket": "ic", "moic_bucket": "moic", "irr_bucket": "irr", "ebitda_bucket": "ebitda", "revenue_bucket": "revenue", "entry_ev_bucket": "entry_ev",
+    "multiple_bucket": "entry_multiple", "margin_bucket": "entry_margin",
+}
+YEARS = ("vintage", "exit_year")
+ITEM_CHARS = 255
+
+
+def axis_items(deals: DataFrame, axes: tuple[str, ...], seen: str = "deal_id") -> DataFrame:
+    """(axis, place, item): the distinct items of each axis in the order in which reports list them.
+
+    Buckets stand in canonical order, numbers ascend and text follows in order, other items stand as first seen (by
+    the column seen). Blank items are none; text is cut at 255 characters. All axes are counted in one pass.
+    """
+    text = lambda a: F.substring(F.trim(c(a).cast("string")), 1, ITEM_CHARS)
+    rows = deals.select(seen, F.inline(F.array(*(F.struct(F.lit(a).alias("axis"), text(a).alias("item")) for a in axes)))).where("item <> ''")
+    d = rows.groupBy("axis", "item").agg(F.min(seen).alias("first"))
+    known, year = F.lit(None).cast("int"), c("axis").isin(*YEARS)
+    for a in axes:
+        if a in BUCKETED:
+            known = F.when(c("axis") == a, F.nullif(F.array_position(F.array(*map(F.lit, S.bucket_labels(BUCKETED[a]))), c("item")).cast("int"), F.lit(0))).otherwise(known)
+    number = F.when(year, c("item").try_cast("long"))
+    order = [F.coalesce(known, F.lit(1000)), F.asc_nulls_last(number), F.when(year, c("item")), F.when(~year, c("first")), "item"]
+    return d.select("axis", F.row_number().over(Window.partitionBy("axis").orderBy(*order)).alias("place"), "item")  # distinct items of one axis
+
+
+def write_reports(deals: DataFrame, reports: dict, folder: str) -> DataFrame:
+    """A10: writes every report over one stored deal list into a folder of its own; (report, rows) of each.
+
+    reports: name to a function of the deal list. The list is computed and written once; each report reads the columns
+    that it needs.
+    """
+    spark = deals.sparkSession
+    deals.write.parquet(f"{folder}/deal_list")
+    stored = spark.read.parquet(f"{folder}/deal_list")
+    out = []
+    for name, run in reports.items():
+        run(stored).write.parquet(f"{folder}/{name}")
+        out.append((name, spark.read.parquet(f"{folder}/{name}").count()))
+    return spark.createDataFrame(out, "report string, rows long")

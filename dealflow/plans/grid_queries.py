@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.catalog import DEAL_KEYWORDS
 from ..functions.scalars import ROW_BLANKS
 from ..operators import clean as E
-from ..operators import deals as D_
 from ..operators import discover as B
 from ..operators import matching as M
 from ..operators import profile as P
+from ..operators import standard as N
 from ..sources import fixtures as X
 from . import sql as Q
-from .quality_queries import built
+from .inputs import built, folder
+from .match_sql import TWINS
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -61,13 +63,17 @@ def text_cells(spark, sf):
     return d.select("file", "row_no", F.inline(F.array(*(cell(i, x) for i, x in enumerate(cols)))))
 
 
-QUERIES["C4_C5_profiles"] = lambda spark, sf: P.column_profiles(text_cells(spark, sf)).select("file", "col_name", "data_type", F.round("fill_rate", 6).alias("fill_rate"), "distinct", F.round("value_min", 4).alias("value_min"), F.round("value_max", 4).alias("value_max"), "looks_date")
+QUERIES["C4_C5_profiles"] = lambda spark, sf: P.column_profiles(text_cells(spark, sf)).select("file", "col_name", "data_type", F.round("fill_rate", 6).alias("fill_rate"), "distinct", F.round("value_min", 4).alias("value_min"), F.round("value_max", 4).alias("value_max"), F.round("value_mean", 4).alias("value_mean"), F.array_join("samples", "; ").alias("samples"), "unit", "looks_moic", "looks_irr", "looks_currency", "looks_date", "looks_identifier")
 _PB = ", ".join(repr(b) for b in P.PROFILE_BLANKS)
-ORACLE_SQL["C4_C5_profiles"] = f"""WITH t AS ({X.text_sql()}), l AS (SELECT file, unnest(['company', 'fund', 'entry_date', 'total_ic', 'realized', 'gross_tvpi', 'gross_irr', 'status', 'coi']) AS col_name, unnest([company, fund, entry_date, total_ic, realized, gross_tvpi, gross_irr, status, coi]) AS value FROM t),
-  v AS (SELECT file, col_name, CASE WHEN trim(value) NOT IN ({_PB}) THEN trim(value) END AS v FROM l), n AS (SELECT *, try_cast(v AS DOUBLE) AS num, regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')::INTEGER AS d FROM v),
-  g AS (SELECT file, col_name, count(*) AS rows, count(v) AS n, avg(d) AS dates, count(num) AS nums, min(num) AS lo, max(num) AS hi, count(DISTINCT v) AS "distinct", avg((abs(num) <= 2)::INTEGER) AS small, avg(contains(v, '%')::INTEGER) AS pct FROM n GROUP BY 1, 2)
-  SELECT file, col_name, CASE WHEN n = 0 THEN 'empty' WHEN dates >= 0.5 THEN 'date' WHEN nums / n >= 0.75 AND (small >= 0.8 OR pct >= 0.3) THEN 'percent' WHEN nums / n >= 0.75 THEN 'numeric' WHEN nums / n >= 0.3 THEN 'mixed' ELSE 'string' END AS data_type,
-  round(n / rows, 6) AS fill_rate, "distinct", round(CASE WHEN nums >= 3 THEN lo END, 4) AS value_min, round(CASE WHEN nums >= 3 THEN hi END, 4) AS value_max, coalesce(dates >= 0.5, false) AS looks_date FROM g"""
+_sh = lambda cond: f"avg(({cond})::INTEGER) FILTER (num IS NOT NULL)"
+ORACLE_SQL["C4_C5_profiles"] = f"""WITH t AS ({X.text_sql()}), l AS (SELECT file, row_no, unnest(['company', 'fund', 'entry_date', 'total_ic', 'realized', 'gross_tvpi', 'gross_irr', 'status', 'coi']) AS col_name, unnest([company, fund, entry_date, total_ic, realized, gross_tvpi, gross_irr, status, coi]) AS value FROM t),
+  v AS (SELECT file, col_name, row_no, CASE WHEN trim(value) NOT IN ({_PB}) THEN trim(value) END AS v FROM l), n AS (SELECT *, try_cast(v AS DOUBLE) AS num, regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')::INTEGER AS d, row_number() OVER (PARTITION BY file, col_name, v IS NULL ORDER BY row_no) AS place FROM v),
+  g AS (SELECT file, col_name, count(*) AS rows, count(v) AS n, avg(d) AS dates, count(num) AS nums, min(num) AS lo, max(num) AS hi, avg(num) AS mean, count(DISTINCT v) AS "distinct", avg(length(v)) AS len, {_sh('abs(num) <= 2')} AS small, avg(contains(v, '%')::INTEGER) AS pct,
+    {_sh('num > 0 AND num < 30')} AS m1, {_sh('num >= 0.5 AND num <= 15')} AS m2, {_sh('num > -0.9 AND num < 3')} AS i1, {_sh('num > -90 AND num < 300')} AS i2, {_sh('num >= 0.1')} AS c1, string_agg(v, '; ' ORDER BY row_no) FILTER (v IS NOT NULL AND place <= 10) AS samples FROM n GROUP BY 1, 2),
+  k AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN dates >= 0.5 THEN 'date' WHEN nums / n >= 0.75 AND (small >= 0.8 OR pct >= 0.3) THEN 'percent' WHEN nums / n >= 0.75 THEN 'numeric' WHEN nums / n >= 0.3 THEN 'mixed' ELSE 'string' END AS data_type FROM g)
+  SELECT file, col_name, data_type, round(n / rows, 6) AS fill_rate, "distinct", round(CASE WHEN nums >= 3 THEN lo END, 4) AS value_min, round(CASE WHEN nums >= 3 THEN hi END, 4) AS value_max, round(CASE WHEN nums >= 3 THEN mean END, 4) AS value_mean, samples, NULL::VARCHAR AS unit,
+  coalesce(nums >= 3 AND m1 >= 0.85 AND m2 >= 0.6 AND mean > 0.5 AND mean < 20, false) AS looks_moic, coalesce(nums >= 3 AND ((i1 >= 0.9 AND data_type IN ('numeric', 'mixed') AND mean < 0.5) OR (i2 >= 0.9 AND data_type = 'percent')), false) AS looks_irr,
+  coalesce(nums >= 3 AND c1 >= 0.8 AND hi >= 1, false) AS looks_currency, coalesce(dates >= 0.5, false) AS looks_date, coalesce(data_type = 'string' AND n / rows >= 0.5 AND "distinct" >= least(3.0, n * 0.3) AND len < 60, false) AS looks_identifier FROM k"""
 _SCALE = "CASE gp_name WHEN 'GP_AFRICA' THEN 1 WHEN 'GP_AMERICA' THEN 1000 WHEN 'GP_ASIA' THEN 1000 WHEN 'GP_EUROPE' THEN 1000000 ELSE 1 END"
 _FIELDS = (("ic_total", "total_ic"), ("realized", "realized"), ("unrealized", "current_value"), ("entry_rev", "entry_rev"), ("entry_ebitda", "entry_ebitda"))
 
@@ -108,7 +114,7 @@ def _columns(spark, sf):
     cells = _cells(spark, sf)
     names = cells.where("row_no = 4").select("file_id", "sheet", "col_no", c("value").alias("col_name"))
     v = cells.where("row_no > 4").join(names, ["file_id", "sheet", "col_no"])
-    return v.select(c("file_id").alias("file"), (c("col_no") - 2).alias("col_index"), "col_name", F.xxhash64("sheet", "row_no").alias("row_no"), "value")
+    return v.select(c("file_id").alias("file"), (c("col_no") - 2).alias("col_index"), "col_name", (c("sheet_idx") * F.lit(1 << 32) + c("row_no")).alias("row_no"), "value")
 
 
 _profiles = lambda spark, sf: P.column_profiles(_columns(spark, sf))
@@ -136,17 +142,59 @@ def _semantic(spark, sf):
 
 
 QUERIES["D8_semantic"] = _semantic
-QUERIES["A9_input_table"] = lambda spark, sf: D_.returns(X.deals_raw(spark, sf)).select("deal_id", "company", "fund", F.coalesce("fund_currency", F.lit("USD")).alias("fund_currency"), "realized", "total_ic")
-ORACLE_SQL["A9_input_table"] = Q.over_deals("SELECT deal_id, company, fund, coalesce(fund_currency, 'USD') AS fund_currency, realized, total_ic FROM deals")
+ORACLE_SQL |= TWINS
+ORACLE_SQL["D8_semantic"] = """WITH m AS (SELECT label, list(m ORDER BY pos) AS f FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label),
+  p AS (SELECT vec_id AS key, label::VARCHAR AS field_id, list_dot_product(embedding::DOUBLE[], f) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(f, f)) AS cos FROM (SELECT vec_id, embedding FROM embeddings) e, m)
+  SELECT key, field_id, round(cos * 0.85, 5) AS confidence FROM p WHERE cos >= 0.45 QUALIFY row_number() OVER (PARTITION BY key ORDER BY cos DESC, field_id DESC) = 1"""
+
+
+def _by_hand(mapped):
+    """A reviewer's choice of the company column, whose repeated names inference does not take."""
+    return mapped.select("file", F.lit("company").alias("field_id"), F.lit("Portfolio Company (a)").alias("column")).distinct()
+
+
+def _stored(spark, sf):
+    """Every manager's columns stored and loaded again; one choice by hand wins over the inferred column."""
+    where = folder(spark, "mappings")
+    mapped = M.mapping(_profiles(spark, sf))
+    M.save_mapping(mapped, c("file"), where)
+    loaded = M.load_mapping(spark, where).select("file", "field_id", "column")
+    hand = _by_hand(mapped)
+    kept = loaded.join(hand, ["file", "field_id"], "left_anti").unionByName(hand)
+    return M.overridden(mapped.withColumn("col_name", F.lit(None).cast("string")), kept).where("col_name IS NOT NULL").select(M.slug(c("file")).alias("slug"), "file", "field_id", "col_name")
+
+
+QUERIES["A11_stored_mapping"] = _stored
+ORACLE_SQL["A11_stored_mapping"] = f"{ORACLE_SQL['D14_mapping_log'].rsplit('SELECT file, label', 1)[0]} SELECT replace(lower(file), ' ', '_') AS slug, file, field_id, CASE WHEN field_id = 'company' THEN 'Portfolio Company (a)' ELSE col_name END AS col_name FROM mapped WHERE col_name IS NOT NULL OR field_id = 'company'"
 
 # ---- discovery
 _merges = X.landed_merges
 _found = lambda spark, sf: B.candidates(_cells(spark, sf), _merges(spark))
-QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_cells(spark, sf)).select("file_id", "sheet", "min_row", "max_row", "min_col", "max_col")
-ORACLE_SQL["B1_B2_sheet_profiles"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 1 AS min_row, least(count(*) + 4, 2000)::INTEGER AS max_row, 2 AS min_col, {len(X.SHEET_HEADERS) + 1} AS max_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
+QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_cells(spark, sf)).select("file_id", "sheet", "min_row", "max_row", "min_col", "max_col", F.round("empty", 6).alias("empty"))
+ORACLE_SQL["B1_B2_sheet_profiles"] = lambda: f"WITH {_SEEN} SELECT file_id, sheet, 1 AS min_row, max(r + 4)::INTEGER AS max_row, 2 AS min_col, {_WIDTH + 1} AS max_col, round(1 - (sum(filled) + {_WIDTH} + 3) / (max(r + 4) * {_WIDTH}), 6)::DOUBLE AS empty FROM seen WHERE r <= {B.MAX_ROWS - 4} GROUP BY 1, 2"
 QUERIES["B3_B5_blocks"] = lambda spark, sf: B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf))).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
 ORACLE_SQL["B3_B5_blocks"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 4 AS first_row, least(count(*) + 4, 2000)::INTEGER AS last_row, 2 AS first_col, {len(X.SHEET_HEADERS) + 1} AS last_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 QUERIES["B6_B12_primary"] = lambda spark, sf: B.primary_tables(_found(spark, sf), _cells(spark, sf)).select("file_id", "sheet", "rows", "cols", "orientation", "likely", F.round("score", 4).alias("score"))
+_KIND = {"entry_date": "d", "exit_date": "d"} | dict.fromkeys(("total_ic", "realized", "gross_tvpi", "current_value", "entry_rev", "entry_ebitda", "entry_ev"), "n")
+_filled = lambda kind: " + ".join(f"({x} IS NOT NULL)::INTEGER" for x, _ in X.SHEET_HEADERS if kind is None or _KIND.get(x, "s") == kind)
+_cell = lambda x: "'www.' || lower(geography) || '.com'" if x == "geography" else f"{x}::VARCHAR"
+_WIDTH = len(X.SHEET_HEADERS)
+# Deals at the top of a sheet that are mostly text read as further header rows, k of them at most four.
+_SEEN = f"""{Q.DEAL_LIST}, seen AS (SELECT *, gp_name AS file_id, fund || ' - Deal Data' AS sheet, row_number() OVER (PARTITION BY gp_name, fund ORDER BY deal_id) AS r, least(count(*) OVER (PARTITION BY gp_name, fund), {B.MAX_ROWS - 4}) AS cnt,
+    {_filled(None)} AS filled, {_filled("s")} AS texts, {_filled("n")} AS numbers FROM raw WHERE fund IS NOT NULL),
+  heads AS (SELECT file_id, sheet, coalesce(min(r) FILTER (r <= least(4, cnt - 1) AND NOT (filled >= 0.2 * {_WIDTH} AND texts >= 0.45 * filled AND numbers < 0.4 * filled)), least(4, max(cnt) - 1) + 1) - 1 AS k FROM seen GROUP BY file_id, sheet),
+  body AS (SELECT * FROM seen JOIN heads USING (file_id, sheet)),
+  parts AS (SELECT file_id, sheet, 0 AS r, unnest(range(2, {_WIDTH + 2})) AS col_no, unnest({[h for _, h in X.SHEET_HEADERS]}) AS v FROM heads
+    UNION ALL SELECT file_id, sheet, r, unnest(range(2, {_WIDTH + 2})), unnest([{", ".join(_cell(x) for x, _ in X.SHEET_HEADERS)}]) FROM body WHERE r <= k),
+  labels AS (SELECT file_id, sheet, col_no, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' | ') AS header FROM (SELECT file_id, sheet, col_no, list(v ORDER BY r) AS l FROM parts WHERE v IS NOT NULL GROUP BY 1, 2, 3))"""
+ORACLE_SQL["B6_B12_primary"] = f"""WITH {_SEEN}, g AS (SELECT file_id, sheet, count(*)::INTEGER AS rows, {_WIDTH} AS cols, sum(filled) AS n, max((coalesce(entry_date, exit_date) IS NOT NULL)::INTEGER) AS has_date, max((numbers > 0)::INTEGER) AS has_number, max(CASE WHEN r = k + 1 THEN numbers / (filled - 1) END) AS row_num FROM body WHERE r > k AND r <= {B.MAX_ROWS - 4} GROUP BY 1, 2),
+  h AS (SELECT file_id, sheet, len(list_filter({list(DEAL_KEYWORDS)}, lambda w: contains(t, w))) AS hits FROM (SELECT file_id, sheet, lower(string_agg(header, ' ' ORDER BY col_no)) AS t FROM labels GROUP BY 1, 2)),
+  o AS (SELECT *, CASE WHEN row_num > 0.5 THEN 'col_per_record' ELSE 'row_per_record' END AS orientation, hits >= 3 AND rows >= 3 AS likely FROM g JOIN h USING (file_id, sheet)),
+  p AS (SELECT *, greatest(0, least(100, least(25, 8 * ln(1 + rows)) + least(20, 2.0 * cols) + 15 * least(1, n / (rows * cols)) + 10 * has_date + 10 * has_number + least(20, 2.0 * hits) - CASE WHEN orientation = 'col_per_record' THEN 10 ELSE 0 END)) AS s FROM o)
+  SELECT file_id, sheet, rows, cols, orientation, likely, round(s::DOUBLE, 4) AS score FROM p QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY likely DESC, s DESC, sheet) = 1"""
+ORACLE_SQL["B7_B8_headers"] = f"WITH {_SEEN} SELECT file_id, sheet, col_no::INTEGER AS col_no, header FROM labels"
+ORACLE_SQL["B22_widest_row"] = f"WITH {_SEEN}, w AS (SELECT file_id, sheet, r + 4 AS row_no, filled FROM seen WHERE r <= 26 UNION ALL SELECT file_id, sheet, 4, {_WIDTH} FROM heads) SELECT file_id, sheet, arg_min(row_no, struct_pack(a := -filled, b := row_no))::INTEGER AS header_row FROM w GROUP BY 1, 2"
+ORACLE_SQL["A1_table_rows"] = f"WITH {_SEEN} SELECT file_id, count(*) AS rows, sum(filled)::BIGINT AS cells FROM body WHERE r > k GROUP BY 1"
 QUERIES["B7_B8_headers"] = lambda spark, sf: B.headers(_cells(spark, sf), _merges(spark), B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf)))).select("file_id", "sheet", "col_no", "header")
 QUERIES["B13_layouts"] = lambda spark, sf: B.layouts(_found(spark, sf), _cells(spark, sf)).select("file_id", "layout", F.array_join("sheets", ";").alias("sheets"))
 ORACLE_SQL["B13_layouts"] = f"{_SHEETS} SELECT file_id, 'per_fund' AS layout, string_agg(sheet, ';' ORDER BY sheet) AS sheets FROM sheets GROUP BY file_id"
@@ -167,3 +215,35 @@ QUERIES["A2_input_grid"] = lambda spark, sf: _INPUT(spark, sf).groupBy("file_id"
 ORACLE_SQL["A2_input_grid"] = f"{_SHEETS} SELECT gp_name || '/' || fund || ' - Deal Data' AS file_id, count(*) AS rows FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 QUERIES["A3_header_differences"] = lambda spark, sf: B.header_differences(_INPUT(spark, sf), ["Company", "Fund", "Status"]).select("file_id", F.array_join("missing", ",").alias("missing"), F.size("unknown").alias("n_unknown"))
 ORACLE_SQL["A3_header_differences"] = f"{_SHEETS} SELECT gp_name || '/' || fund || ' - Deal Data' AS file_id, 'fund' AS missing, (11 - (count(exit_date) = 0)::INTEGER - (count(sector) = 0)::INTEGER - (count(gross_tvpi) = 0)::INTEGER)::INTEGER AS n_unknown FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
+
+
+# ---- from grids to standard deals: one manager's sheets are in thousands, and a sheet's fund stands among its companies
+def _shifted(spark, sf):
+    cells = _cells(spark, sf)
+    money = c("col_no").isin(*(i + 2 for i, (x, _) in enumerate(X.SHEET_HEADERS) if x in ("total_ic", "realized", "current_value", "entry_rev", "entry_ebitda", "entry_ev")))
+    k = (c("file_id") == "GP_AMERICA") & money
+    value = F.when(k & (c("row_no") == 4), F.concat(F.regexp_replace("value", r" \(\$m\)", ""), F.lit(" (k)"))).when(k & (c("row_no") > 4), (c("value").try_cast("decimal(24,7)") * 1000).cast("string")).otherwise(c("value"))
+    return cells.withColumn("value", F.when((c("row_no") > 8) & (c("row_no") % 50 == 0) & (c("col_no") == 2), F.regexp_replace("sheet", " - Deal Data$", "")).otherwise(value))
+
+
+def _standard(spark, sf):
+    """Parse, map, scale, clean: F20 blanks companies that are funds, F23 brings thousands to millions."""
+    cells = _shifted(spark, sf)
+    h = B.header_rows(cells, B.blocks(cells)).withColumns({"header_rows": F.array(F.lit(4)), "data_row": F.lit(5)})
+    labels = P.fund_labels(cells.select(c("file_id").alias("file"), "sheet").distinct())
+    rows = B.table_rows(cells, _merges(spark), h).withColumnRenamed("file_id", "file").join(labels, ["file", "sheet"])
+    names = cells.where("row_no = 4").select(c("file_id").alias("file"), "sheet", "col_no", c("value").alias("col_name"))
+    body = cells.where("row_no > 4").withColumnRenamed("file_id", "file").join(names, ["file", "sheet", "col_no"])
+    profiles = P.column_profiles(body.select("file", (c("col_no") - 2).alias("col_index"), "col_name", (c("sheet_idx") * F.lit(1 << 32) + c("row_no")).alias("row_no"), "value"))
+    mapped = M.mapping(profiles)
+    mapped = M.overridden(mapped, _by_hand(mapped))
+    valued = N.field_values(rows, mapped)
+    scales = P.monetary_scale(N.monetary_values(valued), mapped.where("col_name IS NOT NULL").select("file", "field_id", "col_name"), B.unit_banner(cells.where("file_id <> 'GP_AMERICA'")).withColumnRenamed("file_id", "file"))
+    out = N.standard_rows(valued, scales, labels.select("file", c("fund_label").alias("fund")))
+    return out.select("file", "fund", "row_no", "company", "status", "entry_date", "exit_date", *(F.round(x, 3).alias(x) for x in ("ic_total", "realized", "unrealized", "gross_moic", "entry_ev")))
+
+
+QUERIES["F20_F23_standard_rows"] = _standard
+ORACLE_SQL["F20_F23_standard_rows"] = f"""WITH {_SEEN} SELECT file_id AS file, fund, (r + 4)::INTEGER AS row_no, CASE WHEN NOT ((r + 4) > 8 AND (r + 4) % 50 = 0) THEN company END AS company, {Q._STATUS} AS status, entry_date, exit_date,
+  round(total_ic::DOUBLE, 3) AS ic_total, round(realized::DOUBLE, 3) AS realized, round(current_value::DOUBLE, 3) AS unrealized, round(gross_tvpi::DOUBLE, 3) AS gross_moic, round(entry_ev::DOUBLE, 3) AS entry_ev FROM seen"""
+ORACLE_SQL["B1_B2_sheet_profiles"] = ORACLE_SQL["B1_B2_sheet_profiles"]()

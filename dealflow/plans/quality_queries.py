@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,35 +13,13 @@ from ..operators import validate as V
 from ..sources.fixtures import SNAPSHOT_DATES, deals_raw, deals_text, text_sql
 from ..streaming.ingest import ingest
 from . import sql as Q
+from .inputs import built, folder
 from .report_queries import deals
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
 
 
-def folder(spark, name: str) -> str:
-    """A new folder where driver and executors both write: beside the checkpoints, or a local one where Spark runs locally."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-_BUILT: dict = {}
-
-
-def built(spark, sf, name: str, write) -> str:
-    """The folder that write(folder) filled, once a session and input; bench.py times it apart from the queries."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _BUILT:
-        where = folder(spark, name)
-        write(where)
-        _BUILT[key] = where
-    return _BUILT[key]
-
-
 def _blank_sql(x: str, blanks) -> str:
     return f"trim({x}) IN ({', '.join(repr(b) for b in blanks)})"
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import deals as D
+from ..functions import scalars as S
 from ..operators import reports as R
 from ..sources.fixtures import deals_raw
 from . import sql as Q
+from .inputs import folder
 
-QUERIES, ORACLE_SQL = {}, {}
+QUERIES, ORACLE_SQL, REPORTS = {}, {}, {}
 
 
 def deals(spark, sf_dir, weights: bool = False):
@@ -20,6 +22,8 @@ def deals(spark, sf_dir, weights: bool = False):
 def add(name, run, sql, weights: bool = False):
     QUERIES[name] = lambda spark, sf_dir: run(deals(spark, sf_dir, weights))
     ORACLE_SQL[name] = sql
+    if name.startswith("R"):
+        REPORTS[name] = run
 
 
 for _name, _axis in R.CUTS.items():
@@ -70,3 +74,17 @@ add("G3_fund_vintage", lambda d: D.with_fund_vintage(d).select("deal_id", "fund"
 add("G4_fund_aggregates", D.fund_aggregates, Q.over_deals(f"SELECT fund, sum(coalesce(total_ic, 0)) AS ic, sum(realized) AS realized, sum(coalesce(current_value, 0)) AS unrealized, sum(realized) + sum(coalesce(current_value, 0)) AS total, round(coalesce({Q._div('sum(realized) + sum(coalesce(current_value, 0))', 'sum(coalesce(total_ic, 0))')}, 0), 6) AS moic FROM deals WHERE fund IS NOT NULL GROUP BY fund"))
 add("G5_run_summary", D.run_summary, Q.over_deals("SELECT count(*) AS deals, count(*) FILTER (status = 'Realized') AS realized_deals, count(DISTINCT fund) AS funds FROM deals"))
 add("C6_first_seen_funds", lambda d: D.first_seen(d, "fund", "deal_id"), Q.over_deals("SELECT fund, min(deal_id) AS first_seen, row_number() OVER (ORDER BY min(deal_id))::INTEGER AS place FROM deals WHERE fund IS NOT NULL GROUP BY fund"))
+
+# ---- items of the axes, all reports at once, the deal-input table
+ITEM_AXES = (*dict.fromkeys(R.CUTS.values()), "hold_bucket", "moic_bucket", "irr_bucket", "exit_year")
+add("C7_axis_items", lambda d: R.axis_items(d, ITEM_AXES), "")
+_labels = " UNION ALL ".join(f"SELECT '{a}' AS axis, unnest({S.bucket_labels(k)}) AS item, generate_subscripts({S.bucket_labels(k)}, 1) AS rank" for a, k in R.BUCKETED.items())
+ORACLE_SQL["C7_axis_items"] = Q.over_deals(
+    f""", cell AS (SELECT deal_id, unnest({list(ITEM_AXES)}) AS axis, unnest([{", ".join(f"left(trim({a}::VARCHAR), 255)" for a in ITEM_AXES)}]) AS item FROM deals), found AS (SELECT axis, item, min(deal_id) AS first FROM cell WHERE item <> '' GROUP BY 1, 2), ranks AS ({_labels}),
+    o AS (SELECT found.*, rank, axis IN {R.YEARS} AS years FROM found LEFT JOIN ranks USING (axis, item))
+    SELECT axis, row_number() OVER (PARTITION BY axis ORDER BY coalesce(rank, 1000), CASE WHEN years THEN try_cast(item AS BIGINT) END NULLS LAST, CASE WHEN years THEN item END, CASE WHEN NOT years THEN first END, item)::INTEGER AS place, item FROM o"""
+)
+QUERIES["A10_all_reports"] = lambda spark, sf: R.write_reports(deals(spark, sf, True), REPORTS, folder(spark, "reports"))
+ORACLE_SQL["A10_all_reports"] = " UNION ALL ".join(f"SELECT '{n}' AS report, count(*) AS rows FROM ({ORACLE_SQL[n]})" for n in REPORTS)
+QUERIES["A9_input_table"] = lambda spark, sf: D.input_table(deals(spark, sf), "USD")
+ORACLE_SQL["A9_input_table"] = Q.over_deals("SELECT " + ", ".join({"fund_currency": "coalesce(fund_currency, 'USD')"}.get(x, x) + f' AS "{h}"' for h, x in D.INPUT_COLUMNS) + " FROM deals")
