@@ -112,3 +112,79 @@ def test_table_rows_below_the_scan(spark):
     merges = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
     got = {r.row_no: r.vals for r in discover.table_rows(cells, merges, discover.header_rows(cells, discover.blocks(cells))).collect()}
     assert set(got) == set(range(2, 2501)) - {2100} and got[2500] == {"Company": "c2500", "Fund": "7", "Cost": "2500"}
+
+
+def grid(spark, sheets):
+    """Cells of {sheet: (state, {(row, col): value})}; numbers and ISO dates get their kinds."""
+    kind = lambda v: "n" if isinstance(v, (int, float)) else "d" if isinstance(v, D) else "s"
+    rows = [("f", "Beta Portfolio Q3 2025.xlsx", s, i, state, r, k, str(v), kind(v)) for i, (s, (state, cells)) in enumerate(sheets.items()) for (r, k), v in cells.items()]
+    return spark.createDataFrame(rows, "file_id string, file_name string, sheet string, sheet_idx int, sheet_state string, row_no int, col_no int, value string, vtype string")
+
+
+def table(first, rows, cols=4, at=2):
+    return {(first + i, at + j): (f"Company {i}" if j == 0 else D(2020, 1, 1 + i) if j == 1 else 10 * i + j) for i in range(rows) for j in range(cols)}
+
+
+def test_grid_gaps_and_merged_headers(spark):
+    """Two header rows with a merged group; four blank rows stay inside a table, five part two."""
+    head = {(4, 4): "Entry", (5, 2): "Company", (5, 3): "Date", (5, 4): "Revenue", (5, 5): "EBITDA"}
+    gaps = {**head, **table(6, 3), **table(13, 3), (21, 2): "Company", (21, 3): "Date", (21, 4): "Status", (21, 5): "Status", **table(22, 3)}
+    cells = grid(spark, {"Gaps": ("visible", gaps)})
+    merges = spark.createDataFrame([("f", "Gaps", 4, 4, 4, 5)], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
+    b = discover.blocks(cells)
+    assert sorted((r.first_row, r.last_row, r.first_col, r.last_col) for r in b.collect()) == [(4, 15, 2, 5), (21, 24, 2, 5)]
+    h = discover.header_rows(cells, b)
+    assert sorted((r.first_row, r.header_rows) for r in h.collect()) == [(4, [4, 5]), (21, [21])]
+    names = {(r.block, r.col_no): r.header for r in discover.headers(cells, merges, h).collect()}
+    assert [v for _, v in sorted(names.items())] == ["Company", "Date", "Entry | Revenue", "Entry | EBITDA", "Company", "Date", "Status", "Status.1"]
+    rows = discover.table_rows(cells, merges, h).collect()
+    assert len(rows) == 9 and {r.vals["Entry | Revenue"] for r in rows if r.row_no < 20} == {"2", "12", "22"}
+
+
+def test_grid_turned_wide_and_hidden(spark):
+    """A transposed table, a wide sparse sheet, and a hidden sheet whose banner does not count."""
+    turned = {(1, 2): "Company", (1, 3): "Alpha", (1, 4): "Beta", (1, 5): "Gamma"} | {(r, k): (f"Metric {r}" if k == 2 else r * k) for r in range(2, 8) for k in range(2, 6)}
+    wide = {(r, k): (f"Header {k}" if r == 1 else r * k) for r, n in ((1, 15), (2, 15), (3, 15), (4, 14)) for k in range(1, n + 1)} | {(9, 120): "end"}
+    hidden = {(1, 1): "As of 31/12/2020", (2, 1): "USD in thousands"} | {(r + 3, k): v for (r, k), v in turned.items()}
+    shown = {(1, 2): "As of 30/06/2024", (2, 2): "USD in millions", **{(4, k): f"Company {k}" for k in range(2, 5)}, **table(5, 4, cols=3)}
+    cells = grid(spark, {"Shown": ("visible", shown), "Turned": ("visible", turned), "Wide": ("visible", wide), "Old": ("hidden", hidden)})
+    none = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
+    found = {r.sheet: r for r in discover.candidates(cells, none).collect()}
+    assert found["Turned"].orientation == "col_per_record" and found["Shown"].orientation == "row_per_record"
+    assert sorted(r.row_no for r in discover.dense_rows(cells).where("sheet = 'Wide'").collect()) == [1, 2, 3]
+    assert [tuple(r) for r in discover.track_record_dates(cells).collect()] == [("f", D(2024, 6, 30))]
+    assert [tuple(r) for r in discover.unit_banner(cells).collect()] == [("f", "m")]
+    assert "Old" not in {r.sheet for r in discover.visible(cells).select("sheet").distinct().collect()}
+
+
+def test_layouts(spark):
+    """Sheets of one layout are a fund each; a sheet of other columns is not."""
+    like = {(1, k): h for k, h in zip(range(2, 6), ("Portfolio company", "Investment date", "Invested capital", "Realized value"))} | table(2, 5)
+    other = {(1, k): f"Other {k}" for k in range(2, 12)} | table(2, 5, cols=10)
+    none = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
+    for sheets, want in (({"Fund 1": like, "Fund 2": like, "Else": other}, ("per_fund", ["Fund 1", "Fund 2"])), ({"Fund 1": like, "Else": other}, ("consolidated", ["Fund 1"]))):
+        cells = grid(spark, {s: ("visible", x) for s, x in sheets.items()})
+        got = discover.layouts(discover.candidates(cells, none), cells).collect()
+        assert [(r.layout, r.sheets) for r in got] == [want]
+
+
+def test_snapshot_nulls(spark, tmp_path):
+    """Undated snapshots and publications without a time stay where there is nothing newer."""
+    from dealflow.operators import snapshots as A
+
+    d = spark.createDataFrame([("A", None, None, 1), ("A", None, "2020-01-01 00:00:00", 2), ("B", "2019-01-01", None, 3), ("B", None, None, 4), ("C", None, None, 5), (None, None, None, 6)], "gp_name string, day string, at string, n int")
+    d = d.select("gp_name", F.col("day").cast("date").alias("track_record_date"), F.col("at").cast("timestamp").alias("published_at"), "n")
+    assert sorted(r.n for r in A.latest(d).collect()) == [1, 2, 3, 5, 6]
+    assert sorted(r.n for r in A.newest(d).collect()) == [2, 3, 4, 5, 6]
+
+
+def test_ingest_keeps_equal_deals(spark, tmp_path):
+    """Equal deals of one snapshot stay; a replay and an older publication change nothing."""
+    from dealflow.operators import snapshots as A
+    from dealflow.streaming.ingest import ingest
+
+    new = lambda at, *ids: A.long_table(spark.createDataFrame([(i, "G", None) for i in ids], "deal_id long, gp_name string, fund_currency string"), "2020-01-31", "me", at)
+    for k, part in enumerate((new("2021-01-02 00:00:00", 1, 1, 2), new("2021-01-02 00:00:00", 1, 1, 2), new("2021-01-01 00:00:00", 9))):
+        part.write.parquet(f"{tmp_path}/in{k}")
+        ingest(spark, f"{tmp_path}/in{k}", f"{tmp_path}/s", f"{tmp_path}/state{k}", part.schema).awaitTermination()
+        assert sorted(r.deal_id for r in A.read_snapshots(spark, f"{tmp_path}/s").collect()) == [1, 1, 2]
