@@ -34,7 +34,7 @@ _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A symbol that ends a word is its byte's character moved up by this.
 _END = 0x1000
 #: Entries of a store of encoded words; there are two.
-STORE = 200_000
+STORE = 100_000
 _FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
@@ -147,7 +147,7 @@ class PrefixBPE:
                 pair = last[start] << 32 | token
                 ok = known.get(pair)
                 if ok is None:
-                    if len(known) > STORE:
+                    if len(known) > 2 * STORE:
                         known.clear()
                     ok = known[pair] = self._apart(last[start], token)
                 if not ok:
