@@ -114,7 +114,7 @@ def test_table_rows_below_the_scan(spark):
     assert set(got) == set(range(2, 2501)) - {2100} and got[2500] == {"Company": "c2500", "Fund": "7", "Cost": "2500"}
 
 
-def grid(spark, sheets):
+def landed(spark, sheets):
     """Cells of {sheet: (state, {(row, col): value})}; numbers and ISO dates get their kinds."""
     kind = lambda v: "n" if isinstance(v, (int, float)) else "d" if isinstance(v, D) else "s"
     rows = [("f", "Beta Portfolio Q3 2025.xlsx", s, i, state, r, k, str(v), kind(v)) for i, (s, (state, cells)) in enumerate(sheets.items()) for (r, k), v in cells.items()]
@@ -129,7 +129,7 @@ def test_grid_gaps_and_merged_headers(spark):
     """Two header rows with a merged group; four blank rows stay inside a table, five part two."""
     head = {(4, 4): "Entry", (5, 2): "Company", (5, 3): "Date", (5, 4): "Revenue", (5, 5): "EBITDA"}
     gaps = {**head, **table(6, 3), **table(13, 3), (21, 2): "Company", (21, 3): "Date", (21, 4): "Status", (21, 5): "Status", **table(22, 3)}
-    cells = grid(spark, {"Gaps": ("visible", gaps)})
+    cells = landed(spark, {"Gaps": ("visible", gaps)})
     merges = spark.createDataFrame([("f", "Gaps", 4, 4, 4, 5)], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
     b = discover.blocks(cells)
     assert sorted((r.first_row, r.last_row, r.first_col, r.last_col) for r in b.collect()) == [(4, 15, 2, 5), (21, 24, 2, 5)]
@@ -147,7 +147,7 @@ def test_grid_turned_wide_and_hidden(spark):
     wide = {(r, k): (f"Header {k}" if r == 1 else r * k) for r, n in ((1, 15), (2, 15), (3, 15), (4, 14)) for k in range(1, n + 1)} | {(9, 120): "end"}
     hidden = {(1, 1): "As of 31/12/2020", (2, 1): "USD in thousands"} | {(r + 3, k): v for (r, k), v in turned.items()}
     shown = {(1, 2): "As of 30/06/2024", (2, 2): "USD in millions", **{(4, k): f"Company {k}" for k in range(2, 5)}, **table(5, 4, cols=3)}
-    cells = grid(spark, {"Shown": ("visible", shown), "Turned": ("visible", turned), "Wide": ("visible", wide), "Old": ("hidden", hidden)})
+    cells = landed(spark, {"Shown": ("visible", shown), "Turned": ("visible", turned), "Wide": ("visible", wide), "Old": ("hidden", hidden)})
     none = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
     found = {r.sheet: r for r in discover.candidates(cells, none).collect()}
     assert found["Turned"].orientation == "col_per_record" and found["Shown"].orientation == "row_per_record"
@@ -163,7 +163,7 @@ def test_layouts(spark):
     other = {(1, k): f"Other {k}" for k in range(2, 12)} | table(2, 5, cols=10)
     none = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
     for sheets, want in (({"Fund 1": like, "Fund 2": like, "Else": other}, ("per_fund", ["Fund 1", "Fund 2"])), ({"Fund 1": like, "Else": other}, ("consolidated", ["Fund 1"]))):
-        cells = grid(spark, {s: ("visible", x) for s, x in sheets.items()})
+        cells = landed(spark, {s: ("visible", x) for s, x in sheets.items()})
         got = discover.layouts(discover.candidates(cells, none), cells).collect()
         assert [(r.layout, r.sheets) for r in got] == [want]
 
