@@ -268,7 +268,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     members = C.saved(distinct.select("node", "least", "size").join(comp, "node").withColumnRenamed("component", "cell"))
     cuts = members.groupBy("cell").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("cut"))
     members = members.join(cuts, "cell").select("cell", "cut", "node", F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
-    texts = once.join(members, ["__k1", "__k2"]).select("cell", "cut", "node", F.col(text_col).alias("text"))
+    texts = once.select("__k1", "__k2", F.col(text_col).alias("text")).join(members, ["__k1", "__k2"]).select("cell", "cut", "node", "text")
     linked = components(verified_links(texts, similarity, shingle))
     rooted = distinct.select("node", "least").join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
     keep = rooted.agg(F.min("least").alias("least")).select(F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
