@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from dealflow.llm import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, simhash_similarity, substring_dedup, suffix_dedup, token_counts, token_files
+from dealflow.llm import bpe, decontamination, graph, ppm, quality_rules, sharding, simhash_dedup, simhash_similarity, substring_dedup, suffix_dedup, token_counts, token_files
 
 SCHEMA = "doc_id long, text string, n_words string, chunk int"
 WORDS = "the of and a in to stone river light green walks under über été ñandú 中文 don't x".split()
@@ -249,6 +249,35 @@ def test_sharding(spark, docs, empty):
     assert max(r["count"] for r in loose) <= math.ceil(len(keys) * 1.25 / 5)
 
 
+def test_sharding_of_hot_keys(spark):
+    """Rows without doc_id, all equal, and columns named like the operator's own."""
+    table = [(None if i % 3 else i, "same", i, i, "x", i) for i in range(900)]
+    df = spark.createDataFrame(table, "doc_id long, text string, arc int, place int, keys string, count int").repartition(5)
+    out = sharding.bounded_ring(df)
+    assert out.columns == ["doc_id", "arc", "place", "keys", "count", "size", "text_crc32", "shard", "slot"]
+    got = out.collect()
+    assert collections.Counter((r.doc_id, r.arc, r.place, r["count"]) for r in got) == collections.Counter((i, a, b, n) for i, _, a, b, _, n in table)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(by) == 40 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """A hub with most of the edges, as least and as largest node, a path, loops, nulls and repeats."""
+    r = random.Random(21)
+    edges = [(5, i) for i in range(100, 400)] + [(i, 9999) for i in range(400, 600)] + [(i, i + 1) for i in range(1000, 1040)]
+    edges += [(7, 7), (None, 3), (3, None), (5, 120), (120, 5)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)]
+    real = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
+    want = components(real, {x for e in real for x in e})
+    df = spark.createDataFrame(edges, "a long, b long")
+    for parts in (graph.PARTS, 1):
+        monkeypatch.setattr(graph, "PARTS", parts)
+        got = graph.components(df).collect()
+        assert len(got) == len(want) and {x.node: x.component for x in got} == want
+
+
 TEXTS = ["", "the THE  the\n", "Straße ΑΣ İstanbul", "<|endoftext|>a<|startoftext|> b", "don't we'll 123 $$$!!", "é é Å", "a\x1cb  c　d", "aaaaaaaaaaaa thethethe"]
 
 
@@ -441,6 +470,24 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == before.count()
 
 
+def test_stages_on_awkward_tables(spark, docs, sf):
+    """Stages on empty tables, and on rows with nulls, repeats and columns named like the operators' own."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    names = ["arc", "cell", "node", "fp", "bands", "block", "cut", "kept", "keys", "words", "item_id", "id", "k1", "size", "least", "a", "b", "i", "j", "component", "posterior", "n_shared", "__chunk_"]
+    clash = plain.select("*", *(F.lit("x").alias(c) for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, real.limit(0), sf).count() == 0
+        want = stage(spark, plain, sf)
+        got = stage(spark, clash, sf)
+        if name != "encode":
+            assert want.columns == plain.columns and got.columns == clash.columns
+        assert collections.Counter(r.doc_id for r in got.select("doc_id").collect()) == collections.Counter(r.doc_id for r in want.select("doc_id").collect())
+
+
 def test_similar_dense_cells(spark):
     """Large cells, in pairs of blocks, give the same links as whole ones."""
     r = random.Random(4)
