@@ -8,8 +8,10 @@ inside. Neither decides: the groups that candidates form are only those whose te
 every pair in such a group counts by its exact overlap of shingles (64-bit hashes). So no pair below the limit
 links, and of those at the limit fewer than one in a thousand are not found; above it, still fewer.
 
-Cells and groups are cut into blocks, and parts answered as stars, as in simhash_dedup; only distinct shingle sets
-take part.
+Only distinct shingle sets take part. A cell or group larger than a block is cut into blocks: pairs within a block
+come first, then one node of each part so found goes the same way, and only blocks that hold nodes still apart meet.
+So a group of near copies of one text costs a pass over its rows, however large; a group of texts that are all apart
+costs its pairs of blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .simhash_dedup import _roots
 
 WORDS, SEGMENT, CELL = 8, 16, 512
 BANDS, ROWS, LOOSE, BLOCK_BYTES = 20, 5, 128, 4 << 20
+#: Large cells up to which their sizes are broadcast: 16 bytes each.
+FEW = 100_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
 
@@ -86,8 +90,8 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
-def _close(fp: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the parts of pairs within radius, as (leaf, root); of two blocks only pairs across are compared."""
+def _close(fp: np.ndarray, block: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the pairs of different parts within radius, as (leaf, root); of two blocks only pairs across are compared."""
     wide = fp.view(np.uint64)
     count = np.bitwise_count(wide).astype(np.int16)
     across = block.min() != block.max()
@@ -97,7 +101,7 @@ def _close(fp: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray,
         low = np.abs(count[rows, None] - count[None, i:]).sum(axis=2)
         a, b = np.nonzero(low <= radius)
         a, b = a + i, b + i
-        ok = a < b
+        ok = (a < b) & (part[a] != part[b])
         if across:
             ok &= block[a] != block[b]
         a, b = a[ok], b[ok]
@@ -133,32 +137,78 @@ def candidate_links(distinct: DataFrame, radius: int = LOOSE, cell: int = CELL)
 
 def _linked(keys: DataFrame, radius: int, cell: int) -> DataFrame:
     """Edges (a, b) that connect the rows (cell, node, fp) of a cell within radius."""
-    large = C.saved(keys.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell))
-    # Cells of one block meet in one shuffle; only rows of larger cells go on to pairs of blocks.
-    keyed = keys.repartition("cell")  # both joins below read this one shuffle
-    whole = keyed.join(large.select("cell"), "cell", "left_anti")
-    zero = F.lit(0)
-    whole = whole.select("cell", zero.alias("i"), zero.alias("j"), zero.alias("block"), "node", "fp").sortWithinPartitions("cell")
-    spread = keyed.join(large, "cell").withColumn("cut", F.ceil(F.col("n") / cell).cast("int"))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    spread = spread.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "fp")
-    dealt = spread.withColumn("g", F.xxhash64("cell", "i", "j")).repartition("g").sortWithinPartitions("cell", "i", "j").drop("g")
-
-    def each(rows, cut):
-        fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
-        node, block = np.asarray(rows.column("node")), np.asarray(rows.column("block"))
+
+    def close(items, block, part):
+        return _close(np.frombuffer(b"".join(items.to_pylist()), np.uint8).reshape(-1, 8 * WORDS), block, part, radius)
+
+    return _connected(keys.select("cell", "node", F.lit(1).cast("long").alias("weight"), F.col("fp").alias("item")), cell, close)
+
+
+def _connected(rows: DataFrame, size: int, compare) -> DataFrame:
+    """Edges (a, b) that connect the linked pairs within each cell of rows (cell, node, weight, item), and no others.
+
+    compare(items, block, part) gives linked pairs of different parts that connect all of them; of two blocks it looks
+    at pairs across only. Blocks hold about size in weight.
+    """
+    sizes = rows.groupBy("cell").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    cuts = C.written(sizes.where((F.col("w") > size) & (F.col("n") > 1)).select("cell", F.ceil(F.col("w") / size).cast("long").alias("cut")))
+    large = cuts.count()
+    # Sizes of a bounded number of cells go to every task; more are joined by Spark, which splits a hot cell's rows.
+    blocked = rows.join(F.broadcast(cuts) if large <= FEW else cuts, "cell", "left")
+    block = F.pmod(F.xxhash64("node"), F.coalesce("cut", F.lit(1).cast("long")))
+    own = _compared(blocked.select("cell", block.alias("i"), block.alias("j"), block.alias("block"), F.col("node").alias("part"), "node", "item"), compare)
+    if not large:
+        return own
+    own = C.written(own)
+    rest = C.written(blocked.where("cut IS NOT NULL").drop("cut"))
+    parted = _parted(rest, own)
+    one = F.min(F.struct("node", "weight", "item")).alias("r")
+    firsts = C.written(parted.groupBy("cell", "part").agg(one).select("cell", "r.*"))
+    if 2 * firsts.count() <= rest.count():
+        own = C.written(own.union(_connected(firsts, size, compare)).distinct())
+        parted = _parted(rest, own)
+    return own.union(_across(C.written(parted), size, compare)).distinct()
+
+
+def _parted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with part, the component of their node over edges."""
+    return rows.join(components(edges), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _across(rows: DataFrame, size: int, compare) -> DataFrame:
+    """Edges between the parts of each cell of rows (cell, node, weight, item, part).
+
+    A part larger than a block has blocks of its own, which do not meet each other; the other parts share blocks.
+    """
+    parts = rows.groupBy("cell", "part").agg(F.sum("weight").alias("w"))
+    small = F.when(F.col("w") <= size, F.col("w"))
+    cells = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.ceil(F.coalesce(F.sum(small), F.lit(0)) / size).cast("long").alias("shared")).where("parts > 1")
+    of = parts.join(cells, "cell").select("cell", "part", "w", "shared")
+    mine = F.xxhash64("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("w") / size).cast("long")))
+    shared = F.pmod(F.xxhash64("part"), F.greatest("shared", F.lit(1).cast("long")))
+    alone = F.col("w") > size
+    rows = C.written(rows.join(of, ["cell", "part"]).select("cell", F.when(alone, mine).otherwise(shared).alias("block"), F.when(alone, F.col("part")).alias("owner"), "part", "node", "item"))
+    blocks = rows.select("cell", F.col("block").alias("other"), F.col("owner").alias("other_owner")).distinct()
+    pairs = rows.join(blocks, "cell").where("owner IS NULL OR other_owner IS NULL OR owner <> other_owner")
+    return _compared(pairs.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "part", "node", "item"), compare)
+
+
+def _compared(rows: DataFrame, compare) -> DataFrame:
+    """Edges of compare() over the groups (cell, i, j) of rows (cell, i, j, block, part, node, item)."""
+
+    def each(held, cut):
+        node, block, part = (np.asarray(held.column(c)) for c in ("node", "block", "part"))
         a, b = [], []
         for s, e in zip(cut[:-1], cut[1:]):
             if e - s > 1:
-                x, y = _close(fp[s:e], block[s:e], radius)
+                x, y = compare(held.column("item").slice(s, e - s), block[s:e], part[s:e])
                 a.append(node[s:e][x])
                 b.append(node[s:e][y])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    solved = [d.mapInArrow(C.lean_batches(_groupwise(each)), "a long, b long") for d in (whole, dealt)]
-    return solved[0].union(solved[1]).distinct()
+    dealt = rows.withColumn("g", F.xxhash64("cell", "i", "j")).repartition("g").sortWithinPartitions("cell", "i", "j").drop("g")
+    return dealt.mapInArrow(C.lean_batches(_groupwise(each)), "a long, b long").distinct()
 
 
 def _groupwise(each):
@@ -183,15 +233,16 @@ def _edges(rows) -> np.ndarray:
     return np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
 
 
-def _similar(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the parts of pairs of sets with that Jaccard similarity; of two blocks only pairs across count."""
+def _similar(sets: list[np.ndarray], block: np.ndarray, part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of different parts with that Jaccard similarity that connect all of them; of two blocks only pairs across count."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
     owner, values = np.repeat(np.arange(n), size), np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     across = block.min() != block.max()
-    root = np.arange(n)
+    root = np.unique(part, return_inverse=True)[1]
+    out_a, out_b = [], []
     for i in range(n):
         left = root != root[i]
         if across:
@@ -204,37 +255,28 @@ def _similar(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tu
         count = b - a
         at = np.repeat(a - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         both = np.bincount(owner[at], minlength=n)
-        ok = left & (both >= similarity * (size + size[i] - both) - 1e-9) & (both > 0)
-        if ok.any():
-            parts = np.unique(np.r_[root[i], root[ok]])
-            root[np.isin(root, parts)] = parts[0]
+        ok = np.flatnonzero(left & (both >= similarity * (size + size[i] - both) - 1e-9) & (both > 0))
+        if len(ok):
+            joined, first = np.unique(root[ok], return_index=True)
+            out_a.append(np.full(len(first), i))
+            out_b.append(ok[first])
+            root[np.isin(root, joined)] = root[i]
             if (root == root[0]).all():
                 break
-    leaf = np.flatnonzero(root != np.arange(n))
-    return leaf, root[leaf]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_a or none), np.concatenate(out_b or none)
 
 
-def verified_links(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Edges (a, b) that connect the pairs with that similarity in a group of texts (cell, cut, node, text), and no others; cut: blocks of the group."""
-    spread = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    spread = spread.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
-    dealt = spread.withColumn("g", F.xxhash64("cell", "i", "j")).repartition("g").sortWithinPartitions("cell", "i", "j").drop("g")
+def verified_links(texts: DataFrame, similarity: float, shingle: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Edges (a, b) that connect the pairs with that similarity in a group of texts (cell, node, weight, item), and no others; weight: bytes."""
 
-    def each(rows, cut):
-        node, block = np.asarray(rows.column("node")), np.asarray(rows.column("block"))
-        a, b = [], []
-        for s, e in zip(cut[:-1], cut[1:]):
-            sets = [np.zeros(0, np.uint64)] * int(e - s)
-            for k, h in shingle_hashes(rows.column("text").slice(s, e - s), shingle):
-                sets[k] = np.unique(h)
-            x, y = _similar(sets, block[s:e], similarity)
-            a.append(node[s:e][x])
-            b.append(node[s:e][y])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    def similar(items, block, part):
+        sets = [np.zeros(0, np.uint64)] * len(items)
+        for k, h in shingle_hashes(items, shingle):
+            sets[k] = np.unique(h)
+        return _similar(sets, block, part, similarity)
 
-    return dealt.mapInArrow(C.lean_batches(_groupwise(each)), "a long, b long").distinct()
+    return _connected(texts, block_bytes, similar)
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -265,11 +307,11 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("least")
     distinct = C.saved(marked.groupBy("node", "fp", "bands").agg(first, F.max("size").alias("size")))
     comp = components(candidate_links(distinct.select("node", "fp", "bands")))
-    members = C.saved(distinct.select("node", "least", "size").join(comp, "node").withColumnRenamed("component", "cell"))
-    cuts = members.groupBy("cell").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("cut"))
-    members = members.join(cuts, "cell").select("cell", "cut", "node", F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
-    texts = once.select("__k1", "__k2", F.col(text_col).alias("text")).join(members, ["__k1", "__k2"]).select("cell", "cut", "node", "text")
-    linked = components(verified_links(texts, similarity, shingle))
+    members = distinct.select("node", "least", "size").join(comp, "node")
+    members = members.select(F.col("component").alias("cell"), "node", F.col("size").alias("weight"), F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
+    # Texts of candidates only, written once and read by every pass over their groups.
+    texts = C.written(once.select("__k1", "__k2", F.col(text_col).alias("item")).join(members, ["__k1", "__k2"]).select("cell", "node", "weight", "item"))
+    linked = components(verified_links(texts, similarity, shingle, block_bytes))
     rooted = distinct.select("node", "least").join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c"))
     keep = rooted.agg(F.min("least").alias("least")).select(F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
     return once.join(keep, ["__k1", "__k2"], "left_semi").select(*docs.columns)
