@@ -52,13 +52,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again, where a checkpoint would hand on constraints of its plan, which multiply over rounds."""
-    path = shared_path(df.sparkSession, "written")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -552,22 +552,3 @@ def test_rows_of_null_and_repeated_ids(spark):
     clean = decontamination.decontaminated(df, items)
     assert clean.columns == df.columns
     assert collections.Counter((x.doc_id, x.text) for x in clean.collect()) == collections.Counter((i, t) for i, t, _ in table if t not in (texts[1], texts[5]))
-
-
-def test_blocks_of_one_text_meet_once(spark, monkeypatch):
-    """A large group of near copies falls together by parts; only nodes still apart meet across blocks."""
-    r = random.Random(15)
-    base = [f"w{r.randrange(10**9)}" for _ in range(200)]
-    texts = [" ".join([*base[: 5 * k], f"x{k}", *base[5 * k + 1 :]]) for k in range(40)]  # each pair is above 0.8
-    texts += [" ".join(base[:150] + [f"y{k}{i}" for i in range(70)]) for k in range(2)]  # candidates at most
-    rows = [(1, i, len(t), t) for i, t in enumerate(texts)] + [(2, 100 + i, len(t), t) for i, t in enumerate(texts[:1] + texts[40:41])]
-    df = spark.createDataFrame(rows, "cell long, node long, weight long, item string")
-    met = []
-    across = simhash_similarity._across
-    monkeypatch.setattr(simhash_similarity, "_across", lambda rows, *a: met.append({x.part for x in rows.select("part").distinct().collect()}) or across(rows, *a))
-    for few in (0, 100_000):  # sizes of cells joined, and broadcast
-        monkeypatch.setattr(simhash_similarity, "FEW", few)
-        got = [(e.a, e.b) for e in simhash_similarity.verified_links(df, 0.8, 5, block_bytes=9000).collect()]
-        nodes = [x[1] for x in rows]
-        assert components(got, nodes) == components([(i, j) for _, i, _, t in rows for _, j, _, u in rows if i < j < 100 and jaccard(t, u) >= 0.8], nodes)
-    assert met and {40, 41} <= met[-1] and len(met[-1]) <= 4
