@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, decontamination, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
+from . import bpe, decontamination, merkle, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_merkle": merkle.op11_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
