@@ -14,6 +14,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,51 @@ def deal(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.repartitionById(n, F.col(key))
 
 
+# ---------------------------------------------------------------- documents in compressed packs
+
+
+def zipped(table: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unzipped(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def packs(docs: DataFrame, n: int, cols: list[str], text_col: str, pack_bytes: int = 1 << 20) -> DataFrame:
+    """(chunk, blob): the columns of docs as c0, c1, ... in compressed packs of about pack_bytes, dealt to n chunks.
+
+    The only shuffle of texts, at the size of a compressed file. A pack goes to a chunk by a hash of its bytes and of
+    its place in its task, so equal packs spread. Tasks that run again make the same packs as long as docs are read in
+    the same order, as from files; other DataFrames are to be written first.
+    """
+    at = cols.index(text_col)
+
+    def run(batches):
+        pid, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            out = []
+            for a, b, _, _ in pieces(table.column(at), pack_bytes):
+                blob = zipped(table.slice(a, b - a))
+                out.append((xxhash.xxh64_intdigest(blob, (pid << 24) + k) % n, blob))
+                k += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=[CHUNK, "blob"])
+
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))
+    return deal(named.mapInArrow(run, f"{CHUNK} int, blob binary"), n, CHUNK)
+
+
+def unpacked_docs(rows: pa.Table) -> pa.Table:
+    """The documents of a chunk's packs."""
+    return pa.concat_tables([unzipped(b.as_py()) for b in rows["blob"]]).combine_chunks()
+
+
 # ---------------------------------------------------------------- texts as flat arrays
 
 
@@ -105,9 +152,9 @@ def pieces(texts: pa.Array, most: int = 1 << 20):
         at = end
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each document the number of words before it."""
-    ink = ~SPACES[data]
+    ink = ~spaces[data]
     start, end = ink.copy(), ink.copy()
     start[1:] &= ~ink[:-1]
     end[:-1] &= ~ink[1:]
@@ -150,13 +197,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP[size]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from prefix sums of a polynomial in its bytes."""
+_OTHER_TABLE = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**64, 256, np.uint64) | np.uint64(1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word from prefix sums of a polynomial in its bytes; other: a second one of other numbers."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_OTHER_TABLE if other else _TABLE)[data] * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64))
 
@@ -223,6 +273,22 @@ def packed(chunk: int, n_buckets: int, keys: np.ndarray, *cols: np.ndarray, bits
     )
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeezed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted 64-bit keys and 32-bit counts in few bytes: gaps between keys, byte by byte, compressed."""
+    flat = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(keys).to_bytes(4, "little") + _ZSTD.compress(flat, asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    flat = np.frombuffer(_ZSTD.decompress(blob[4:], 12 * n, asbytes=True), np.uint8)
+    keys = np.ascontiguousarray(flat[: 8 * n].reshape(8, n).T).view(np.uint64).reshape(-1)
+    return np.cumsum(keys), np.ascontiguousarray(flat[8 * n :].reshape(4, n).T).view(np.uint32).reshape(-1)
+
+
 def unpacked(table: pa.Table, col: str, kind) -> tuple[np.ndarray, np.ndarray]:
     """All values of a packed column, and the row of each."""
     blobs = table[col].to_pylist()

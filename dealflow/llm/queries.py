@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, decontamination, merkle, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
+from . import bpe, decontamination, merkle, pieces, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_merkle": merkle.op11_merkle,
+    "op12_pieces": pieces.op12_pieces,
     "pipeline": corpus_pipeline.run,
 }
 
