@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, decontamination, merkle, pieces, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
+from . import bpe, collocations, decontamination, merkle, pieces, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_merkle": merkle.op11_merkle,
     "op12_pieces": pieces.op12_pieces,
+    "op13_collocations": collocations.op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op1_decontamination": decontamination.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
     "op10_token_counts": token_counts.SQL,
+    "op13_collocations": collocations.SQL,
 }
