@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .reports import pooled
+from .store import SnapshotStore, with_keys  # noqa: F401
 
 c = F.col
 
@@ -26,50 +27,21 @@ def long_table(deals: DataFrame, as_of: str, published_by: str, published_at: st
     )
 
 
-def with_keys(rows: DataFrame) -> DataFrame:
-    """A5: gp_key without characters that paths forbid, and as_of as text."""
-    gp = F.trim(F.regexp_replace(F.coalesce("gp_name", F.lit("")), r'[\\/:*?"<>|]', "-"))
-    return rows.withColumns({"gp_key": F.when(gp == "", "GP").otherwise(gp), "as_of": F.coalesce(c("track_record_date").cast("string"), F.lit("undated"))})
+def publish(rows: DataFrame, folder: str, txn: str | None = None) -> DataFrame:
+    """See SnapshotStore.publish()."""
+    return SnapshotStore(rows.sparkSession, folder).publish(rows, txn)
 
 
-def publish(rows: DataFrame, folder: str) -> DataFrame:
-    """Overwrites the snapshots of the rows' keys and no others; returns gp_key, as_of and whether each was there.
-
-    Rows are computed once: their keys are observed while they are written, and what was there is known by the names
-    of the partition folders. Rows of a key go to few files, a large key to several.
-    """
-    spark = rows.sparkSession
-    had = set(published_keys(spark, folder))
-    seen = Observation()
-    rows = with_keys(rows).hint("rebalance", "gp_key", "as_of").observe(seen, F.collect_set(F.struct("gp_key", "as_of")).alias("keys"))  # a key a snapshot
-    rows.write.partitionBy("gp_key", "as_of").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
-    keys = [tuple(k) for k in seen.get["keys"] or []]
-    return spark.createDataFrame([(*k, k in had) for k in keys], "gp_key string, as_of string, replaced boolean")
-
-
-def published_keys(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """(gp_key, as_of) of the snapshots in folder, by the names of its partitions."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    plain = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    found = fs.globStatus(jvm.Path(f"{folder.rstrip('/')}/gp_key=*/as_of=*")) or []
-    names = [(f.getPath().getParent().getName(), f.getPath().getName()) for f in found]
-    return [(plain(g[len("gp_key=") :]), plain(d[len("as_of=") :])) for g, d in names]
-
-
-def snapshots_exist(spark: SparkSession, folder: str) -> bool:
-    return bool(published_keys(spark, folder))
-
-
-def inventory(snapshots: DataFrame) -> DataFrame:
-    """Deals, publisher and time of each snapshot."""
-    return snapshots.groupBy("gp_name", "track_record_date").agg(F.count("*").alias("deals"), F.max_by("published_by", "published_at").alias("published_by"), F.max("published_at").alias("published_at"))
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """Deals, publisher and time of each snapshot, without a look at their data."""
+    return SnapshotStore(spark, folder).inventory()
 
 
 def read_snapshots(spark: SparkSession, folder: str, schema: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """All snapshots as one table; CSV needs a schema."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.csv(folder, header=True) if fmt == "csv" else reader.parquet(folder)
+    """All snapshots of a store as one table, or all files of a plain folder of CSV, which needs a schema."""
+    if fmt == "csv":
+        return spark.read.schema(schema).csv(folder, header=True)
+    return SnapshotStore(spark, folder).read()
 
 
 def _agree(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -1,20 +1,8 @@
-"""Folders of the queries, and inputs that are written once a session."""
+"""Inputs of the queries that are written once a session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-
-def folder(spark, name: str) -> str:
-    """A new folder where driver and executors both write: beside the checkpoints, or a local one where Spark runs locally."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..sources.shared import shared_folder as folder
 
 _BUILT: dict = {}
 

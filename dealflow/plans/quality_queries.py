@@ -119,8 +119,8 @@ def publish_all(spark, sf, where: str):
 
 
 def published(spark, sf):
-    """F-G written and read again: a folder with a partition for each manager and date."""
-    return A.read_snapshots(spark, built(spark, sf, "snapshots", lambda where: publish_all(spark, sf, where)))
+    """F-G written and read again, from a store."""
+    return _store(spark, sf).read()
 
 
 _SNAP = Q.over_deals("").rstrip() + ", snaps AS (" + " UNION ALL ".join(
@@ -128,12 +128,17 @@ _SNAP = Q.over_deals("").rstrip() + ", snaps AS (" + " UNION ALL ".join(
 ) + f" UNION ALL SELECT *, DATE '{SNAPSHOT_DATES[1]}', 'desk', TIMESTAMP '2002-02-01 00:00:00' FROM deals WHERE entry_date <= DATE '{SNAPSHOT_DATES[1]}' AND gp_name = 'GP_ASIA' AND fund IS NOT NULL), newest AS (SELECT * FROM snaps QUALIFY track_record_date = max(track_record_date) OVER (PARTITION BY gp_name))"
 
 
+def _store(spark, sf):
+    return A.SnapshotStore(spark, built(spark, sf, "snapshots", lambda where: publish_all(spark, sf, where)))
+
+
 def _snap(name, run, sql, latest=True):
-    QUERIES[name] = lambda spark, sf: run(A.latest(published(spark, sf)) if latest else published(spark, sf))
+    QUERIES[name] = lambda spark, sf: run(_store(spark, sf).latest() if latest else published(spark, sf))
     ORACLE_SQL[name] = f"{_SNAP} {sql}"
 
 
-_snap("A6_A7_inventory", A.inventory, "SELECT gp_name, track_record_date, count(*) AS deals, arg_max(published_by, published_at) AS published_by, max(published_at) AS published_at FROM snaps GROUP BY 1, 2", latest=False)
+QUERIES["A6_A7_inventory"] = lambda spark, sf: _store(spark, sf).inventory()
+ORACLE_SQL["A6_A7_inventory"] = f"{_SNAP} SELECT gp_name, track_record_date, count(*) AS deals, arg_max(published_by, published_at) AS published_by, max(published_at) AS published_at FROM snaps GROUP BY 1, 2"
 _snap("A4_A8_long_table", lambda s: s.select("deal_id", "gp_name", "track_record_date", "fund_currency", "gp_key", c("as_of").cast("string").alias("as_of")), "SELECT deal_id, gp_name, track_record_date, coalesce(fund_currency, 'USD') AS fund_currency, gp_name AS gp_key, track_record_date::VARCHAR AS as_of FROM snaps", latest=False)
 _snap("X1_latest", lambda s: s.select("deal_id", "gp_name", "track_record_date"), "SELECT deal_id, gp_name, track_record_date FROM newest")
 _snap("X2_over_time", A.over_time, f"SELECT * EXCLUDE impaired_ratio, round(moic - lag(moic) OVER (PARTITION BY gp_name ORDER BY track_record_date), 6) AS moic_change FROM (SELECT gp_name, track_record_date, {Q.POOLED} FROM snaps GROUP BY 1, 2)", latest=False)
