@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_blank, is_number
+from .segments import WIDTH, last_value, with_group
 
 c = F.col
 # Patterns of text that is no deal.
@@ -38,31 +39,31 @@ def is_note_header(raw: Column) -> Column:
     return s.rlike(NOTE) | s.startswith("(") | (F.length(s) > 80) | (_words(s) > 10) | s.rlike(AGGREGATE)
 
 
-def inherit_sections(rows: DataFrame, values: list[str]) -> DataFrame:
+def inherit_sections(rows: DataFrame, values: list[str], width: int = WIDTH) -> DataFrame:
     """A row with a company and nothing else names the fund of the rows below it, within its tab.
 
     Files whose fund column is more than half filled, and files where no banner stands above a row, stay as they
-    are. Banner rows go. values: the columns besides company that must be blank in a banner.
+    are. Banner rows go. values: the columns besides company that must be blank in a banner. A tab is scanned by ranges
+    of ``width`` row numbers, so no task holds a file.
     """
     others = None
     for v in values:
         others = is_blank(c(v)) if others is None else others & is_blank(c(v))
     banner = ~is_blank(c("company")) & others & ~is_annotation(c("company")) & ~is_note_header(c("company"))
-    file = Window.partitionBy("file")
-    up = Window.partitionBy("file", "tab").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = rows.withColumns({"__banner": F.coalesce(banner, F.lit(False)), "__filled": F.avg((~is_blank(c("fund"))).cast("double")).over(file)})
+    d = rows.withColumn("__banner", F.coalesce(banner, F.lit(False)))
     name = F.regexp_replace(F.trim("company"), VINTAGE_TAIL, "")
-    d = d.withColumn("__section", F.last(F.when(c("__banner"), name), ignorenulls=True).over(up))
-    used = F.max((c("__section").isNotNull() & ~c("__banner")).cast("int")).over(file) == 1
-    d = d.withColumn("__on", (c("__filled") <= 0.5) & used)
+    d = last_value(d, ["file", "tab"], "row_no", F.when(c("__banner"), name), "__section", width)
+    used = F.max((c("__section").isNotNull() & ~c("__banner")).cast("int")) == 1
+    files = d.groupBy("file").agg(((F.avg((~is_blank(c("fund"))).cast("double")) <= 0.5) & used).alias("__on"))
+    d = with_group(d, files, ["file"])
     d = d.withColumn("fund", F.when(c("__on"), F.coalesce("__section", "tab")).otherwise(c("fund")))
-    return d.where("NOT (__on AND __banner)").drop("__banner", "__filled", "__section", "__on")
+    return d.where("NOT (__on AND __banner)").select(*rows.columns)
 
 
 def fund_from_tab(rows: DataFrame) -> DataFrame:
     """E5: the tab names the fund where more than half of a file's funds are missing."""
-    missing = F.avg(c("fund").isNull().cast("double")).over(Window.partitionBy("file"))
-    return rows.withColumn("__missing", missing).withColumn("fund", F.when(c("__missing") > 0.5, c("tab")).otherwise(c("fund"))).drop("__missing")
+    files = rows.groupBy("file").agg((F.avg(c("fund").isNull().cast("double")) > 0.5).alias("__missing"))
+    return with_group(rows, files, ["file"]).withColumn("fund", F.when(c("__missing"), c("tab")).otherwise(c("fund"))).drop("__missing")
 
 
 def keep_first(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.catalog import CELL_BLANKS, CURRENCIES, DEAL_KEYWORDS, SHEET_KEYWORDS, SKIP_SHEETS
 
 c = F.col
@@ -40,7 +41,8 @@ def visible(cells: DataFrame) -> DataFrame:
 def row_summaries(cells: DataFrame) -> DataFrame:
     """One row for each row of a sheet that holds something: number, kinds and range of its filled cells.
 
-    Discovery reads cells once for these; all that follows up to the headers works on rows.
+    Discovery reads cells once for these; all that follows up to the headers works on rows, of which a sheet has at
+    most MAX_ROWS. Written once, bucketed by sheet (see shared.bucketed), they need no further shuffle.
     """
     year = r"\b(19|20)\d{2}\b"
     return filled_cells(cells).groupBy(*SHEET, "row_no").agg(
@@ -49,53 +51,86 @@ def row_summaries(cells: DataFrame) -> DataFrame:
     )
 
 
+def rows_of(cells: DataFrame) -> DataFrame:
+    """Row summaries, given as such or as cells."""
+    return cells if "texts" in cells.columns else row_summaries(cells)
+
+
 def sheet_profiles(cells: DataFrame) -> DataFrame:
-    """B2: used range and share of empty cells."""
-    g = row_summaries(cells).groupBy(*SHEET).agg(F.min("row_no").alias("min_row"), F.max("row_no").alias("max_row"), F.min("lo").alias("min_col"), F.max("hi").alias("max_col"), F.sum("n").alias("filled"))
+    """B2: used range and share of empty cells, from cells or row summaries."""
+    g = rows_of(cells).groupBy(*SHEET).agg(F.min("row_no").alias("min_row"), F.max("row_no").alias("max_row"), F.min("lo").alias("min_col"), F.max("hi").alias("max_col"), F.sum("n").alias("filled"))
     return g.withColumn("empty", 1 - c("filled") / ((c("max_row") - c("min_row") + 1) * (c("max_col") - c("min_col") + 1)))
 
 
+def _with_density(cells: DataFrame) -> DataFrame:
+    sheet = Window.partitionBy(*SHEET)
+    width = F.max("hi").over(sheet) - F.min("lo").over(sheet) + 1
+    least = F.greatest(F.lit(0.12), F.least(F.lit(0.20), 12 / F.greatest(c("width"), F.lit(60))))
+    d = rows_of(cells).withColumn("width", width).withColumn("density", c("n") / c("width"))
+    return d.withColumn("dense", c("density") >= least)
+
+
 def dense_rows(cells: DataFrame) -> DataFrame:
     """Rows filled enough for the width of their sheet."""
-    width = c("max_col") - c("min_col") + 1
-    least = F.greatest(F.lit(0.12), F.least(F.lit(0.20), 12 / F.greatest(width, F.lit(60))))
-    return row_summaries(cells).join(sheet_profiles(cells), SHEET).withColumn("density", c("n") / width).where(c("density") >= least).select(*SHEET, "row_no", "density")
+    return _with_density(cells).where("dense").select(*SHEET, "row_no", "density")
+
+
+def in_tables(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2) -> DataFrame:
+    """The row summaries inside blocks, with the block's bounds, whether a row is a header, and the first data row.
+
+    A block is a run of dense rows with no more than gap other rows between two. Its headers are dense rows of text at its
+    top, up to the first dense row of another kind, or else its first row. A row knows its block by counts over the
+    rows above it, so no row is compared with a block, however many blocks a sheet has.
+    """
+    up = Window.partitionBy(*SHEET).orderBy("row_no")
+    here = F.when(c("dense"), c("row_no"))
+    above = F.max(here).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    d = _with_density(cells).withColumn("new", c("dense") & F.coalesce(c("row_no") - above > gap + 1, F.lit(True)))
+    d = d.withColumn("block", F.sum(c("new").cast("int")).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    block = Window.partitionBy(*BLOCK)
+    d = d.withColumns({"first_row": F.min(here).over(block), "last_row": F.max(here).over(block)})
+    d = d.where((c("block") > 0) & (c("row_no") <= c("last_row")) & (c("last_row") - c("first_row") + 1 >= min_rows))
+    d = d.withColumns({"first_col": F.min("lo").over(block), "last_col": F.max("hi").over(block)}).where(c("last_col") - c("first_col") + 1 >= min_cols)
+    top = (c("row_no") < c("first_row") + MAX_HEADERS) & (c("row_no") < c("last_row"))
+    full = c("n") / (c("last_col") - c("first_col") + 1) >= 0.20
+    good = top & full & (c("texts") / c("n") >= 0.45) & (c("nums") / c("n") < 0.40)
+    stop = F.max((top & full & ~good).cast("int")).over(block.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumns({"good": good, "stop": stop}).withColumn("header", c("good") & (c("stop") == 0))
+    return d.withColumn("data_row", F.coalesce(F.max(F.when(c("header"), c("row_no"))).over(block), c("first_row")) + 1).drop("width", "density", "dense", "new", "good", "stop")
+
+
+_BOUNDS = ["first_row", "last_row", "first_col", "last_col"]
+
+
+def _with_headers(g, *aggs: Column) -> DataFrame:
+    """The blocks of grouped rows of in_tables(), with the aggregates and their header rows."""
+    d = g.agg(F.sort_array(F.collect_list(F.when(c("header"), c("row_no")))).alias("header_rows"), *aggs)
+    return d.withColumn("header_rows", F.when(F.size("header_rows") == 0, F.array("first_row")).otherwise(c("header_rows")))
 
 
 def blocks(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2) -> DataFrame:
-    """Runs of dense rows with no more than gap other rows between two, and their columns."""
-    w = Window.partitionBy(*SHEET).orderBy("row_no")
-    new = F.coalesce(c("row_no") - F.lag("row_no").over(w) > gap + 1, F.lit(True)).cast("int")
-    d = dense_rows(cells).withColumn("new", new).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    b = d.groupBy(*BLOCK).agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")).where(c("last_row") - c("first_row") + 1 >= min_rows)
-    x = in_blocks(cells, b).groupBy(*BLOCK, "first_row", "last_row").agg(F.min("lo").alias("first_col"), F.max("hi").alias("last_col"))
-    return x.where(c("last_col") - c("first_col") + 1 >= min_cols)
+    """Runs of dense rows and their columns."""
+    return in_tables(cells, gap, min_rows, min_cols).select(*BLOCK, *_BOUNDS).distinct()
 
 
-def in_blocks(cells: DataFrame, b: DataFrame) -> DataFrame:
-    """The row summaries inside blocks of their sheet."""
-    return row_summaries(cells).join(b, SHEET).where(c("row_no").between(c("first_row"), c("last_row")))
+def tables(cells: DataFrame) -> DataFrame:
+    """All blocks with their header rows and first data row."""
+    return _with_headers(in_tables(cells).groupBy(*BLOCK, *_BOUNDS, "data_row"))
 
 
 def header_rows(cells: DataFrame, b: DataFrame) -> DataFrame:
-    """The header rows of each block: dense rows of text at its top, up to the first dense row of another kind."""
-    width = c("last_col") - c("first_col") + 1
-    r = in_blocks(cells, b).where((c("row_no") < c("first_row") + MAX_HEADERS) & (c("row_no") < c("last_row")))
-    r = r.select(*BLOCK, "row_no", (c("n") / width).alias("full"), (c("texts") / c("n")).alias("text"), (c("nums") / c("n")).alias("num"))
-    good = (c("full") >= 0.20) & (c("text") >= 0.45) & (c("num") < 0.40)
-    w = Window.partitionBy(*BLOCK).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.max(((c("full") >= 0.20) & ~good).cast("int")).over(w)
-    found = r.withColumns({"good": good, "stop": stop}).where("good AND stop = 0").groupBy(*BLOCK).agg(F.sort_array(F.collect_list("row_no")).alias("header_rows"))
-    return b.join(found, BLOCK, "left").withColumn("header_rows", F.coalesce("header_rows", F.array("first_row"))).withColumn("data_row", F.array_max("header_rows") + 1)
+    """Blocks with their header rows and first data row."""
+    return b.join(tables(cells).select(*BLOCK, "header_rows", "data_row"), BLOCK)
 
 
 def headers(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     """(file, sheet, block, col_no, header): labels of all header rows joined, merged ones spread, made unique."""
-    at = h.select(*BLOCK, F.explode("header_rows").alias("row_no"))
+    at = h.select(*BLOCK, "first_col", "last_col", F.explode("header_rows").alias("row_no"))
     top = filled_cells(cells).join(at, [*SHEET, "row_no"]).select(*BLOCK, "row_no", "col_no", F.trim("value").alias("v"))
     m = merges.join(filled_cells(cells).select(*SHEET, c("row_no").alias("min_row"), c("col_no").alias("min_col"), F.trim("value").alias("v")), [*SHEET, "min_row", "min_col"])
-    m = m.join(h.select(*BLOCK, "header_rows", "first_col", "last_col"), SHEET)
-    spread = m.withColumn("row_no", F.explode(F.sequence("min_row", "max_row"))).withColumn("col_no", F.explode(F.sequence("min_col", "max_col"))).where(F.array_contains("header_rows", c("row_no")) & c("col_no").between(c("first_col"), c("last_col")))
+    # A merge meets the headers row by row, not all blocks of its sheet.
+    m = m.withColumn("row_no", F.explode(F.sequence("min_row", F.least("max_row", F.lit(MAX_ROWS))))).join(at, [*SHEET, "row_no"])
+    spread = m.withColumn("col_no", F.explode(F.sequence("min_col", "max_col"))).where(c("col_no").between(c("first_col"), c("last_col")))
     parts = spread.select(*BLOCK, "row_no", "col_no", "v", F.lit(0).alias("own")).union(top.select(*BLOCK, "row_no", "col_no", "v", F.lit(1).alias("own")))
     parts = parts.groupBy(*BLOCK, "row_no", "col_no").agg(F.min_by("v", "own").alias("v"))
     names = parts.groupBy(*BLOCK, "col_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "v"))), lambda x: x["v"]).alias("vs"))
@@ -111,18 +146,21 @@ def keyword_hits(text: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, DEAL_KEYWORDS)), F.lit(0), lambda a, k: a + text.contains(k).cast("int"))
 
 
-def candidates(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Blocks with orientation, density, what they hold, a score of 0 to 100, and whether deals are likely."""
-    h = header_rows(cells, blocks(cells)).where("data_row <= last_row")
-    data = in_blocks(cells, h).where("row_no >= data_row")
-    leads = c("lo") == c("first_col")  # the row has a cell in the block's first column
-    g = data.groupBy(*BLOCK).agg(
-        F.sum("n").alias("n"), F.max(c("dated").cast("int")).alias("has_date"), F.max((c("nums") > 0).cast("int")).alias("has_number"),
-        F.avg(F.when(leads, (c("kind") == "s").cast("double"))).alias("first_text"),
+def candidates(cells: DataFrame, merges: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Blocks with orientation, density, what they hold, a score of 0 to 100, and whether deals are likely.
+
+    rows: row_summaries(cells), where they are kept; cells are then read for the headers only.
+    """
+    d = in_tables(cells if rows is None else rows).where("data_row <= last_row")
+    data, leads = c("row_no") >= c("data_row"), c("lo") == c("first_col")  # the row has a cell in the block's first column
+    of = lambda x: F.when(data, x)
+    d = _with_headers(
+        d.groupBy(*BLOCK, *_BOUNDS, "data_row"), F.sum(of(c("n"))).alias("n"), F.max(of(c("dated").cast("int"))).alias("has_date"), F.max(of((c("nums") > 0).cast("int"))).alias("has_number"),
+        F.avg(F.when(data & leads, (c("kind") == "s").cast("double"))).alias("first_text"),
         F.max(F.when(c("row_no") == c("data_row"), F.try_divide(c("nums") - (leads & (c("kind") == "n")).cast("int"), c("n") - leads.cast("int")))).alias("row_num"),
-    )
-    labels = headers(cells, merges, h).where(~c("header").rlike(r"^_col\d+$")).groupBy(*BLOCK).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "header"))), lambda x: x["header"]).alias("sample_headers"))
-    d = h.join(g, BLOCK).join(labels, BLOCK, "left").withColumn("sample_headers", F.coalesce("sample_headers", F.array().cast("array<string>")))
+    ).where("n IS NOT NULL")
+    labels = headers(cells, merges, d).where(~c("header").rlike(r"^_col\d+$")).groupBy(*BLOCK).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "header"))), lambda x: x["header"]).alias("sample_headers"))
+    d = d.join(labels, BLOCK, "left").withColumn("sample_headers", F.coalesce("sample_headers", F.array().cast("array<string>")))
     d = d.withColumns({"rows": c("last_row") - c("data_row") + 1, "cols": c("last_col") - c("first_col") + 1, "hits": keyword_hits(F.lower(F.array_join("sample_headers", " ")))})
     turned = F.when(c("first_text").isNull(), "unknown").when((c("first_text") > 0.75) & (c("row_num") > 0.5), "col_per_record").otherwise("row_per_record")
     d = d.withColumns({"orientation": turned, "density": c("n") / (c("rows") * c("cols"))})
@@ -131,19 +169,22 @@ def candidates(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def primary_tables(found: DataFrame, sheets: DataFrame) -> DataFrame:
-    """The best candidate of each file, likely ones first; ties go to the earlier sheet and block."""
+    """The candidate of each file with the highest score; ties go to the earlier sheet and block."""
     d = found.join(sheets.select(*SHEET, "sheet_idx").distinct(), SHEET)
-    w = Window.partitionBy("file_id").orderBy(F.desc("likely"), F.desc("score"), "sheet_idx", "block")
+    w = Window.partitionBy("file_id").orderBy(F.desc("score"), "sheet_idx", "block")
     return d.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
 def layouts(found: DataFrame, sheets: DataFrame, ratio: float = 0.75, overlap: float = 0.5) -> DataFrame:
-    """per_fund where other sheets hold a likely table of the primary one's width and header words, else consolidated."""
-    toks = F.array_distinct(F.filter(F.split(F.lower(F.array_join("sample_headers", " ")), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
+    """per_fund where other sheets hold a likely table of the primary one's width and of its header words, else consolidated.
+
+    Words are those of the first 15 headers; of each sheet its best likely table is compared.
+    """
+    toks = F.array_distinct(F.filter(F.split(F.lower(F.array_join(F.slice("sample_headers", 1, 15), " ")), "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
     d = found.join(sheets.select(*SHEET, "sheet_idx").distinct(), SHEET)
     # The tables of one file, best first as in primary_tables().
-    table = F.struct((~c("likely")).alias("not_likely"), (-c("score")).alias("rank"), "sheet_idx", "block", "sheet", "cols", toks.alias("toks"))
-    d = d.groupBy("file_id").agg(F.array_sort(F.collect_list(table)).alias("tables")).withColumns({"p": F.get("tables", F.lit(0)), "good": F.filter("tables", lambda t: ~t["not_likely"])})
+    table = F.struct((-c("score")).alias("rank"), "sheet_idx", "block", "sheet", "cols", toks.alias("toks"), "likely")
+    d = d.groupBy("file_id").agg(F.array_sort(F.collect_list(table)).alias("tables")).withColumns({"p": F.get("tables", F.lit(0)), "good": F.filter("tables", lambda t: t["likely"])})
     names = F.transform("good", lambda t: t["sheet"])
     best = F.filter("good", lambda t, i: F.array_position(names, t["sheet"]) == i + 1)  # of each sheet
     p = c("p")
@@ -154,6 +195,12 @@ def layouts(found: DataFrame, sheets: DataFrame, ratio: float = 0.75, overlap: f
     return d.select("file_id", F.when(F.size("siblings") == 0, "consolidated").otherwise("per_fund").alias("layout"), F.transform(every, lambda x: x["sheet"]).alias("sheets"))
 
 
+def _ends(h: DataFrame) -> DataFrame:
+    """Tables with the first row of the next one on their sheet."""
+    end = F.lead("first_row").over(Window.partitionBy(*SHEET).orderBy("first_row"))
+    return h.select(*BLOCK, "first_row", "data_row").withColumn("end", end).drop("first_row")
+
+
 def table_rows(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     """A1: rows of tables with known headers as maps from header to value; blank rows do not arise.
 
@@ -161,22 +208,48 @@ def table_rows(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     the next table that h has on it.
     """
     names = headers(cells, merges, h)
-    end = F.lead("first_row").over(Window.partitionBy(*SHEET).orderBy("first_row"))
-    b = h.select(*BLOCK, "first_row", "data_row").withColumn("end", end)
-    d = filled_cells(cells, None, None).join(b, SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)").join(names, [*BLOCK, "col_no"])
+    d = filled_cells(cells, None, None).join(_ends(h), SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)").join(names, [*BLOCK, "col_no"])
     return d.groupBy(*BLOCK, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("vals"))
 
 
-def input_grid(cells: DataFrame) -> DataFrame:
-    """A2: rows of deal-input grids as (file_id, row_no, header, value): below the row that says Company in column 2, up to the first blank row."""
+def _input_parts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of deal-input grids below their header row, and their headers: those without a gap from column 2 on."""
     clean = F.trim(F.regexp_replace("value", r"\s+", " "))
     top = cells.where((c("col_no") == 2) & (c("row_no") <= 25) & (F.lower(clean) == "company")).groupBy("file_id").agg(F.min("row_no").alias("header_row"))
-    full = cells.where(F.trim("value") != "").join(top, "file_id").where("row_no >= header_row AND col_no >= 2")
+    full = cells.where((F.trim("value") != "") & (c("col_no") >= 2)).join(top, "file_id").where("row_no >= header_row")
     names = full.where("row_no = header_row").select("file_id", "col_no", clean.alias("header"))
-    rows = full.select("file_id", "row_no", "header_row").distinct()
-    w = Window.partitionBy("file_id").orderBy("row_no")
-    run = rows.withColumn("k", c("row_no") - F.row_number().over(w) - c("header_row") + 1).where("k = 0 AND row_no > header_row").select("file_id", "row_no")
-    return full.join(run, ["file_id", "row_no"]).join(names, ["file_id", "col_no"]).select("file_id", "row_no", "header", F.trim("value").alias("value"))
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("col_no"))
+    return full, names.withColumn("k", place).where("k = col_no - 1").drop("k")
+
+
+def input_headers(cells: DataFrame) -> DataFrame:
+    """A2: (file_id, header) of deal-input grids."""
+    return _input_parts(cells)[1].select("file_id", "header")
+
+
+def input_grid(cells: DataFrame) -> DataFrame:
+    """A2: rows of deal-input grids as (file_id, row_no, header, value): below the row that says Company in column 2, up to the first row that is blank under all headers."""
+    full, names = _input_parts(cells)
+    under = full.join(names, ["file_id", "col_no"])
+    # The first blank row follows the first row after which one is missing; only gaps are ranked, not all rows.
+    rows = under.select("file_id", "row_no", "header_row").distinct()
+    after = rows.select("file_id", (c("row_no") + 1).alias("row_no"))
+    gaps = after.join(rows.select("file_id", "row_no"), ["file_id", "row_no"], "left_anti").groupBy("file_id").agg(F.min("row_no").alias("end"))
+    return under.join(gaps, "file_id").where("row_no > header_row AND row_no < end").select("file_id", "row_no", "header", F.trim("value").alias("value"))
+
+
+def input_meta(cells: DataFrame) -> DataFrame:
+    """A2: (file_id, gp_name, as_of, currency) of all deal-input grids: labels in column 2 of the first 15 rows, values beside them.
+
+    Of a label that occurs twice the lower one counts, with a value for name and currency; a date that cannot be read is null.
+    """
+    top = cells.where("row_no <= 15")
+    label = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
+    labels = top.where("col_no = 2").select("file_id", "row_no", label.alias("label")).where(c("label").isin("gp name", "track record date", "currency"))
+    beside = labels.join(top.where("col_no = 3").select("file_id", "row_no", F.trim("value").alias("v")), ["file_id", "row_no"], "left")
+    last = lambda name, value: F.max_by(value, F.when((c("label") == name) & (value.isNotNull() | F.lit(name == "track record date")), c("row_no")))
+    meta = beside.groupBy("file_id").agg(last("gp name", c("v")).alias("gp_name"), last("track record date", S.to_date(c("v"))).alias("as_of"), last("currency", c("v")).alias("currency"))
+    return cells.select("file_id").distinct().join(meta, "file_id", "left")
 
 
 def header_differences(found: DataFrame, expected: list[str]) -> DataFrame:
@@ -219,7 +292,7 @@ def date_from_file_name(name: Column) -> Column:
 
 
 def track_record_dates(cells: DataFrame) -> DataFrame:
-    """Of each file the date beside, below or inside an as-of label at its top, else the one in its name."""
+    """Of each file the date beside, below or inside an as-of label at its top, else the one in its name, else the first date of its banner."""
     top = visible(cells).where("row_no <= 12 AND col_no <= 25")
     at = top.where((c("vtype") == "s") & c("value").rlike(ASOF)).select("file_id", "sheet", "sheet_idx", "row_no", "col_no", text_date(F.regexp_replace(F.regexp_replace("value", r"(?is)^.*" + ASOF[4:], ""), r"^[ :,-]+|[ :,-]+$", "")).alias("inline"))
     near = top.select("file_id", "sheet", c("row_no").alias("r"), c("col_no").alias("k"), text_date(c("value")).alias("d"))
@@ -227,8 +300,16 @@ def track_record_dates(cells: DataFrame) -> DataFrame:
     beside = at.join(near, ["file_id", "sheet"]).withColumn("p", place).where("p IS NOT NULL AND year(d) >= 1990").select("file_id", "sheet_idx", "row_no", "col_no", "p", "d")
     every = at.where("inline IS NOT NULL").select("file_id", "sheet_idx", "row_no", "col_no", F.lit(0).alias("p"), c("inline").alias("d")).union(beside)
     best = every.groupBy("file_id").agg(F.min_by("d", F.struct("sheet_idx", "row_no", "col_no", "p")).alias("label_date"))
-    files = cells.select("file_id", "file_name").distinct()
-    return files.join(best, "file_id", "left").select("file_id", F.coalesce("label_date", date_from_file_name(c("file_name"))).alias("as_of"))
+    files = cells.select("file_id", "file_name").distinct().join(best, "file_id", "left").join(first_dates(cells), "file_id", "left")
+    return files.select("file_id", F.coalesce("label_date", date_from_file_name(c("file_name")), "first_date").alias("as_of"))
+
+
+def first_dates(cells: DataFrame) -> DataFrame:
+    """(file_id, first_date): the first date in the banners of a file's visible sheets, as a date from 1990 on or as text."""
+    top = visible(cells).where("row_no <= 10 AND col_no <= 20")
+    typed = F.when(c("vtype") == "d", F.substring(F.trim("value"), 1, 10).try_cast("date"))
+    day = F.coalesce(F.when(F.year(typed) >= 1990, typed), F.when(c("vtype") == "s", text_date(c("value"))))
+    return top.withColumn("day", day).where("day IS NOT NULL").groupBy("file_id").agg(F.min_by("day", F.struct("sheet_idx", "row_no", "col_no")).alias("first_date"))
 
 
 def unit_banner(cells: DataFrame) -> DataFrame:
@@ -247,7 +328,9 @@ def metadata(cells: DataFrame) -> DataFrame:
     money = top.where(code != "").groupBy("file_id").agg(F.upper(F.min_by(code, place)).alias("currency"))
     name = F.trim(F.regexp_replace("v", TRAILING, ""))
     named = top.where((c("vtype") == "s") & F.length("v").between(4, 80) & (code == "")).withColumn("name", name).where(F.length("name").between(4, 60))
-    named = named.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("sheet_idx", "row_no", "col_no"))).where("k <= 200")  # the 10 x 20 banner cells of a sheet
+    # Each name at its first place; six of them, as one may be the file's own.
+    named = named.groupBy("file_id", "name").agg(F.min(place).alias("place"))
+    named = named.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("place"))).where("k <= 6")
     names = named.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("names"))
     files = cells.groupBy("file_id").agg(F.first("file_name").alias("file_name"))
     d = files.join(names, "file_id", "left").join(money, "file_id", "left").withColumn("own", gp_from_file_name(c("file_name")))
@@ -255,13 +338,24 @@ def metadata(cells: DataFrame) -> DataFrame:
     return d.select("file_id", F.slice(F.array_distinct(every), 1, 5).alias("gp_names"), "currency")
 
 
-def banner_meta(cells: DataFrame, h: DataFrame) -> DataFrame:
-    """Of the rows above a table, the first date after 1990 and the first name, cut before a descriptor."""
+def banner_meta(cells: DataFrame, h: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Of the rows above a table, the first date after 1990 and the first name, cut before a descriptor; and its currency.
+
+    The currency is the first value of the first column with values whose header speaks of currency, USD without one;
+    names: headers() of the tables.
+    """
     above = cells.join(h.select(*BLOCK, F.array_min("header_rows").alias("top")), SHEET).where("row_no < top AND row_no <= 10").withColumn("v", F.trim("value"))
     place = F.struct("row_no", "col_no")
     d = F.when(c("vtype") == "d", c("v").try_cast("date"))
     name = F.when(d.isNull() & (F.length("v") > 3), F.trim(F.regexp_replace("v", r"(?is)\s+(equity|portfolio|workbook|track|record|data).*$", "")))
-    return above.groupBy(*BLOCK).agg(F.min_by(d, F.when(F.year(d) > 1990, place)).alias("report_date"), F.min_by(name, F.when(name.isNotNull(), place)).alias("gp_name"))
+    out = above.groupBy(*BLOCK).agg(F.min_by(d, F.when(F.year(d) > 1990, place)).alias("report_date"), F.min_by(name, F.when(name.isNotNull(), place)).alias("gp_name"))
+    if names is None:
+        return out
+    money = names.where(F.lower("header").contains("currency") & ~c("header").startswith("_col")).select(*BLOCK, "col_no")
+    below = filled_cells(cells, None, None).join(money, [*SHEET, "col_no"]).join(_ends(h), BLOCK).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
+    first = below.groupBy(*BLOCK).agg(F.min_by(F.trim("value"), F.struct("col_no", "row_no")).alias("currency"))
+    every = h.select(*BLOCK).join(out, BLOCK, "left").join(first, BLOCK, "left")
+    return every.withColumn("currency", F.coalesce("currency", F.lit("USD")))
 
 
 def sheet_scores(sheets: DataFrame) -> DataFrame:

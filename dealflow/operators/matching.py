@@ -192,7 +192,11 @@ def save_mapping(mapped: DataFrame, gp_name: Column, folder: str) -> None:
 
 def load_mapping(spark: SparkSession, folder: str, *gp_names: str) -> DataFrame:
     """(slug, file, field_id, column) as stored for the named managers, of all without names; none where nothing is stored."""
-    rows = spark.read.schema("file string, field_id string, col_name string, slug string").option("basePath", folder).parquet(folder).withColumnRenamed("col_name", "column")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    schema = "file string, field_id string, col_name string, slug string"
+    stored = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(folder) if stored else spark.createDataFrame([], schema)
+    rows = rows.withColumnRenamed("col_name", "column")
     if gp_names:
         keys = spark.createDataFrame([(n,) for n in gp_names], "name string").select(slug(c("name")).alias("slug")).distinct()
         rows = rows.join(keys, "slug", "left_semi")

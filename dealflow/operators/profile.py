@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import MONETARY, PROFILE_BLANKS, UNITS
+from .medians import medians
 
 c = F.col
 
@@ -81,7 +82,7 @@ def monetary_scale(values: DataFrame, headers: DataFrame, banners: DataFrame) ->
 
     values: (file, field_id, value); headers: (file, field_id, col_name); banners: (file, banner) with k, m or null.
     """
-    med = values.where(c("field_id").isin(*MONETARY)).withColumn("a", F.abs("value")).where("a > 0").groupBy("file", "field_id").agg(F.median("a").alias("m"))
+    med = medians(values.where(c("field_id").isin(*MONETARY)).withColumn("a", F.abs("value")).where("a > 0"), ["file", "field_id"], c("a"), "m")
     d = med.join(headers, ["file", "field_id"], "left").join(banners, "file", "left").withColumn("hint", unit(c("col_name")))
     top = F.max("m").over(Window.partitionBy("file"))
     d = d.withColumn("regime", F.when(top >= 1e6, "abs").when(top >= 5e4, "k"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .medians import medians
 from .reports import pooled
+from .segments import agree
 from .store import SnapshotStore, with_keys  # noqa: F401
 
 c = F.col
@@ -44,21 +44,16 @@ def read_snapshots(spark: SparkSession, folder: str, schema: str | None = None,
     return SnapshotStore(spark, folder).read()
 
 
-def _agree(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Whether both sides have the same keys, nulls included."""
-    return reduce(lambda x, y: x & y, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def newest(rows: DataFrame, keys: tuple[str, ...] = ("gp_name", "track_record_date")) -> DataFrame:
     """Of each key the rows of its latest publication; a publication without a time is older than every other."""
     last = rows.groupBy(*keys).agg(F.max("published_at").alias("published_at"))  # a row a snapshot
-    return rows.join(last, _agree(rows, last, [*keys, "published_at"]), "left_semi")
+    return rows.join(last, agree(rows, last, [*keys, "published_at"]), "left_semi")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
     """The rows of each manager's latest as-of date; undated ones where a manager has no other."""
     last = snapshots.groupBy("gp_name").agg(F.max("track_record_date").alias("track_record_date"))  # a row a manager
-    return snapshots.join(last, _agree(snapshots, last, ["gp_name", "track_record_date"]), "left_semi")
+    return snapshots.join(last, agree(snapshots, last, ["gp_name", "track_record_date"]), "left_semi")
 
 
 def over_time(snapshots: DataFrame) -> DataFrame:
@@ -70,7 +65,9 @@ def over_time(snapshots: DataFrame) -> DataFrame:
 
 def overview(latest_rows: DataFrame) -> DataFrame:
     """Managers, deals, pooled multiple and median hold."""
-    return latest_rows.agg(F.count_distinct("gp_name").alias("gps"), F.count("*").alias("deals"), F.round(S.divide(F.sum(F.coalesce("total_value", F.lit(0))), F.sum("ic_weight")), 6).alias("moic"), F.round(F.median("hold_period"), 6).alias("median_hold"))
+    out = latest_rows.agg(F.count_distinct("gp_name").alias("gps"), F.count("*").alias("deals"), F.round(S.divide(F.sum(F.coalesce("total_value", F.lit(0))), F.sum("ic_weight")), 6).alias("moic"))
+    hold = medians(latest_rows, [], c("hold_period"), "median_hold").agg(F.round(F.first("median_hold"), 6).alias("median_hold"))
+    return out.crossJoin(hold)  # one row each
 
 
 def by_gp(latest_rows: DataFrame) -> DataFrame:

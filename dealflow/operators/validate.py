@@ -94,6 +94,14 @@ NUMERIC = ("total_ic", "realized", "current_value", "gross_tvpi", "gross_irr")
 DATES = ("entry_date", "exit_date")
 
 
+def _first_bad(rows: DataFrame, bad: str, file: str, shown: int) -> DataFrame:
+    """(file, cells): the first bad cells of each file; ranks are cut before the shuffle, so no task holds a file's."""
+    cells = rows.select(file, "row_no", F.posexplode(bad).alias("i", "x"))
+    first = cells.withColumn("k", F.row_number().over(Window.partitionBy(file).orderBy("row_no", "i"))).where(c("k") <= shown)
+    text = F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "row_no"))), lambda s: F.concat(s["x"], F.lit(" row "), s["row_no"].cast("string")))
+    return first.groupBy(file).agg(F.array_join(text, "; ").alias("cells"))
+
+
 def gate(rows: DataFrame, meta: DataFrame, file: str = "file", shown: int = 8) -> DataFrame:
     """For each file the counts behind errors and warnings, the first bad cells, and the decision.
 
@@ -101,26 +109,23 @@ def gate(rows: DataFrame, meta: DataFrame, file: str = "file", shown: int = 8) -
     blocked, 2 needs consent, 0 publishable. Only the first ``shown`` bad cells of a file are listed, all count.
     """
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
-    bad_n = [F.when(~blank(x) & c(x).try_cast("double").isNull(), F.concat(F.lit(f"{x} row "), c("row_no").cast("string"))) for x in NUMERIC]
-    bad_d = [F.when(~blank(x) & S.to_date(c(x)).isNull(), F.concat(F.lit(f"{x} row "), c("row_no").cast("string"))) for x in DATES]
+    bad_n = [F.when(~blank(x) & c(x).try_cast("double").isNull(), F.lit(x)) for x in NUMERIC]
+    bad_d = [F.when(~blank(x) & S.to_date(c(x)).isNull(), F.lit(x)) for x in DATES]
     d = rows.withColumns({"n_bad": F.array_compact(F.array(*bad_n)), "d_bad": F.array_compact(F.array(*bad_d))})
-    w = Window.partitionBy(file).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumns({"before_n": F.coalesce(F.sum(F.size("n_bad")).over(w), F.lit(0)), "before_d": F.coalesce(F.sum(F.size("d_bad")).over(w), F.lit(0))})
     tvpi, irr, ic = (c(x).try_cast("double") for x in ("gross_tvpi", "gross_irr", "total_ic"))
-    first = lambda bad, before: F.array_join(F.slice(F.flatten(F.array_sort(F.collect_list(F.when((F.size(bad) > 0) & (c(before) < shown), F.struct("row_no", c(bad).alias("x")))))["x"]), 1, shown), "; ")
     out = d.groupBy(file).agg(
         F.count("*").alias("rows"),
         F.count_if(blank(c("company"))).alias("blank_company"),
         F.sum(F.size("n_bad")).alias("bad_numbers"),
         F.sum(F.size("d_bad")).alias("bad_dates"),
-        first("n_bad", "before_n").alias("first_bad_numbers"),
-        first("d_bad", "before_d").alias("first_bad_dates"),
         F.count_if(blank(c("fund"))).alias("blank_fund"),
         F.count_if(~blank(c("status")) & ~F.lower(F.trim("status")).isin("realized", "unrealized")).alias("other_status"),
         F.count_if(F.coalesce(tvpi < 0, F.lit(False))).alias("negative_tvpi"),
         F.count_if(F.coalesce(F.abs(irr) > 3, F.lit(False))).alias("large_irr"),
         F.count_if(blank(c("total_ic")) | F.coalesce(ic == 0, F.lit(False))).alias("no_ic"),
     )
+    for bad, name in (("n_bad", "first_bad_numbers"), ("d_bad", "first_bad_dates")):
+        out = out.join(_first_bad(d, bad, file, shown).withColumnRenamed("cells", name), file, "left").withColumn(name, F.coalesce(name, F.lit("")))
     out = meta.join(out, file, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     errors = blank(c("gp_name")) | c("as_of").isNull() | (c("rows") == 0) | (F.coalesce(c("blank_company") + c("bad_numbers") + c("bad_dates"), F.lit(0)) > 0)
     warnings = blank(c("currency")) | (F.coalesce(c("blank_fund") + c("other_status") + c("negative_tvpi") + c("large_irr") + c("no_ic"), F.lit(0)) > 0)

@@ -12,8 +12,9 @@ from ..operators import matching as M
 from ..operators import profile as P
 from ..operators import standard as N
 from ..sources import fixtures as X
+from ..sources.shared import bucketed
 from . import sql as Q
-from .inputs import built, folder
+from .inputs import built, built_table, folder
 from .match_sql import TWINS
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -25,6 +26,11 @@ def _cells(spark, sf):
     return spark.read.parquet(built(spark, sf, "cells", X.landed_cells(spark, sf).write.parquet))
 
 
+def _rows(spark, sf):
+    """The row summaries of the landed grid, written once in buckets of sheets."""
+    return built_table(spark, sf, "rows", lambda: bucketed(B.row_summaries(_cells(spark, sf)), B.SHEET, [*B.SHEET, "row_no"], "rows"))
+
+
 FIN = ["total_ic", "realized"]
 
 # ---- cleaning
@@ -169,10 +175,10 @@ ORACLE_SQL["A11_stored_mapping"] = f"{ORACLE_SQL['D14_mapping_log'].rsplit('SELE
 
 # ---- discovery
 _merges = X.landed_merges
-_found = lambda spark, sf: B.candidates(_cells(spark, sf), _merges(spark))
-QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_cells(spark, sf)).select("file_id", "sheet", "min_row", "max_row", "min_col", "max_col", F.round("empty", 6).alias("empty"))
+_found = lambda spark, sf: B.candidates(_cells(spark, sf), _merges(spark), _rows(spark, sf))
+QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_rows(spark, sf)).select("file_id", "sheet", "min_row", "max_row", "min_col", "max_col", F.round("empty", 6).alias("empty"))
 ORACLE_SQL["B1_B2_sheet_profiles"] = lambda: f"WITH {_SEEN} SELECT file_id, sheet, 1 AS min_row, max(r + 4)::INTEGER AS max_row, 2 AS min_col, {_WIDTH + 1} AS max_col, round(1 - (sum(filled) + {_WIDTH} + 3) / (max(r + 4) * {_WIDTH}), 6)::DOUBLE AS empty FROM seen WHERE r <= {B.MAX_ROWS - 4} GROUP BY 1, 2"
-QUERIES["B3_B5_blocks"] = lambda spark, sf: B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf))).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
+QUERIES["B3_B5_blocks"] = lambda spark, sf: B.tables(_rows(spark, sf)).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
 ORACLE_SQL["B3_B5_blocks"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 4 AS first_row, least(count(*) + 4, 2000)::INTEGER AS last_row, 2 AS first_col, {len(X.SHEET_HEADERS) + 1} AS last_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 QUERIES["B6_B12_primary"] = lambda spark, sf: B.primary_tables(_found(spark, sf), _cells(spark, sf)).select("file_id", "sheet", "rows", "cols", "orientation", "likely", F.round("score", 4).alias("score"))
 _KIND = {"entry_date": "d", "exit_date": "d"} | dict.fromkeys(("total_ic", "realized", "gross_tvpi", "current_value", "entry_rev", "entry_ebitda", "entry_ev"), "n")
@@ -191,11 +197,11 @@ ORACLE_SQL["B6_B12_primary"] = f"""WITH {_SEEN}, g AS (SELECT file_id, sheet, co
   h AS (SELECT file_id, sheet, len(list_filter({list(DEAL_KEYWORDS)}, lambda w: contains(t, w))) AS hits FROM (SELECT file_id, sheet, lower(string_agg(header, ' ' ORDER BY col_no)) AS t FROM labels GROUP BY 1, 2)),
   o AS (SELECT *, CASE WHEN row_num > 0.5 THEN 'col_per_record' ELSE 'row_per_record' END AS orientation, hits >= 3 AND rows >= 3 AS likely FROM g JOIN h USING (file_id, sheet)),
   p AS (SELECT *, greatest(0, least(100, least(25, 8 * ln(1 + rows)) + least(20, 2.0 * cols) + 15 * least(1, n / (rows * cols)) + 10 * has_date + 10 * has_number + least(20, 2.0 * hits) - CASE WHEN orientation = 'col_per_record' THEN 10 ELSE 0 END)) AS s FROM o)
-  SELECT file_id, sheet, rows, cols, orientation, likely, round(s::DOUBLE, 4) AS score FROM p QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY likely DESC, s DESC, sheet) = 1"""
+  SELECT file_id, sheet, rows, cols, orientation, likely, round(s::DOUBLE, 4) AS score FROM p QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY s DESC, sheet) = 1"""
 ORACLE_SQL["B7_B8_headers"] = f"WITH {_SEEN} SELECT file_id, sheet, col_no::INTEGER AS col_no, header FROM labels"
 ORACLE_SQL["B22_widest_row"] = f"WITH {_SEEN}, w AS (SELECT file_id, sheet, r + 4 AS row_no, filled FROM seen WHERE r <= 26 UNION ALL SELECT file_id, sheet, 4, {_WIDTH} FROM heads) SELECT file_id, sheet, arg_min(row_no, struct_pack(a := -filled, b := row_no))::INTEGER AS header_row FROM w GROUP BY 1, 2"
 ORACLE_SQL["A1_table_rows"] = f"WITH {_SEEN} SELECT file_id, count(*) AS rows, sum(filled)::BIGINT AS cells FROM body WHERE r > k GROUP BY 1"
-QUERIES["B7_B8_headers"] = lambda spark, sf: B.headers(_cells(spark, sf), _merges(spark), B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf)))).select("file_id", "sheet", "col_no", "header")
+QUERIES["B7_B8_headers"] = lambda spark, sf: B.headers(_cells(spark, sf), _merges(spark), B.tables(_rows(spark, sf))).select("file_id", "sheet", "col_no", "header")
 QUERIES["B13_layouts"] = lambda spark, sf: B.layouts(_found(spark, sf), _cells(spark, sf)).select("file_id", "layout", F.array_join("sheets", ";").alias("sheets"))
 ORACLE_SQL["B13_layouts"] = f"{_SHEETS} SELECT file_id, 'per_fund' AS layout, string_agg(sheet, ';' ORDER BY sheet) AS sheets FROM sheets GROUP BY file_id"
 QUERIES["B14_B16_metadata"] = lambda spark, sf: B.metadata(_cells(spark, sf)).select("file_id", F.array_join("gp_names", ";").alias("gp_names"), "currency")
@@ -207,9 +213,9 @@ ORACLE_SQL["B20_unit_banner"] = f"{_SHEETS} SELECT DISTINCT file_id, 'm' AS bann
 QUERIES["B21_sheet_scores"] = lambda spark, sf: B.sheet_scores(_cells(spark, sf))
 ORACLE_SQL["B21_sheet_scores"] = f"{_SHEETS} SELECT file_id, sheet, (row_number() OVER (PARTITION BY file_id ORDER BY sheet) - 1)::INTEGER AS sheet_idx, 1 AS score, row_number() OVER (PARTITION BY file_id ORDER BY sheet) = 1 AS is_main, true AS is_deal_sheet FROM sheets"
 QUERIES["B22_widest_row"] = lambda spark, sf: B.widest_row(_cells(spark, sf))
-QUERIES["B23_banner_meta"] = lambda spark, sf: B.banner_meta(_cells(spark, sf), B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf)))).select("file_id", "sheet", "report_date", "gp_name")
+QUERIES["B23_banner_meta"] = lambda spark, sf: B.banner_meta(_cells(spark, sf), B.tables(_rows(spark, sf))).select("file_id", "sheet", "report_date", "gp_name")
 ORACLE_SQL["B23_banner_meta"] = f"{_SHEETS} SELECT file_id, sheet, NULL::DATE AS report_date, 'Alpha Capital' AS gp_name FROM sheets"
-QUERIES["A1_table_rows"] = lambda spark, sf: B.table_rows(_cells(spark, sf), _merges(spark), B.header_rows(_cells(spark, sf), B.blocks(_cells(spark, sf)))).groupBy("file_id").agg(F.count("*").alias("rows"), F.sum(F.size("vals")).alias("cells"))
+QUERIES["A1_table_rows"] = lambda spark, sf: B.table_rows(_cells(spark, sf), _merges(spark), B.tables(_rows(spark, sf))).groupBy("file_id").agg(F.count("*").alias("rows"), F.sum(F.size("vals")).alias("cells"))
 _INPUT = lambda spark, sf: B.input_grid(_cells(spark, sf).where("row_no >= 4").withColumn("value", F.when(c("row_no") == 4, F.regexp_replace("value", r"Portfolio Company \(a\)", "Company")).otherwise(c("value"))).withColumn("file_id", F.concat_ws("/", "file_id", "sheet")))
 QUERIES["A2_input_grid"] = lambda spark, sf: _INPUT(spark, sf).groupBy("file_id").agg(F.count_distinct("row_no").alias("rows"))
 ORACLE_SQL["A2_input_grid"] = f"{_SHEETS} SELECT gp_name || '/' || fund || ' - Deal Data' AS file_id, count(*) AS rows FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"

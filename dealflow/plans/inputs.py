@@ -15,3 +15,11 @@ def built(spark, sf, name: str, write) -> str:
         write(where)
         _BUILT[key] = where
     return _BUILT[key]
+
+
+def built_table(spark, sf, name: str, make):
+    """The DataFrame that make() returned, once a session and input."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
