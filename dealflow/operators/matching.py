@@ -13,6 +13,7 @@ from ..functions.catalog import BOOSTS, FIELDS, OPTIONAL, PATTERNS
 
 c = F.col
 REVIEW, AUTO = 0.50, 0.85
+FIELD_IDS = [f[0] for f in FIELDS]
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 URL = r"(?i)https?://|www\.|\.(com|net|org|io|co)\b"
 
@@ -91,8 +92,12 @@ def company_likeness() -> Column:
     )
 
 
-def scores(columns: DataFrame) -> DataFrame:
-    """(file, col_index, col_name, field_id, field_ord, confidence, signals) where anything speaks for it."""
+def scores(columns: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(file, col_index, col_name, field_id, field_ord, confidence, signals) where anything speaks for it.
+
+    vectors: (file, col_index, vector) of headers and (field_id, field_vector) of fields, from any model; columns whose
+    best confidence stays below REVIEW then take their similarity to a field where it is higher (D8).
+    """
     d = columns.withColumns({"nc": norm(c("col_name")), "toks": tokens(c("col_name")), "mult": company_multiplier()})
     cat = catalogue(columns.sparkSession).withColumn("norms", F.transform("aliases", norm)).withColumn("bags", F.transform(F.concat(F.array("label"), c("aliases")), tokens))
     d = d.crossJoin(F.broadcast(cat))  # 33 rows, fixed
@@ -103,26 +108,64 @@ def scores(columns: DataFrame) -> DataFrame:
     d = d.withColumns({"a": first, "r": _pattern_score(c("field_id"), c("nc")), "j": best, "p": _boost(c("field_id"))})
     d = d.withColumn("f", F.when(c("j") >= 0.40, F.least(F.lit(0.85), 0.50 + (c("j") - 0.40) * 3.5)).otherwise(0.0))
     d = d.withColumn("primary", F.greatest("a", "r", "f"))
-    total = F.least(F.lit(1.0), c("primary") + F.when(c("primary") >= 0.30, c("p")).otherwise(0.0))
-    total = F.when(c("field_id") == "company", total * c("mult")).otherwise(total)
+    d = d.withColumn("confidence", F.least(F.lit(1.0), c("primary") + F.when(c("primary") >= 0.30, c("p")).otherwise(0.0)))
     signal = lambda x, name: F.when(c(x) > 0, name)
-    signals = F.array_compact(F.array(signal("a", "alias"), signal("r", "pattern"), signal("f", "tokens"), F.when((c("primary") >= 0.30) & (c("p") > 0), "profile"), F.when((c("field_id") == "company") & (c("mult") < 1), "penalised")))
-    return d.select("file", "col_index", "col_name", "field_id", "field_ord", total.alias("confidence"), signals.alias("signals")).where("confidence > 0")
+    named = F.array(signal("a", "alias"), signal("r", "pattern"), signal("f", "tokens"), F.when((c("primary") >= 0.30) & (c("p") > 0), "profile"))
+    d = d.select("file", "col_index", "col_name", "field_id", "field_ord", "mult", "confidence", F.array_compact(named).alias("signals"))
+    if vectors is not None:
+        d = _with_similarity(d, *vectors)
+    company = c("field_id") == "company"
+    signals = F.when(company & (c("mult") < 1), F.concat("signals", F.array(F.lit("penalised")))).otherwise(c("signals"))
+    return d.select("file", "col_index", "col_name", "field_id", "field_ord", F.when(company, c("confidence") * c("mult")).otherwise(c("confidence")).alias("confidence"), signals.alias("signals")).where("confidence > 0")
+
+
+#: Field vectors that one column meets at a time.
+BLOCK = 256
+
+
+def similarities(vectors: DataFrame, field_vectors: DataFrame, least: float = 0.45) -> DataFrame:
+    """The rows of vectors (..., vector) with each field_id whose cosine is at least ``least``, and cos; others have none.
+
+    Fields travel in blocks of BLOCK vectors, numbered by ranges of a sort, and each row meets each block: all rows of the
+    stated set against all fields, with one row a pair only where it is similar. Vectors of other lengths, nulls and zeros are similar to nothing.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    blocks = field_vectors.withColumn("block", F.floor((F.row_number().over(Window.orderBy("field_id")) - 1) / BLOCK))
+    blocks = blocks.withColumn("length", F.sqrt(dot(c("field_vector"), c("field_vector")))).where("length > 0")
+    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("field_id", "field_vector", "length")).alias("fields")).select("fields")
+    own = vectors.withColumn("__length", F.sqrt(dot(c("vector"), c("vector"))))
+    cosines = F.transform("fields", lambda f: F.struct(f["field_id"].alias("field_id"), F.try_divide(dot(c("vector"), f["field_vector"]), c("__length") * f["length"]).alias("cos")))
+    met = own.join(blocks).select(*vectors.columns, F.inline(F.filter(cosines, lambda x: F.coalesce(x["cos"] >= least, F.lit(False)))))
+    return met.select(*vectors.columns, "field_id", "cos")
+
+
+def _with_similarity(scored: DataFrame, column_vectors: DataFrame, field_vectors: DataFrame) -> DataFrame:
+    """Scores of columns that reach REVIEW nowhere, raised to 0.85 of their cosine where that is higher."""
+    key = ["file", "col_index"]
+    low = scored.groupBy(*key).agg(F.max("confidence").alias("top")).where(c("top") < REVIEW).select(*key)
+    near = similarities(column_vectors.select(*key, "vector").join(low, key), field_vectors)
+    near = near.groupBy(*key, "field_id").agg(F.max("cos").alias("cos"))
+    d = scored.join(near, [*key, "field_id"], "left").withColumn("sem", c("cos") * 0.85)
+    d = d.withColumn("__higher", F.coalesce(c("sem") > c("confidence"), F.lit(False)))
+    d = d.withColumn("signals", F.when(c("__higher"), F.concat("signals", F.array(F.lit("semantic")))).otherwise(c("signals")))
+    return d.withColumn("confidence", F.when(c("__higher"), c("sem")).otherwise(c("confidence"))).drop("cos", "sem", "__higher")
 
 
 def semantic(column_vectors: DataFrame, field_vectors: DataFrame) -> DataFrame:
     """The best field of each column by cosine, from embeddings given as data; (key, field_id, confidence)."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    d = column_vectors.crossJoin(F.broadcast(field_vectors))  # at most the 33 fields
-    cos = dot(c("vector"), c("field_vector")) / F.sqrt(dot(c("vector"), c("vector")) * dot(c("field_vector"), c("field_vector")))
-    d = d.withColumn("cos", cos).where("cos >= 0.45").groupBy("key").agg(F.max_by("field_id", F.struct("cos", "field_id")).alias("field_id"), F.max("cos").alias("cos"))
+    d = similarities(column_vectors, field_vectors).groupBy("key").agg(F.max_by("field_id", F.struct("cos", "field_id")).alias("field_id"), F.max("cos").alias("cos"))
     return d.select("key", "field_id", (c("cos") * 0.85).alias("confidence"))
 
 
 def resolve(scored: DataFrame) -> DataFrame:
-    """Greedy by confidence, each column and field of a file once; ties go by field and column order."""
+    """Greedy by confidence, each column and field of a file once; ties go by field and column order.
+
+    The other fields take as many columns as there are other fields at most, so each field's best columns, one more than
+    that, hold the one it gets: a file's list is bounded by the catalogue, however many columns it has.
+    """
     item = F.struct((-c("confidence")).alias("neg"), "field_ord", "col_index", "field_id", "col_name", "signals")
-    d = scored.where(c("confidence") >= REVIEW).groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("items"))  # fields x columns of one file
+    best = F.row_number().over(Window.partitionBy("file", "field_id").orderBy(F.desc("confidence"), "col_index"))
+    d = scored.where(c("confidence") >= REVIEW).withColumn("k", best).where(c("k") <= len(FIELDS)).groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
     taken = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda t: (t["field_id"] == x["field_id"]) | (t["col_index"] == x["col_index"])), acc).otherwise(F.concat(acc, F.array(x))))
     return d.select("file", F.inline(taken)).select("file", "field_id", "field_ord", "col_index", "col_name", (-c("neg")).alias("confidence"), "signals")
@@ -144,9 +187,9 @@ def tier(confidence: Column) -> Column:
     return F.when(confidence >= AUTO, "green").when(confidence >= REVIEW, "yellow").otherwise("red")
 
 
-def mapping(columns: DataFrame) -> DataFrame:
-    """Every field of every file with its column, confidence, signals, status and tier; unmapped fields included."""
-    found = rescued(resolve(scores(columns)), columns)
+def mapping(columns: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Every field of every file with its column, confidence, signals, status and tier; unmapped fields included. vectors: see scores()."""
+    found = rescued(resolve(scores(columns, vectors)), columns)
     fields = catalogue(columns.sparkSession).select("field_id", "field_ord", "label")
     every = columns.select("file").distinct().crossJoin(F.broadcast(fields))
     d = every.join(found.drop("field_ord"), ["file", "field_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))

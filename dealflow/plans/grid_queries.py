@@ -148,6 +148,40 @@ def _semantic(spark, sf):
 
 
 QUERIES["D8_semantic"] = _semantic
+
+
+def _vector_columns(spark, sf):
+    """Files of 25 headers that say nothing but for one, with vectors: an embedding moved towards that of its label by 0 to 2."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("f"))
+    names = spark.createDataFrame([(i, f) for i, f in enumerate(M.FIELD_IDS)], "i int, field_id string")
+    moved = F.zip_with("embedding", "f", lambda a, b: a.cast("double") + (c("vec_id") % 5) * 0.5 * b.cast("double"))
+    d = e.join(first, "label").select("vec_id", (c("vec_id") / 25).cast("int").cast("string").alias("file"), (c("vec_id") % 25).cast("int").alias("col_index"), moved.alias("vector"))
+    blank = {"data_type": F.lit("numeric"), "fill_rate": F.lit(1.0), "rows": F.lit(10), "distinct": F.lit(10), "samples": F.array().cast("array<string>")} | {f"looks_{x}": F.lit(False) for x in ("moic", "irr", "currency", "date", "identifier")}
+    columns = d.select("file", "col_index", F.when(c("col_index") == 7, "Gross MOIC").otherwise(F.concat(F.lit("zq"), "vec_id")).alias("col_name")).withColumns(blank)
+    fields = first.join(names, c("label") == c("i")).select("field_id", c("f").alias("field_vector"))
+    return columns, (d.select("file", "col_index", "vector"), fields)
+
+
+def _semantic_mapping(spark, sf):
+    columns, vectors = _vector_columns(spark, sf)
+    found = M.mapping(columns, vectors).where("col_index IS NOT NULL")
+    return found.select("file", "field_id", "col_name", F.round("confidence", 5).alias("confidence"), F.array_join("signals", ",").alias("signals"))
+
+
+QUERIES["D8_D11_semantic_mapping"] = _semantic_mapping
+_ids = ", ".join(f"({i}, '{f}')" for i, f in enumerate(M.FIELD_IDS))
+# The headers say nothing, so all scores but those of column 7 are 0.85 of a cosine; that column is certain of its field.
+# Columns of numbers are a tenth as likely companies.
+ORACLE_SQL["D8_D11_semantic_mapping"] = f"""WITH RECURSIVE f AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS f FROM embeddings GROUP BY label), names(i, field_id) AS (VALUES {_ids}),
+  v AS (SELECT vec_id, (vec_id // 25)::VARCHAR AS file, (vec_id % 25)::INTEGER AS col_index, list_transform(list_zip(embedding::DOUBLE[], f), lambda x: x[1] + (vec_id % 5) * 0.5::DOUBLE * x[2]) AS v FROM embeddings JOIN f USING (label)),
+  s AS (SELECT file, col_index, field_id, i, 'zq' || vec_id AS col_name, CASE WHEN field_id = 'company' THEN 0.1::DOUBLE ELSE 1 END * 0.85::DOUBLE * list_dot_product(v, f) / sqrt(list_dot_product(v, v) * list_dot_product(f, f)) AS conf, 'semantic' AS signals FROM v, f JOIN names ON f.label = names.i WHERE col_index <> 7
+    UNION ALL SELECT DISTINCT file, 7, 'gross_moic', {M.FIELD_IDS.index('gross_moic')}, 'Gross MOIC', 0.95::DOUBLE, 'alias,pattern,tokens' FROM v WHERE col_index = 7),
+  items AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY conf DESC, i, col_index) AS k FROM s WHERE conf >= 0.5),
+  steps(file, k, fields, cols) AS (SELECT DISTINCT file, 0::BIGINT, []::VARCHAR[], []::INTEGER[] FROM items UNION ALL SELECT g.file, x.k, CASE WHEN list_contains(fields, field_id) OR list_contains(cols, col_index) THEN fields ELSE list_append(fields, field_id) END,
+    CASE WHEN list_contains(fields, field_id) OR list_contains(cols, col_index) THEN cols ELSE list_append(cols, col_index) END FROM steps g JOIN items x ON x.file = g.file AND x.k = g.k + 1),
+  picked AS (SELECT file, unnest(fields) AS field_id, unnest(cols) AS col_index FROM (SELECT file, arg_max(fields, k) AS fields, arg_max(cols, k) AS cols FROM steps GROUP BY file))
+  SELECT file, field_id, col_name, round(conf, 5) AS confidence, signals FROM picked JOIN items USING (file, field_id, col_index)"""
 ORACLE_SQL |= TWINS
 ORACLE_SQL["D8_semantic"] = """WITH m AS (SELECT label, list(m ORDER BY pos) AS f FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label),
   p AS (SELECT vec_id AS key, label::VARCHAR AS field_id, list_dot_product(embedding::DOUBLE[], f) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(f, f)) AS cos FROM (SELECT vec_id, embedding FROM embeddings) e, m)

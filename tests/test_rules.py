@@ -188,3 +188,79 @@ def test_ingest_keeps_equal_deals(spark, tmp_path):
         part.write.parquet(f"{tmp_path}/in{k}")
         ingest(spark, f"{tmp_path}/in{k}", f"{tmp_path}/s", f"{tmp_path}/state{k}", part.schema).awaitTermination()
         assert sorted(r.deal_id for r in A.read_snapshots(spark, f"{tmp_path}/s").collect()) == [1, 1, 2]
+
+
+def test_similarity_fills_gaps(spark):
+    """Vectors change the mapping of columns whose names say nothing, and of no other; far and broken vectors do nothing."""
+    cols = columns(spark, ["Gross MOIC", "zzz", "qqq", "www"], **{n: dict(data_type="numeric") for n in ("Gross_MOIC", "zzz", "qqq", "www")})
+    vectors = spark.createDataFrame([("f", 0, [0.0, 1.0]), ("f", 1, [1.0, 0.1]), ("f", 2, [-1.0, 0.0]), ("f", 3, [0.0, 0.0]), ("f", 3, None)], "file string, col_index int, vector array<double>")
+    fields = spark.createDataFrame([("sector", [2.0, 0.0]), ("gross_irr", [0.0, 3.0]), ("region", [0.0, 0.0])], "field_id string, field_vector array<double>")
+    chosen = lambda m: {r.field_id: r.col_name for r in m.collect() if r.col_name}
+    assert chosen(matching.mapping(cols)) == {"gross_moic": "Gross MOIC"}
+    assert chosen(matching.mapping(cols, (vectors, fields))) == {"gross_moic": "Gross MOIC", "sector": "zzz"}
+
+
+def test_greedy_over_wide_files(spark):
+    """Each field's best 33 columns are enough: 5,000 columns a file, with ties, as if all pairs were walked through."""
+    import random
+
+    r = random.Random(8)
+    rows = [(f, k, f"c{k}", matching.FIELD_IDS[i], i, r.choice([0.5, 0.7, 0.9, round(r.random(), 2)])) for f in ("a", "b") for k in range(5000) for i in r.sample(range(33), 4)]
+    d = spark.createDataFrame(rows, "file string, col_index int, col_name string, field_id string, field_ord int, confidence double").withColumn("signals", F.array(F.lit("x")))
+    want, seen = [], set()
+    for f, k, _, field, i, x in sorted(rows, key=lambda t: (t[0], -t[5], t[4], t[1])):
+        if x >= 0.5 and (f, field) not in seen and (f, k) not in seen:
+            seen |= {(f, field), (f, k)}
+            want.append((f, field, k, x))
+    assert sorted((x.file, x.field_id, x.col_index, x.confidence) for x in matching.resolve(d).collect()) == sorted(want) and len(want) == 66
+
+
+def test_no_stored_mapping(spark, tmp_path):
+    assert matching.load_mapping(spark, f"{tmp_path}/none").count() == 0 and matching.load_mapping(spark, f"{tmp_path}/none", "Alpha").columns == ["slug", "file", "field_id", "column"]
+
+
+def test_names_dates_and_currencies(spark):
+    """Five names after the file's own, each once, whatever its sheet repeats; B18: the banner's first date where nothing else gives one; B23: the currency column."""
+    many = {(1 + k // 20, 1 + k % 20): "Same Name" for k in range(200)}
+    cells = landed(spark, {"One": ("visible", many), "Two": ("visible", {(1, 1): "Other House", (2, 1): "Third House", (3, 1): "Other House"}), "Gone": ("hidden", {(1, 1): "Hidden House"})})
+    assert discover.metadata(cells).first().gp_names == ["Beta", "Same Name", "Other House", "Third House"]
+    bare = cells.withColumn("file_name", F.lit("n.xlsx"))
+    assert discover.track_record_dates(bare).first().as_of is None
+    dated = landed(spark, {"One": ("visible", {(3, 2): "12/31/2021", (2, 9): D(1980, 1, 1), (4, 1): D(2022, 5, 5)}), "Two": ("visible", {(1, 1): D(2020, 2, 2)})}).withColumn("file_name", F.lit("n.xlsx"))
+    assert [tuple(r) for r in discover.track_record_dates(dated).collect()] == [("f", D(2021, 12, 31))]
+    none = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
+    own = {(3, 2): "Company", (3, 3): "Old currency", (3, 4): "Deal Currency", (3, 5): "Status"} | {(r, k): v for r in range(4, 9) for k, v in ((2, f"C{r}"), (4, "EUR" if r > 5 else None), (5, r)) if v} | {(1, 2): "Alpha Capital Data"} | {(r, k): f"H{k}" if r == 3 else r * k for r in range(3, 9) for k in range(6, 14)}
+    cells = landed(spark, {"Own": ("visible", own), "Usd": ("visible", {(1, 2): "Company", (1, 3): "Date", (1, 4): "Status", **table(2, 4, cols=3)})})
+    h = discover.tables(cells)
+    got = {r.sheet: r for r in discover.banner_meta(cells, h, discover.headers(cells, none, h)).collect()}
+    assert got["Own"].currency == "EUR" and got["Own"].gp_name == "Alpha Capital" and got["Usd"].currency == "USD"
+
+
+def test_primary_by_score(spark):
+    """The highest score wins, likely or not; B13 goes by the first 15 headers."""
+    deal = {(1, 2): "Company", (1, 3): "Investment date", (1, 4): "Realized value", (1, 5): "Fund"} | table(2, 4)
+    wide = {(1, k): f"Other {k}" for k in range(2, 14)} | table(2, 30, cols=12)
+    none = spark.createDataFrame([], "file_id string, sheet string, min_row int, max_row int, min_col int, max_col int")
+    cells = landed(spark, {"Deals": ("visible", deal), "Wide": ("visible", wide)})
+    found = discover.candidates(cells, none)
+    assert {r.sheet: r.likely for r in found.collect()} == {"Deals": True, "Wide": False}
+    assert discover.primary_tables(found, cells).first().sheet == "Wide"
+    assert [(r.layout, r.sheets) for r in discover.layouts(found, cells).collect()] == [("consolidated", ["Wide"])]
+    head = ("Company", "Investment date", "Realized value", "Fund")
+    far = lambda tail: {(1, k): head[k - 2] if k < 6 else f"Field {k}" if k < 17 else f"{tail} {k}" for k in range(2, 22)} | table(2, 5, cols=20)
+    cells = landed(spark, {"A": ("visible", far("left")), "B": ("visible", far("right"))})
+    assert discover.layouts(discover.candidates(cells, none), cells).first().layout == "per_fund"
+
+
+def test_input_grid(spark):
+    """A2: the meta block by labels, headers up to the first gap, rows up to the first one that is blank under them."""
+    from dealflow.operators import validate  # noqa: F401
+
+    g = {(3, 2): "GP  Name", (3, 3): " Alpha ", (4, 2): "Track Record Date", (4, 3): "31/12/2020", (5, 2): "Currency", (5, 3): "EUR", (16, 2): "GP Name", (16, 3): "Too low"}
+    g |= {(20, 2): "Company", (20, 3): "Fund\n Name", (20, 5): "Beyond the gap", (21, 2): "A", (21, 3): "F", (22, 3): "G", (23, 5): "stray", (23, 9): "stray", (24, 2): "after"}
+    cells = landed(spark, {"S": ("visible", g)})
+    assert [tuple(r) for r in discover.input_meta(cells).collect()] == [("f", "Alpha", D(2020, 12, 31), "EUR")]
+    assert sorted(tuple(r)[1:] for r in discover.input_grid(cells).collect()) == [(21, "Company", "A"), (21, "Fund Name", "F"), (22, "Fund Name", "G")]
+    assert sorted(r.header for r in discover.input_headers(cells).collect()) == ["Company", "Fund Name"]
+    bare = landed(spark, {"S": ("visible", {(1, 1): "x"})})
+    assert [tuple(r) for r in discover.input_meta(bare).collect()] == [("f", None, None, None)] and discover.input_grid(bare).count() == 0
