@@ -9,16 +9,19 @@ without a table of all n-grams takes summaries and a second pass:
    those whose counter and cut together stay below ``least`` are not frequent and go. Each chunk hears which of its
    n-grams are left;
 2. triples and quadruples are summed up the same way, but only where all their pairs are left;
-3. each chunk counts the n-grams that are left exactly, as texts, and sums of those decide. So a clash of hashes or a
-   counter too high in a summary costs a row and changes nothing.
+3. each chunk counts the n-grams that are left exactly and sends their texts, sorted and compressed, to the partitions,
+   which add up by text. So a clash of hashes or a counter too high in a summary costs an entry and changes nothing.
 
 All else (scores of cuts, phrases inside longer ones, ranks) is joins and grouping of frequent n-grams.
 """
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,8 +89,17 @@ def _runs(rows: pa.Table):
         yield _Words(data, off, langs[a:b]), langs[a:b]
 
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
+def _counted(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts and their counts; a part is counted before the next one is made."""
+    counted = [np.unique(p, return_counts=True) for p in parts] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    return _summed(np.concatenate([k for k, _ in counted]), np.concatenate([c for _, c in counted]))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
 def merged(summaries, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -101,12 +113,7 @@ def merged(summaries, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
 
     def add():
         nonlocal keys, counts, cut
-        k = np.concatenate([keys, *(x for x, _ in wait)])
-        c = np.concatenate([counts, *(x for _, x in wait)])
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-        keys, counts = k[first], np.add.reduceat(c, first) if len(k) else c
+        keys, counts = _summed(np.concatenate([keys, *(x for x, _ in wait)]), np.concatenate([counts, *(x for _, x in wait)]))
         if len(keys) > capacity:
             over = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
             cut += over
@@ -130,8 +137,8 @@ def _survivors(asked: DataFrame, buckets: int, least: int) -> DataFrame:
         mass = sum(int(c.sum(dtype=np.int64)) for _, c in blobs)
         keys, counts, cut = merged(((k, c.astype(np.int64)) for k, c in blobs), mass // least + 1)
         keys = keys[counts + cut >= least]
-        out = [(chunk, k[C.found(k, keys)[1]].tobytes()) for chunk, (k, _) in zip(rows[C.CHUNK].to_pylist(), blobs)]
-        out = [x for x in out if x[1]]
+        left = ((chunk, k[C.found(k, keys)[1]]) for chunk, (k, _) in zip(rows[C.CHUNK].to_pylist(), blobs))
+        out = [(chunk, C.squeezed(k, np.zeros(len(k), np.uint32))) for chunk, k in left if len(k)]
         return pa.table({C.CHUNK: pa.array([c for c, _ in out], pa.int32()), "keys": pa.array([k for _, k in out], pa.binary())})
 
     return C.deal(asked, buckets, C.BUCKET).groupBy(C.BUCKET).applyInArrow(C.lean(answer), f"{C.CHUNK} int, keys binary")
@@ -144,6 +151,20 @@ def _request(chunk: int, buckets: int, keys: np.ndarray, counts: np.ndarray) ->
     return pa.table({C.BUCKET: pa.array(full, pa.int32()), C.CHUNK: pa.array(np.full(len(full), chunk), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
+def _left(answer: pa.Table) -> np.ndarray:
+    """The keys of all answers to a chunk, in order; no two of them hold one key."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(C.unsqueezed(b)[0] for b in answer["keys"].to_pylist())]))
+
+
+def _texts(lang: list, phrase: list, bucket, k: list, f) -> pa.Table:
+    phrase = pa.array(phrase, pa.binary()).cast(pa.string())
+    return pa.table({"b": pa.array(bucket, pa.int32()), "lang": pa.array(lang, pa.string()), "phrase": phrase, "k": pa.array(k, pa.int32()), "f": pa.array(f, pa.int64())})
+
+
+def _sums(parts: list[pa.Table], keys: list[str]) -> pa.Table:
+    return pa.concat_tables(parts).group_by(keys).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+
+
 def frequent_ngrams(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", chunks: int | None = None) -> DataFrame:
     """(lang, phrase, k, f): all n-grams of one to four words with f >= least occurrences; and (lang, null, 0, number of words).
 
@@ -157,48 +178,53 @@ def frequent_ngrams(docs: DataFrame, least: int = LEAST, text_col: str = "text",
     x = C.packs(named, n, ["text", "lang"], "text")
 
     def first(rows: pa.Table) -> pa.Table:
-        parts = [w.keys(k)[w.fits[k]] for w, _ in _runs(rows) for k in (1, 2)]
-        return _request(rows[C.CHUNK][0].as_py(), n, *_counted(parts))
+        return _request(rows[C.CHUNK][0].as_py(), n, *_counted(w.keys(k)[w.fits[k]] for w, _ in _runs(rows) for k in (1, 2)))
 
     def second(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        among = np.unique(C.flat(answer, "keys", np.uint64))
-        parts = []
-        for w, _ in _runs(rows):
-            pairs = w.left(2, among)
-            parts += [w.keys(k)[w.longer(k, pairs)] for k in range(3, LONGEST + 1)]
-        return _request(rows[C.CHUNK][0].as_py() if rows.num_rows else 0, n, *_counted(parts))
+        among = _left(answer)
+
+        def parts():
+            for w, _ in _runs(rows):
+                pairs = w.left(2, among)
+                for k in range(3, LONGEST + 1):
+                    yield w.keys(k)[w.longer(k, pairs)]
+
+        return _request(rows[C.CHUNK][0].as_py(), n, *_counted(parts()))
 
     def exact(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        among = np.unique(C.flat(answer, "keys", np.uint64))
-        total: dict = {}
+        among, parts = _left(answer), []
         for w, langs in _runs(rows):
+            words = collections.Counter()
             for lang, c in zip(langs, np.diff(w.bounds).tolist()):
-                if c:
-                    total[lang, None, 0] = total.get((lang, None, 0), 0) + c
-            raw = w.data.tobytes()
+                words[lang] += c
+            parts.append(_texts(list(words), [None] * len(words), [0] * len(words), [0] * len(words), list(words.values())))
+            raw, edges = w.data.tobytes(), C.edges(n)
             for k in range(1, LONGEST + 1):
                 at = np.flatnonzero(w.left(k, among))
-                if not len(at):
-                    continue
                 # Two hashes of 64 bits tell n-grams of one run apart; sums are made over their texts.
                 a, b = w.keys(k)[at], w.keys(k, True)[at]
                 order = np.lexsort((b, a))
                 a, b, at = a[order], b[order], at[order]
-                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                for i, c in zip(at[new].tolist(), np.diff(np.r_[new, len(a)]).tolist()):
-                    text = raw[w.starts[i] : w.ends[i]] if k == 1 else b" ".join([raw[s:e] for s, e in zip(w.starts[i : i + k].tolist(), w.ends[i : i + k].tolist())])
-                    key = (langs[w.doc[i]], text, k)
-                    total[key] = total.get(key, 0) + c
-        keys = list(total)
-        return pa.table({"lang": pa.array([x[0] for x in keys], pa.string()), "phrase": pa.array([x[1] and x[1].decode() for x in keys], pa.string()), "k": pa.array([x[2] for x in keys], pa.int32()), "f": pa.array(list(total.values()), pa.int64())})
+                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else at
+                first, last = w.starts[at[new]].tolist(), w.ends[at[new] + k - 1].tolist()
+                texts = [raw[s:e] for s, e in zip(first, last)] if k == 1 else [b" ".join(raw[s:e].split()) for s, e in zip(first, last)]
+                parts.append(_texts([langs[d] for d in w.doc[at[new]].tolist()], texts, np.searchsorted(edges, a[new], "right"), [k] * len(new), np.diff(np.r_[new, len(a)])))
+        t = _sums(parts, ["b", "lang", "phrase", "k"]).sort_by([("b", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+        buckets, first = np.unique(np.asarray(t["b"]), return_index=True)
+        blobs = [C.zipped(t.slice(s, e - s).select(["lang", "phrase", "k", "f"])) for s, e in zip(first, [*first[1:], t.num_rows])]
+        return pa.table({C.BUCKET: pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def total(rows: pa.Table) -> pa.Table:
+        t = _sums([C.unzipped(b.as_py()) for b in rows["blob"]], ["lang", "phrase", "k"])
+        return t.filter(pc.or_(pc.greater_equal(t["f"], least), pc.is_null(t["phrase"]))).select(["lang", "phrase", "k", "f"])
 
     blob = f"{C.BUCKET} int, {C.CHUNK} int, blob binary"
     groups = x.groupBy(C.CHUNK)
     short = C.deal(_survivors(groups.applyInArrow(C.lean(first), blob), n, least), n, C.CHUNK)
     long = C.deal(_survivors(groups.cogroup(short.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(second), blob), n, least), n, C.CHUNK)
     both = C.deal(short.union(long), n, C.CHUNK)
-    counted = groups.cogroup(both.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(exact), "lang string, phrase string, k int, f long")
-    return counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
+    counted = C.deal(groups.cogroup(both.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(exact), f"{C.BUCKET} int, blob binary"), n, C.BUCKET)
+    return counted.groupBy(C.BUCKET).applyInArrow(C.lean(total), "lang string, phrase string, k int, f long")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, inside: int = 80, top: int = TOP, text_col: str = "text", lang_col: str = "lang", chunks: int | None = None) -> DataFrame:
