@@ -9,6 +9,8 @@ of all documents share thus costs one entry a chunk, and neither a task nor the
 
 from __future__ import annotations
 
+import functools
+import inspect
 import tempfile
 import uuid
 
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 16 << 20
@@ -54,6 +56,46 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plain_names(added: tuple[str, ...] = ()):
+    """For operators that return the columns of docs: they see them under names of no other meaning, so none clashes.
+
+    added: columns that the operator adds; input columns of these names are replaced.
+    """
+
+    def wrap(operator):
+        parameters = inspect.signature(operator).parameters
+        named = [p for p in ("id_col", "text_col") if p in parameters]
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **how):
+            new = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+            at = {p: new[how.pop(p, parameters[p].default)] for p in named}
+            out = operator(docs.toDF(*new.values()), *args, **at, **how)
+            old = {v: k for k, v in new.items()}
+            return out.select(*(F.col(c).alias(old.get(c, c)) for c in out.columns if old.get(c) not in added))
+
+        return run
+
+    return wrap
+
+
+def ranked(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
+    """rows with idx, the place within their tree from 0 in order of the given columns, and n, the tree's size.
+
+    Ranges of the sort are tasks, so a tree that holds a third of all rows spreads; places are sums over earlier tasks
+    plus the place in the own one. The sorted rows are written once, so that places stay when a lost task runs again.
+    """
+    rows = rows.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order).withColumn("mono", F.monotonically_increasing_id())
+    rows = saved(rows.withColumns({"task": F.shiftright("mono", 33).cast("int")}))
+    # One row for each task and tree.
+    runs = rows.groupBy(tree, "task").agg(F.count("*").alias("size"), F.min("mono").alias("first"))
+    before = Window.partitionBy(tree).orderBy("task")
+    runs = runs.withColumns({"before": F.sum("size").over(before) - F.col("size"), "n": F.sum("size").over(Window.partitionBy(tree))})
+    runs = runs.select(F.col(tree).alias("t"), F.col("task").alias("k"), "before", "first", "n")
+    out = rows.join(runs, F.col(tree).eqNullSafe(F.col("t")) & (F.col("task") == F.col("k")))
+    return out.withColumn("idx", F.col("mono") - F.col("first") + F.col("before")).drop("mono", "task", "t", "k", "before", "first")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -334,24 +376,37 @@ def shared_keys(request: DataFrame, n_buckets: int) -> DataFrame:
     return deal(request, n_buckets, BUCKET).groupBy(BUCKET).applyInArrow(lean(answer), f"{CHUNK} int, keys binary")
 
 
-def least_docs(request: DataFrame, n_buckets: int) -> DataFrame:
+def least_of(keys: np.ndarray, others: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each entry the least value among those that agree with it in both keys; and the order and starts of the groups."""
+    order = np.lexsort((others, keys))
+    k, o = keys[order], others[order]
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]) if len(k) else np.zeros(0, np.int64)
+    out = values.copy()
+    if len(k):
+        out[order] = np.repeat(np.minimum.reduceat(values[order], first), np.diff(np.r_[first, len(k)]))
+    return out, order, first
+
+
+def least_docs(request: DataFrame, n_buckets: int, wide: bool = False) -> DataFrame:
     """(chunk, keys, docs): for each chunk's keys the least document that holds them, where another chunk has it.
 
-    request: (bucket, chunk, keys, c0), c0 the least document of the chunk as int64.
+    request: (bucket, chunk, keys, c0), c0 the least document of the chunk as int64. wide: c1 holds a second 64-bit hash
+    of each key's text, which has to agree, too; it is answered as others.
     """
 
     def answer(rows: pa.Table) -> pa.Table:
         keys, row = unpacked(rows, "keys", np.uint64)
         docs, _ = unpacked(rows, "c0", np.int64)
-        k, least, _ = group_min(keys, docs)
-        best = least[found(keys, k)[0]] if len(k) else docs
+        others = flat(rows, "c1", np.uint64) if wide else np.zeros(len(keys), np.uint64)
+        best, _, _ = least_of(keys, others, docs)
         hit = best < docs
         chunks = rows[CHUNK].to_pylist()
         cut = np.r_[0, np.cumsum(np.bincount(row, minlength=len(chunks)))]
-        out = [(c, keys[a:b][hit[a:b]].tobytes(), best[a:b][hit[a:b]].tobytes()) for c, a, b in zip(chunks, cut, cut[1:]) if hit[a:b].any()]
-        return pa.table({CHUNK: pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "docs": pa.array([x[2] for x in out], pa.binary())})
+        spans = [(c, a, b) for c, a, b in zip(chunks, cut, cut[1:]) if hit[a:b].any()]
+        cols = {"keys": keys, "docs": best} | ({"others": others} if wide else {})
+        return pa.table({CHUNK: pa.array([c for c, _, _ in spans], pa.int32())} | {name: pa.array([x[a:b][hit[a:b]].tobytes() for _, a, b in spans], pa.binary()) for name, x in cols.items()})
 
-    return deal(request, n_buckets, BUCKET).groupBy(BUCKET).applyInArrow(lean(answer), f"{CHUNK} int, keys binary, docs binary")
+    return deal(request, n_buckets, BUCKET).groupBy(BUCKET).applyInArrow(lean(answer), f"{CHUNK} int, keys binary, docs binary" + ", others binary" * wide)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

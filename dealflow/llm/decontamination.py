@@ -175,14 +175,32 @@ def _searcher(held, shingle, threshold):
     return run
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose text contains an item; other texts of the same or of a null doc_id stay.
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows whose text contains an item.
 
-    Null and blank texts contain nothing and stay, as do repeated rows of clean texts; empty tables give docs as it is.
+    Each row is judged by its own text where it lies, so nothing is shuffled or joined; other texts of the same or of a
+    null doc_id stay. Null and blank texts contain nothing and stay, as do repeated rows of clean texts; a very long text
+    is searched whole by one task; further columns are kept whatever their names. Empty tables give docs as it is.
+    More than one block of items: what is left after a block is written to the shared folder for the next one.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(id_col, text_col))
-    bad = contained_items(keyed, items, id_col="__key", text_col=text_col, **how).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
+
+    def without(held):
+        def run(batches):
+            block = Items([t for _, t in held.value], shingle, threshold)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[d for d, *_ in block.search(batch.column(at))]] = False
+                yield batch.filter(pa.array(keep))
+
+        return C.lean_batches(run)
+
+    for k, block in enumerate(_blocks(items, block_bytes)):
+        if k:
+            docs = C.saved(docs)
+        docs = docs.mapInArrow(without(spark.sparkContext.broadcast(block)), docs.schema)
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

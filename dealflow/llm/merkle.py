@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -40,23 +40,6 @@ def leaf(*cols: Column) -> Column:
     return F.sha2(F.concat(*map(counted, cols)), 256)
 
 
-def ranked(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """rows with idx, the place within their tree from 0 in order of the given columns, and n, the tree's size.
-
-    Ranges of the sort are tasks, so a tree that holds a third of all rows spreads; places are sums over earlier tasks
-    plus the place in the own one. The sorted rows are written once, so that places stay when a lost task runs again.
-    """
-    rows = rows.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order).withColumn("mono", F.monotonically_increasing_id())
-    rows = C.saved(rows.withColumns({"task": F.shiftright("mono", 33).cast("int")}))
-    # One row for each task and tree.
-    runs = rows.groupBy(tree, "task").agg(F.count("*").alias("size"), F.min("mono").alias("first"))
-    before = Window.partitionBy(tree).orderBy("task")
-    runs = runs.withColumns({"before": F.sum("size").over(before) - F.col("size"), "n": F.sum("size").over(Window.partitionBy(tree))})
-    runs = runs.select(F.col(tree).alias("t"), F.col("task").alias("k"), "before", "first", "n")
-    out = rows.join(runs, F.col(tree).eqNullSafe(F.col("t")) & (F.col("task") == F.col("k")))
-    return out.withColumn("idx", F.col("mono") - F.col("first") + F.col("before")).drop("mono", "task", "t", "k", "before", "first")
-
-
 def depth(n: int) -> int:
     """Levels above the leaves of a tree of n leaves."""
     d = 0
@@ -210,10 +193,10 @@ def manifest(docs: DataFrame, replaced: dict[str, Column] | None = None, where:
     new = F.when(changed, leaf(*((replaced or {}).get(c, at(c)) for c in cols)))
     leaves = docs.select(at(id_col).alias("id"), at(source_col).alias("tree"), leaf(*map(at, cols)).alias("digest"), new.alias("new"))
     # Equal rows are told apart by their place in the file, so that ranges of the sort can part them.
-    leaves = ranked(leaves.withColumn("place", F.xxhash64(F.monotonically_increasing_id())), "tree", ["id", "digest", "place"])
+    leaves = C.ranked(leaves.withColumn("place", F.xxhash64(F.monotonically_increasing_id())), "tree", ["id", "digest", "place"])
     leaves = C.saved(leaves.select("id", "tree", "idx", "n", "digest", "new"))
     sources = _Forest(leaves.select("tree", "idx", "n", "digest"))
-    subroots = ranked(sources.roots.select(F.lit(0).alias("all"), F.col("tree").alias("source"), "digest"), "all", ["source"])
+    subroots = C.ranked(sources.roots.select(F.lit(0).alias("all"), F.col("tree").alias("source"), "digest"), "all", ["source"])
     subroots = C.saved(subroots.select(F.col("all").alias("tree"), "source", "idx", "n", "digest"))
     top = _Forest(subroots.select("tree", "idx", "n", "digest"))
     root = top.roots.first()
@@ -264,3 +247,26 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return manifest(docs, {"text": lower}, F.crc32(F.col("doc_id").cast("string")) % 5 == 0, with_proof=False)
+
+
+_ENCODED = ", ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in COLUMNS)
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, (s & 1) * 3988292384))), 4294967295)"
+_SIDES = "coalesce(string_agg(h, '') OVER (PARTITION BY {by} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(h, '') OVER (PARTITION BY {by} ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt"
+SQL = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents),
+l AS (SELECT doc_id, source, sha256(concat({_ENCODED})) AS leaf, sha256(concat({_ENCODED.replace('text', 'other')})) AS other, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t(source, lv, i, h, n) AS (SELECT source, 0, i, leaf, n FROM l UNION ALL SELECT source, lv + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 15) // 16 FROM t WHERE n > 1 GROUP BY source, lv, i // 16),
+sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lv, i, h, n) AS (SELECT 0, i, subroot, n FROM sub UNION ALL SELECT lv + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 15) // 16 FROM u WHERE n > 1 GROUP BY lv, i // 16),
+p AS (SELECT source, lv, i, {_SIDES.format(by="source, lv, i // 16")} FROM t WHERE n > 1),
+q AS (SELECT lv, i, {_SIDES.format(by="lv, i // 16")} FROM u WHERE n > 1),
+steps AS (SELECT l.source, l.i, p.lv, p.lft, p.rgt FROM l JOIN p ON p.source IS NOT DISTINCT FROM l.source AND p.i = l.i >> (4 * p.lv)
+  UNION ALL SELECT l.source, l.i, 100 + q.lv, q.lft, q.rgt FROM l JOIN sub ON sub.source IS NOT DISTINCT FROM l.source JOIN q ON q.i = sub.i >> (4 * q.lv)),
+way AS (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY lv) AS k FROM steps),
+f(source, i, k, h) AS (SELECT source, i, 0::BIGINT, other FROM l UNION ALL SELECT f.source, f.i, w.k, sha256(w.lft || f.h || w.rgt) FROM f JOIN way w ON w.source IS NOT DISTINCT FROM f.source AND w.i = f.i AND w.k = f.k + 1),
+folded AS (SELECT source, i, arg_max(h, k) AS folded_root FROM f GROUP BY source, i),
+proofs AS (SELECT source, i, sha256(string_agg(lft || rgt, '' ORDER BY k)) AS proof_sha256 FROM way GROUP BY source, i)
+SELECT l.doc_id, l.leaf, sub.subroot, r.h AS root, coalesce(proofs.proof_sha256, sha256('')) AS proof_sha256, folded.folded_root, folded.folded_root = r.h AS verified
+FROM l JOIN sub ON sub.source IS NOT DISTINCT FROM l.source JOIN folded ON folded.source IS NOT DISTINCT FROM l.source AND folded.i = l.i
+LEFT JOIN proofs ON proofs.source IS NOT DISTINCT FROM l.source AND proofs.i = l.i, (SELECT h FROM u WHERE n = 1) r
+"""

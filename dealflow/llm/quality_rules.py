@@ -24,6 +24,9 @@ def _without(text: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, ""))
 
 
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_odd")
+
+
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with counts of each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_bangs, n_odd.
 
@@ -142,6 +145,7 @@ def _judged(f: DataFrame, table: DataFrame, keep_at: float) -> DataFrame:
     return out.withColumn("kept", F.col("quality") >= keep_at)
 
 
+@C.plain_names((*FEATURES, "base_failed", "quality", "kept"))
 def weak_supervision(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """docs without their text, with features(), base_failed, quality (the posterior) and kept.
 

@@ -25,5 +25,6 @@ ORACLE_SQL = {
     "op1_decontamination": decontamination.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
     "op10_token_counts": token_counts.SQL,
+    "op11_merkle": merkle.SQL,
     "op13_collocations": collocations.SQL,
 }

@@ -2,15 +2,15 @@
 
 The ring has 65,536 places. Each shard owns ``vnodes`` of them, its virtual nodes; a key falls on the place of its
 hash and belongs to the next virtual node clockwise. Every shard has a capacity. Keys are taken in the order of
-their hash (its first 24 bits; ties in any order), and one whose shard is full goes on clockwise to the next virtual
+their place, hash, id, size and text CRC, and one whose shard is full goes on clockwise to the next virtual
 node of a shard that is not: so no shard exceeds its capacity, and only overflowing keys leave their place.
 
 That walk needs the number of keys of each arc only, a table of at most ``shards * vnodes`` rows. The driver
 walks over it and gets, for each arc, runs of ranks within the arc and the shard and first slot of each run; the
-rows then find their run by their rank. Ranks are prefix sums over cells (24 bits of the hash and a part) plus the
-row's number in its cell. The part comes from the row and the partition that it was read from, so that rows of one
-key, even equal ones, spread over ``PARTS`` cells. No text is shuffled; the other columns are written once, so that
-each row keeps its cell when a lost task runs again.
+rows then find their run by their rank. Ranks come from one sort by ranges of that order; rows that agree in all of it
+are told apart by where they were read, so equal rows spread over tasks, and which of them takes which slot is the
+one thing that depends on it. No text is shuffled; the other columns are written once, so that each row keeps its
+rank when a lost task runs again.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PLACES = 1 << 16
-#: Cells that rows of one key are dealt to.
-PARTS = 1024
 SHARDS, VNODES = 40, 64
 
 
@@ -66,31 +64,35 @@ def walk(owner: list[int], keys: list[int], capacity: list[int]) -> list[tuple[i
     return out
 
 
+@C.plain_names(("size", "text_crc32", "shard", "slot"))
 def bounded_ring(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without text, with size, text_crc32, shard and slot.
 
     Capacities are the mean number of rows times 1 + slack, rounded so that they differ by one at most; without
     slack all shards fill, and counts are at most one apart. size: UTF-8 bytes of the text (null: none) plus 16.
-    slot is gapless from 0 in every shard. A null doc_id is a key like any other; rows of one id stand near each
-    other, in an order that depends on how the table is read, and may part where a shard is full. A very long text
-    counts like any other. An empty table gives an empty result; further
+    slot is gapless from 0 in every shard. A null doc_id is a key like any other; rows of one id stand next to each
+    other in order of size and CRC, and may part where a shard is full. The same rows get the same shards and slots
+    however they lie in files. A very long text counts like any other. An empty table gives an empty result; further
     columns are kept, but for ones named like an added column, which are replaced.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in (text_col, "size", "text_crc32", "shard", "slot")]
     rows = docs.select(
-        *names,
+        *(c for c in docs.columns if c != text_col),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit("key"), F.col(id_col)).alias("__hash"),
-    )
-    cell = (F.shiftrightunsigned("__hash", 40).cast("int").alias("__cell"), F.pmod(F.xxhash64("size", "text_crc32", F.spark_partition_id()), F.lit(PARTS)).cast("int").alias("__part"))
-    rows = C.saved(rows.select(*names, "size", "text_crc32", *cell))
+        F.lit(0).alias("__all"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("__row"),
+    ).withColumn("__place", F.shiftrightunsigned("__hash", 48).cast("int"))
+    rows = C.ranked(rows, "__all", ["__place", "__hash", id_col, "size", "text_crc32", "__row"])
     places = ring(spark, shards, vnodes)
-    cells = rows.groupBy("__cell", "__part").agg(F.count("*").alias("keys")).withColumn("place", F.shiftright("__cell", 8))
-    keys = cells.groupBy("place").agg(F.sum("keys").alias("count"))
+    keys = rows.groupBy("__place").agg(F.count("*").alias("count"))
+    # A row for each place of the ring: where its keys begin among all, and among those of its arc.
+    at = places.join(keys, places["place"] == keys["__place"], "left").select("place", "arc", "owner", F.coalesce("count", F.lit(0)).alias("count"))
+    begin = lambda w: F.sum("count").over(w) - F.col("count")
+    at = C.saved(at.withColumns({"begin": begin(Window.orderBy("place")), "before": begin(Window.partitionBy("arc").orderBy("place"))}))
     # At most shards * vnodes rows: the arcs, with their keys.
-    arcs = places.join(keys, "place", "left").groupBy("arc").agg(F.first("owner").alias("owner"), F.sum(F.coalesce("count", F.lit(0))).alias("keys")).orderBy("arc").collect()
+    arcs = at.groupBy("arc").agg(F.first("owner").alias("owner"), F.sum("count").alias("keys")).orderBy("arc").collect()
     total = sum(r["keys"] for r in arcs)
     room = max(total, -(-int(total * (1 + slack) * 1_000_000) // 1_000_000))
     capacity = [room // shards + (s < room % shards) for s in range(shards)]
@@ -98,14 +100,11 @@ def bounded_ring(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, sl
     table = spark.createDataFrame(runs, "arc int, first long, end long, shard int, base long")
     table = table.groupBy(F.col("arc").alias("__arc")).agg(F.sort_array(F.collect_list(F.struct("first", "end", "shard", "base"))).alias("__runs"))
     # Both tables are bounded by the ring, whatever the input.
-    before = Window.partitionBy("arc").orderBy("__cell", "__part")
-    cells = cells.join(F.broadcast(places.select("place", "arc")), "place").withColumn("__before", F.sum("keys").over(before) - F.col("keys"))
-    rows = rows.join(cells.select("__cell", "__part", F.col("arc").alias("__arc"), "__before"), ["__cell", "__part"])
-    order = Window.partitionBy("__cell", "__part").orderBy("size", "text_crc32")
-    rows = rows.withColumn("__rank", F.col("__before") + F.row_number().over(order) - 1).join(F.broadcast(table), "__arc")
+    rows = rows.join(F.broadcast(at.select(F.col("place").alias("__place"), F.col("arc").alias("__arc"), (F.col("before") - F.col("begin")).alias("__shift"))), "__place")
+    rows = rows.withColumn("__rank", F.col("idx") + F.col("__shift")).join(F.broadcast(table), "__arc")
     run = F.filter("__runs", lambda r: (r["first"] <= F.col("__rank")) & (F.col("__rank") < r["end"]))[0]
     rows = rows.withColumn("__run", run)
-    return rows.select(*names, "size", "text_crc32", F.col("__run.shard").alias("shard"), (F.col("__run.base") + F.col("__rank") - F.col("__run.first")).alias("slot"))
+    return rows.select(*(c for c in docs.columns if c != text_col), "size", "text_crc32", F.col("__run.shard").alias("shard"), (F.col("__run.base") + F.col("__rank") - F.col("__run.first")).alias("slot"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

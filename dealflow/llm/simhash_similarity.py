@@ -237,6 +237,7 @@ def verified_links(texts: DataFrame, similarity: float, shingle: int) -> DataFra
     return dealt.mapInArrow(C.lean_batches(_groupwise(each)), "a long, b long").distinct()
 
 
+@C.plain_names()
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without near copies: of each group of similar texts, the row with the least doc_id stays.
 
@@ -263,7 +264,9 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_co
     marked = docs.select(id_col, text_col, F.col(id_col).cast("long").alias("id"), *(v.alias(k) for k, v in key.items())).mapInArrow(C.lean_batches(run), "id long, k1 long, k2 long, size long, node long, fp binary, bands array<long>")
     # A null doc_id comes last; equal ones are settled by the key.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("least")
+    # Sets are told apart by their sum of hashes, 512 bits of fingerprint and 20 bands; each gets a number of its own.
     distinct = C.saved(marked.groupBy("node", "fp", "bands").agg(first, F.max("size").alias("size")))
+    distinct = distinct.withColumn("node", F.monotonically_increasing_id())
     comp = components(candidate_links(distinct.select("node", "fp", "bands")))
     members = C.saved(distinct.select("node", "least", "size").join(comp, "node").withColumnRenamed("component", "cell"))
     cuts = members.groupBy("cell").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("cut"))

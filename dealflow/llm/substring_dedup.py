@@ -13,8 +13,8 @@ position in D in either document. Steps:
    distinct hashes with its least document; buckets answer with a smaller document from elsewhere;
 3. the chunk marks covered words and cuts them.
 
-Nothing lists pairs: a passage that a third of all documents share costs one key a chunk. Window and
-anchor hashes have 64 bits; a wrong match needs equal window hashes and a shared anchor hash.
+Nothing lists pairs: a passage that a third of all documents share costs one key a chunk. Anchors only select, by
+64 bits; windows are equal where two hashes of 64 bits agree that stem from different hashes of their words.
 """
 
 from __future__ import annotations
@@ -49,6 +49,7 @@ def _anchors(data, off, window: int, period: int, cover) -> tuple:
     return h, bounds, pos, a[pos]
 
 
+@C.plain_names(("n_words", "n_removed", "kept_sha256", "removed_spans"))
 def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover=COVER, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """docs with the repeated words of every text cut out.
 
@@ -61,9 +62,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     by default from the size of the input; it changes no result.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "removed_spans")]
+    names = docs.columns
     n = chunks or C.chunk_count(C.text_bytes(docs, text_col), spark, CHUNK_BYTES)
-    x = C.chunked(docs.select(*names), n, id_col, text_col)
+    x = C.chunked(docs, n, id_col, text_col)
     cover = np.array(sorted(cover))
 
     def anchors(rows: pa.Table) -> pa.Table:
@@ -77,28 +78,29 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
     def windows(rows: pa.Table, shared: pa.Table) -> pa.Table:
         if not rows.num_rows or not shared.num_rows:
-            return C.packed(0, n, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return C.packed(0, n, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         among = np.unique(C.unpacked(shared, "keys", np.uint64)[0])
-        doc_ids, keys, docs_ = C.ids(rows, id_col), [], []
+        doc_ids, keys, others, docs_ = C.ids(rows, id_col), [], [], []
         for a, b, data, off in C.pieces(rows[text_col]):
             h, bounds, pos, key = _anchors(data, off, window, period, cover)
             pos = pos[C.found(key, among)[1]]
             at = _near(pos, bounds, window, period)
             if len(at):
                 keys.append(C.window_hashes(h, window)[at])
+                others.append(_other_hashes(data, off, window)[at])
                 docs_.append(doc_ids[a:b][C.doc_of(bounds)[at]])
         if not keys:
-            return C.packed(0, n, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        k, low, _ = C.group_min(np.concatenate(keys), np.concatenate(docs_))
-        return C.packed(rows[C.CHUNK][0].as_py(), n, k, low)
+            return C.packed(0, n, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        k, o = np.concatenate(keys), np.concatenate(others)
+        low, order, first = C.least_of(k, o, np.concatenate(docs_))
+        one = order[first]
+        return C.packed(rows[C.CHUNK][0].as_py(), n, k[one], low[one], o[one])
 
     def cut(rows: pa.Table, answer: pa.Table) -> pa.Table:
         out = {c: rows[c] for c in names}
         doc_ids = C.ids(rows, id_col)
-        far, far_doc = C.unpacked(answer, "keys", np.uint64)[0], C.unpacked(answer, "docs", np.int64)[0]
-        order = np.argsort(far)
-        far, far_doc = far[order], far_doc[order]
-        parts, keys, docs_ = [], [], []
+        far, far_other, far_doc = C.flat(answer, "keys", np.uint64), C.flat(answer, "others", np.uint64), C.flat(answer, "docs", np.int64)
+        parts, keys, others, docs_ = [], [], [], []
         for a, b, data, off in C.pieces(rows[text_col]):
             starts, ends, bounds = C.word_bounds(data, off)
             w = C.window_hashes(C.word_hashes(data, starts, ends), window)
@@ -106,14 +108,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
             at = np.flatnonzero(np.arange(len(w)) + window <= bounds[doc + 1])
             parts.append((a, b, bounds, at))
             keys.append(w[at])
+            others.append(_other_hashes(data, off, window)[at])
             docs_.append(doc_ids[a:b][doc[at]])
-        key, doc = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(docs_ or [np.zeros(0, np.int64)])
-        own, low, _ = C.group_min(key, doc)
-        where, hit = C.found(key, own)
-        least = low[where] if len(own) else doc
-        where, hit = C.found(key, far)
-        least[hit] = np.minimum(least[hit], far_doc[where[hit]])
-        lose = least < doc
+        none = np.zeros(0, np.uint64)
+        doc = np.concatenate([*docs_, np.zeros(0, np.int64)])
+        # The answers take part as windows of their documents.
+        least, _, _ = C.least_of(np.concatenate([*keys, none, far]), np.concatenate([*others, none, far_other]), np.r_[doc, far_doc])
+        lose = least[: len(doc)] < doc
         texts = rows[text_col].to_pylist()
         kept_text, n_words, n_removed, digest, spans = [], [], [], [], []
         seen = 0
@@ -146,15 +147,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         out["removed_spans"] = pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
         return pa.table(out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     blob = f"{C.BUCKET} int, {C.CHUNK} int, keys binary, c0 binary"
     shared = C.shared_keys(x.groupBy(C.CHUNK).applyInArrow(C.lean(anchors), blob), n)
     groups = x.groupBy(C.CHUNK)
-    asked = groups.cogroup(C.deal(shared, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(C.lean_pair(windows), blob)
-    least = C.deal(C.least_docs(asked, n), n, C.CHUNK)
+    asked = groups.cogroup(C.deal(shared, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(C.lean_pair(windows), f"{blob}, c1 binary")
+    least = C.deal(C.least_docs(asked, n, wide=True), n, C.CHUNK)
     return groups.cogroup(least.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(cut), f"{schema}, n_words long, n_removed long, kept_sha256 string, removed_spans array<struct<first: long, end: long>>")
 
 
+def _other_hashes(data: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
+    """A second hash of each window, from other hashes of words."""
+    starts, ends, _ = C.word_bounds(data, off)
+    return C.window_hashes(C.word_hashes(data, starts, ends, True), window)
+
+
 def _near(pos: np.ndarray, bounds: np.ndarray, window: int, period: int) -> np.ndarray:
     """Starts of windows inside one document that have one of the anchors at a shift below period."""
     total = int(bounds[-1])

@@ -3,7 +3,8 @@
 Totals by source, language and tokenizer version are additive, so they are kept as sums of signed deltas. A batch of
 changes holds rows to insert, to delete, or to revise (the old count goes, the new one comes); each becomes signed
 rows, which are summed before anything is stored. A batch is written whole to a folder of its own, and then committed
-by a marker named by its id, which the file system creates only where it is not there yet; it names the folder.
+by a marker named by its id, which names the folder. The marker is whole before it takes its name by a rename that
+fails where the name is taken.
 So of several runs of one batch one is counted, and replaying a batch after a failure, in any order, changes
 nothing. Totals read the committed sums only, never the documents.
 """
@@ -79,18 +80,21 @@ class TokenRollup:
         return True
 
     def _commit(self, batch_id: str, own: str) -> bool:
-        mark = self._path(f"{self.folder}/batch={batch_id}")
-        if self._fs.exists(mark) and not self._read(mark):
-            self._fs.delete(mark, False)  # a run ended between making the marker and filling it
-        try:
-            out = self._fs.create(mark, False)
-        except Py4JJavaError:
-            if self._fs.exists(mark):
-                return False
-            raise
+        """The marker is written whole under a name that nobody reads, and renamed to its own unless that is taken."""
+        waiting, mark = self._path(f"{self.folder}/.{own}"), self._path(f"{self.folder}/batch={batch_id}")
+        out = self._fs.create(waiting, True)
         out.write(bytearray(own.encode()))
         out.close()
-        return self._read(mark) == own
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(mark.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(waiting, mark, self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self._fs.delete(waiting, False)
+            return False
+        return True
 
     def apply_stream(self, changes: DataFrame, checkpoint: str, name: str):
         """A streaming query that commits each micro-batch under its epoch; a replayed epoch changes nothing."""

@@ -552,3 +552,56 @@ def test_rows_of_null_and_repeated_ids(spark):
     clean = decontamination.decontaminated(df, items)
     assert clean.columns == df.columns
     assert collections.Counter((x.doc_id, x.text) for x in clean.collect()) == collections.Counter((i, t) for i, t, _ in table if t not in (texts[1], texts[5]))
+
+
+def _names_in(module):
+    """Every name in quotes in the sources of an operator and of what they share."""
+    import pathlib
+
+    folder = pathlib.Path(module.__file__).parent
+    text = "".join((folder / f).read_text() for f in (pathlib.Path(module.__file__).name, "common.py", "graph.py"))
+    return sorted(set(re.findall(r"[\"'](_{0,2}[a-z][a-z0-9_]{0,20})[\"']", text)) - {"doc_id", "text"})
+
+
+KEEPING = [
+    (lambda d, t: decontamination.decontaminated(d, t), decontamination, ()),
+    (lambda d, t: simhash_similarity.near_dedup(d), simhash_similarity, ()),
+    (lambda d, t: substring_dedup.substring_dedup(d), substring_dedup, ("n_words", "n_removed", "kept_sha256", "removed_spans")),
+    (lambda d, t: sharding.bounded_ring(d), sharding, ("size", "text_crc32", "shard", "slot", "text")),
+    (lambda d, t: quality_rules.weak_supervision(d), quality_rules, (*quality_rules.FEATURES, "base_failed", "quality", "kept", "text")),
+    (lambda d, t: quality_rules.kept_documents(d), quality_rules, ()),
+]
+
+
+@pytest.mark.parametrize("k", range(len(KEEPING)))
+def test_columns_named_like_internal_ones(spark, docs, k):
+    """Every name in an operator's source as a column: kept with its values, or replaced where the operator adds it."""
+    from pyspark.sql import functions as F
+
+    run, module, added = KEEPING[k]
+    names = _names_in(module)
+    assert len(names) > 15
+    items = spark.createDataFrame([(1, rows()[1][1])], "item_id long, text string")
+    plain = docs.select("doc_id", "text")
+    got = run(plain.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names)), items)
+    own = [c for c in names if c not in added]
+    assert [c for c in got.columns if c in own] == own and set(got.columns) >= set(own)
+    table = got.select("doc_id", *own).collect()
+    assert collections.Counter(r.doc_id for r in table) == collections.Counter(r.doc_id for r in run(plain, items).select("doc_id").collect())
+    assert (table or run is KEEPING[5][0]) and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in table for c in own)
+
+
+def test_shards_do_not_depend_on_files(spark, docs):
+    """The same rows in 3 and in 50 parts, and in another order, get the same shards and slots."""
+    place = lambda d: collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.bounded_ring(d, shards=7, vnodes=16).collect())
+    assert place(docs.repartition(3)) == place(docs.repartition(50, "text")) == place(docs.orderBy("text").coalesce(1))
+
+
+def test_windows_need_both_hashes():
+    """Entries are grouped only where both hashes agree."""
+    from dealflow.llm import common
+
+    k, o, v = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64), np.array([9, 4, 3, 8, 6])
+    least, order, first = common.least_of(k, o, v)
+    assert least.tolist() == [3, 4, 3, 8, 4] and len(first) == 3
+    assert common.least_of(k[:0], o[:0], v[:0])[0].tolist() == []
