@@ -129,19 +129,27 @@ def merged(summaries, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     return keys, counts, cut
 
 
-def _survivors(asked: DataFrame, buckets: int, least: int) -> DataFrame:
-    """(chunk, keys) of each chunk's n-grams that a partition's summary cannot rule out. asked: (bucket, chunk, keys, c0)."""
+def _survivors(asked: DataFrame, buckets: int, least: int, kind: int) -> DataFrame:
+    """(chunk, bucket, kind, bits): which of the keys that a chunk asked a partition for its summary cannot rule out.
+
+    asked: (bucket, chunk, blob). The answer is a bit for each key, in the order of the question.
+    """
 
     def answer(rows: pa.Table) -> pa.Table:
         blobs = [C.unsqueezed(b) for b in rows["blob"].to_pylist()]
         mass = sum(int(c.sum(dtype=np.int64)) for _, c in blobs)
         keys, counts, cut = merged(((k, c.astype(np.int64)) for k, c in blobs), mass // least + 1)
         keys = keys[counts + cut >= least]
-        left = ((chunk, k[C.found(k, keys)[1]]) for chunk, (k, _) in zip(rows[C.CHUNK].to_pylist(), blobs))
-        out = [(chunk, C.squeezed(k, np.zeros(len(k), np.uint32))) for chunk, k in left if len(k)]
-        return pa.table({C.CHUNK: pa.array([c for c, _ in out], pa.int32()), "keys": pa.array([k for _, k in out], pa.binary())})
+        bits = pa.array([C.squeezed_bits(C.found(k, keys)[1]) for k, _ in blobs], pa.binary())
+        return pa.table({C.CHUNK: rows[C.CHUNK], C.BUCKET: rows[C.BUCKET], "kind": pa.array([kind] * len(blobs), pa.int32()), "bits": bits})
+
+    return C.deal(asked, buckets, C.BUCKET).groupBy(C.BUCKET).applyInArrow(C.lean(answer), f"{C.CHUNK} int, {C.BUCKET} int, kind int, bits binary")
 
-    return C.deal(asked, buckets, C.BUCKET).groupBy(C.BUCKET).applyInArrow(C.lean(answer), f"{C.CHUNK} int, keys binary")
+
+def _left(answer: pa.Table, kind: int, keys: np.ndarray) -> np.ndarray:
+    """Of all keys that a chunk asked for, in order, those that are left."""
+    rows = sorted((b, x) for b, k, x in zip(answer[C.BUCKET].to_pylist(), answer["kind"].to_pylist(), answer["bits"].to_pylist()) if k == kind)
+    return keys[np.concatenate([np.zeros(0, bool), *(C.unsqueezed_bits(x) for _, x in rows)])]
 
 
 def _request(chunk: int, buckets: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -151,11 +159,6 @@ def _request(chunk: int, buckets: int, keys: np.ndarray, counts: np.ndarray) ->
     return pa.table({C.BUCKET: pa.array(full, pa.int32()), C.CHUNK: pa.array(np.full(len(full), chunk), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-def _left(answer: pa.Table) -> np.ndarray:
-    """The keys of all answers to a chunk, in order; no two of them hold one key."""
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(C.unsqueezed(b)[0] for b in answer["keys"].to_pylist())]))
-
-
 def _texts(lang: list, phrase: list, bucket, k: list, f) -> pa.Table:
     phrase = pa.array(phrase, pa.binary()).cast(pa.string())
     return pa.table({"b": pa.array(bucket, pa.int32()), "lang": pa.array(lang, pa.string()), "phrase": phrase, "k": pa.array(k, pa.int32()), "f": pa.array(f, pa.int64())})
@@ -177,22 +180,25 @@ def frequent_ngrams(docs: DataFrame, least: int = LEAST, text_col: str = "text",
     named = docs.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
     x = C.packs(named, n, ["text", "lang"], "text")
 
-    def first(rows: pa.Table) -> pa.Table:
-        return _request(rows[C.CHUNK][0].as_py(), n, *_counted(w.keys(k)[w.fits[k]] for w, _ in _runs(rows) for k in (1, 2)))
+    def short_keys(rows: pa.Table):
+        return (w.keys(k)[w.fits[k]] for w, _ in _runs(rows) for k in (1, 2))
 
-    def second(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        among = _left(answer)
+    def long_keys(rows: pa.Table, among: np.ndarray):
+        for w, _ in _runs(rows):
+            pairs = w.left(2, among)
+            for k in range(3, LONGEST + 1):
+                yield w.keys(k)[w.longer(k, pairs)]
 
-        def parts():
-            for w, _ in _runs(rows):
-                pairs = w.left(2, among)
-                for k in range(3, LONGEST + 1):
-                    yield w.keys(k)[w.longer(k, pairs)]
+    def first(rows: pa.Table) -> pa.Table:
+        return _request(rows[C.CHUNK][0].as_py(), n, *_counted(short_keys(rows)))
 
-        return _request(rows[C.CHUNK][0].as_py(), n, *_counted(parts()))
+    def second(rows: pa.Table, answer: pa.Table) -> pa.Table:
+        among = _left(answer, 0, _counted(short_keys(rows))[0])
+        return _request(rows[C.CHUNK][0].as_py(), n, *_counted(long_keys(rows, among)))
 
     def exact(rows: pa.Table, answer: pa.Table) -> pa.Table:
-        among, parts = _left(answer), []
+        short = _left(answer, 0, _counted(short_keys(rows))[0])
+        among, parts = np.sort(np.r_[short, _left(answer, 1, _counted(long_keys(rows, short))[0])]), []
         for w, langs in _runs(rows):
             words = collections.Counter()
             for lang, c in zip(langs, np.diff(w.bounds).tolist()):
@@ -220,8 +226,8 @@ def frequent_ngrams(docs: DataFrame, least: int = LEAST, text_col: str = "text",
 
     blob = f"{C.BUCKET} int, {C.CHUNK} int, blob binary"
     groups = x.groupBy(C.CHUNK)
-    short = C.deal(_survivors(groups.applyInArrow(C.lean(first), blob), n, least), n, C.CHUNK)
-    long = C.deal(_survivors(groups.cogroup(short.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(second), blob), n, least), n, C.CHUNK)
+    short = C.deal(_survivors(groups.applyInArrow(C.lean(first), blob), n, least, 0), n, C.CHUNK)
+    long = C.deal(_survivors(groups.cogroup(short.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(second), blob), n, least, 1), n, C.CHUNK)
     both = C.deal(short.union(long), n, C.CHUNK)
     counted = C.deal(groups.cogroup(both.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(exact), f"{C.BUCKET} int, blob binary"), n, C.BUCKET)
     return counted.groupBy(C.BUCKET).applyInArrow(C.lean(total), "lang string, phrase string, k int, f long")
@@ -250,9 +256,11 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = 80, top: int
     parts = F.when(F.col("k") == 1, F.sequence(F.lit(0), F.lit(WORD_PARTS - 1))).otherwise(F.array(F.lit(0)))
     pieces = grams.where(f"k < {LONGEST}").select("lang", F.col("phrase").alias("piece"), "f", F.explode(parts).alias("part"))
     looked = cuts.join(pieces, ["lang", "piece", "part"])
-    at = looked.groupBy("lang", "phrase", "a", "k", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
-    at = at.withColumn("score", F.expr("CAST(CAST(2000000 AS DECIMAL(10, 0)) * CAST(a AS DECIMAL(20, 0)) DIV (CAST(l AS DECIMAL(20, 0)) + CAST(r AS DECIMAL(20, 0))) AS BIGINT)"))
-    scored = at.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
+    places = [(i, side) for i in range(1, LONGEST) for side in (0, 1)]
+    at = looked.groupBy("lang", "phrase", "a").agg(*(F.max(F.when((F.col("cut") == i) & (F.col("side") == side), F.col("f"))).alias(f"f{i}_{side}") for i, side in places))
+    score = "CAST(CAST(2000000 AS DECIMAL(10, 0)) * CAST(a AS DECIMAL(20, 0)) DIV (CAST(f{i}_0 AS DECIMAL(20, 0)) + CAST(f{i}_1 AS DECIMAL(20, 0))) AS BIGINT)"
+    cut = lambda i: F.when(F.col(f"f{i}_0").isNotNull(), F.struct(F.expr(score.format(i=i)).alias("score"), F.lit(i).alias("cut"), F.col(f"f{i}_0").alias("l"), F.col(f"f{i}_1").alias("r")))
+    scored = at.select("lang", "phrase", "a", F.least(*(cut(i) for i in range(1, LONGEST))).alias("best"))
     subs = longer.where("k > 2").select("lang", "f", "w", F.explode(F.sequence(F.lit(2), F.col("k") - 1)).alias("size"), "k")
     subs = subs.select("lang", "f", "w", "size", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("size") + 1)).alias("first"))
     held = subs.groupBy("lang", part(F.col("first"), F.col("size")).alias("phrase")).agg(F.max("f").alias("most"))

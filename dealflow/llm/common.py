@@ -331,6 +331,15 @@ def unsqueezed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(keys), np.ascontiguousarray(flat[8 * n :].reshape(4, n).T).view(np.uint32).reshape(-1)
 
 
+def squeezed_bits(bits: np.ndarray) -> bytes:
+    return len(bits).to_bytes(4, "little") + _ZSTD.compress(np.packbits(bits).tobytes(), asbytes=True)
+
+
+def unsqueezed_bits(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    return np.unpackbits(np.frombuffer(_ZSTD.decompress(blob[4:], -(-n // 8), asbytes=True), np.uint8), count=n).astype(bool)
+
+
 def unpacked(table: pa.Table, col: str, kind) -> tuple[np.ndarray, np.ndarray]:
     """All values of a packed column, and the row of each."""
     blobs = table[col].to_pylist()
