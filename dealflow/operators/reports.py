@@ -1,4 +1,8 @@
-"""Segmented reports over the deal list (R0 to R50), in long form: one row for each group, totals included."""
+"""Segmented reports over the deal list (R0 to R50), in long form: one row for each group, totals included.
+
+A report sums measures over groups, so it gives the same over deals and over cells of a cube (sums of deals by the
+report's axes): measured() makes a deal a cell of one.
+"""
 
 from __future__ import annotations
 
@@ -17,11 +21,55 @@ CUTS = {
 FILTERS = ("fund", "status", "hold_bucket")
 
 
+#: Sums that reports are made of. deal_count, moic_sum, moic_count, hold_sum and hold_count come from measured().
+MEASURES = (
+    "deal_count", "moic_sum", "moic_count", "hold_sum", "hold_count", "ic_weight", "total_value", "ic_in_loss", "impaired_value", "realized", "current_value", "total_ic", "ic_for_bucket", "hold_p",
+    "rev_cagr_w", "rev_cagr_p", "ebitda_cagr_w", "ebitda_cagr_p", "entry_margin_w", "entry_margin_p", "exit_margin_w", "exit_margin_p", "multiple_w", "entry_multiple_p", "exit_multiple_p", "leverage_w", "entry_leverage_p", "exit_leverage_p",
+)
+
+
+def measured(deals: DataFrame) -> DataFrame:
+    """deals with a count of one and with parts of means; cells of a cube as they are."""
+    if "deal_count" in deals.columns:
+        return deals
+    parts = {"moic": "gross_moic", "hold": "hold_period"}
+    mean = {f"{k}_sum": c(x).cast("double") for k, x in parts.items() if x in deals.columns} | {f"{k}_count": c(x).isNotNull().cast("long") for k, x in parts.items() if x in deals.columns}
+    return deals.withColumns({"deal_count": F.lit(1).cast("long"), **mean})
+
+
+DEALS = "deal_count"
+
+
+def _count() -> Column:
+    return F.coalesce(F.sum(DEALS), F.lit(0)).alias("deals")
+
+
+def _mean(of: str) -> Column:
+    return F.try_divide(F.sum(f"{of}_sum"), F.sum(f"{of}_count"))
+
+
+def cube(deals: DataFrame, sets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The sums of MEASURES of each set of axes, all in one pass over the deals: (cube, *axes, *measures).
+
+    Sums of decimals are exact, so a report over cells equals that over deals. An axis that is not in a set is null
+    in its cells.
+    """
+    axes = list(dict.fromkeys(a for s in sets.values() for a in s))
+    have = [m for m in MEASURES if m in measured(deals).columns]
+    rows = measured(deals).select(*axes, *have)
+    out = rows.groupingSets([list(s) for s in dict.fromkeys(sets.values())], *axes).agg(F.grouping_id().alias("gid"), *(F.sum(m).alias(m) for m in have))
+    name = None
+    for s in dict.fromkeys(sets.values()):
+        mask = sum(1 << (len(axes) - 1 - i) for i, a in enumerate(axes) if a not in s)
+        name = F.when(c("gid") == mask, ",".join(s)) if name is None else name.when(c("gid") == mask, ",".join(s))
+    return out.withColumn("cube", name).select("cube", *axes, *have)
+
+
 def pooled() -> list[Column]:
     """Count, sums, multiple, loss ratio and impaired ratio; a ratio of sums is null where nothing is invested."""
     ic = F.sum("ic_weight")
     return [
-        F.count("*").alias("deals"),
+        _count(),
         ic.cast("decimal(24,7)").alias("ic"),
         F.round(S.divide(F.sum(F.coalesce("total_value", F.lit(0))), ic), 6).alias("moic"),
         F.round(S.divide(F.sum("ic_in_loss"), ic), 6).alias("loss_ratio"),
@@ -44,13 +92,13 @@ def _axis(axis: str) -> Column:
 
 def cut(deals: DataFrame, axis: str, **wanted) -> DataFrame:
     """The pooled statistics of each visible item of an axis, and of all visible deals (is_total 1)."""
-    rows = filtered(deals, axis, **wanted).withColumn("item", _axis(axis)).where("item IS NOT NULL")
+    rows = filtered(measured(deals), axis, **wanted).withColumn("item", _axis(axis)).where("item IS NOT NULL")
     return rows.rollup("item").agg(F.grouping("item").cast("int").alias("is_total"), *pooled()).select("is_total", "item", "deals", "ic", "moic", "loss_ratio", "impaired_ratio")
 
 
 def all_cuts(deals: DataFrame, axes: tuple[str, ...] = tuple(dict.fromkeys(CUTS.values()))) -> DataFrame:
     """Every cut in one pass over the deals, by grouping sets; one row for each axis and visible item."""
-    rows = deals.select(*(_axis(a).alias(a) for a in axes), "ic_weight", "total_value", "ic_in_loss", "impaired_value")
+    rows = measured(deals).select(*(_axis(a).alias(a) for a in axes), DEALS, "ic_weight", "total_value", "ic_in_loss", "impaired_value")
     out = rows.groupingSets([[a] for a in axes], *axes).agg(F.grouping_id().alias("gid"), *pooled())
     name, item = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, a in enumerate(axes):
@@ -62,8 +110,8 @@ def all_cuts(deals: DataFrame, axes: tuple[str, ...] = tuple(dict.fromkeys(CUTS.
 
 def dispersion(deals: DataFrame, by: str) -> DataFrame:
     """Deals, share of invested capital and average multiple of each bucket, with a total."""
-    rows = deals.where(c(by).isNotNull())
-    out = rows.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), F.count("*").alias("deals"), F.sum("ic_weight").alias("s"), F.avg("gross_moic").alias("m"))
+    rows = measured(deals).where(c(by).isNotNull())
+    out = rows.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), _count(), F.sum("ic_weight").alias("s"), _mean("moic").alias("m"))
     whole = F.max(F.when(c("is_total") == 1, c("s"))).over(Window.partitionBy())  # after grouping: a row a bucket
     return out.select("is_total", c(by).alias("item"), "deals", F.round(S.divide(c("s"), whole), 6).alias("ic_share"), F.round("m", 4).alias("avg_moic"))
 
@@ -81,30 +129,30 @@ def share_matrix(deals: DataFrame, rows: str, cols: str, value: str = "ic_weight
 
 def counts(deals: DataFrame, axis: str) -> DataFrame:
     """Deals of each visible item and in all, with the place by descending count."""
-    out = deals.where(c(axis).isNotNull()).rollup(axis).agg(F.grouping(axis).cast("int").alias("is_total"), F.count("*").alias("deals"))
+    out = measured(deals).where(c(axis).isNotNull()).rollup(axis).agg(F.grouping(axis).cast("int").alias("is_total"), _count())
     w = Window.partitionBy("is_total").orderBy(F.desc("deals"), axis)
     return out.select("is_total", c(axis).alias("item"), "deals", F.row_number().over(w).alias("place"))
 
 
 def matrix(deals: DataFrame, rows: str, cols: str) -> DataFrame:
     """Count and pooled multiple by row and column, with totals of both and of all visible deals."""
-    d = deals.withColumns({"r": _axis(rows), "k": _axis(cols)}).where("r IS NOT NULL AND k IS NOT NULL")
+    d = measured(deals).withColumns({"r": _axis(rows), "k": _axis(cols)}).where("r IS NOT NULL AND k IS NOT NULL")
     out = d.cube("r", "k").agg(F.grouping("r").cast("int").alias("all_rows"), F.grouping("k").cast("int").alias("all_cols"), *pooled())
     return out.select("all_rows", "all_cols", c("r").alias("row_item"), c("k").alias("col_item"), "deals", "moic")
 
 
 def matrix_counts(deals: DataFrame, rows: str, cols: str) -> DataFrame:
     """Deals by row and column."""
-    d = deals.withColumns({"r": _axis(rows), "k": _axis(cols)}).where("r IS NOT NULL AND k IS NOT NULL")
-    return d.groupBy(c("r").alias("row_item"), c("k").alias("col_item")).agg(F.count("*").alias("deals"))
+    d = measured(deals).withColumns({"r": _axis(rows), "k": _axis(cols)}).where("r IS NOT NULL AND k IS NOT NULL")
+    return d.groupBy(c("r").alias("row_item"), c("k").alias("col_item")).agg(_count())
 
 
 def underperforming(deals: DataFrame) -> DataFrame:
     """Deals in loss by fund and company, with totals."""
-    d = deals.where("performing = 1 AND fund IS NOT NULL AND company IS NOT NULL")
+    d = measured(deals).where("performing = 1 AND fund IS NOT NULL AND company IS NOT NULL")
     return d.rollup("fund", "company").agg(
-        F.grouping_id().cast("int").alias("level"), F.count("*").alias("loss_deals"), F.round(S.divide(F.sum("total_value"), F.sum("ic_weight")), 6).alias("moic"),
-        F.sum(F.coalesce("current_value", F.lit(0))).cast("decimal(24,7)").alias("current_value"), F.round(S.divide(F.sum("impaired_value"), F.sum("ic_weight")), 6).alias("impaired_ratio"), F.round(F.avg("hold_period"), 4).alias("avg_hold"),
+        F.grouping_id().cast("int").alias("level"), _count().alias("loss_deals"), F.round(S.divide(F.sum("total_value"), F.sum("ic_weight")), 6).alias("moic"),
+        F.sum(F.coalesce("current_value", F.lit(0))).cast("decimal(24,7)").alias("current_value"), F.round(S.divide(F.sum("impaired_value"), F.sum("ic_weight")), 6).alias("impaired_ratio"), F.round(_mean("hold"), 4).alias("avg_hold"),
     ).select("level", "fund", "company", "loss_deals", "moic", "current_value", "impaired_ratio", "avg_hold")
 
 
@@ -176,17 +224,26 @@ def axis_items(deals: DataFrame, axes: tuple[str, ...], seen: str = "deal_id") -
     return d.select("axis", F.row_number().over(Window.partitionBy("axis").orderBy(*order)).alias("place"), "item")  # distinct items of one axis
 
 
-def write_reports(deals: DataFrame, reports: dict, folder: str) -> DataFrame:
-    """A10: writes every report over one stored deal list into a folder of its own; (report, rows) of each.
+def deal_count(deals: DataFrame) -> DataFrame:
+    """R28."""
+    return measured(deals).agg(_count())
+
+
+def write_reports(deals: DataFrame, reports: dict, axes: dict[str, tuple[str, ...]], folder: str) -> DataFrame:
+    """A10: writes every report into a folder of its own; (report, name, value, n): how often each value stands in a column.
 
-    reports: name to a function of the deal list. The list is computed and written once; each report reads the columns
-    that it needs.
+    reports: name to a function of deals or cells; axes: the axes that each reads. The deals are read once, for the
+    cube; it is stored by its sets of axes, and each report reads the cells of its own. Numbers are given with seven places.
     """
     spark = deals.sparkSession
-    deals.write.parquet(f"{folder}/deal_list")
-    stored = spark.read.parquet(f"{folder}/deal_list")
-    out = []
+    cube(deals, axes).write.partitionBy("cube").parquet(f"{folder}/cube")
+    cells, out = spark.read.option("basePath", f"{folder}/cube"), None
+    schema = cells.parquet(f"{folder}/cube").schema
     for name, run in reports.items():
-        run(stored).write.parquet(f"{folder}/{name}")
-        out.append((name, spark.read.parquet(f"{folder}/{name}").count()))
-    return spark.createDataFrame(out, "report string, rows long")
+        of = ",".join(axes[name])
+        run(cells.schema(schema).parquet(f"{folder}/cube").where(c("cube") == of).select(*axes[name], *(m for m in MEASURES if m in schema.names))).write.parquet(f"{folder}/{name}")
+        got = spark.read.parquet(f"{folder}/{name}")
+        text = lambda x: F.coalesce(F.coalesce(c(x).cast("string").try_cast("decimal(38,7)").cast("string"), c(x).cast("string")), F.lit("null"))
+        long = got.select(F.inline(F.array(*(F.struct(F.lit(name).alias("report"), F.lit(x).alias("name"), text(x).alias("value")) for x in got.columns))))
+        out = long if out is None else out.unionByName(long)
+    return out.groupBy("report", "name", "value").agg(F.count("*").alias("n"))

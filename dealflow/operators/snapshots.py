@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .medians import medians
-from .reports import pooled
+from .reports import measured, pooled
 from .segments import agree
 from .store import SnapshotStore, with_keys  # noqa: F401
 
@@ -58,7 +58,7 @@ def latest(snapshots: DataFrame) -> DataFrame:
 
 def over_time(snapshots: DataFrame) -> DataFrame:
     """Pooled statistics by manager and as-of date, and the change of the multiple."""
-    out = snapshots.groupBy("gp_name", "track_record_date").agg(*pooled())
+    out = measured(snapshots).groupBy("gp_name", "track_record_date").agg(*pooled())
     before = F.lag("moic").over(Window.partitionBy("gp_name").orderBy("track_record_date"))
     return out.select("gp_name", "track_record_date", "deals", "ic", "moic", "loss_ratio", F.round(c("moic") - before, 6).alias("moic_change"))
 
@@ -73,7 +73,7 @@ def overview(latest_rows: DataFrame) -> DataFrame:
 def by_gp(latest_rows: DataFrame) -> DataFrame:
     """Pooled multiple, loss ratio and distributed share of invested capital by manager."""
     dpi = F.round(S.divide(F.sum("realized"), F.sum("ic_weight")), 6).alias("dpi")
-    return latest_rows.groupBy("gp_name").agg(*pooled(), dpi).drop("impaired_ratio")
+    return measured(latest_rows).groupBy("gp_name").agg(*pooled(), dpi).drop("impaired_ratio")
 
 
 def deployment(latest_rows: DataFrame) -> DataFrame:

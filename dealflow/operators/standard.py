@@ -41,3 +41,9 @@ def standard_rows(rows: DataFrame, scales: DataFrame, funds: DataFrame) -> DataF
     out |= {f: raw(f) for f in ("sector", "region")} | {f: S.to_date(raw(f)) for f in DATES} | {f: S.to_number(raw(f)) for f in RATIOS}
     out |= {f: S.scaled(S.to_number(raw(f)), F.element_at("factors", f)) for f in MONETARY}
     return d.withColumns(out).drop("fields", "factors", "fund_label", "__file", "__fund", "__company", "__own")
+
+
+def input_rows(grid: DataFrame, headers: dict[str, str]) -> DataFrame:
+    """Rows of deal-input grids (file_id, row_no, header, value) as text columns by file and row_no; headers: column to its header, without regard to case."""
+    rows = grid.groupBy(c("file_id").alias("file"), "row_no").agg(F.map_from_entries(F.collect_list(F.struct(F.lower("header"), "value"))).alias("m"))  # the cells of one row
+    return rows.select("file", "row_no", *(F.element_at("m", h.lower()).alias(x) for x, h in headers.items()))

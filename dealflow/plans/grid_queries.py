@@ -12,7 +12,7 @@ from ..operators import matching as M
 from ..operators import profile as P
 from ..operators import standard as N
 from ..sources import fixtures as X
-from ..sources.shared import bucketed
+from ..sources.shared import bucketed, saved
 from . import sql as Q
 from .inputs import built, built_table, folder
 from .match_sql import TWINS
@@ -123,7 +123,11 @@ def _columns(spark, sf):
     return v.select(c("file_id").alias("file"), (c("col_no") - 2).alias("col_index"), "col_name", (c("sheet_idx") * F.lit(1 << 32) + c("row_no")).alias("row_no"), "value")
 
 
-_profiles = lambda spark, sf: P.column_profiles(_columns(spark, sf))
+def _profiles(spark, sf):
+    """The profiles of the landed sheets' columns, written once; C4_C5 times their making over the text deals."""
+    return spark.read.parquet(built(spark, sf, "profiles", P.column_profiles(_columns(spark, sf)).write.parquet))
+
+
 QUERIES["D1_D9_scores"] = lambda spark, sf: M.scores(_profiles(spark, sf)).select("file", "col_name", "field_id", F.round("confidence", 6).alias("confidence"), F.array_join("signals", ",").alias("signals"))
 QUERIES["D10_D12_mapping"] = lambda spark, sf: M.mapping(_profiles(spark, sf)).select("file", "field_id", "col_name", F.round("confidence", 6).alias("confidence"), "status", "tier", "optional")
 QUERIES["D12_unmapped_columns"] = lambda spark, sf: M.unmapped_columns(_profiles(spark, sf), M.mapping(_profiles(spark, sf)))
@@ -268,16 +272,16 @@ def _shifted(spark, sf):
 
 def _standard(spark, sf):
     """Parse, map, scale, clean: F20 blanks companies that are funds, F23 brings thousands to millions."""
-    cells = _shifted(spark, sf)
-    h = B.header_rows(cells, B.blocks(cells)).withColumns({"header_rows": F.array(F.lit(4)), "data_row": F.lit(5)})
+    cells = saved(_shifted(spark, sf))
+    h = saved(B.tables(cells).withColumns({"header_rows": F.array(F.lit(4)), "data_row": F.lit(5)}))
     labels = P.fund_labels(cells.select(c("file_id").alias("file"), "sheet").distinct())
     rows = B.table_rows(cells, _merges(spark), h).withColumnRenamed("file_id", "file").join(labels, ["file", "sheet"])
     names = cells.where("row_no = 4").select(c("file_id").alias("file"), "sheet", "col_no", c("value").alias("col_name"))
     body = cells.where("row_no > 4").withColumnRenamed("file_id", "file").join(names, ["file", "sheet", "col_no"])
     profiles = P.column_profiles(body.select("file", (c("col_no") - 2).alias("col_index"), "col_name", (c("sheet_idx") * F.lit(1 << 32) + c("row_no")).alias("row_no"), "value"))
-    mapped = M.mapping(profiles)
-    mapped = M.overridden(mapped, _by_hand(mapped))
-    valued = N.field_values(rows, mapped)
+    mapped = M.mapping(saved(profiles))
+    mapped = saved(M.overridden(mapped, _by_hand(mapped)))
+    valued = saved(N.field_values(rows, mapped))
     scales = P.monetary_scale(N.monetary_values(valued), mapped.where("col_name IS NOT NULL").select("file", "field_id", "col_name"), B.unit_banner(cells.where("file_id <> 'GP_AMERICA'")).withColumnRenamed("file_id", "file"))
     out = N.standard_rows(valued, scales, labels.select("file", c("fund_label").alias("fund")))
     return out.select("file", "fund", "row_no", "company", "status", "entry_date", "exit_date", *(F.round(x, 3).alias(x) for x in ("ic_total", "realized", "unrealized", "gross_moic", "entry_ev")))

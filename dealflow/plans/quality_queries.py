@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import discover as B
 from ..operators import snapshots as A
+from ..operators import standard as N
 from ..operators import validate as V
-from ..sources.fixtures import SNAPSHOT_DATES, deals_raw, deals_text, text_sql
+from ..sources.fixtures import INPUT_END, INPUT_HEADERS, INPUT_META, INPUT_SQL, SNAPSHOT_DATES, deals_raw, deals_sql, deals_text, input_cells, text_sql
+from ..sources.shared import saved
 from ..streaming.ingest import ingest
 from . import sql as Q
 from .inputs import built, folder
@@ -150,6 +153,32 @@ _snap("X6_browser", lambda s: s.where("gp_name = 'GP_ASIA' AND status = 'Realize
 _snap("X7_deployment", A.deployment, "SELECT gp_name, vintage, sum(ic_weight)::DECIMAL(24,7) AS ic, count(*) AS deals FROM newest GROUP BY 1, 2")
 
 
+# ---- from grids to snapshots: meta block and rows of each file, the gate, and one publication of what passes
+def _flow(spark, sf):
+    cells = spark.read.parquet(built(spark, sf, "input_cells", input_cells(spark, sf).write.parquet))
+    rows = N.input_rows(B.input_grid(cells), INPUT_HEADERS)
+    judged = saved(V.gate(rows, B.input_meta(cells).withColumnRenamed("file_id", "file")))
+    lacking = B.header_differences(B.input_headers(cells), list(INPUT_HEADERS.values())).where(F.size("missing") > 0)
+    passed = judged.where("decision <> 1").join(lacking, c("file") == c("file_id"), "left_anti")
+    deals_ = rows.join(passed.select("file", "gp_name", "as_of", "currency"), "file").withColumns({"total_ic": c("total_ic").cast("decimal(24,7)"), "fund_currency": F.lit(None).cast("string")})
+    stamped = A.long_table(deals_, None, "team", "2002-01-05 00:00:00").withColumns({"track_record_date": c("as_of"), "source_file": c("file"), "fund_currency": c("currency")}).drop("as_of", "currency")
+    store = A.SnapshotStore(spark, folder(spark, "gated"))
+    store.publish(stamped)
+    total = store.read().groupBy("gp_name").agg(F.sum("total_ic").cast("decimal(24,7)").alias("ic"))
+    out = judged.join(store.inventory().select("gp_name", "track_record_date", "deals", "published_by"), "gp_name", "left").join(total, "gp_name", "left")
+    return out.select("file", "as_of", "currency", "rows", "bad_numbers", "first_bad_numbers", "decision", "track_record_date", "deals", "published_by", "ic")
+
+
+QUERIES["A2_A7_grid_to_snapshot"] = _flow
+_T = f"t AS (SELECT * FROM ({INPUT_SQL.format(deals=f'({deals_sql()})')}) WHERE NOT (file = '{INPUT_END[0]}' AND row_no > {INPUT_END[1]}))"
+ORACLE_SQL["A2_A7_grid_to_snapshot"] = f"""WITH {_T}, m AS ({INPUT_META.format(t='t')}), r AS (SELECT file, count(*) AS rows, count(*) FILTER (trim(coalesce(company, '')) = '') AS blank_company,
+  sum({' + '.join(_n(x) for x in V.NUMERIC)}) AS bad_numbers, string_agg(CASE WHEN {_n('total_ic')} = 1 AND k <= 8 THEN 'total_ic row ' || (row_no + 7) END, '; ' ORDER BY row_no) AS first_bad_numbers, sum({' + '.join(_d(x) for x in V.DATES)}) AS bad_dates,
+  count(*) FILTER (trim(coalesce(fund, '')) = '') AS blank_fund, count(*) FILTER (try_cast(gross_tvpi AS DOUBLE) < 0) AS negative_tvpi, count(*) FILTER (abs(try_cast(gross_irr AS DOUBLE)) > 3) AS large_irr,
+  count(*) FILTER (trim(coalesce(total_ic, '')) = '' OR try_cast(total_ic AS DOUBLE) = 0) AS no_ic, sum(try_cast(total_ic AS DECIMAL(24,7)))::DECIMAL(24,7) AS ic FROM (SELECT *, sum({_n('total_ic')}) OVER (PARTITION BY file ORDER BY row_no) AS k FROM t) GROUP BY file),
+  j AS (SELECT m.*, r.* EXCLUDE file, CASE WHEN gp_name IS NULL OR as_of IS NULL OR blank_company + bad_numbers + bad_dates > 0 THEN 1 WHEN currency IS NULL OR blank_fund + negative_tvpi + large_irr + no_ic > 0 THEN 2 ELSE 0 END AS decision FROM m JOIN r USING (file))
+  SELECT file, as_of, currency, rows, bad_numbers, coalesce(first_bad_numbers, '') AS first_bad_numbers, decision, CASE WHEN decision <> 1 THEN as_of END AS track_record_date, CASE WHEN decision <> 1 THEN rows END AS deals, CASE WHEN decision <> 1 THEN 'team' END AS published_by, CASE WHEN decision <> 1 THEN ic END AS ic FROM j"""
+
+
 def _stream(spark, sf):
     """Two arrivals of files of all managers, the second one with a correction of one; then each file again."""
     incoming, target, state = (folder(spark, x) for x in ("incoming", "snapshots", "state"))

@@ -36,7 +36,7 @@ add("R21_fund_sector_share", lambda d: R.share_matrix(d, "fund", "sector"), Q.sh
 add("R22_fund_geography_share", lambda d: R.share_matrix(d, "fund", "geography"), Q.share_matrix("fund", "geography"))
 for _name, _axis in (("R23_count_sector", "sector"), ("R24_count_geography", "geography"), ("R25_count_transaction_type", "transaction_type"), ("R26_count_gp_role", "gp_role"), ("R27_count_process_type", "process_type")):
     add(_name, lambda d, a=_axis: R.counts(d, a), Q.counts(_axis))
-add("R28_deal_count", lambda d: d.agg(F.count("*").alias("deals")), Q.over_deals("SELECT count(*) AS deals FROM deals"))
+add("R28_deal_count", R.deal_count, Q.over_deals("SELECT count(*) AS deals FROM deals"))
 add("R29_vintage", lambda d: R.cut(d, "vintage", fund=None), Q.cut("vintage"))
 add("R30_vintage_sector", lambda d: R.matrix(d, "vintage", "sector").drop("moic"), Q.matrix("vintage", "sector").replace("SELECT grouping(r)", "SELECT * EXCLUDE moic FROM (SELECT grouping(r)") + ")")
 add("R31_vintage_sector_moic", lambda d: R.matrix(d, "vintage", "sector"), Q.matrix("vintage", "sector"))
@@ -84,7 +84,19 @@ ORACLE_SQL["C7_axis_items"] = Q.over_deals(
     o AS (SELECT found.*, rank, axis IN {R.YEARS} AS years FROM found LEFT JOIN ranks USING (axis, item))
     SELECT axis, row_number() OVER (PARTITION BY axis ORDER BY coalesce(rank, 1000), CASE WHEN years THEN try_cast(item AS BIGINT) END NULLS LAST, CASE WHEN years THEN item END, CASE WHEN NOT years THEN first END, item)::INTEGER AS place, item FROM o"""
 )
-QUERIES["A10_all_reports"] = lambda spark, sf: R.write_reports(deals(spark, sf, True), REPORTS, folder(spark, "reports"))
-ORACLE_SQL["A10_all_reports"] = " UNION ALL ".join(f"SELECT '{n}' AS report, count(*) AS rows FROM ({ORACLE_SQL[n]})" for n in REPORTS)
+#: The axes that each report reads: its cut, its matrix, and the columns that it filters by.
+AXES = {n: (a,) for n, a in R.CUTS.items()} | {
+    "R2_filtered_sector": ("sector", "status", "hold_bucket"), "R18_all_cuts": (), "R19_moic_dispersion": ("moic_bucket",), "R20_irr_dispersion": ("irr_bucket",), "R50_chart_moic_dispersion": ("moic_bucket",),
+    "R21_fund_sector_share": ("fund", "sector"), "R22_fund_geography_share": ("fund", "geography"), "R23_count_sector": ("sector",), "R24_count_geography": ("geography",), "R25_count_transaction_type": ("transaction_type",),
+    "R26_count_gp_role": ("gp_role",), "R27_count_process_type": ("process_type",), "R28_deal_count": ("status",), "R29_vintage": ("vintage",), "R30_vintage_sector": ("vintage", "sector"), "R31_vintage_sector_moic": ("vintage", "sector"),
+    "R32_vintage_sector_by_fund": ("vintage", "sector", "fund"), "R33_deployment": ("vintage", "fund"), "R34_vintage_fund": ("vintage", "fund"), "R35_exit_share": ("fund", "exit_year", "status"), "R36_exit_count": ("fund", "exit_year", "status"),
+    "R37_visible_axes": ("vintage", "sector", "fund"), "R38_underperforming": ("performing", "fund", "company"), "R39_partner_attribution": ("sourcing_partner",), "R48_realized_by_fund": ("fund",), "R49_hold_by_fund": ("fund", "status"),
+} | {n: ("fund", "status") for n in REPORTS if n[:3] in ("R40", "R41", "R42", "R43", "R44", "R45", "R46", "R47")}
+# R18 pools every cut at once, so its cells are the single deals of the other sets; the cuts themselves are R3 to R17.
+CUBED = {n: run for n, run in REPORTS.items() if n != "R18_all_cuts"}
+QUERIES["A10_all_reports"] = lambda spark, sf: R.write_reports(deals(spark, sf, True), CUBED, AXES_OF, folder(spark, "reports"))
+AXES_OF = {n: AXES[n] for n in CUBED}
+_cell = "coalesce(TRY_CAST(v AS DECIMAL(38,7))::VARCHAR, v, 'null')"
+ORACLE_SQL["A10_all_reports"] = "SELECT report, name, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS report, name, {_cell} AS value FROM (SELECT COLUMNS(*)::VARCHAR FROM ({ORACLE_SQL[n]})) UNPIVOT INCLUDE NULLS (v FOR name IN (*))" for n in CUBED) + ") GROUP BY ALL"
 QUERIES["A9_input_table"] = lambda spark, sf: D.input_table(deals(spark, sf), "USD")
 ORACLE_SQL["A9_input_table"] = Q.over_deals("SELECT " + ", ".join({"fund_currency": "coalesce(fund_currency, 'USD')"}.get(x, x) + f' AS "{h}"' for h, x in D.INPUT_COLUMNS) + " FROM deals")

@@ -153,3 +153,34 @@ def landed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed_merges(spark: SparkSession) -> DataFrame:
     """No merged cells."""
     return spark.sql("SELECT '' AS file_id, '' AS sheet, 0 AS min_row, 0 AS max_row, 0 AS min_col, 0 AS max_col WHERE false")
+
+
+#: F-H: deal-input rows by file. One file has a cell that is no number; statuses and the rest are clean.
+INPUT_SQL = """
+SELECT gp_name AS file, CAST(row_number() OVER (PARTITION BY gp_name ORDER BY deal_id) AS INT) AS row_no, company, fund, CASE WHEN status = 'Fully Realised' THEN 'Realized' ELSE 'Unrealized' END AS status,
+  CAST(entry_date AS VARCHAR(20)) AS entry_date, CAST(exit_date AS VARCHAR(20)) AS exit_date, CASE WHEN gp_name = 'GP_MIDDLE EAST' AND deal_id % 17 = 0 THEN 'n/a' ELSE CAST(total_ic AS VARCHAR(40)) END AS total_ic,
+  CAST(realized AS VARCHAR(40)) AS realized, CAST(current_value AS VARCHAR(40)) AS current_value, CAST(gross_tvpi AS VARCHAR(40)) AS gross_tvpi, CAST(gross_irr AS VARCHAR(40)) AS gross_irr FROM {deals} d
+"""
+#: Headers of the deal-input grid, by the columns of INPUT_SQL.
+INPUT_HEADERS = {"company": "Company", "fund": "Fund", "status": "Status", "entry_date": "Entry Date", "exit_date": "Exit Date", "total_ic": "Total IC", "realized": "Realized", "current_value": "Current Value", "gross_tvpi": "Gross TVPI", "gross_irr": "Gross IRR"}
+#: The meta block of each file; one lacks its name, one its date, one its currency.
+INPUT_META = "SELECT file, CASE WHEN file <> 'GP_AFRICA' THEN file END AS gp_name, CASE WHEN file <> 'GP_AMERICA' THEN DATE '2001-12-31' END AS as_of, CASE WHEN file <> 'GP_ASIA' THEN 'USD' END AS currency FROM (SELECT DISTINCT file FROM {t}) q"
+#: A blank row stands below this row of one file; what is below it is not read.
+INPUT_END = ("GP_EUROPE", 100)
+
+
+def input_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-H as grids: a meta block, headers in row 7 from column 2 on, deals below, and a remark right of the headers in the blank row."""
+    from pyspark.sql import functions as F
+
+    d = spark.sql(INPUT_SQL, deals=deals_raw(spark, sf_dir))
+    meta = spark.sql(INPUT_META, t=d)
+    cell = lambda r, k, v: F.struct(F.lit(r).cast("int").alias("row_no") if isinstance(r, int) else r.cast("int").alias("row_no"), F.lit(k).alias("col_no"), v.cast("string").alias("value"))
+    top = [(3, "GP Name", "gp_name"), (4, "Track Record Date", "as_of"), (5, "Currency", "currency")]
+    head = [cell(7, i + 2, F.lit(h)) for i, h in enumerate(INPUT_HEADERS.values())]
+    block = meta.select("file", F.inline(F.array(*(x for r, label, value in top for x in (cell(r, 2, F.lit(label)), cell(r, 3, F.col(value)))), *head)))
+    at = F.col("row_no") + 7 + F.when((F.col("file") == INPUT_END[0]) & (F.col("row_no") > INPUT_END[1]), 1).otherwise(0)
+    body = d.select("file", F.inline(F.array(*(cell(at, i + 2, F.col(x)) for i, x in enumerate(INPUT_HEADERS)))))
+    stray = meta.select("file", F.inline(F.array(cell(8 + INPUT_END[1], 40, F.lit("see notes")))))
+    cells = block.unionByName(body).unionByName(stray).where("value IS NOT NULL")
+    return cells.select(F.col("file").alias("file_id"), F.lit("Deal Level Inputs").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_no", "col_no", "value", F.lit("s").alias("vtype"))
