@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.catalog import CELL_BLANKS, CURRENCIES, DEAL_KEYWORDS, SHEET_KEYWORDS, SKIP_SHEETS
+from .segments import WIDTH, last_value, runs, with_group
 
 c = F.col
 SHEET = ["file_id", "sheet"]
@@ -62,12 +63,15 @@ def sheet_profiles(cells: DataFrame) -> DataFrame:
     return g.withColumn("empty", 1 - c("filled") / ((c("max_row") - c("min_row") + 1) * (c("max_col") - c("min_col") + 1)))
 
 
+def _least_density() -> Column:
+    return F.greatest(F.lit(0.12), F.least(F.lit(0.20), 12 / F.greatest(c("width"), F.lit(60))))
+
+
 def _with_density(cells: DataFrame) -> DataFrame:
     sheet = Window.partitionBy(*SHEET)
     width = F.max("hi").over(sheet) - F.min("lo").over(sheet) + 1
-    least = F.greatest(F.lit(0.12), F.least(F.lit(0.20), 12 / F.greatest(c("width"), F.lit(60))))
     d = rows_of(cells).withColumn("width", width).withColumn("density", c("n") / c("width"))
-    return d.withColumn("dense", c("density") >= least)
+    return d.withColumn("dense", c("density") >= _least_density())
 
 
 def dense_rows(cells: DataFrame) -> DataFrame:
@@ -113,6 +117,23 @@ def blocks(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: in
     return in_tables(cells, gap, min_rows, min_cols).select(*BLOCK, *_BOUNDS).distinct()
 
 
+def blocks_by_ranges(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2, width: int = WIDTH) -> DataFrame:
+    """B4 over whole sheets of any length: the same blocks without the scan's limits, and without a sheet in one task.
+
+    Rows are numbered by ranges of ``width`` row numbers, and bounds are grouped, not windowed.
+    """
+    r = filled_cells(cells, None, None).groupBy(*SHEET, "row_no").agg(F.count("*").alias("n"), F.min("col_no").alias("lo"), F.max("col_no").alias("hi"))
+    sheets = r.groupBy(*SHEET).agg((F.max("hi") - F.min("lo") + 1).alias("width"))
+    r = with_group(r, sheets, SHEET)
+    dense = runs(r.where(c("n") / c("width") >= _least_density()), SHEET, "row_no", gap, "run", width)
+    bounds = dense.groupBy(*SHEET, "run").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"))
+    marked = r.join(dense.select(*SHEET, "row_no", "run"), [*SHEET, "row_no"], "left")
+    inside = last_value(marked, SHEET, "row_no", c("run"), "block", width).drop("run").where("block IS NOT NULL")
+    inside = inside.join(bounds.withColumnRenamed("run", "block"), BLOCK).where("row_no <= last_row")
+    out = inside.groupBy(*BLOCK, "first_row", "last_row").agg(F.min("lo").alias("first_col"), F.max("hi").alias("last_col"))
+    return out.where((c("last_row") - c("first_row") + 1 >= min_rows) & (c("last_col") - c("first_col") + 1 >= min_cols))
+
+
 def tables(cells: DataFrame) -> DataFrame:
     """All blocks with their header rows and first data row."""
     return _with_headers(in_tables(cells).groupBy(*BLOCK, *_BOUNDS, "data_row"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.catalog import DEAL_KEYWORDS
+from ..functions.catalog import DEAL_KEYWORDS, SHEET_KEYWORDS, SKIP_SHEETS
 from ..functions.scalars import ROW_BLANKS
 from ..operators import clean as E
 from ..operators import discover as B
@@ -218,6 +218,8 @@ QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_rows(spark
 ORACLE_SQL["B1_B2_sheet_profiles"] = lambda: f"WITH {_SEEN} SELECT file_id, sheet, 1 AS min_row, max(r + 4)::INTEGER AS max_row, 2 AS min_col, {_WIDTH + 1} AS max_col, round(1 - (sum(filled) + {_WIDTH} + 3) / (max(r + 4) * {_WIDTH}), 6)::DOUBLE AS empty FROM seen WHERE r <= {B.MAX_ROWS - 4} GROUP BY 1, 2"
 QUERIES["B3_B5_blocks"] = lambda spark, sf: B.tables(_rows(spark, sf)).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
 ORACLE_SQL["B3_B5_blocks"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 4 AS first_row, least(count(*) + 4, 2000)::INTEGER AS last_row, 2 AS first_col, {len(X.SHEET_HEADERS) + 1} AS last_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
+QUERIES["B4_whole_sheets"] = lambda spark, sf: B.blocks_by_ranges(_cells(spark, sf)).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
+ORACLE_SQL["B4_whole_sheets"] = ORACLE_SQL["B3_B5_blocks"].replace("least(count(*) + 4, 2000)", "(count(*) + 4)")
 QUERIES["B6_B12_primary"] = lambda spark, sf: B.primary_tables(_found(spark, sf), _cells(spark, sf)).select("file_id", "sheet", "rows", "cols", "orientation", "likely", F.round("score", 4).alias("score"))
 _KIND = {"entry_date": "d", "exit_date": "d"} | dict.fromkeys(("total_ic", "realized", "gross_tvpi", "current_value", "entry_rev", "entry_ebitda", "entry_ev"), "n")
 _filled = lambda kind: " + ".join(f"({x} IS NOT NULL)::INTEGER" for x, _ in X.SHEET_HEADERS if kind is None or _KIND.get(x, "s") == kind)
@@ -261,6 +263,34 @@ QUERIES["A3_header_differences"] = lambda spark, sf: B.header_differences(_INPUT
 ORACLE_SQL["A3_header_differences"] = f"{_SHEETS} SELECT gp_name || '/' || fund || ' - Deal Data' AS file_id, 'fund' AS missing, (11 - (count(exit_date) = 0)::INTEGER - (count(sector) = 0)::INTEGER - (count(gross_tvpi) = 0)::INTEGER)::INTEGER AS n_unknown FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 
 
+# ---- banners and sheet names of many forms; the twins know each sheet's form by its number and read no text
+_shapes = lambda spark, sf: X.shaped_cells(spark, sf)
+_FORMS = f"WITH s AS ({X.SHAPES_SQL.format(supplier='supplier', nation='nation')}), v AS (SELECT * FROM s WHERE sheet_state = 'visible'), f AS (SELECT DISTINCT file_id, n FROM s)"
+QUERIES["B14_B16_shapes"] = lambda spark, sf: B.metadata(_shapes(spark, sf)).select("file_id", F.array_join("gp_names", ";").alias("gp_names"), "currency")
+_names = " UNION ALL ".join(f"SELECT file_id, sheet_idx, {r} AS r, {v} AS name FROM v" for r, k, t, v in X.SHAPES_CELLS if t == "s" and r < 5).replace(" || ' Capital Track Record'", "")
+ORACLE_SQL["B14_B16_shapes"] = f"""{_FORMS}, c AS ({_names} UNION ALL SELECT file_id, sheet_idx, 5, '($000)' FROM v WHERE k % 5 = 3 UNION ALL SELECT file_id, -1, 0, file_id FROM f),
+  d AS (SELECT file_id, name, min(sheet_idx * 10 + r) AS pos FROM c WHERE name IS NOT NULL GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS i FROM d),
+  m AS (SELECT file_id, arg_min(CASE k % 5 WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 4 THEN 'GBP' END, sheet_idx) AS currency FROM v WHERE k % 5 IN (1, 2, 4) GROUP BY 1)
+  SELECT file_id, string_agg(name, ';' ORDER BY i) AS gp_names, any_value(currency) AS currency FROM g LEFT JOIN m USING (file_id) WHERE i <= 5 GROUP BY file_id"""
+QUERIES["B17_B19_shapes"] = lambda spark, sf: B.track_record_dates(_shapes(spark, sf))
+_quarter = "last_day(make_date(2021, (k % 3 + 1)::INTEGER * 3, 1))"
+ORACLE_SQL["B17_B19_shapes"] = f"""{_FORMS}, a AS (SELECT file_id, arg_min(CASE WHEN k % 4 < 2 THEN day ELSE {_quarter} END, sheet_idx) AS day FROM v WHERE k % 4 < 3 GROUP BY 1),
+  b AS (SELECT file_id, arg_min(CASE WHEN k % 4 = 1 OR k % 4 <> 2 THEN day ELSE {_quarter} END, sheet_idx) AS day FROM v WHERE k % 4 IN (1, 2) OR k % 7 = 1 GROUP BY 1)
+  SELECT f.file_id, coalesce(a.day, CASE n % 4 WHEN 2 THEN NULL WHEN 3 THEN DATE '2025-12-31' ELSE DATE '2025-09-30' END, b.day) AS as_of FROM f LEFT JOIN a USING (file_id) LEFT JOIN b USING (file_id)"""
+QUERIES["B20_shapes"] = lambda spark, sf: B.unit_banner(_shapes(spark, sf))
+ORACLE_SQL["B20_shapes"] = f"{_FORMS}, u AS (SELECT file_id, min(u) AS lo, max(u) AS hi FROM (SELECT file_id, CASE WHEN k % 5 IN (1, 4) THEN 'm' WHEN k % 5 IN (2, 3) THEN 'k' END AS u FROM v) GROUP BY 1) SELECT file_id, CASE WHEN lo = hi THEN lo END AS banner FROM f LEFT JOIN u USING (file_id)"
+QUERIES["B21_shapes"] = lambda spark, sf: B.sheet_scores(_shapes(spark, sf))
+_words = lambda words: f"len(list_filter({list(words)}, lambda w: contains(lower(sheet), w)))"
+ORACLE_SQL["B21_shapes"] = f"""{_FORMS}, p AS (SELECT file_id, sheet, sheet_idx, (CASE WHEN k % 6 = 2 THEN 0 ELSE 2 * {_words(SHEET_KEYWORDS)} - {_words(SKIP_SHEETS)} + 1 END)::INTEGER AS score FROM s),
+  q AS (SELECT *, max(score) OVER (PARTITION BY file_id) AS best, count(*) OVER (PARTITION BY file_id) AS n, max(sheet_idx) OVER (PARTITION BY file_id) AS last, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, sheet_idx) AS k FROM p)
+  SELECT file_id, sheet, sheet_idx, score, CASE WHEN best <= 0 AND n > 1 THEN sheet_idx = last ELSE k = 1 END AS is_main, CASE WHEN best > 0 THEN score > 0 ELSE k = 1 END AS is_deal_sheet FROM q"""
+QUERIES["B24_shapes"] = lambda spark, sf: B.visible(_shapes(spark, sf)).groupBy("file_id").agg(F.count_distinct("sheet").alias("sheets"), F.count("*").alias("cells"))
+_count = " + ".join(f"({v} IS NOT NULL)::INTEGER" for *_, v in X.SHAPES_CELLS)
+ORACLE_SQL["B24_shapes"] = f"{_FORMS} SELECT file_id, count(*) AS sheets, sum({_count} + 1)::BIGINT AS cells FROM v GROUP BY 1"
+QUERIES["C2_shapes"] = lambda spark, sf: P.fund_labels(_shapes(spark, sf).select(c("file_id").alias("file"), "sheet").distinct())
+ORACLE_SQL["C2_shapes"] = f"{_FORMS} SELECT file_id AS file, sheet, CASE WHEN count(*) OVER w >= 2 AND min((k % 6 = 3)::INTEGER) OVER w = 1 THEN 'Fund ' || k ELSE sheet END AS fund_label FROM s WINDOW w AS (PARTITION BY file_id)"
+
+
 # ---- from grids to standard deals: one manager's sheets are in thousands, and a sheet's fund stands among its companies
 def _shifted(spark, sf):
     cells = _cells(spark, sf)

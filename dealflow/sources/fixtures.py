@@ -184,3 +184,29 @@ def input_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     stray = meta.select("file", F.inline(F.array(cell(8 + INPUT_END[1], 40, F.lit("see notes")))))
     cells = block.unionByName(body).unionByName(stray).where("value IS NOT NULL")
     return cells.select(F.col("file").alias("file_id"), F.lit("Deal Level Inputs").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_no", "col_no", "value", F.lit("s").alias("vtype"))
+
+
+#: F-E2: a file for each nation with a sheet for each supplier, whose name, state and banner take many forms.
+SHAPES_SQL = """
+SELECT n.n_name AS file_id, n.n_name || CASE n.n_nationkey % 4 WHEN 0 THEN ' Data Sheet 2025.09.30.xlsx' WHEN 1 THEN ' Portfolio Q3 2025.xlsx' WHEN 2 THEN '.xlsx' ELSE ' - Track Record 12.31.2025.xlsx' END AS file_name, n.n_nationkey AS n, s.s_suppkey AS k,
+  CASE s.s_suppkey % 6 WHEN 0 THEN 'Deals ' WHEN 1 THEN 'Summary ' WHEN 2 THEN 'Sheet' WHEN 4 THEN 'Track Record ' ELSE 'Fund ' END || CAST(s.s_suppkey AS VARCHAR(20)) || CASE s.s_suppkey % 6 WHEN 3 THEN ' - Deal Data' ELSE '' END AS sheet,
+  CAST(row_number() OVER (PARTITION BY n.n_nationkey ORDER BY s.s_suppkey) - 1 AS INT) AS sheet_idx, CASE WHEN s.s_suppkey % 5 = 0 THEN 'hidden' ELSE 'visible' END AS sheet_state,
+  DATE '2015-01-31' + CAST(s.s_suppkey % 1000 AS INT) AS day
+FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey
+"""
+#: Cells of a sheet by its number: row, column, kind and value.
+SHAPES_CELLS = (
+    (1, 2, "s", "CASE k % 3 WHEN 0 THEN 'Alpha ' || CAST(k % 4 AS VARCHAR(20)) || ' Capital Track Record' WHEN 1 THEN 'House ' || CAST(k % 4 AS VARCHAR(20)) END"),
+    (2, 2, "s", "CASE k % 4 WHEN 0 THEN 'As of ' || substr(CAST(day AS VARCHAR(20)), 9, 2) || '/' || substr(CAST(day AS VARCHAR(20)), 6, 2) || '/' || substr(CAST(day AS VARCHAR(20)), 1, 4) WHEN 1 THEN 'Report date' WHEN 2 THEN 'Valuation date' END"),
+    (2, 3, "d", "CASE WHEN k % 4 = 1 THEN CAST(day AS VARCHAR(20)) END"),
+    (3, 2, "s", "CASE WHEN k % 4 = 2 THEN 'Q' || CAST(k % 3 + 1 AS VARCHAR(20)) || ' 2021' END"),
+    (4, 2, "d", "CASE WHEN k % 7 = 1 THEN CAST(day AS VARCHAR(20)) END"),
+    (5, 3, "s", "CASE k % 5 WHEN 1 THEN 'USD in millions' WHEN 2 THEN 'EUR in thousands' WHEN 3 THEN '($000)' WHEN 4 THEN 'GBP mm' END"),
+)
+
+
+def shaped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-E2."""
+    d = spark.sql(SHAPES_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation")})
+    cells = ", ".join(f"named_struct('row_no', {r}, 'col_no', {k}, 'vtype', '{t}', 'value', {v})" for r, k, t, v in (*SHAPES_CELLS, (9, 2, "s", "'.'")))
+    return d.selectExpr("file_id", "file_name", "sheet", "sheet_idx", "sheet_state", f"inline(array({cells}))").where("value IS NOT NULL")

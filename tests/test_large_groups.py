@@ -75,3 +75,18 @@ def test_many_blocks(spark):
     assert len(b) == 1  # gaps of three rows
     b = discover.blocks(d.where("row_no <= 1800"), gap=2).orderBy("first_row").collect()
     assert [(x.first_row, x.last_row) for x in b] == [(6 * i + 1, 6 * i + 3) for i in range(300)]
+
+
+@pytest.mark.parametrize("width", [1, 59, 10**9])
+def test_blocks_by_ranges(spark, width):
+    """B4 by ranges gives the blocks of the windows, gaps and sparse rows included, and goes on below the scan."""
+    r = random.Random(3)
+    rows, at = [], 0
+    for _ in range(400):
+        at += r.choice([1, 1, 1, 1, 4, 7])
+        rows += [("f", s, at, k) for s in ("s", "t") for k in range(2, 2 + r.choice([1, 9, 10, 12]))]
+    d = spark.createDataFrame(rows, "file_id string, sheet string, row_no int, col_no int").selectExpr("*", "'x' AS value", "'s' AS vtype").repartition(3)
+    key = lambda b: sorted((x.sheet, x.first_row, x.last_row, x.first_col, x.last_col) for x in b.collect())
+    assert key(discover.blocks_by_ranges(d, width=width)) == key(discover.blocks(d)) != []
+    low = d.withColumn("row_no", F.col("row_no") + 5000)
+    assert len(key(discover.blocks_by_ranges(low, width=width))) == len(key(discover.blocks(d))) and key(discover.blocks(low)) == []
