@@ -8,9 +8,9 @@ within 3 bits are within 3 in the embedding. The range join over the embedding u
 * in each block's cell, the sum of the other coordinates is a further axis with cells of side 4, wider than
   the distance; a fingerprint stands in its own cell and, as a guest, in the next one.
 
-So two fingerprints within the distance meet in a cell, at least one of them at home. Within a cell the sum
-of all counts bounds the distance from below once more, and pairs left are verified exactly by the bits that
-differ. Cells above ``CELL`` members are cut into blocks, and each pair of blocks is a group of its own, so no
+So two fingerprints within the distance meet in a cell, at least one of them at home. Within a cell, sorted by the
+sum of all counts, the Manhattan distance of the embeddings bounds theirs from below, and pairs left are verified
+exactly by the bits that differ. Cells above ``CELL`` members are cut into blocks, and each pair of blocks is a group of its own, so no
 task holds more than two blocks; each group returns one star for each connected part, never all pairs of a
 dense group. Only distinct fingerprints take part, with their least document: exact copies cost one row.
 """
@@ -74,6 +74,13 @@ def counts(fp: np.ndarray) -> np.ndarray:
     return (fp & m) + ((fp >> np.uint64(1)) & m)
 
 
+def unary(fp: np.ndarray) -> np.ndarray:
+    """The embedding with each count as that many set bits, so that differing bits of two are their Manhattan distance."""
+    m = np.uint64(0x5555555555555555)
+    a, b = fp & m, (fp >> np.uint64(1)) & m
+    return (a | b) | ((a & b) << np.uint64(1))
+
+
 def cells(fp: np.ndarray, blocks: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, row, guest) of every cell that a fingerprint stands in."""
     v, width, out = counts(fp), 64 // blocks, []
@@ -105,17 +112,19 @@ def _near(fp: np.ndarray, guest: np.ndarray, block: np.ndarray, radius: int) ->
     """A star for each connected part of the pairs within radius of which one is at home; of two blocks only pairs across."""
     order = np.argsort(np.bitwise_count(fp), kind="stable")
     fp, guest, block = fp[order], guest[order], block[order]
-    total = np.bitwise_count(fp)
+    total, embedded = np.bitwise_count(fp), unary(fp)
     stop = np.searchsorted(total, total + radius, "right")
     across = block.min() != block.max()
     out_a, out_b = [], []
     for i in range(0, len(fp), 256):
         rows = slice(i, min(i + 256, len(fp)))
         far = int(stop[rows].max())
-        d = np.bitwise_count(fp[rows, None] ^ fp[None, i:far])
-        a, b = np.nonzero(d <= radius)
+        bound = np.bitwise_count(embedded[rows, None] ^ embedded[None, i:far])
+        a, b = np.nonzero(bound <= radius)
         a, b = a + i, b + i
         ok = (a < b) & ~(guest[a] & guest[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         if across:
             ok &= block[a] != block[b]
         out_a.append(a[ok])
