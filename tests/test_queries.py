@@ -11,7 +11,7 @@ import pytest
 from dealflow.plans import registry
 
 #: One of each family; the driver compares all.
-SAMPLE = ("R3_sector", "R18_all_cuts", "R21_fund_sector_share", "R31_vintage_sector_moic", "R44_growth_unrealized", "H21_H27_weighted", "F1_F5_parsed", "F6_F14_buckets", "V1_V12_issues", "P1_P7_gate", "E1_E10_deal_rows", "E4_fund_sections", "G1_monetary_scale", "C2_fund_labels", "C4_C5_profiles", "B13_layouts", "B17_B19_as_of", "X2_over_time", "S1_incremental_ingest", "E6_keep_first", "P3_P4_first_bad", "X6_browser")
+SAMPLE = ("R3_sector", "R18_all_cuts", "R21_fund_sector_share", "R31_vintage_sector_moic", "R44_growth_unrealized", "H21_H27_weighted", "F1_F5_parsed", "F6_F14_buckets", "V1_V12_issues", "P1_P7_gate", "E1_E10_deal_rows", "E4_fund_sections", "G1_monetary_scale", "C2_fund_labels", "C4_C5_profiles", "B13_layouts", "B17_B19_as_of", "X2_over_time", "S1_incremental_ingest", "E6_keep_first", "P3_P4_first_bad", "X6_browser", "D8_D11_semantic_mapping", "A2_A7_grid_to_snapshot", "B14_B16_shapes", "B17_B19_shapes", "B21_shapes", "B4_whole_sheets", "X3_overview", "A6_A7_inventory")
 
 
 @pytest.fixture(scope="module")
