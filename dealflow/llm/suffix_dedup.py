@@ -105,24 +105,25 @@ def repeated(rows: np.ndarray, low: np.ndarray, high: np.ndarray, docs: np.ndarr
     return out
 
 
-def _in_order(rows: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Rows in an order that does not depend on how they came, their doc_ids, and 64-bit hashes of their texts."""
-    hashes = np.frombuffer(b"".join([hashlib.blake2b((t or "").encode(), digest_size=8).digest() for t in rows[text_col].to_pylist()]), np.uint64)
+def _in_order(rows: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in an order that does not depend on how they came, their doc_ids, and hashes of their texts in two halves of 64 bits."""
+    hashes = np.frombuffer(b"".join([hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in rows[text_col].to_pylist()]), np.uint64).reshape(-1, 2)
     doc_ids = C.ids(rows, id_col)
-    order = np.lexsort((hashes, doc_ids))
-    return rows.take(pa.array(order)), doc_ids[order], hashes[order]
+    order = np.lexsort((hashes[:, 1], hashes[:, 0], doc_ids))
+    return rows.take(pa.array(order)), doc_ids[order], hashes[order, 0], hashes[order, 1]
 
 
-def _stand_in(doc_ids: np.ndarray, hashes: np.ndarray, answer: pa.Table) -> np.ndarray:
-    """For each document the least document of the same text."""
-    own, least, _ = C.group_min(hashes, doc_ids)
-    if answer.num_rows:
-        far, far_doc = C.unpacked(answer, "keys", np.uint64)[0], C.unpacked(answer, "docs", np.int64)[0]
-        far, far_doc, _ = C.group_min(far, far_doc)
-        at, hit = C.found(own, far)
-        least = least.copy()
-        least[hit] = np.minimum(least[hit], far_doc[at[hit]])
-    return least[C.found(hashes, own)[0]] if len(own) else doc_ids
+def _new(doc_ids: np.ndarray, hashes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether a document differs in id or text from the one before it in order."""
+    if not len(doc_ids):
+        return np.zeros(0, bool)
+    return np.r_[True, (doc_ids[1:] != doc_ids[:-1]) | (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1])]
+
+
+def _stand_in(doc_ids: np.ndarray, hashes: np.ndarray, others: np.ndarray, answer: pa.Table) -> np.ndarray:
+    """For each document the least document of the same text; what other chunks answered takes part."""
+    far = [C.flat(answer, c, kind) if answer.num_rows else np.zeros(0, kind) for c, kind in (("keys", np.uint64), ("others", np.uint64), ("docs", np.int64))]
+    return C.least_of(np.r_[hashes, far[0]], np.r_[others, far[1]], np.r_[doc_ids, far[2]])[0][: len(doc_ids)]
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
@@ -131,8 +132,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
     kept holds the remaining bytes concatenated (binary: a cut may part a character), removed_spans the maximal
     removed runs. A null text counts as empty. A null doc_id is larger than every other, so such a row never
     makes another lose bytes; rows of equal doc_id do not, either. Other columns play no part. length - width
-    must stay below 64. Hashes of texts and triggers have 64 bits and only select; strings are compared whole,
-    but for texts that repeat as a whole, which are told by their hash. A very long text is one row of one task. An
+    must stay below 64. Hashes of triggers have 64 bits and only select; strings are compared whole, but for texts
+    that repeat as a whole, which are told by a hash of 128 bits. A very long text is one row of one task. An
     empty table gives an empty result. chunks: the number of chunks, by default from the size of the input; it changes
     no result.
     """
@@ -144,15 +145,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
     x = C.chunked(docs, n, id_col, text_col)
 
     def whole(rows: pa.Table) -> pa.Table:
-        _, doc_ids, hashes = _in_order(rows, id_col, text_col)
-        k, least, _ = C.group_min(hashes, doc_ids)
-        return C.packed(rows[C.CHUNK][0].as_py(), n, k, least)
+        _, doc_ids, hashes, others = _in_order(rows, id_col, text_col)
+        least, order, first = C.least_of(hashes, others, doc_ids)
+        one = order[first]
+        return C.packed(rows[C.CHUNK][0].as_py(), n, hashes[one], least[one], others[one])
 
     def ones(rows: pa.Table, same: pa.Table):
         """The rows that stand for their text, and their numbers in the order of the chunk."""
-        rows, doc_ids, hashes = _in_order(rows, id_col, text_col)
-        first = np.r_[True, (doc_ids[1:] != doc_ids[:-1]) | (hashes[1:] != hashes[:-1])] if len(doc_ids) else np.zeros(0, bool)
-        mine = np.flatnonzero((_stand_in(doc_ids, hashes, same) == doc_ids) & first)
+        rows, doc_ids, hashes, others = _in_order(rows, id_col, text_col)
+        mine = np.flatnonzero((_stand_in(doc_ids, hashes, others, same) == doc_ids) & _new(doc_ids, hashes, others))
         return rows[text_col].take(pa.array(mine)), doc_ids[mine], mine
 
     def ask(rows: pa.Table, same: pa.Table) -> pa.Table:
@@ -235,9 +236,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = np.asarray(answers["kind"]) if answers.num_rows else np.zeros(0, np.int32)
-        rows, doc_ids, hashes = _in_order(rows, id_col, text_col)
-        same = _stand_in(doc_ids, hashes, answers.filter(pa.array(kinds == 0)))
-        first = np.r_[True, (doc_ids[1:] != doc_ids[:-1]) | (hashes[1:] != hashes[:-1])]
+        rows, doc_ids, hashes, others = _in_order(rows, id_col, text_col)
+        same = _stand_in(doc_ids, hashes, others, answers.filter(pa.array(kinds == 0)))
+        first = _new(doc_ids, hashes, others)
         stands = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))  # repeated rows share one number
         number, where, mask = [], [], []
         for k, m in zip(*(answers.filter(pa.array(kinds == 1))[c].to_pylist() for c in ("keys", "docs"))):
@@ -276,13 +277,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, id
 
     blob = f"{C.BUCKET} int, {C.CHUNK} int, keys binary, c0 binary"
     groups = x.groupBy(C.CHUNK)
-    same = C.least_docs(groups.applyInArrow(C.lean(whole), blob), n)
+    same = C.least_docs(groups.applyInArrow(C.lean(whole), f"{blob}, c1 binary"), n, wide=True)
     same_ = C.deal(same, n, C.CHUNK)
     shared = C.shared_keys(groups.cogroup(same_.groupBy(C.CHUNK)).applyInArrow(C.lean_pair(ask), blob), n)
-    both = same.select(C.CHUNK, "keys", "docs").union(shared.select(C.CHUNK, "keys", F.lit(None).cast("binary").alias("docs")))
+    none = F.lit(None).cast("binary")
+    both = same.select(C.CHUNK, "keys", "docs", "others").union(shared.select(C.CHUNK, "keys", none.alias("docs"), none.alias("others")))
     asked = groups.cogroup(C.deal(both, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(C.lean_pair(phrases), f"{C.BUCKET} int, {C.CHUNK} int, rows binary, range binary, docs binary, local binary")
     told = C.deal(asked, n, C.BUCKET).groupBy(C.BUCKET).applyInArrow(C.lean(compare), f"{C.CHUNK} int, keys binary, docs binary, kind int")
-    last = same.select(C.CHUNK, "keys", "docs", F.lit(0).alias("kind")).union(told)
+    last = same.select(C.CHUNK, "keys", "docs", "others", F.lit(0).alias("kind")).union(told.select(C.CHUNK, "keys", "docs", none.alias("others"), "kind"))
     kind = docs.schema[id_col].dataType.simpleString()
     return groups.cogroup(C.deal(last, n, C.CHUNK).groupBy(C.CHUNK)).applyInArrow(C.lean_pair(cut), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<first: long, end: long>>, kept binary")
 
