@@ -85,6 +85,8 @@ class TokenRollup:
         out = self._fs.create(waiting, True)
         out.write(bytearray(own.encode()))
         out.close()
+        if self._fs.exists(mark) and not self._read(mark):
+            self._fs.delete(mark, False)  # markers are never empty here: one that is was left by a run that died, of the time when they were filled in place
         fs = self.spark._jvm.org.apache.hadoop.fs
         context = fs.FileContext.getFileContext(mark.toUri(), self.spark._jsc.hadoopConfiguration())
         try:
