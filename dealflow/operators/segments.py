@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+
 c = F.col
 #: Row numbers in a range.
 WIDTH = 100_000
@@ -54,3 +56,32 @@ def runs(rows: DataFrame, keys: list[str], order: str, gap: int, name: str, widt
     ends = ends.withColumn("__base", F.sum(c("__starts") + c("__more")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - c("__more"))
     out = with_group(d, ends.select(*part, "__base"), part)
     return out.withColumn(name, c("__base") + c("__in")).drop("__range", "__new", "__in", "__base")
+
+
+def numbered(rows: DataFrame, keys: list[str], first: list[str], last: str, name: str, ids: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """rows with their number, from 1, within the group of their keys, in order of the columns first and then the number last.
+
+    Rows of equal first columns are numbered by ranges of ``width`` of last, and a row a range hands on how many stand before it.
+    ids: the same rows with only these columns, where those are cheaper to read. Keys and order are not null.
+    """
+    part = [*keys, *first, "__range"]
+    ranged = lambda d: d.withColumn("__range", F.floor(c(last) / width))
+    before = Window.partitionBy(*keys).orderBy(*first, "__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = ranged(rows if ids is None else ids).groupBy(*part).agg(F.count("*").alias("__n"))
+    bases = bases.select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    near = F.row_number().over(Window.partitionBy(*part).orderBy(last))
+    return ranged(rows).join(bases, part).withColumn(name, (c("__base") + near).cast("int")).drop("__range", "__base")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: str, n: int, width: int = 4096) -> DataFrame:
+    """The first n rows of each group by the number order, with their place k from 1.
+
+    Rows are counted by ranges of ``width``; only those of the ranges that hold the first n are sorted. rows are read twice.
+    """
+    part = [*keys, "__range"]
+    d = rows.withColumn("__range", F.floor(c(order) / width))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counted = d.groupBy(*part).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    ends = counted.where(c("__before") < n).groupBy(*keys).agg(F.max("__range").alias("__end"))
+    near = with_group(d, saved(ends, "ends"), keys).where("__range <= __end").drop("__range", "__end")
+    return near.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(c("k") <= n)

@@ -6,7 +6,11 @@ deals; everything computed from them is written twice, as DataFrame code and as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators.segments import numbered
+from .shared import saved
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
 
@@ -67,6 +71,18 @@ def deals_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DEALS_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
+#: Key, manager and fund of each deal, as in DEALS_SQL.
+IDS_SQL = """
+SELECT o.o_orderkey AS deal_id, 'GP_' || r.r_name AS gp_name, CASE WHEN o.o_orderkey % 37 = 0 THEN NULL ELSE r.r_name || ' Fund ' || c.c_mktsegment END AS fund
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey
+"""
+
+
+def deal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deals' keys, managers and funds alone: what it takes to number deals."""
+    return spark.sql(IDS_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation", "region")})
+
+
 def deals_sql() -> str:
     return DEALS_SQL.format(**{t: t for t in TABLES})
 
@@ -88,9 +104,14 @@ FROM (SELECT *, CAST(entry_date AS VARCHAR(20)) AS e, CAST(exit_date AS VARCHAR(
 """
 
 
+#: The number of a deal in its file, which Spark takes from numbered().
+ROW_NO = "CAST(row_number() OVER (PARTITION BY gp_name ORDER BY deal_id) AS INT)"
+
+
 def deals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-B."""
-    return spark.sql(TEXT_SQL, deals=deals_raw(spark, sf_dir))
+    """F-B. Rows are numbered by ranges; a window over a file would hold it in one task."""
+    d = numbered(deals_raw(spark, sf_dir), ["gp_name"], [], "deal_id", "row_no", deal_ids(spark, sf_dir))
+    return spark.sql(TEXT_SQL.replace(ROW_NO, "row_no"), deals=d)
 
 
 def text_sql() -> str:
@@ -117,9 +138,16 @@ UNION ALL SELECT file, 'Copy', row_no, company, CASE WHEN file = 'GP_ASIA' THEN
 RAW_VALUES = tuple("fund, entry_date, exit_date, sector, status, total_ic, realized, current_value, gross_tvpi, gross_irr".split(", "))
 
 
+#: The number of a row, which Spark takes from numbered().
+RAW_NO = "CAST(10 * row_number() OVER (PARTITION BY file ORDER BY coalesce(fund, ''), deal_id) AS INT) AS row_no"
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-C."""
-    return spark.sql(RAW_SQL, text=deals_text(spark, sf_dir))
+    by_fund = F.coalesce("fund", F.lit(""))
+    ids = deal_ids(spark, sf_dir).select("deal_id", F.col("gp_name").alias("file"), by_fund.alias("__fund"))
+    d = numbered(deals_text(spark, sf_dir).drop("row_no").withColumn("__fund", by_fund), ["file"], ["__fund"], "deal_id", "row_no", ids).withColumn("row_no", (F.col("row_no") * 10).cast("int"))
+    return spark.sql(RAW_SQL.replace(RAW_NO, "row_no"), text=d)
 
 
 def raw_sql() -> str:
@@ -132,22 +160,21 @@ SHEET_HEADERS = (("company", "Portfolio Company (a)"), ("entry_date", "Investmen
 
 def landed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-E: a sheet for each fund of each manager, with banner, header in row 4 and deals below; names carry dates."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    d = deals_raw(spark, sf_dir).where("fund IS NOT NULL")
+    d = numbered(deals_raw(spark, sf_dir).where("fund IS NOT NULL"), ["gp_name", "fund"], [], "deal_id", "__k", deal_ids(spark, sf_dir).where("fund IS NOT NULL"))
     d = d.withColumn("geography", F.concat(F.lit("www."), F.lower("geography"), F.lit(".com")))
-    d = d.withColumns({"file_id": F.col("gp_name"), "sheet": F.concat("fund", F.lit(" - Deal Data")), "row_no": (F.row_number().over(Window.partitionBy("gp_name", "fund").orderBy("deal_id")) + 4).cast("int")})
+    d = d.withColumns({"file_id": F.col("gp_name"), "sheet": F.concat("fund", F.lit(" - Deal Data")), "row_no": F.col("__k") + 4})
+    # The number of a sheet joins its deals, not their cells; the list of sheets is short and written, so Spark knows its size.
+    sheets = deal_ids(spark, sf_dir).where("fund IS NOT NULL").select(F.col("gp_name").alias("file_id"), F.concat("fund", F.lit(" - Deal Data")).alias("sheet")).distinct()
+    order = saved(sheets.withColumn("sheet_idx", (F.row_number().over(Window.partitionBy("file_id").orderBy("sheet")) - 1).cast("int")), "sheets")
+    d = d.join(order, ["file_id", "sheet"])
     kinds = {"entry_date": "d", "exit_date": "d", "total_ic": "n", "realized": "n", "gross_tvpi": "n", "current_value": "n", "entry_rev": "n", "entry_ebitda": "n", "entry_ev": "n"}
     cell = lambda i, x: F.struct(F.lit(i + 2).alias("col_no"), F.col(x).cast("string").alias("value"), F.lit(kinds.get(x, "s")).alias("vtype"))
-    body = d.select("file_id", "sheet", "row_no", F.inline(F.array(*(cell(i, x) for i, (x, _) in enumerate(SHEET_HEADERS)))))
+    body = d.select("file_id", "sheet", "sheet_idx", "row_no", F.inline(F.array(*(cell(i, x) for i, (x, _) in enumerate(SHEET_HEADERS)))))
     top = [(1, 2, "Alpha Capital Track Record"), (2, 2, "As of 30/09/2025"), (2, 3, "USD in millions"), *((4, i + 2, h) for i, (_, h) in enumerate(SHEET_HEADERS))]
     head = F.array(*(F.struct(F.lit(r).alias("row_no"), F.lit(k).alias("col_no"), F.lit(v).alias("value"), F.lit("s").alias("vtype")) for r, k, v in top))
-    sheets = d.select("file_id", "sheet").distinct()
-    cells = body.unionByName(sheets.select("file_id", "sheet", F.inline(head)))
-    order = sheets.withColumn("sheet_idx", (F.row_number().over(Window.partitionBy("file_id").orderBy("sheet")) - 1).cast("int"))
+    cells = body.unionByName(order.select("file_id", "sheet", "sheet_idx", F.inline(head)))
     name = F.concat("file_id", F.lit(" Data Sheet 2025.09.30.xlsx"))
-    return cells.where("value IS NOT NULL").join(order, ["file_id", "sheet"]).withColumns({"file_name": name, "sheet_state": F.lit("visible")})
+    return cells.where("value IS NOT NULL").withColumns({"file_name": name, "sheet_state": F.lit("visible")})
 
 
 def landed_merges(spark: SparkSession) -> DataFrame:
@@ -171,10 +198,9 @@ INPUT_END = ("GP_EUROPE", 100)
 
 def input_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-H as grids: a meta block, headers in row 7 from column 2 on, deals below, and a remark right of the headers in the blank row."""
-    from pyspark.sql import functions as F
-
-    d = spark.sql(INPUT_SQL, deals=deals_raw(spark, sf_dir))
-    meta = spark.sql(INPUT_META, t=d)
+    d = numbered(deals_raw(spark, sf_dir), ["gp_name"], [], "deal_id", "row_no", deal_ids(spark, sf_dir))
+    d = spark.sql(INPUT_SQL.replace(ROW_NO, "row_no"), deals=d)
+    meta = spark.sql(INPUT_META, t=deal_ids(spark, sf_dir).withColumnRenamed("gp_name", "file"))
     cell = lambda r, k, v: F.struct(F.lit(r).cast("int").alias("row_no") if isinstance(r, int) else r.cast("int").alias("row_no"), F.lit(k).alias("col_no"), v.cast("string").alias("value"))
     top = [(3, "GP Name", "gp_name"), (4, "Track Record Date", "as_of"), (5, "Currency", "currency")]
     head = [cell(7, i + 2, F.lit(h)) for i, h in enumerate(INPUT_HEADERS.values())]

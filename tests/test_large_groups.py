@@ -90,3 +90,76 @@ def test_blocks_by_ranges(spark, width):
     assert key(discover.blocks_by_ranges(d, width=width)) == key(discover.blocks(d)) != []
     low = d.withColumn("row_no", F.col("row_no") + 5000)
     assert len(key(discover.blocks_by_ranges(low, width=width))) == len(key(discover.blocks(d))) and key(discover.blocks(low)) == []
+
+
+def test_numbers_by_ranges(spark):
+    from dealflow.operators.segments import numbered
+
+    rows = [(g, f, i) for g in "ab" for f in "xy" for i in range(0, 60, 3 if g == "a" else 7)]
+    d = spark.createDataFrame(rows[::-1], "g string, f string, i long")
+    want = {}
+    for g, f, i in sorted(rows):
+        want[g, f, i] = 1 + sum(k[0] == g for k in want)
+    for width in (1, 10, 1000):
+        assert {(r.g, r.f, r.i): r.n for r in numbered(d, ["g"], ["f"], "i", "n", width=width).collect()} == want
+
+
+def test_first_rows_by_ranges(spark):
+    from dealflow.operators.segments import first_rows
+
+    d = spark.createDataFrame([(g, i * i) for g in ("a", None) for i in range(30)] + [("few", 5)], "g string, i long")
+    for width in (1, 10, 1000):
+        got = sorted((str(r.g), r.k, r.i) for r in first_rows(d, ["g"], "i", 4, width).collect())
+        assert got == sorted([(g, k + 1, k * k) for g in ("a", "None") for k in range(4)] + [("few", 1, 5)])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _window_keys(df):
+    """Partition keys of each window of the plan, without their numbers."""
+    import re
+
+    return [re.sub(r"#\d+L?", "", m) for m in re.findall(r"Window \[row_number\(\).*?\], \[(.*?)\], \[", _plan(df))]
+
+
+def test_no_window_over_a_whole_file(spark, sf):
+    from dealflow.sources import fixtures as X
+
+    # A file, or a fund of one, is a fifth or a twenty-fifth of all deals; their rows are numbered by ranges.
+    for rows in (X.deals_text(spark, sf).select("deal_id", "row_no"), X.raw_rows(spark, sf).select("row_no", "company"), X.landed_cells(spark, sf).select("row_no", "value"), X.input_cells(spark, sf).select("row_no", "value")):
+        keys = _window_keys(rows)
+        assert keys and all("__range" in k for k in keys)
+
+
+def test_profiles_count_distinct_values_without_the_other_aggregates(spark):
+    from dealflow.operators.profile import column_profiles
+
+    d = spark.createDataFrame([("f", 0, "c", i, str(i % 3) if i else None) for i in range(20)], "file string, col_index int, col_name string, row_no long, value string")
+    p = column_profiles(d)
+    assert "partial_count(distinct" not in _plan(p) and "count(distinct" not in _plan(p)
+    row = p.first()
+    assert (row.distinct, row.samples) == (3, [str(i % 3) for i in range(1, 11)])
+    blank = column_profiles(spark.createDataFrame([("f", 0, "c", 1, None)], d.schema)).first()
+    assert (blank.distinct, blank.samples, blank.data_type) == (0, None, "empty")
+
+
+def test_table_rows_shuffle_cells_without_headers(spark):
+    from dealflow.operators import discover as B
+    from dealflow.sources.fixtures import landed_merges
+
+    cells = [("f", "s", r, k, f"h{k}" if r == 1 else str(r * k), "s" if r == 1 else "n") for r in range(1, 6) for k in (1, 2, 3) if (r, k) != (3, 2)]
+    cells = spark.createDataFrame([*cells, ("f", "s", 4, 9, "aside", "s")], "file_id string, sheet string, row_no int, col_no int, value string, vtype string")
+    h = spark.createDataFrame([("f", "s", 1, 1, 5, 1, 3, 2, [1])], "file_id string, sheet string, block long, first_row int, last_row int, first_col int, last_col int, data_row int, header_rows array<int>")
+    got = B.table_rows(cells, landed_merges(spark), h)
+    assert {r.row_no: r.vals for r in got.collect()} == {r: {f"h{k}": str(r * k) for k in (1, 2, 3) if (r, k) != (3, 2)} for r in range(2, 6)}
+    assert _plan(got).count("SortMergeJoin") == 0
+
+
+def test_snapshots_hold_what_is_known_and_derive_the_rest(spark, sf):
+    from dealflow.plans import quality_queries as A
+
+    stored = A._store(spark, sf).read()
+    assert "total_ic" in stored.columns and not {"gross_moic", "hold_period", "moic_bucket", "entry_margin"} & set(stored.columns)
+    assert {"gross_moic", "hold_period", "moic_bucket", "entry_margin"} <= set(A.published(spark, sf).columns)
