@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import BOOSTS, FIELDS, OPTIONAL, PATTERNS
+from .segments import first_rows
 
 c = F.col
 REVIEW, AUTO = 0.50, 0.85
@@ -270,8 +271,7 @@ def rule_match(columns: DataFrame) -> DataFrame:
 def value_match(cells: DataFrame) -> DataFrame:
     """A field by the first 50 values of a column: dates, multiples or rates."""
     v = F.trim("value")
-    w = Window.partitionBy("file", "col_index", "col_name").orderBy("row_no")
-    d = cells.where("value IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k <= 50")
+    d = first_rows(cells.where("value IS NOT NULL"), ["file", "col_index", "col_name"], "row_no", 50)
     multiple = v.rlike(r"^\d+\.?\d*x?$") & F.coalesce((F.regexp_replace(v, "x+$", "").try_cast("double") > 0) & (F.regexp_replace(v, "x+$", "").try_cast("double") < 25), F.lit(False))
     rate = F.regexp_replace(v, "%+$", "").try_cast("double")
     share = lambda cond: F.avg(F.coalesce(cond, F.lit(False)).cast("double"))

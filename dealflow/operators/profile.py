@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import MONETARY, PROFILE_BLANKS, UNITS
 from .medians import medians
+from .segments import first_rows
 
 c = F.col
 
@@ -43,7 +44,7 @@ def unit(header: Column) -> Column:
 def column_profiles(cells: DataFrame) -> DataFrame:
     """A profile of each column from text cells (file, col_index, col_name, row_no, value); nulls are blanks.
 
-    A date is text that starts yyyy-mm-dd. The samples are the first ten values.
+    A date is text that starts yyyy-mm-dd. The samples are the first ten values. cells are read several times.
     """
     v = F.trim("value")
     d = cells.withColumns({"v": F.when(~v.isin(*PROFILE_BLANKS), v)})
@@ -51,14 +52,17 @@ def column_profiles(cells: DataFrame) -> DataFrame:
     share = lambda cond: F.avg(F.when(c("num").isNotNull(), cond.cast("double")))
     g = d.groupBy("file", "col_index", "col_name").agg(
         F.count("*").alias("rows"), F.count("v").alias("n"), F.avg(c("is_date").cast("double")).alias("dates"), F.count("num").alias("numbers"),
-        F.min("num").alias("lo"), F.max("num").alias("hi"), F.avg("num").alias("mean"), F.count_distinct("v").alias("distinct"), F.avg(F.length("v")).alias("length"),
+        F.min("num").alias("lo"), F.max("num").alias("hi"), F.avg("num").alias("mean"), F.avg(F.length("v")).alias("length"),
         share(F.abs("num") <= 2).alias("small"), F.avg(c("v").contains("%").cast("double")).alias("percents"),
         share((c("num") > 0) & (c("num") < 30)).alias("m1"), share((c("num") >= 0.5) & (c("num") <= 15)).alias("m2"),
         share((c("num") > -0.9) & (c("num") < 3)).alias("i1"), share((c("num") > -90) & (c("num") < 300)).alias("i2"), share(c("num") >= 0.1).alias("c1"),
     )
-    first = d.where("v IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("file", "col_index", "col_name").orderBy("row_no"))).where("k <= 10")
+    # Distinct values are shuffled without the aggregates, and only the rows that hold the samples are sorted.
+    different = d.where("v IS NOT NULL").select("file", "col_index", "col_name", "v").distinct().groupBy("file", "col_index", "col_name").agg(F.count("*").alias("distinct"))
+    first = first_rows(d.where("v IS NOT NULL").select("file", "col_index", "col_name", "row_no", "v"), ["file", "col_index", "col_name"], "row_no", 10)
     first = first.groupBy("file", "col_index", "col_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("samples"))
     nf = c("numbers") / c("n")
+    g = g.join(different, ["file", "col_index", "col_name"], "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
     kind = F.when(c("n") == 0, "empty").when(c("dates") >= 0.5, "date").when((nf >= 0.75) & ((c("small") >= 0.8) | (c("percents") >= 0.3)), "percent").when(nf >= 0.75, "numeric").when(nf >= 0.3, "mixed").otherwise("string")
     g = g.withColumns({"data_type": kind, "fill_rate": c("n") / c("rows"), "unit": unit(c("col_name"))})
     some = c("numbers") >= 3
