@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.catalog import CELL_BLANKS, CURRENCIES, DEAL_KEYWORDS, SHEET_KEYWORDS, SKIP_SHEETS
+from ..sources.shared import saved
 from .segments import WIDTH, last_value, runs, with_group
 
 c = F.col
@@ -180,6 +181,7 @@ def candidates(cells: DataFrame, merges: DataFrame, rows: DataFrame | None = Non
         F.avg(F.when(data & leads, (c("kind") == "s").cast("double"))).alias("first_text"),
         F.max(F.when(c("row_no") == c("data_row"), F.try_divide(c("nums") - (leads & (c("kind") == "n")).cast("int"), c("n") - leads.cast("int")))).alias("row_num"),
     ).where("n IS NOT NULL")
+    d = saved(d)
     labels = headers(cells, merges, d).where(~c("header").rlike(r"^_col\d+$")).groupBy(*BLOCK).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "header"))), lambda x: x["header"]).alias("sample_headers"))
     d = d.join(labels, BLOCK, "left").withColumn("sample_headers", F.coalesce("sample_headers", F.array().cast("array<string>")))
     d = d.withColumns({"rows": c("last_row") - c("data_row") + 1, "cols": c("last_col") - c("first_col") + 1, "hits": keyword_hits(F.lower(F.array_join("sample_headers", " ")))})
@@ -228,19 +230,26 @@ def table_rows(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     Discovery scans a part of a sheet; rows are read from data_row on to the end of the sheet, or to the row before
     the next table that h has on it.
     """
-    names = headers(cells, merges, h)
-    d = filled_cells(cells, None, None).join(_ends(h), SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)").join(names, [*BLOCK, "col_no"])
-    return d.groupBy(*BLOCK, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("vals"))
+    # Tables and their headers are written, so that Spark knows how short they are; cells are shuffled once, by rows, without headers.
+    h = saved(h)
+    names = headers(cells, merges, h).groupBy(*BLOCK).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "header"))).alias("names"))
+    ends = saved(_ends(h).join(names, BLOCK))
+    d = filled_cells(cells, None, None).select(*SHEET, "row_no", "col_no", "value").join(ends.drop("names"), SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
+    d = d.groupBy(*BLOCK, "row_no").agg(F.collect_list(F.struct("col_no", "value")).alias("row")).join(ends.select(*BLOCK, "names"), BLOCK)
+    named = F.filter("row", lambda x: F.map_contains_key("names", x["col_no"]))
+    vals = F.transform(named, lambda x: F.struct(F.element_at("names", x["col_no"]).alias("header"), x["value"].alias("value")))
+    return d.where(F.size(named) > 0).select(*BLOCK, "row_no", F.map_from_entries(vals).alias("vals"))
 
 
 def _input_parts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells of deal-input grids below their header row, and their headers: those without a gap from column 2 on."""
     clean = F.trim(F.regexp_replace("value", r"\s+", " "))
-    top = cells.where((c("col_no") == 2) & (c("row_no") <= 25) & (F.lower(clean) == "company")).groupBy("file_id").agg(F.min("row_no").alias("header_row"))
+    # Header rows, headers and ends are a few rows a file and are written, so that Spark knows it and need not shuffle cells by file.
+    top = saved(cells.where((c("col_no") == 2) & (c("row_no") <= 25) & (F.lower(clean) == "company")).groupBy("file_id").agg(F.min("row_no").alias("header_row")))
     full = cells.where((F.trim("value") != "") & (c("col_no") >= 2)).join(top, "file_id").where("row_no >= header_row")
     names = full.where("row_no = header_row").select("file_id", "col_no", clean.alias("header"))
     place = F.row_number().over(Window.partitionBy("file_id").orderBy("col_no"))
-    return full, names.withColumn("k", place).where("k = col_no - 1").drop("k")
+    return full, saved(names.withColumn("k", place).where("k = col_no - 1").drop("k"))
 
 
 def input_headers(cells: DataFrame) -> DataFrame:
@@ -256,7 +265,7 @@ def input_grid(cells: DataFrame) -> DataFrame:
     rows = under.select("file_id", "row_no", "header_row").distinct()
     after = rows.select("file_id", (c("row_no") + 1).alias("row_no"))
     gaps = after.join(rows.select("file_id", "row_no"), ["file_id", "row_no"], "left_anti").groupBy("file_id").agg(F.min("row_no").alias("end"))
-    return under.join(gaps, "file_id").where("row_no > header_row AND row_no < end").select("file_id", "row_no", "header", F.trim("value").alias("value"))
+    return under.join(saved(gaps), "file_id").where("row_no > header_row AND row_no < end").select("file_id", "row_no", "header", F.trim("value").alias("value"))
 
 
 def input_meta(cells: DataFrame) -> DataFrame:
