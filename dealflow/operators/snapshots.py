@@ -27,9 +27,9 @@ def long_table(deals: DataFrame, as_of: str, published_by: str, published_at: st
     )
 
 
-def publish(rows: DataFrame, folder: str, txn: str | None = None) -> DataFrame:
+def publish(rows: DataFrame, folder: str, txn: str | None = None, gathered: bool = False) -> DataFrame:
     """See SnapshotStore.publish()."""
-    return SnapshotStore(rows.sparkSession, folder).publish(rows, txn)
+    return SnapshotStore(rows.sparkSession, folder).publish(rows, txn, gathered)
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,12 +61,16 @@ class SnapshotStore:
         snapshots = self.current().groupBy("gp_name", "track_record_date")
         return snapshots.agg(F.sum("deals").alias("deals"), F.max_by("published_by", "published_at").alias("published_by"), F.max("published_at").alias("published_at"))
 
-    def staged(self, rows: DataFrame, txn: str | None = None) -> tuple[str, DataFrame]:
-        """The rows written to a folder of their own, seen by nobody yet, and their part of the log."""
+    def staged(self, rows: DataFrame, txn: str | None = None, gathered: bool = False) -> tuple[str, DataFrame]:
+        """The rows written to a folder of their own, seen by nobody yet, and their part of the log.
+
+        They are brought together by their keys, so that a task does not write a file for each key; rows that come
+        gathered by them, a few keys a partition, are not shuffled again.
+        """
         name = f"p{uuid.uuid4().hex}"  # a letter, so that no name reads as a number
         where = f"{self.folder}/data/publication={name}"
         rows = with_keys(rows)
-        rows.hint("rebalance", *KEYS).write.partitionBy(*KEYS).parquet(where)
+        (rows if gathered else rows.hint("rebalance", *KEYS)).write.partitionBy(*KEYS).option("compression", "zstd").parquet(where)
         held = self.spark.read.schema(rows.schema).parquet(where).groupBy(*KEYS, "gp_name", "track_record_date")
         held = held.agg(F.count("*").alias("deals"), F.max_by("published_by", "published_at").alias("published_by"), F.max("published_at").alias("published_at"))
         return name, held.withColumns({"publication": F.lit(name), "txn": F.lit(txn).cast("string"), "fields": F.lit(rows.schema.json())})
@@ -89,16 +93,17 @@ class SnapshotStore:
                 if "FileAlreadyExists" not in e.java_exception.getClass().getName():
                     raise
 
-    def publish(self, rows: DataFrame, txn: str | None = None) -> DataFrame:
+    def publish(self, rows: DataFrame, txn: str | None = None, gathered: bool = False) -> DataFrame:
         """Replaces the snapshots of the rows' keys and no others, all at once; (gp_key, as_of, replaced).
 
         Rows are computed once. A txn that the log holds already changes nothing and returns what it did. Of two
         publications of a key at the same time the one with the larger number stands. A null manager or date is a key of its own.
+        gathered: see staged().
         """
         if txn is not None and not self.log().where(c("txn") == txn).isEmpty():
             number = self.log().where(c("txn") == txn).agg(F.min("v")).first()[0]
         else:
-            number = self.commit(*self.staged(rows, txn))
+            number = self.commit(*self.staged(rows, txn, gathered))
         log = self.log()
         had = log.where(c("v") < number).select(*KEYS).distinct().withColumn("replaced", F.lit(True))
         return log.where(c("v") == number).select(*KEYS).distinct().join(had, KEYS, "left").withColumn("replaced", F.coalesce("replaced", F.lit(False)))

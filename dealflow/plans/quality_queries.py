@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import deals as D
 from ..operators import discover as B
 from ..operators import snapshots as A
 from ..operators import standard as N
@@ -17,7 +18,6 @@ from ..sources.shared import saved
 from ..streaming.ingest import ingest
 from . import sql as Q
 from .inputs import built, folder
-from .report_queries import deals
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -107,23 +107,31 @@ ORACLE_SQL["P5_duplicates"] = f"WITH t AS (SELECT * REPLACE (CASE WHEN row_no %
 
 # ---- snapshots
 def publish_all(spark, sf, where: str):
-    """F-G: the deal list is computed once; three dates in one publication, then a correction of one key."""
+    """F-G: the deals are computed once and stored by manager; three dates in one publication, then a correction of one key.
+
+    Only what is known of a deal is published: columns derived from that are derived by the readers.
+    """
     staged = folder(spark, "deals")
-    deals(spark, sf).write.parquet(staged)
-    d = spark.read.parquet(staged)
+    d = deals_raw(spark, sf).withColumn("fund_currency", S.currency_guard(c("fund_currency")))
+    d.hint("rebalance", "gp_name").write.partitionBy("gp_name").option("compression", "zstd").parquet(staged)
+    d = spark.read.schema(d.schema).parquet(staged).select(*d.columns)
     parts = []
     for i, day in enumerate(SNAPSHOT_DATES):
         rows = d.where(c("entry_date") <= F.lit(day).cast("date"))
         rows = rows.where("gp_name <> 'GP_EUROPE'") if i == 2 else rows
         parts.append(A.long_table(rows, day, "team", f"2002-01-0{i + 1} 00:00:00", "orders", "USD"))
-    A.publish(reduce(DataFrame.union, parts), where)
+    A.publish(reduce(DataFrame.union, parts), where, gathered=True)
     again = d.where((c("entry_date") <= F.lit(SNAPSHOT_DATES[1]).cast("date")) & (c("gp_name") == "GP_ASIA") & c("fund").isNotNull())
-    A.publish(A.long_table(again, SNAPSHOT_DATES[1], "desk", "2002-02-01 00:00:00", "orders", "USD"), where)
+    A.publish(A.long_table(again, SNAPSHOT_DATES[1], "desk", "2002-02-01 00:00:00", "orders", "USD"), where, gathered=True)
+
+
+def _derived(rows):
+    return rows.transform(D.returns).transform(D.operating)
 
 
 def published(spark, sf):
-    """F-G written and read again, from a store."""
-    return _store(spark, sf).read()
+    """F-G written and read again, from a store, with the derived columns."""
+    return _derived(_store(spark, sf).read())
 
 
 _SNAP = Q.over_deals("").rstrip() + ", snaps AS (" + " UNION ALL ".join(
@@ -136,7 +144,7 @@ def _store(spark, sf):
 
 
 def _snap(name, run, sql, latest=True):
-    QUERIES[name] = lambda spark, sf: run(_store(spark, sf).latest() if latest else published(spark, sf))
+    QUERIES[name] = lambda spark, sf: run(_derived(_store(spark, sf).latest()) if latest else published(spark, sf))
     ORACLE_SQL[name] = f"{_SNAP} {sql}"
 
 
@@ -156,7 +164,7 @@ _snap("X7_deployment", A.deployment, "SELECT gp_name, vintage, sum(ic_weight)::D
 # ---- from grids to snapshots: meta block and rows of each file, the gate, and one publication of what passes
 def _flow(spark, sf):
     cells = spark.read.parquet(built(spark, sf, "input_cells", input_cells(spark, sf).write.parquet))
-    rows = N.input_rows(B.input_grid(cells), INPUT_HEADERS)
+    rows = saved(N.input_rows(B.input_grid(cells), INPUT_HEADERS))
     judged = saved(V.gate(rows, B.input_meta(cells).withColumnRenamed("file_id", "file")))
     lacking = B.header_differences(B.input_headers(cells), list(INPUT_HEADERS.values())).where(F.size("missing") > 0)
     passed = judged.where("decision <> 1").join(lacking, c("file") == c("file_id"), "left_anti")
