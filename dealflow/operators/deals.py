@@ -88,7 +88,7 @@ def operating(deals: DataFrame) -> DataFrame:
 
 def _product(w, x):
     """Null beyond 23 digits, as growth over a hold of days can be."""
-    return (w.cast("double") * x).try_cast("decimal(30,7)")
+    return S.to_decimal(w.cast("double") * x)
 
 
 def weighted(deals: DataFrame) -> DataFrame:

@@ -71,9 +71,9 @@ def pooled() -> list[Column]:
     return [
         _count(),
         ic.cast("decimal(24,7)").alias("ic"),
-        F.round(S.divide(F.sum(F.coalesce("total_value", F.lit(0))), ic), 6).alias("moic"),
-        F.round(S.divide(F.sum("ic_in_loss"), ic), 6).alias("loss_ratio"),
-        F.round(S.divide(F.sum("impaired_value"), ic), 6).alias("impaired_ratio"),
+        S.rounded(S.divide(F.sum(F.coalesce("total_value", F.lit(0))), ic), 6).alias("moic"),
+        S.rounded(S.divide(F.sum("ic_in_loss"), ic), 6).alias("loss_ratio"),
+        S.rounded(S.divide(F.sum("impaired_value"), ic), 6).alias("impaired_ratio"),
     ]
 
 
@@ -113,7 +113,7 @@ def dispersion(deals: DataFrame, by: str) -> DataFrame:
     rows = measured(deals).where(c(by).isNotNull())
     out = rows.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), _count(), F.sum("ic_weight").alias("s"), _mean("moic").alias("m"))
     whole = F.max(F.when(c("is_total") == 1, c("s"))).over(Window.partitionBy())  # after grouping: a row a bucket
-    return out.select("is_total", c(by).alias("item"), "deals", F.round(S.divide(c("s"), whole), 6).alias("ic_share"), F.round("m", 4).alias("avg_moic"))
+    return out.select("is_total", c(by).alias("item"), "deals", S.rounded(S.divide(c("s"), whole), 6).alias("ic_share"), S.rounded(c("m"), 4).alias("avg_moic"))
 
 
 def share_matrix(deals: DataFrame, rows: str, cols: str, value: str = "ic_weight", of: str = "row", hide_blank: bool = True) -> DataFrame:
@@ -124,7 +124,7 @@ def share_matrix(deals: DataFrame, rows: str, cols: str, value: str = "ic_weight
     grand = d.groupBy("k").agg(F.sum("s").alias("s")).select(F.lit(1).alias("is_grand"), F.lit(None).cast("string").alias("r"), "k", "s")
     d = d.select(F.lit(0).alias("is_grand"), "r", "k", "s").union(grand)
     w = Window.partitionBy("is_grand", "r") if of == "row" else Window.partitionBy("is_grand", "k")
-    return d.select("is_grand", c("r").alias("row_item"), c("k").alias("col_item"), c("s").cast("decimal(24,7)").alias("amount"), F.round(S.divide(c("s"), F.sum("s").over(w)), 6).alias("share"))
+    return d.select("is_grand", c("r").alias("row_item"), c("k").alias("col_item"), c("s").cast("decimal(24,7)").alias("amount"), S.rounded(S.divide(c("s"), F.sum("s").over(w)), 6).alias("share"))
 
 
 def counts(deals: DataFrame, axis: str) -> DataFrame:
@@ -151,8 +151,8 @@ def underperforming(deals: DataFrame) -> DataFrame:
     """Deals in loss by fund and company, with totals."""
     d = measured(deals).where("performing = 1 AND fund IS NOT NULL AND company IS NOT NULL")
     return d.rollup("fund", "company").agg(
-        F.grouping_id().cast("int").alias("level"), _count().alias("loss_deals"), F.round(S.divide(F.sum("total_value"), F.sum("ic_weight")), 6).alias("moic"),
-        F.sum(F.coalesce("current_value", F.lit(0))).cast("decimal(24,7)").alias("current_value"), F.round(S.divide(F.sum("impaired_value"), F.sum("ic_weight")), 6).alias("impaired_ratio"), F.round(_mean("hold"), 4).alias("avg_hold"),
+        F.grouping_id().cast("int").alias("level"), _count().alias("loss_deals"), S.rounded(S.divide(F.sum("total_value"), F.sum("ic_weight")), 6).alias("moic"),
+        F.sum(F.coalesce("current_value", F.lit(0))).cast("decimal(24,7)").alias("current_value"), S.rounded(S.divide(F.sum("impaired_value"), F.sum("ic_weight")), 6).alias("impaired_ratio"), S.rounded(_mean("hold"), 4).alias("avg_hold"),
     ).select("level", "fund", "company", "loss_deals", "moic", "current_value", "impaired_ratio", "avg_hold")
 
 
@@ -174,20 +174,20 @@ METRICS = {
 def operating_by_fund(deals: DataFrame, kind: str, status: str | None = None) -> DataFrame:
     """Weighted means of a kind's metrics by fund, with a total of the visible funds."""
     d = filtered(deals, status=(status,) if status else None).where("fund IS NOT NULL")
-    cols = [F.round(S.divide(F.sum(p), F.sum(w)), 6).alias(m) for m, (w, p) in METRICS[kind].items()]
+    cols = [S.rounded(S.divide(F.sum(p), F.sum(w)), 6).alias(m) for m, (w, p) in METRICS[kind].items()]
     return d.rollup("fund").agg(F.grouping("fund").cast("int").alias("is_total"), *cols).select("is_total", "fund", *METRICS[kind])
 
 
 def realized_by_fund(deals: DataFrame) -> DataFrame:
     """Realized and current value by fund, and the share that is unrealized."""
     d = deals.where("fund IS NOT NULL").rollup("fund").agg(F.grouping("fund").cast("int").alias("is_total"), F.sum("realized").cast("decimal(24,7)").alias("realized"), F.sum(F.coalesce("current_value", F.lit(0))).cast("decimal(24,7)").alias("current_value"))
-    return d.withColumn("unrealized_share", F.round(S.divide(c("current_value"), c("realized") + c("current_value")), 6))
+    return d.withColumn("unrealized_share", S.rounded(S.divide(c("current_value"), c("realized") + c("current_value")), 6))
 
 
 def hold_by_fund(deals: DataFrame, status: str = "Unrealized") -> DataFrame:
     """Hold period weighted by invested capital; products over all, weights over total_ic."""
     d = deals.where((c("status") == status) & c("fund").isNotNull())
-    return d.rollup("fund").agg(F.grouping("fund").cast("int").alias("is_total"), F.round(S.divide(F.sum("hold_p"), F.sum("total_ic")), 6).alias("weighted_hold"))
+    return d.rollup("fund").agg(F.grouping("fund").cast("int").alias("is_total"), S.rounded(S.divide(F.sum("hold_p"), F.sum("total_ic")), 6).alias("weighted_hold"))
 
 
 def chart_series(report: DataFrame, bar: str, line: str, hide_missing: bool = False) -> DataFrame:

@@ -66,7 +66,7 @@ for _name, (_plain, _rounded) in _H.items():
     _w = _name.startswith("H21")
     add(
         _name,
-        lambda d, p=_plain, r=_rounded: d.select("deal_id", *p.split(), *(F.round(F.col(x).cast("double"), 7 if x.endswith("_p") else 4).alias(x) for x in r.split())),
+        lambda d, p=_plain, r=_rounded: d.select("deal_id", *p.split(), *(S.rounded(F.col(x).cast("double"), 7 if x.endswith("_p") else 4).alias(x) for x in r.split())),
         Q.over_deals(f"SELECT deal_id, {', '.join(_plain.split() + [f"round({x}::DOUBLE, {7 if x.endswith('_p') else 4}) + 0.0 AS {x}" for x in _rounded.split()])} FROM {'weighted' if _w else 'deals'}", weighted=_w),
         weights=_w,
     )
