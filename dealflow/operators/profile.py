@@ -41,6 +41,12 @@ def unit(header: Column) -> Column:
     return F.coalesce(*(F.when(header.rlike(f"(?i){p}"), u) for p, u in UNITS))
 
 
+def _begins_a_word(v: Column) -> Column:
+    """Whether text starts with a letter that starts no number, as those of inf and nan do; a cast that fails is slow."""
+    code = F.ascii(v)
+    return (code.between(ord("A"), ord("Z")) | code.between(ord("a"), ord("z"))) & ~code.isin(*map(ord, "INin"))
+
+
 def column_profiles(cells: DataFrame) -> DataFrame:
     """A profile of each column from text cells (file, col_index, col_name, row_no, value); nulls are blanks.
 
@@ -48,7 +54,7 @@ def column_profiles(cells: DataFrame) -> DataFrame:
     """
     v = F.trim("value")
     d = cells.withColumns({"v": F.when(~v.isin(*PROFILE_BLANKS), v)})
-    d = d.withColumns({"num": F.when(~F.isnan(c("v").try_cast("double")), c("v").try_cast("double")), "is_date": c("v").rlike(r"^\d{4}-\d{2}-\d{2}")})
+    d = d.withColumn("is_date", c("v").rlike(r"^\d{4}-\d{2}-\d{2}")).withColumn("num", F.when(~c("is_date") & ~_begins_a_word(c("v")), F.nanvl(c("v").try_cast("double"), F.lit(None).cast("double"))))
     share = lambda cond: F.avg(F.when(c("num").isNotNull(), cond.cast("double")))
     g = d.groupBy("file", "col_index", "col_name").agg(
         F.count("*").alias("rows"), F.count("v").alias("n"), F.avg(c("is_date").cast("double")).alias("dates"), F.count("num").alias("numbers"),
