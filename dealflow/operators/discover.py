@@ -28,11 +28,14 @@ CURRENCY = r"(?i)\b(" + "|".join(CURRENCIES) + r")\b"
 TEXT_DATES = ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyy/M/d")
 
 
-def filled_cells(cells: DataFrame, max_rows: int | None = MAX_ROWS, max_cols: int | None = MAX_COLS) -> DataFrame:
-    """B1: cells that hold something, of the scanned part of a sheet; None scans all."""
-    d = cells.where(c("value").isNotNull() & ~F.trim("value").isin(*CELL_BLANKS))
-    d = d if max_rows is None else d.where(c("row_no") <= max_rows)
-    return d if max_cols is None else d.where(c("col_no") <= max_cols)
+def filled_cells(cells: DataFrame) -> DataFrame:
+    """B1: cells that hold something, of whole sheets."""
+    return cells.where(c("value").isNotNull() & ~F.trim("value").isin(*CELL_BLANKS))
+
+
+def scanned(cells: DataFrame) -> DataFrame:
+    """The first MAX_ROWS rows and MAX_COLS columns of each sheet, for callers that want no more."""
+    return cells.where((c("row_no") <= MAX_ROWS) & (c("col_no") <= MAX_COLS))
 
 
 def visible(cells: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def row_summaries(cells: DataFrame) -> DataFrame:
     most MAX_ROWS. Written once, bucketed by sheet (see shared.bucketed), they need no further shuffle.
     """
     year = r"\b(19|20)\d{2}\b"
-    return filled_cells(cells).groupBy(*SHEET, "row_no").agg(
+    return filled_cells(scanned(cells)).groupBy(*SHEET, "row_no").agg(
         F.count("*").alias("n"), F.min("col_no").alias("lo"), F.max("col_no").alias("hi"), F.count_if(c("vtype") == "s").alias("texts"), F.count_if(c("vtype") == "n").alias("nums"),
         F.max((c("vtype") == "d") | ((c("vtype") == "s") & c("value").rlike(year))).alias("dated"), F.min_by("vtype", "col_no").alias("kind"),
     )
@@ -59,9 +62,10 @@ def rows_of(cells: DataFrame) -> DataFrame:
 
 
 def sheet_profiles(cells: DataFrame) -> DataFrame:
-    """B2: used range and share of empty cells, from cells or row summaries."""
-    g = rows_of(cells).groupBy(*SHEET).agg(F.min("row_no").alias("min_row"), F.max("row_no").alias("max_row"), F.min("lo").alias("min_col"), F.max("hi").alias("max_col"), F.sum("n").alias("filled"))
-    return g.withColumn("empty", 1 - c("filled") / ((c("max_row") - c("min_row") + 1) * (c("max_col") - c("min_col") + 1)))
+    """B2: used range and share of empty cells of whole sheets, from one pass over their cells."""
+    g = filled_cells(cells).groupBy(*SHEET).agg(F.min("row_no").alias("min_row"), F.max("row_no").alias("max_row"), F.min("col_no").alias("min_col"), F.max("col_no").alias("max_col"), F.count("*").alias("filled"))
+    area = (c("max_row") - c("min_row") + 1).cast("double") * (c("max_col") - c("min_col") + 1)
+    return g.withColumn("empty", 1 - c("filled") / area)
 
 
 def _least_density() -> Column:
@@ -123,7 +127,7 @@ def blocks_by_ranges(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, mi
 
     Rows are numbered by ranges of ``width`` row numbers, and bounds are grouped, not windowed.
     """
-    r = filled_cells(cells, None, None).groupBy(*SHEET, "row_no").agg(F.count("*").alias("n"), F.min("col_no").alias("lo"), F.max("col_no").alias("hi"))
+    r = filled_cells(cells).groupBy(*SHEET, "row_no").agg(F.count("*").alias("n"), F.min("col_no").alias("lo"), F.max("col_no").alias("hi"))
     sheets = r.groupBy(*SHEET).agg((F.max("hi") - F.min("lo") + 1).alias("width"))
     r = with_group(r, sheets, SHEET)
     dense = runs(r.where(c("n") / c("width") >= _least_density()), SHEET, "row_no", gap, "run", width)
@@ -148,8 +152,8 @@ def header_rows(cells: DataFrame, b: DataFrame) -> DataFrame:
 def headers(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     """(file, sheet, block, col_no, header): labels of all header rows joined, merged ones spread, made unique."""
     at = h.select(*BLOCK, "first_col", "last_col", F.explode("header_rows").alias("row_no"))
-    top = filled_cells(cells).join(at, [*SHEET, "row_no"]).select(*BLOCK, "row_no", "col_no", F.trim("value").alias("v"))
-    m = merges.join(filled_cells(cells).select(*SHEET, c("row_no").alias("min_row"), c("col_no").alias("min_col"), F.trim("value").alias("v")), [*SHEET, "min_row", "min_col"])
+    top = filled_cells(scanned(cells)).join(at, [*SHEET, "row_no"]).select(*BLOCK, "row_no", "col_no", F.trim("value").alias("v"))
+    m = merges.join(filled_cells(scanned(cells)).select(*SHEET, c("row_no").alias("min_row"), c("col_no").alias("min_col"), F.trim("value").alias("v")), [*SHEET, "min_row", "min_col"])
     # A merge meets the headers row by row, not all blocks of its sheet.
     m = m.withColumn("row_no", F.explode(F.sequence("min_row", F.least("max_row", F.lit(MAX_ROWS))))).join(at, [*SHEET, "row_no"])
     spread = m.withColumn("col_no", F.explode(F.sequence("min_col", "max_col"))).where(c("col_no").between(c("first_col"), c("last_col")))
@@ -234,7 +238,7 @@ def table_rows(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     h = saved(h)
     names = headers(cells, merges, h).groupBy(*BLOCK).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "header"))).alias("names"))
     ends = saved(_ends(h).join(names, BLOCK))
-    d = filled_cells(cells, None, None).select(*SHEET, "row_no", "col_no", "value").join(ends.drop("names"), SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
+    d = filled_cells(cells).select(*SHEET, "row_no", "col_no", "value").join(ends.drop("names"), SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
     d = d.groupBy(*BLOCK, "row_no").agg(F.collect_list(F.struct("col_no", "value")).alias("row")).join(ends.select(*BLOCK, "names"), BLOCK)
     named = F.filter("row", lambda x: F.map_contains_key("names", x["col_no"]))
     vals = F.transform(named, lambda x: F.struct(F.element_at("names", x["col_no"]).alias("header"), x["value"].alias("value")))
@@ -382,7 +386,7 @@ def banner_meta(cells: DataFrame, h: DataFrame, names: DataFrame | None = None)
     if names is None:
         return out
     money = names.where(F.lower("header").contains("currency") & ~c("header").startswith("_col")).select(*BLOCK, "col_no")
-    below = filled_cells(cells, None, None).join(money, [*SHEET, "col_no"]).join(_ends(h), BLOCK).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
+    below = filled_cells(cells).join(money, [*SHEET, "col_no"]).join(_ends(h), BLOCK).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
     first = below.groupBy(*BLOCK).agg(F.min_by(F.trim("value"), F.struct("col_no", "row_no")).alias("currency"))
     every = h.select(*BLOCK).join(out, BLOCK, "left").join(first, BLOCK, "left")
     return every.withColumn("currency", F.coalesce("currency", F.lit("USD")))

@@ -216,8 +216,8 @@ ORACLE_SQL["A11_stored_mapping"] = f"{ORACLE_SQL['D14_mapping_log'].rsplit('SELE
 # ---- discovery
 _merges = X.landed_merges
 _found = lambda spark, sf: B.candidates(_cells(spark, sf), _merges(spark), _rows(spark, sf))
-QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_rows(spark, sf)).select("file_id", "sheet", "min_row", "max_row", "min_col", "max_col", F.round("empty", 6).alias("empty"))
-ORACLE_SQL["B1_B2_sheet_profiles"] = lambda: f"WITH {_SEEN} SELECT file_id, sheet, 1 AS min_row, max(r + 4)::INTEGER AS max_row, 2 AS min_col, {_WIDTH + 1} AS max_col, round(1 - (sum(filled) + {_WIDTH} + 3) / (max(r + 4) * {_WIDTH}), 6)::DOUBLE AS empty FROM seen WHERE r <= {B.MAX_ROWS - 4} GROUP BY 1, 2"
+QUERIES["B1_B2_sheet_profiles"] = lambda spark, sf: B.sheet_profiles(_cells(spark, sf)).select("file_id", "sheet", "min_row", "max_row", "min_col", "max_col", F.round("empty", 6).alias("empty"))
+ORACLE_SQL["B1_B2_sheet_profiles"] = lambda: f"WITH {_WHOLE} SELECT file_id, sheet, 1 AS min_row, max(r + 4)::INTEGER AS max_row, 2 AS min_col, {_WIDTH + 1} AS max_col, round(1 - (sum(filled) + {_WIDTH} + 3) / (max(r + 4) * {_WIDTH}), 6)::DOUBLE AS empty FROM seen GROUP BY 1, 2"
 QUERIES["B3_B5_blocks"] = lambda spark, sf: B.tables(_rows(spark, sf)).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
 ORACLE_SQL["B3_B5_blocks"] = f"{_SHEETS} SELECT gp_name AS file_id, fund || ' - Deal Data' AS sheet, 4 AS first_row, least(count(*) + 4, 2000)::INTEGER AS last_row, 2 AS first_col, {len(X.SHEET_HEADERS) + 1} AS last_col FROM raw WHERE fund IS NOT NULL GROUP BY gp_name, fund"
 QUERIES["B4_whole_sheets"] = lambda spark, sf: B.blocks_by_ranges(_cells(spark, sf)).select("file_id", "sheet", "first_row", "last_row", "first_col", "last_col")
@@ -235,6 +235,8 @@ _SEEN = f"""{Q.DEAL_LIST}, seen AS (SELECT *, gp_name AS file_id, fund || ' - De
   parts AS (SELECT file_id, sheet, 0 AS r, unnest(range(2, {_WIDTH + 2})) AS col_no, unnest({[h for _, h in X.SHEET_HEADERS]}) AS v FROM heads
     UNION ALL SELECT file_id, sheet, r, unnest(range(2, {_WIDTH + 2})), unnest([{", ".join(_cell(x) for x, _ in X.SHEET_HEADERS)}]) FROM body WHERE r <= k),
   labels AS (SELECT file_id, sheet, col_no, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' | ') AS header FROM (SELECT file_id, sheet, col_no, list(v ORDER BY r) AS l FROM parts WHERE v IS NOT NULL GROUP BY 1, 2, 3))"""
+# Rows are counted to the end of a sheet.
+_WHOLE = _SEEN.replace(f"least(count(*) OVER (PARTITION BY gp_name, fund), {B.MAX_ROWS - 4})", "count(*) OVER (PARTITION BY gp_name, fund)")
 ORACLE_SQL["B6_B12_primary"] = f"""WITH {_SEEN}, g AS (SELECT file_id, sheet, count(*)::INTEGER AS rows, {_WIDTH} AS cols, sum(filled) AS n, max((coalesce(entry_date, exit_date) IS NOT NULL)::INTEGER) AS has_date, max((numbers > 0)::INTEGER) AS has_number, max(CASE WHEN r = k + 1 THEN numbers / (filled - 1) END) AS row_num FROM body WHERE r > k AND r <= {B.MAX_ROWS - 4} GROUP BY 1, 2),
   h AS (SELECT file_id, sheet, len(list_filter({list(DEAL_KEYWORDS)}, lambda w: contains(t, w))) AS hits FROM (SELECT file_id, sheet, lower(string_agg(header, ' ' ORDER BY col_no)) AS t FROM labels GROUP BY 1, 2)),
   o AS (SELECT *, CASE WHEN row_num > 0.5 THEN 'col_per_record' ELSE 'row_per_record' END AS orientation, hits >= 3 AND rows >= 3 AS likely FROM g JOIN h USING (file_id, sheet)),
