@@ -46,19 +46,19 @@ def visible(cells: DataFrame) -> DataFrame:
 def row_summaries(cells: DataFrame) -> DataFrame:
     """One row for each row of a sheet that holds something: number, kinds and range of its filled cells.
 
-    Discovery reads cells once for these; all that follows up to the headers works on rows, of which a sheet has at
-    most MAX_ROWS. Written once, bucketed by sheet (see shared.bucketed), they need no further shuffle.
+    Discovery reads all cells once for these; all that follows up to the headers works on rows. Cells of a row that
+    lie together are counted before the shuffle, in a hash table, as all aggregates are numbers.
     """
     year = r"\b(19|20)\d{2}\b"
-    return filled_cells(scanned(cells)).groupBy(*SHEET, "row_no").agg(
+    return filled_cells(cells).groupBy(*SHEET, "row_no").agg(
         F.count("*").alias("n"), F.min("col_no").alias("lo"), F.max("col_no").alias("hi"), F.count_if(c("vtype") == "s").alias("texts"), F.count_if(c("vtype") == "n").alias("nums"),
-        F.max((c("vtype") == "d") | ((c("vtype") == "s") & c("value").rlike(year))).alias("dated"), F.min_by("vtype", "col_no").alias("kind"),
-    )
+        F.max((c("vtype") == "d") | ((c("vtype") == "s") & c("value").rlike(year))).alias("dated"), F.min_by(F.ascii("vtype"), "col_no").alias("kind"),
+    ).withColumn("kind", F.char("kind"))
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
-    """Row summaries, given as such or as cells."""
-    return cells if "texts" in cells.columns else row_summaries(cells)
+    """Row summaries, given as such, or made from cells and written, as they are read several times."""
+    return cells if "texts" in cells.columns else saved(row_summaries(cells), "rows")
 
 
 def sheet_profiles(cells: DataFrame) -> DataFrame:
@@ -73,9 +73,10 @@ def _least_density() -> Column:
 
 
 def _with_density(cells: DataFrame) -> DataFrame:
-    sheet = Window.partitionBy(*SHEET)
-    width = F.max("hi").over(sheet) - F.min("lo").over(sheet) + 1
-    d = rows_of(cells).withColumn("width", width).withColumn("density", c("n") / c("width"))
+    r = rows_of(cells)
+    # A row a sheet, written, so that Spark knows how short the table is.
+    sheets = saved(r.groupBy(*SHEET).agg((F.max("hi") - F.min("lo") + 1).alias("width")), "sheets")
+    d = with_group(r, sheets, SHEET).withColumn("density", c("n") / c("width"))
     return d.withColumn("dense", c("density") >= _least_density())
 
 
@@ -84,42 +85,70 @@ def dense_rows(cells: DataFrame) -> DataFrame:
     return _with_density(cells).where("dense").select(*SHEET, "row_no", "density")
 
 
-def in_tables(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2) -> DataFrame:
-    """The row summaries inside blocks, with the block's bounds, whether a row is a header, and the first data row.
+def _rows_by_block(cells: DataFrame, gap: int, width: int) -> DataFrame:
+    """Row summaries with the number of their block, 0 above the first; written, as they are read several times.
 
-    A block is a run of dense rows with no more than gap other rows between two. Its headers are dense rows of text at its
-    top, up to the first dense row of another kind, or else its first row. A row knows its block by counts over the
-    rows above it, so no row is compared with a block, however many blocks a sheet has.
+    A block is a run of dense rows with no more than gap other rows between two; a row knows its block by counts over the
+    rows above it. A sheet is scanned by ranges of ``width`` row numbers, and a row a range hands on what stands above.
     """
-    up = Window.partitionBy(*SHEET).orderBy("row_no")
+    part = [*SHEET, "__range"]
     here = F.when(c("dense"), c("row_no"))
-    above = F.max(here).over(up.rowsBetween(Window.unboundedPreceding, -1))
-    d = _with_density(cells).withColumn("new", c("dense") & F.coalesce(c("row_no") - above > gap + 1, F.lit(True)))
-    d = d.withColumn("block", F.sum(c("new").cast("int")).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    block = Window.partitionBy(*BLOCK)
-    d = d.withColumns({"first_row": F.min(here).over(block), "last_row": F.max(here).over(block)})
-    d = d.where((c("block") > 0) & (c("row_no") <= c("last_row")) & (c("last_row") - c("first_row") + 1 >= min_rows))
-    d = d.withColumns({"first_col": F.min("lo").over(block), "last_col": F.max("hi").over(block)}).where(c("last_col") - c("first_col") + 1 >= min_cols)
-    top = (c("row_no") < c("first_row") + MAX_HEADERS) & (c("row_no") < c("last_row"))
-    full = c("n") / (c("last_col") - c("first_col") + 1) >= 0.20
-    good = top & full & (c("texts") / c("n") >= 0.45) & (c("nums") / c("n") < 0.40)
-    stop = F.max((top & full & ~good).cast("int")).over(block.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumns({"good": good, "stop": stop}).withColumn("header", c("good") & (c("stop") == 0))
-    return d.withColumn("data_row", F.coalesce(F.max(F.when(c("header"), c("row_no"))).over(block), c("first_row")) + 1).drop("width", "density", "dense", "new", "good", "stop")
+    near = Window.partitionBy(*part).orderBy("row_no")
+    above = F.max(here).over(near.rowsBetween(Window.unboundedPreceding, -1))
+    d = _with_density(cells).withColumn("__range", F.floor(c("row_no") / width)).withColumn("__new", F.coalesce(c("dense") & (c("row_no") - above > gap + 1), F.lit(False)).cast("int"))
+    d = saved(d.withColumn("__in", F.sum("__new").over(near.rowsBetween(Window.unboundedPreceding, 0))).drop("width", "density"), "rows")
+    ends = d.groupBy(*part).agg(F.min(here).alias("__lo"), F.max(here).alias("__hi"), F.sum("__new").alias("__more"))
+    before = Window.partitionBy(*SHEET).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    last = F.last("__hi", ignorenulls=True).over(before)
+    starts = F.when(c("__lo").isNotNull(), F.coalesce(c("__lo") - last > gap + 1, F.lit(True)).cast("int")).otherwise(0)
+    ends = ends.withColumn("__starts", starts)
+    ends = saved(ends.withColumn("__base", F.coalesce(F.sum(c("__starts") + c("__more")).over(before), F.lit(0))).select(*part, "__lo", "__starts", "__base"), "ends")
+    d = with_group(d, ends, part)
+    block = c("__base") + F.when(c("row_no") >= c("__lo"), c("__starts") + c("__in")).otherwise(0)
+    return d.withColumn("block", block).drop("__range", "__new", "__in", "__lo", "__starts", "__base")
 
 
 _BOUNDS = ["first_row", "last_row", "first_col", "last_col"]
 
 
-def _with_headers(g, *aggs: Column) -> DataFrame:
-    """The blocks of grouped rows of in_tables(), with the aggregates and their header rows."""
-    d = g.agg(F.sort_array(F.collect_list(F.when(c("header"), c("row_no")))).alias("header_rows"), *aggs)
-    return d.withColumn("header_rows", F.when(F.size("header_rows") == 0, F.array("first_row")).otherwise(c("header_rows")))
+def _in_blocks(d: DataFrame, min_rows: int, min_cols: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of _rows_by_block() inside blocks, with the block's bounds, and the blocks with their bounds."""
+    here = F.when(c("dense"), c("row_no"))
+    b = d.where("block > 0").groupBy(*BLOCK).agg(F.min(here).alias("first_row"), F.max(here).alias("last_row")).where(c("last_row") - c("first_row") + 1 >= min_rows)
+    b = saved(b, "blocks")
+    # The columns are those of rows up to the last dense one.
+    cols = with_group(d.where("block > 0"), b, BLOCK).where("row_no <= last_row").groupBy(*BLOCK).agg(F.min("lo").alias("first_col"), F.max("hi").alias("last_col"))
+    b = saved(with_group(b, cols, BLOCK).where(c("last_col") - c("first_col") + 1 >= min_cols).select(*BLOCK, *_BOUNDS), "blocks")
+    return with_group(d.where("block > 0"), b, BLOCK).where("row_no <= last_row"), b
+
+
+def _with_headers(inside: DataFrame, b: DataFrame) -> DataFrame:
+    """The blocks with their header rows and first data row.
+
+    Headers are dense rows of text at the top of a block, up to the first dense row of another kind, or else its first row.
+    """
+    top = inside.where((c("row_no") < c("first_row") + MAX_HEADERS) & (c("row_no") < c("last_row")))  # MAX_HEADERS rows a block at most
+    full = c("n") / (c("last_col") - c("first_col") + 1) >= 0.20
+    good = full & (c("texts") / c("n") >= 0.45) & (c("nums") / c("n") < 0.40)
+    stop = F.max((full & ~good).cast("int")).over(Window.partitionBy(*BLOCK).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
+    found = top.withColumns({"good": good, "stop": stop}).where("good AND stop = 0").groupBy(*BLOCK).agg(F.sort_array(F.collect_list("row_no")).alias("header_rows"))
+    d = with_group(b, found, BLOCK).withColumn("header_rows", F.coalesce("header_rows", F.array("first_row")))
+    return saved(d.withColumn("data_row", F.array_max("header_rows") + 1), "tables")
+
+
+def in_tables(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2, width: int = WIDTH) -> DataFrame:
+    """The row summaries inside blocks, with the block's bounds, header rows and first data row.
+
+    No row is compared with a block, however many blocks a sheet has, and no sheet is scanned in one task.
+    """
+    inside, b = _in_blocks(_rows_by_block(cells, gap, width), min_rows, min_cols)
+    t = _with_headers(inside, b)
+    return with_group(inside.drop(*_BOUNDS), t, BLOCK).where("data_row IS NOT NULL")
 
 
 def blocks(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2) -> DataFrame:
-    """Runs of dense rows and their columns."""
-    return in_tables(cells, gap, min_rows, min_cols).select(*BLOCK, *_BOUNDS).distinct()
+    """B4 of the scanned part of a sheet: runs of dense rows and their columns. blocks_by_ranges() goes over whole sheets."""
+    return _in_blocks(_rows_by_block(scanned(cells), gap, WIDTH), min_rows, min_cols)[1]
 
 
 def blocks_by_ranges(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, min_cols: int = 2, width: int = WIDTH) -> DataFrame:
@@ -139,23 +168,24 @@ def blocks_by_ranges(cells: DataFrame, gap: int = MAX_GAP, min_rows: int = 3, mi
     return out.where((c("last_row") - c("first_row") + 1 >= min_rows) & (c("last_col") - c("first_col") + 1 >= min_cols))
 
 
-def tables(cells: DataFrame) -> DataFrame:
-    """All blocks with their header rows and first data row."""
-    return _with_headers(in_tables(cells).groupBy(*BLOCK, *_BOUNDS, "data_row"))
+def tables(cells: DataFrame, width: int = WIDTH) -> DataFrame:
+    """All blocks of whole sheets with their header rows and first data row, from cells or row summaries."""
+    return _with_headers(*_in_blocks(_rows_by_block(cells, MAX_GAP, width), 3, 2))
 
 
 def header_rows(cells: DataFrame, b: DataFrame) -> DataFrame:
-    """Blocks with their header rows and first data row."""
-    return b.join(tables(cells).select(*BLOCK, "header_rows", "data_row"), BLOCK)
+    """blocks() with their header rows and first data row."""
+    return b.join(tables(scanned(cells)).select(*BLOCK, "header_rows", "data_row"), BLOCK)
 
 
 def headers(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     """(file, sheet, block, col_no, header): labels of all header rows joined, merged ones spread, made unique."""
-    at = h.select(*BLOCK, "first_col", "last_col", F.explode("header_rows").alias("row_no"))
-    top = filled_cells(scanned(cells)).join(at, [*SHEET, "row_no"]).select(*BLOCK, "row_no", "col_no", F.trim("value").alias("v"))
-    m = merges.join(filled_cells(scanned(cells)).select(*SHEET, c("row_no").alias("min_row"), c("col_no").alias("min_col"), F.trim("value").alias("v")), [*SHEET, "min_row", "min_col"])
+    # Header rows are few and written, so that Spark knows it and need not shuffle cells for them.
+    at = saved(h.select(*BLOCK, "first_col", "last_col", F.explode("header_rows").alias("row_no")))
+    top = filled_cells(cells).join(at, [*SHEET, "row_no"]).select(*BLOCK, "row_no", "col_no", F.trim("value").alias("v"))
+    m = merges.join(filled_cells(cells).select(*SHEET, c("row_no").alias("min_row"), c("col_no").alias("min_col"), F.trim("value").alias("v")), [*SHEET, "min_row", "min_col"])
     # A merge meets the headers row by row, not all blocks of its sheet.
-    m = m.withColumn("row_no", F.explode(F.sequence("min_row", F.least("max_row", F.lit(MAX_ROWS))))).join(at, [*SHEET, "row_no"])
+    m = m.withColumn("row_no", F.explode(F.sequence("min_row", "max_row"))).join(at, [*SHEET, "row_no"])
     spread = m.withColumn("col_no", F.explode(F.sequence("min_col", "max_col"))).where(c("col_no").between(c("first_col"), c("last_col")))
     parts = spread.select(*BLOCK, "row_no", "col_no", "v", F.lit(0).alias("own")).union(top.select(*BLOCK, "row_no", "col_no", "v", F.lit(1).alias("own")))
     parts = parts.groupBy(*BLOCK, "row_no", "col_no").agg(F.min_by("v", "own").alias("v"))
@@ -179,18 +209,17 @@ def candidates(cells: DataFrame, merges: DataFrame, rows: DataFrame | None = Non
     """
     d = in_tables(cells if rows is None else rows).where("data_row <= last_row")
     data, leads = c("row_no") >= c("data_row"), c("lo") == c("first_col")  # the row has a cell in the block's first column
-    of = lambda x: F.when(data, x)
-    d = _with_headers(
-        d.groupBy(*BLOCK, *_BOUNDS, "data_row"), F.sum(of(c("n"))).alias("n"), F.max(of(c("dated").cast("int"))).alias("has_date"), F.max(of((c("nums") > 0).cast("int"))).alias("has_number"),
-        F.avg(F.when(data & leads, (c("kind") == "s").cast("double"))).alias("first_text"),
+    d = d.where(data).groupBy(*BLOCK, *_BOUNDS, "data_row", "header_rows").agg(
+        F.sum("n").alias("n"), F.max(c("dated").cast("int")).alias("has_date"), F.max((c("nums") > 0).cast("int")).alias("has_number"),
+        F.avg(F.when(leads, (c("kind") == "s").cast("double"))).alias("first_text"),
         F.max(F.when(c("row_no") == c("data_row"), F.try_divide(c("nums") - (leads & (c("kind") == "n")).cast("int"), c("n") - leads.cast("int")))).alias("row_num"),
-    ).where("n IS NOT NULL")
+    )
     d = saved(d)
     labels = headers(cells, merges, d).where(~c("header").rlike(r"^_col\d+$")).groupBy(*BLOCK).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "header"))), lambda x: x["header"]).alias("sample_headers"))
     d = d.join(labels, BLOCK, "left").withColumn("sample_headers", F.coalesce("sample_headers", F.array().cast("array<string>")))
     d = d.withColumns({"rows": c("last_row") - c("data_row") + 1, "cols": c("last_col") - c("first_col") + 1, "hits": keyword_hits(F.lower(F.array_join("sample_headers", " ")))})
     turned = F.when(c("first_text").isNull(), "unknown").when((c("first_text") > 0.75) & (c("row_num") > 0.5), "col_per_record").otherwise("row_per_record")
-    d = d.withColumns({"orientation": turned, "density": c("n") / (c("rows") * c("cols"))})
+    d = d.withColumns({"orientation": turned, "density": c("n") / (c("rows").cast("double") * c("cols"))})
     score = F.least(F.lit(25.0), 8 * F.log1p("rows")) + F.least(F.lit(20.0), 2.0 * c("cols")) + 15 * F.least("density", F.lit(1.0)) + 10 * c("has_date") + 10 * c("has_number") + F.least(F.lit(20.0), 2.0 * c("hits")) - F.when(c("orientation") == "col_per_record", 10).otherwise(0)
     return d.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), "likely": (c("hits") >= 3) & (c("rows") >= 3)})
 
@@ -228,17 +257,33 @@ def _ends(h: DataFrame) -> DataFrame:
     return h.select(*BLOCK, "first_row", "data_row").withColumn("end", end).drop("first_row")
 
 
+def _of_tables(cells: DataFrame, ends: DataFrame, width: int = 64) -> DataFrame:
+    """Cells with the block of the table they belong to, from its data_row on to its end; those of no table go.
+
+    The last table of a sheet has no end. Of the others, a cell meets those of its range of ``width`` row numbers only.
+    """
+    last = ends.where("end IS NULL").select(*SHEET, c("block").alias("__last"), c("data_row").alias("__from"))
+    ranges = F.sequence(F.floor(c("data_row") / width), F.floor((c("end") - 1) / width))
+    other = ends.where("data_row < end").select(*(c(k).alias(f"__of_{k}") for k in SHEET), c("block").alias("__block"), "data_row", "end", F.explode(ranges).alias("__of_range"))
+    inside = (c("__range") == c("__of_range")) & (c("row_no") >= c("data_row")) & (c("row_no") < c("end"))
+    for k in SHEET:
+        inside &= c(k) == c(f"__of_{k}")
+    d = cells.join(last, SHEET, "left").withColumn("__range", F.floor(c("row_no") / width)).join(saved(other, "ends"), inside, "left")
+    d = d.withColumn("block", F.coalesce("__block", F.when(c("row_no") >= c("__from"), c("__last")))).where("block IS NOT NULL")
+    return d.select(*cells.columns, "block")
+
+
 def table_rows(cells: DataFrame, merges: DataFrame, h: DataFrame) -> DataFrame:
     """A1: rows of tables with known headers as maps from header to value; blank rows do not arise.
 
-    Discovery scans a part of a sheet; rows are read from data_row on to the end of the sheet, or to the row before
+    Rows are read from data_row on to the end of the sheet, or to the row before
     the next table that h has on it.
     """
     # Tables and their headers are written, so that Spark knows how short they are; cells are shuffled once, by rows, without headers.
     h = saved(h)
     names = headers(cells, merges, h).groupBy(*BLOCK).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "header"))).alias("names"))
     ends = saved(_ends(h).join(names, BLOCK))
-    d = filled_cells(cells).select(*SHEET, "row_no", "col_no", "value").join(ends.drop("names"), SHEET).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
+    d = _of_tables(filled_cells(cells).select(*SHEET, "row_no", "col_no", "value"), ends)
     d = d.groupBy(*BLOCK, "row_no").agg(F.collect_list(F.struct("col_no", "value")).alias("row")).join(ends.select(*BLOCK, "names"), BLOCK)
     named = F.filter("row", lambda x: F.map_contains_key("names", x["col_no"]))
     vals = F.transform(named, lambda x: F.struct(F.element_at("names", x["col_no"]).alias("header"), x["value"].alias("value")))
@@ -386,7 +431,7 @@ def banner_meta(cells: DataFrame, h: DataFrame, names: DataFrame | None = None)
     if names is None:
         return out
     money = names.where(F.lower("header").contains("currency") & ~c("header").startswith("_col")).select(*BLOCK, "col_no")
-    below = filled_cells(cells).join(money, [*SHEET, "col_no"]).join(_ends(h), BLOCK).where("row_no >= data_row AND (end IS NULL OR row_no < end)")
+    below = _of_tables(filled_cells(cells), saved(_ends(h))).join(money, [*BLOCK, "col_no"])
     first = below.groupBy(*BLOCK).agg(F.min_by(F.trim("value"), F.struct("col_no", "row_no")).alias("currency"))
     every = h.select(*BLOCK).join(out, BLOCK, "left").join(first, BLOCK, "left")
     return every.withColumn("currency", F.coalesce("currency", F.lit("USD")))

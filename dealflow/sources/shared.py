@@ -23,12 +23,3 @@ def saved(df: DataFrame, name: str = "saved") -> DataFrame:
     where = shared_folder(df.sparkSession, name)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
-def bucketed(df: DataFrame, keys: list[str], sort: list[str], name: str) -> DataFrame:
-    """df written once as a table in buckets of its keys: windows, groups and joins by them need no further shuffle."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*sort).option("path", shared_folder(spark, name)).format("parquet").saveAsTable(table)
-    return spark.table(table)
